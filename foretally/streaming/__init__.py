@@ -1,0 +1 @@
+"""No streaming operator is in scope: all work here is batch over stored panels."""
