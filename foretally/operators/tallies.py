@@ -95,7 +95,7 @@ def condition_verdicts(tests: DataFrame, condition) -> DataFrame:
             .withColumn("unanimous", (a == F.col("seeds")) | (b == F.col("seeds"))))
 
 
-def family_report(tests: DataFrame, p: str) -> list[Column]:
+def family_report(p: str) -> list[Column]:
     """Wins, share, significant count and largest adjusted p of a family of tests."""
     n, worse, better = F.count(F.lit(1)), F.count_if(F.col("dm_stat") > 0), F.count_if(F.col("dm_stat") < 0)
     return [n.alias("n_tests"), worse.alias("first_worse"), better.alias("first_better"), (worse / n).alias("share_worse"),

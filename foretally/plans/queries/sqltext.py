@@ -74,3 +74,31 @@ USER_RESULTS = f"{USER_FORECASTS}, {results('series_id')}"
 
 def select(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
+
+
+def _sha(text: str, length: int = 16) -> str:
+    return f"substr(sha256({text}), 1, {length})"
+
+
+_FAMILY = ("CASE model WHEN 'drift' THEN 'ml' ELSE 'statistical' END")
+REGISTRY = ", ".join([
+    CELL_RESULTS,
+    "content AS (SELECT series_id, seed, " + _sha("count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || format('{:.12g}', x)), 1, 15))::BIGINT) AS VARCHAR)")
+    + " AS dataset_hash FROM series GROUP BY 1, 2)",
+    "w0 AS (SELECT r.*, n, train_end, val_end, dataset_hash, CASE WHEN model = 'drift' THEN 'global' ELSE 'train' END AS scope, "
+    + _sha("""'{"contract":"dataset/v1","random_seed":' || seed || ',"sample_count":' || n || ',"system":"' || series_id || '"}'""")
+    + " AS dataset_id FROM results r JOIN bounds USING (series_id, seed) JOIN content USING (series_id, seed))",
+    "w1 AS (SELECT *, "
+    + _sha("""'{"contract":"split/v1","dataset_id":"' || dataset_id || '","horizon":1,"lookback":3,"scaler_fit_range":"' || scope || '","split_fracs":["0.6","0.2","0.2"],"washout":3}'""")
+    + " AS split_id, "
+    + _sha("""'{"alpha":"1e-06","horizon":1,"lookback":3,"model":"' || model || '","scaler_scope":"' || scope || '","seed":' || seed || '}'""")
+    + " AS configuration_id, " + _sha("'[[0, ' || train_end || '], [' || train_end || ', ' || val_end || '], [' || val_end || ', ' || n || ']]'") + " AS split_hash FROM w0)",
+    "w AS (SELECT *, " + _sha("dataset_id || '/' || split_id || '/' || configuration_id", 32) + f" AS run_id, {_FAMILY} AS model_family, "
+    "CASE WHEN nrmse > 1.5 THEN 'failed' ELSE 'success' END AS status FROM w1)",
+    "datasets AS (SELECT DISTINCT dataset_id, series_id AS system, '{\"source\":\"events\"}' AS system_parameters, seed AS random_seed, 'observed' AS integration_method, "
+    "1.0::DOUBLE AS time_step, n AS sample_count, 0 AS transient_removed, dataset_hash FROM w)",
+    "splits AS (SELECT DISTINCT split_id, dataset_id, 0 AS train_start, train_end, train_end AS validation_start, val_end AS validation_end, val_end AS test_start, n AS test_end, "
+    "scope AS scaler_fit_range, 3 AS window_length, 1 AS prediction_horizon, split_hash FROM w)",
+    "runs AS (SELECT run_id, dataset_id, split_id, model, model_family, configuration_id, seed, 'one_step' AS forecast_mode, status, 'reconstructed' AS provenance_source, "
+    "CAST(NULL AS VARCHAR) AS git_commit, CASE WHEN status = 'failed' THEN 'score above 1.5' END AS error_message FROM w)",
+    "metrics AS (SELECT run_id, nrmse, mae, 3.0::DOUBLE AS feature_count FROM w)"])
