@@ -110,3 +110,14 @@ def attach(panel: DataFrame, params: DataFrame, keys=KEYS, block_rows: int = BLO
     """Bring per-series values to the rows, joined on (series, block) so that a series
     holding a third of all rows is still spread over many tasks."""
     return panel.join(per_block(params, block_rows), [*keys, "block"])
+
+
+def cogroup_blocks(rows: DataFrame, other: DataFrame, by, fn, schema: str) -> DataFrame:
+    """Meet two frames group by group of ``by``; ``fn`` gets two pandas frames.
+
+    The second frame's columns are renamed on the way in, as both often share a lineage.
+    """
+    right = other.select(*[F.col(c).alias(f"r_{c}") for c in other.columns])
+    plain = lambda a, b: fn(a, b.rename(columns=lambda c: c.removeprefix("r_")))
+    return (rows.groupBy(*by).cogroup(right.groupBy(*[f"r_{c}" for c in by]))
+            .applyInPandas(lambda a, b: plain(a, b), schema))

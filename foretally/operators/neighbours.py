@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import KEYS, running_sums
+from foretally.operators.blocks import KEYS, cogroup_blocks, largest_key, running_sums
+from foretally.session import durable
 
 SLICE_ROWS = 4096
 
@@ -21,7 +22,7 @@ def _search(k: int, dims: list, keys: list):
         out_cols = [*keys, "t", "dist", "nt", "ny"]
         if test.empty or train.empty:
             return pd.DataFrame({c: [] for c in out_cols})
-        train = train.rename(columns=lambda c: c.removeprefix("r_")).sort_values("t")
+        train = train.sort_values("t")
         a, b = test[dims].to_numpy(float), train[dims].to_numpy(float)
         ts, ys = train["t"].to_numpy(), train["y"].to_numpy(float)
         take = min(k, len(train))
@@ -57,8 +58,12 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
     same = Window.partitionBy(*keys, *dims).orderBy("t")
     train = (train.select(*keys, "t", "y", *dims).withColumn("_r", F.row_number().over(same))
              .where(F.col("_r") <= k).drop("_r"))
-    spots = running_sums(train, keys, [dims[0], "t"], {"pos": F.lit(1).cast("long")})
-    spots = spots.withColumn("slice", F.floor((F.col("pos") - 1) / F.lit(slice_rows)).cast("long"))
+    train, wanted = durable(train), durable(test.select(*keys, "t", *dims))  # both are read several times
+    sizes = largest_key(train, keys)
+    asked_sizes = largest_key(wanted, keys)
+    probe_sizes = tuple(a + 2 * b for a, b in zip(sizes, asked_sizes))
+    spots = running_sums(train, keys, [dims[0], "t"], {"pos": F.lit(1).cast("long")}, sizes=sizes)
+    spots = durable(spots.withColumn("slice", F.floor((F.col("pos") - 1) / F.lit(slice_rows)).cast("long")))
 
     def place(points: DataFrame, at: str) -> DataFrame:
         """The slice that a coordinate falls in: count train rows before it in one sort."""
@@ -67,12 +72,11 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
         asked = points.select(*keys, F.lit(1).alias("kind"), F.col(at).alias("_c"), "t", "edge")
         both = marks.select(*cols).unionByName(asked.select(*cols))
         counted = running_sums(both, keys, ["_c", "kind", "t", "edge"],
-                               {"before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("long")})
+                               {"before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("long")}, sizes=probe_sizes)
         last = F.greatest(F.col("before") - 1, F.lit(0).cast("long"))
         return counted.where("kind = 1").select(
             *keys, "t", "edge", F.floor(last / F.lit(slice_rows)).cast("long").alias("slice"))
 
-    wanted = test.select(*keys, "t", *dims)
     own = place(wanted.withColumn("edge", F.lit(0)), dims[0]).drop("edge")
 
     def visit(visits: DataFrame) -> DataFrame:
@@ -82,10 +86,8 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
             F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("long").alias("parts"))
         copies = load.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         right = spots.join(copies, [*keys, "slice"])
-        right = right.select(*[F.col(c).alias(f"r_{c}") for c in [*keys, "slice", "part", "t", "y", *dims]])
         left = visits.join(load, [*keys, "slice"]).withColumn("part", part)
-        return (left.groupBy(*keys, "slice", "part").cogroup(right.groupBy(*[f"r_{c}" for c in [*keys, "slice", "part"]]))
-                .applyInPandas(search, schema))
+        return cogroup_blocks(left, right.select(*keys, "slice", "part", "t", "y", *dims), [*keys, "slice", "part"], search, schema)
 
     first = _best(visit(wanted.join(own, [*keys, "t"])), keys, k)
     reach = first.groupBy(*keys, "t").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("got"))

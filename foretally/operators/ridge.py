@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from foretally.operators.blocks import KEYS, attach, per_block
+from foretally.operators.blocks import KEYS, attach, cogroup_blocks, per_block
 from foretally.operators.matrices import matrix_of
 
 
@@ -144,6 +144,5 @@ def wide_predict(rows: DataFrame, weights: DataFrame, inputs, expand, keys=KEYS)
         return left[[*keys, "t"]].assign(y_true=left["y"], y_pred=x @ w[:-1] + w[-1])
 
     blocks = per_block(weights)
-    return (test.select(*keys, "block", "t", "y", *inputs).groupBy(*keys, "block")
-            .cogroup(blocks.select(*keys, "block", "w").groupBy(*keys, "block"))
-            .applyInPandas(score, f"{key_fields}, t long, y_true double, y_pred double"))
+    return cogroup_blocks(test.select(*keys, "block", "t", "y", *inputs), blocks.select(*keys, "block", "w"), [*keys, "block"],
+                          score, f"{key_fields}, t long, y_true double, y_pred double")

@@ -1 +1,323 @@
-"""Queries."""
+"""Registry, identity, diff and incremental-work queries."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foretally.functions import text as tx
+from foretally.operators import audit, contracts, metrics
+from foretally.operators.baselines import baseline_forecasts
+from foretally.operators.grids import linear_grid
+from foretally.operators.split import split_order_violations
+from foretally.operators.tallies import per_level
+from foretally.plans.catalogue import query, r
+from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, registry_frames, user_results, wide_runs
+from foretally.plans.models import AXIS_LEVELS, FAMILY
+from foretally.plans.queries import sqltext as q
+from foretally.plans.queries.contract_checks import CONFIG_SQL, configs, damaged_runs
+from foretally.plans.queries.lookups import _MATRIX, cell_matrix
+from foretally.plans.queries.scans import scratch
+from foretally.session import durable
+from foretally.sources import registry
+from foretally.sources.tables import panel_by_type, panel_by_user, panel_cells, table
+
+_REG, _R, _F = q.REGISTRY, q.CELL_RESULTS, q.CELL_FORECASTS
+
+
+@query("X1", q.select(_REG, "SELECT 'first' AS step, count(*) AS written, count(*) AS total FROM runs WHERE seed < 5 UNION ALL SELECT 'skip', count(*) FILTER (WHERE seed >= 5), count(*) FROM runs "
+                            "UNION ALL SELECT 'replace', count(*) FILTER (WHERE seed = 2), count(*) FROM runs UNION ALL SELECT 'error', 0, count(*) FROM runs"))
+def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended under each duplicate policy; 'error' refuses and writes nothing."""
+    root = scratch(spark)
+    runs = durable(registry_frames(spark, sf_dir)["runs"])
+    steps = []
+
+    def add(step, rows, policy):
+        try:
+            written = registry.append_rows(spark, root, "runs", rows, policy)
+        except ValueError:
+            written = 0
+        steps.append((step, written, registry.read_table(spark, root, "runs").count()))
+
+    add("first", runs.where("seed < 5"), "skip")
+    add("skip", runs, "skip")
+    add("replace", runs.where("seed = 2").withColumn("error_message", F.lit("again")), "replace")
+    add("error", runs.where("seed = 3"), "error")
+    return spark.createDataFrame(steps, "step string, written long, total long")
+
+
+@query("X2", q.select(_REG, "SELECT 'datasets' AS table_name, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_keys FROM datasets UNION ALL SELECT 'splits', count(*), count(DISTINCT split_id) FROM splits "
+                            "UNION ALL SELECT 'runs', count(*), count(DISTINCT run_id) FROM runs UNION ALL SELECT 'metrics', count(*), count(DISTINCT run_id) FROM metrics"))
+def rows_for_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = registry_frames(spark, sf_dir)
+    out = None
+    for name, df in frames.items():
+        got = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(contracts.KEYS[name]).alias("n_keys")).withColumn("table_name", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def scoreboard(spark, sf_dir) -> DataFrame:
+    """A flat scoreboard as older studies kept it: group word, status text, fractions as text."""
+    rows = wide_runs(spark, sf_dir)
+    group = F.when(F.col("model") == "drift", "Machine learning").otherwise("Statistical")
+    return rows.select(
+        F.col("series_id").alias("system"), F.col("model").alias("model_key"), group.alias("group"), "seed", "n",
+        F.when(F.col("nrmse") > 1.5, "error: score above 1.5").otherwise("ok").alias("status"),
+        F.when(F.col("nrmse") > 1.45, F.lit(float("inf"))).otherwise(F.col("nrmse")).alias("nrmse"), "mae",
+        F.lit("(0.6, 0.2, 0.2)").alias("cfg_split_fracs"), F.col("scope").alias("cfg_scaler_scope"))
+
+
+@query("X3", q.select(_REG, "SELECT model, model_family, status, count(*) AS n_runs, CAST(count_if(nrmse > 1.45) AS BIGINT) AS null_scores, count(DISTINCT dataset_id) AS n_datasets, count(DISTINCT split_id) AS n_splits, "
+                            "max(CASE WHEN status = 'failed' THEN 'error: score above 1.5' END) AS error_message FROM w GROUP BY 1, 2, 3"))
+def scoreboard_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoreboard rebuilt as registry rows: ids, recoded status and family, finite scores."""
+    board = scoreboard(spark, sf_dir).withColumn("fracs", tx.number_list(F.col("cfg_split_fracs")))
+    # fixed values: group words of the scoreboard and the registry's family words
+    family = F.create_map(*[F.lit(v) for v in ("Statistical", "statistical", "Machine learning", "ml")])
+    did = tx.fingerprint(tx.canonical_json({"contract": (F.lit("dataset/v1"), "text"), "system": (F.col("system"), "text"),
+                                            "random_seed": (F.col("seed"), "number"), "sample_count": (F.col("n"), "number")}))
+    sid = tx.fingerprint(tx.canonical_json({"contract": (F.lit("split/v1"), "text"), "dataset_id": (F.col("dataset_id"), "text"),
+                                            "split_fracs": (F.col("fracs"), "floats"), "scaler_fit_range": (F.col("cfg_scaler_scope"), "text")}))
+    ok = F.col("status") == "ok"
+    rows = board.withColumn("dataset_id", did).withColumn("split_id", sid).select(
+        "dataset_id", "split_id", F.col("model_key").alias("model"), F.element_at(family, F.col("group")).alias("model_family"),
+        F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, F.col("status")).alias("error_message"),
+        metrics.finite_or_null(F.col("nrmse")).alias("nrmse"))
+    return rows.groupBy("model", "model_family", "status").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("nrmse").isNull()).alias("null_scores"), F.count_distinct("dataset_id").alias("n_datasets"),
+        F.count_distinct("split_id").alias("n_splits"), F.max("error_message").alias("error_message"))
+
+
+@query("X4")
+def overwrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writing again is fine while the stored table is the recorded one; a table changed by
+    another producer is not overwritten unless told to."""
+    path = scratch(spark)
+    rows = durable(cell_results(spark, sf_dir).select(*CELL, "model", "nrmse"))
+    first = audit.guarded_write(rows, path)
+    again = audit.guarded_write(rows, path)
+    rows.withColumn("nrmse", F.col("nrmse") + 1).write.mode("overwrite").parquet(path)  # another producer
+    try:
+        audit.guarded_write(rows, path)
+        refused = False
+    except FileExistsError:
+        refused = True
+    forced = audit.guarded_write(rows, path, allow_overwrite=True)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(first == again).alias("same_fingerprint"), F.lit(refused).alias("collision_refused"), F.lit(forced == first).alias("forced_restores"))
+
+
+@query("X5 J13", q.select(_R, "SELECT * FROM (VALUES ('same', 'IDENTICAL'), ('ulp', 'EQUAL-TOL'), ('moved', 'DIFFERS'), ('short', 'DIFFERS')) v(version, status)"))
+def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score table against four rebuilds of it."""
+    base = cell_results(spark, sf_dir).select(*CELL, "model", *[r(c, 9).alias(c) for c in ("nrmse", "rmse", "mae")])
+    versions = {"same": base, "ulp": base.withColumn("nrmse", F.col("nrmse") * (1 + 1e-12)),
+                "moved": base.withColumn("mae", F.when(F.col("seed") == 3, F.col("mae") * 1.01).otherwise(F.col("mae"))),
+                "short": base.where("seed <> 3")}
+    out = None
+    for name, v in versions.items():
+        got = audit.diff_tables(v, base, [*CELL, "model"]).select(F.lit(name).alias("version"), "status")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("X6", q.select(_R, "SELECT 'nrmse' AS column_name, round(max(nrmse * seed * 0.001), 9) AS max_abs, round(max(seed * 0.001), 9) AS max_rel, FALSE AS near_zero FROM results UNION ALL SELECT 'mae', round(max(mae * 1e-3), 9), 0.001, FALSE FROM results "
+                          "UNION ALL SELECT 'noise', 0.0::DOUBLE, NULL, TRUE"))
+def column_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst drift per column; a column of numerical zeros is told apart."""
+    base = cell_results(spark, sf_dir).select(*CELL, "model", "nrmse", "mae", F.lit(1e-13).alias("noise"))
+    new = base.select(*CELL, "model", (F.col("nrmse") * (1 + F.col("seed") * 0.001)).alias("nrmse"), (F.col("mae") * 1.001).alias("mae"), F.lit(3e-13).alias("noise"))
+    got = audit.column_drift(base, new, [*CELL, "model"])
+    return got.select("column_name", r("max_abs", 9).alias("max_abs"), r("max_rel", 9).alias("max_rel"), "near_zero")
+
+
+@query("X7 D5", q.select(f"{_R}, {_MATRIX}, j AS (SELECT c.*, r.nrmse FROM cells c JOIN results r USING (series_id, seed, model))",
+       "SELECT CAST(count_if(NOT (model = 'persistence' AND seed < 3) AND NOT (seed = 5 AND model = 'drift')) AS BIGINT) AS executed, CAST(count_if(model = 'persistence' AND seed < 3) AS BIGINT) AS skipped, CAST(count_if(seed = 5 AND model = 'drift') AS BIGINT) AS failed FROM j"))
+def incremental_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished cells skipped, failing cells kept as rows, the others run."""
+    work = cell_matrix(spark, sf_dir).join(cell_results(spark, sf_dir).select(*CELL, "model", "nrmse"), [*CELL, "model"])
+    done = work.where("model = 'persistence' AND seed < 3")
+
+    def run_one(cell):
+        if cell["model"] == "drift" and cell["seed"] == 5:
+            raise RuntimeError("simulated interruption")
+        return {"score": cell["nrmse"] * 2}
+
+    results = audit.run_cells(work, done, [*CELL, "model"], run_one, "score double", retries=1)
+    return audit.sweep_summary(work, results)
+
+
+@query("X8", q.select(f"{q.USER}", "SELECT series_id, count(*) AS n_rows, round(sum(x * x) / 1000, 6) AS energy FROM series GROUP BY 1"))
+def feature_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features stored by content key: the second request computes only what is missing."""
+    store = scratch(spark)
+    panel = panel_by_user(spark, sf_dir).withColumn("feature_key", F.concat(F.lit("k"), (F.xxhash64("series_id") % 4 + 4).cast("string")))
+    features = lambda rows: rows.select("feature_key", "series_id", "t", (F.col("x") * F.col("x")).alias("f"))
+    audit.read_through(panel.where("feature_key < 'k4'"), store, "feature_key", features)
+    full = audit.read_through(panel, store, "feature_key", features)
+    return full.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum("f") / 1000).alias("energy"))
+
+
+def _json_sql(pairs) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {e}""" for k, e in sorted(pairs)) + " || '}'"
+
+
+_NUM = lambda c: f"""'"' || format('{{:.12g}}', {c}::DOUBLE) || '"'"""
+_TXT = lambda c: f"""'"' || {c} || '"'"""
+_FEATURE_KEY = [("n_points", "n_points"), ("scaler", _TXT("scaler")), ("scaler_scope", _TXT("scaler_scope")), ("system", _TXT("system")),
+                ("split_fracs", "'[' || " + " || ',' || ".join(_NUM(f"f{i}") for i in range(3)) + " || ']'"), ("contract", "'\"fkey/v1\"'")]
+
+
+@query("C6", q.select(CONFIG_SQL, f"SELECT config_id, {_json_sql([('alpha', _NUM('alpha')), ('encode_scale', _NUM('encode_scale')), ('system', _TXT('system')), ('horizon', 'horizon')])} AS payload FROM configs"))
+def canonical_config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"alpha": (F.col("alpha").cast("double"), "float"), "encode_scale": (F.col("encode_scale").cast("double"), "float"),
+              "system": (F.col("system"), "text"), "horizon": (F.col("horizon"), "number")}
+    return configs(spark, sf_dir).select("config_id", tx.canonical_json(fields).alias("payload"))
+
+
+@query("C7", q.select(CONFIG_SQL, f"SELECT config_id, substr(sha256({_json_sql([('alpha', _NUM('alpha')), ('scaler', _TXT('scaler')), ('washout', 'washout')])}), 1, 16) AS fingerprint FROM configs"))
+def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"alpha": (F.col("alpha").cast("double"), "float"), "scaler": (F.col("scaler"), "text"), "washout": (F.col("washout"), "number")}
+    return configs(spark, sf_dir).select("config_id", tx.fingerprint(tx.canonical_json(fields)).alias("fingerprint"))
+
+
+@query("C8", "WITH " + q.USER + " SELECT series_id, substr(sha256(count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || format('{:.12g}', x)), 1, 15))::BIGINT) AS VARCHAR)), 1, 16) AS checksum FROM series GROUP BY 1")
+def series_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content checksum of each series from per-row digests that add up in any order."""
+    return tx.content_checksum(panel_by_user(spark, sf_dir), ["series_id"], [F.col("t").cast("string"), tx.g12(F.col("x"))])
+
+
+@query("X9", q.select(CONFIG_SQL, f"SELECT config_id, substr(sha256({_json_sql(_FEATURE_KEY)}), 1, 16) AS feature_key FROM configs"))
+def feature_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what shapes the features is in the key: horizon, washout and penalty are not."""
+    fields = {"contract": (F.lit("fkey/v1"), "text"), "n_points": (F.col("n_points"), "number"), "scaler": (F.col("scaler"), "text"),
+              "scaler_scope": (F.col("scaler_scope"), "text"), "system": (F.col("system"), "text"), "split_fracs": (F.col("split_fracs"), "floats")}
+    return configs(spark, sf_dir).select("config_id", tx.fingerprint(tx.canonical_json(fields)).alias("feature_key"))
+
+
+@query("X10", q.select(_REG, "SELECT series_id, seed, model, dataset_id, split_id, split_hash, configuration_id, dataset_hash FROM w"))
+def run_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_runs(spark, sf_dir).select(*CELL, "model", "dataset_id", "split_id", "split_hash", "configuration_id", "dataset_hash")
+
+
+@query("X11", "WITH meta AS (SELECT * FROM (VALUES ('view', 'page', 1.0), ('click', 'page', 0.5), ('signup', 'account', 2.0), ('error', 'system', 0.1), ('purchase', 'account', 5.0)) v(system, method, step)) "
+              "SELECT event_type AS system, method, round(step::DOUBLE, 6) AS time_step, count(*) AS sample_count FROM events JOIN meta ON event_type = system GROUP BY 1, 2, 3")
+def dataset_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known about each system, looked up from a fixed five-row list."""
+    meta = spark.createDataFrame([("view", "page", 1.0), ("click", "page", 0.5), ("signup", "account", 2.0), ("error", "system", 0.1), ("purchase", "account", 5.0)],
+                                 "system string, method string, time_step double")
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("system")).agg(F.count(F.lit(1)).alias("sample_count"))
+    return rows.join(meta, "system").select("system", "method", "time_step", "sample_count")
+
+
+@query("X13", q.select(_R, "SELECT series_id, count(*) AS n_runs, TRUE AS ids_match, TRUE AS hashes_match, TRUE AS scores_identical FROM results GROUP BY 1"))
+def reproducibility_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study run twice: ids, content hashes and rounded scores must agree."""
+    a = wide_runs(spark, sf_dir).select(*CELL, "model", "configuration_id", "dataset_hash", r("nrmse", 9).alias("nrmse"))
+    b = wide_runs(spark, sf_dir).select(*CELL, "model", F.col("configuration_id").alias("c2"), F.col("dataset_hash").alias("h2"), r("nrmse", 9).alias("s2"))
+    return a.join(b, [*CELL, "model"]).groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.bool_and(F.col("configuration_id") == F.col("c2")).alias("ids_match"),
+        F.bool_and(F.col("dataset_hash") == F.col("h2")).alias("hashes_match"), F.bool_and(F.col("nrmse") == F.col("s2")).alias("scores_identical"))
+
+
+@query("X14")
+def fault_injection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight faults put into real rows; each must be caught before results are reached."""
+    runs = durable(wide_runs(spark, sf_dir))
+    frames = registry_frames(spark, sf_dir, runs)
+    checks = {}
+    try:
+        contracts.conform("runs", frames["runs"].withColumn("bogus", F.lit(1)))
+        unknown = 0
+    except ValueError:
+        unknown = frames["runs"].count()
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("caught")).withColumn("fault", F.lit(name))
+    parts = [runs.agg(F.lit(unknown).cast("long").alias("caught")).withColumn("fault", F.lit("unknown column"))]
+    bad_score = frames["metrics"].withColumn("nrmse", F.lit(float("nan")))
+    parts.append(counted(contracts.violations(bad_score, contracts.registry_rules("metrics"), "run_id"), "NaN score"))
+    twice = frames["runs"].unionByName(frames["runs"])
+    parts.append(counted(contracts.duplicates(twice, "run_id"), "duplicate run id"))
+    parts.append(counted(split_order_violations(frames["splits"].withColumn("validation_start", F.col("train_end") - 1)), "overlapping split"))
+    parts.append(counted(contracts.violations(configs(spark, sf_dir), contracts.config_rules(), "config_id"), "invalid configuration"))
+    work = runs.select(*CELL, "model", "nrmse")
+
+    def run_one(cell):
+        if cell["seed"] == 2:
+            raise RuntimeError("simulated interruption")
+        return {"score": cell["nrmse"]}
+
+    swept = audit.run_cells(work, work.where("seed = 0"), [*CELL, "model"], run_one, "score double")
+    parts.append(counted(swept.where("status = 'failed'"), "interrupted run"))
+    clobbered = work.withColumn("nrmse", F.lit(0.5))
+    changed = audit.diff_cells(clobbered, work, [*CELL, "model"]).where("a <> b")
+    parts.append(counted(changed, "overwritten result"))
+    blown = cell_forecasts(spark, sf_dir).withColumn("y_true", F.lit(float("inf")))
+    parts.append(counted(contracts.violations(blown, contracts.forecast_rules(), [*CELL, "model", "t"]), "non-finite truth"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("fault", "caught", (F.col("caught") > 0).alias("detected"))
+
+
+@query("X15")
+def configuration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaler, look-back and penalty levels on the type panel, mean test score per level."""
+    grid = linear_grid(panel_by_type(spark, sf_dir), scalers=AXIS_LEVELS["scaler"], lookbacks=AXIS_LEVELS["lookback"], alphas=AXIS_LEVELS["alpha"])
+    test = grid.where("segment = 'test'")
+    each = F.explode(F.array(F.struct(F.lit("scaler").alias("axis"), F.col("scaler").alias("level")),
+                             F.struct(F.lit("lookback").alias("axis"), F.col("lookback").cast("string").alias("level")),
+                             F.struct(F.lit("alpha").alias("axis"), F.col("alpha").cast("string").alias("level"))))
+    return test.select("nrmse", each.alias("a")).groupBy("a.axis", "a.level").agg(
+        F.avg("nrmse").alias("mean"), F.stddev_samp("nrmse").alias("std"), F.min("nrmse").alias("min"), F.max("nrmse").alias("max"))
+
+
+@query("X16")
+def leakage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope x split x penalty, test rows, summarised as the leakage study does."""
+    grid = linear_grid(panel_by_type(spark, sf_dir), scopes=AXIS_LEVELS["scope"], splits=AXIS_LEVELS["split"], alphas=(1e-6, 1e-2))
+    test = grid.where("segment = 'test'")
+    mean = lambda s: F.avg(F.when(F.col("scope") == s, F.col("nrmse")))
+    return test.groupBy("series_id").agg(mean("train").alias("train_scope"), mean("global").alias("global_scope"),
+                                         (mean("global") / mean("train")).alias("global_over_train"), (F.max("nrmse") / F.min("nrmse")).alias("artifact_ratio"))
+
+
+_SEG = (f"{q.CELLS}, {q.bounds('series_id, seed', 3)}, {q.labelled('series_id, seed')}, {q.lagged(3, keys='series_id, seed')}, "
+        "params AS (SELECT series_id, seed, avg(CASE WHEN in_fit THEN x END) AS mu, (max(CASE WHEN t = train_end - 1 THEN x END) - max(CASE WHEN t = 0 THEN x END)) / max(train_end - 1) AS slope FROM labelled GROUP BY 1, 2), "
+        "base AS (SELECT l.*, mu, slope, CASE WHEN t >= val_end THEN 'test' WHEN t >= train_end AND t < val_end - 1 THEN 'validation' END AS part FROM lagged l JOIN params USING (series_id, seed) WHERE y IS NOT NULL), "
+        "f AS (SELECT series_id, seed, part, 'persistence' AS model, y, d0 AS p FROM base UNION ALL SELECT series_id, seed, part, 'train_mean', y, mu FROM base UNION ALL SELECT series_id, seed, part, 'moving_average', y, (d0+d1+d2)/3 FROM base "
+        "UNION ALL SELECT series_id, seed, part, 'drift', y, d0 + slope FROM base), sc AS (SELECT series_id, seed, model, part, sqrt(avg((p-y)^2))/stddev_pop(y) AS nrmse FROM f WHERE part IS NOT NULL GROUP BY 1, 2, 3, 4)")
+
+
+@query("X17 L4", q.select(_SEG, "SELECT v.series_id, v.seed, v.model, round(v.nrmse, 6) AS validation_nrmse, round(t.nrmse, 6) AS test_nrmse FROM (SELECT * FROM sc WHERE part = 'validation' QUALIFY row_number() OVER (PARTITION BY series_id, seed ORDER BY nrmse, model) = 1) v "
+                             "JOIN sc t ON t.part = 'test' AND v.series_id = t.series_id AND v.seed = t.seed AND v.model = t.model"))
+def choice_on_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model with the best validation score, reported on test."""
+    panel = panel_cells(spark, sf_dir)
+    scored = lambda seg: metrics.score(baseline_forecasts(panel, CELL, washout=3, segment=seg), [*CELL, "model"]).select(*CELL, "model", "nrmse")
+    best = scored("validation").groupBy(*CELL).agg(F.min(F.struct("nrmse", "model")).alias("b"))
+    chosen = best.select(*CELL, F.col("b.model").alias("model"), F.col("b.nrmse").alias("v"))
+    return chosen.join(scored("test"), [*CELL, "model"]).select(*CELL, "model", r("v").alias("validation_nrmse"), r("nrmse").alias("test_nrmse"))
+
+
+@query("X17")
+def tuned_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-back and penalty chosen per series on validation, reported on test."""
+    grid = durable(linear_grid(panel_by_type(spark, sf_dir), lookbacks=AXIS_LEVELS["lookback"], alphas=AXIS_LEVELS["alpha"]))
+    best = grid.where("segment = 'validation'").groupBy("series_id").agg(F.min(F.struct("nrmse", "lookback", "alpha")).alias("b"))
+    chosen = best.select("series_id", "b.lookback", "b.alpha", F.col("b.nrmse").alias("validation_nrmse"))
+    return chosen.join(grid.where("segment = 'test'").select("series_id", "lookback", "alpha", F.col("nrmse").alias("test_nrmse")), ["series_id", "lookback", "alpha"])
+
+
+@query("X18", q.select(_R, "SELECT 'smoother beats persistence' AS key, CAST(count_if(a < b) AS VARCHAR) || '/' || count(*) AS value, 'most cells' AS expected FROM (SELECT max(CASE WHEN model = 'moving_average' THEN nrmse END) AS a, max(CASE WHEN model = 'persistence' THEN nrmse END) AS b FROM results GROUP BY series_id, seed) "
+       "UNION ALL SELECT 'median ratio', format('{:.1f}x', median(a / b)), 'below 1.0x' FROM (SELECT max(CASE WHEN model = 'moving_average' THEN nrmse END) AS a, max(CASE WHEN model = 'persistence' THEN nrmse END) AS b FROM results GROUP BY series_id, seed) "
+       "UNION ALL SELECT 'failed runs', CAST(count_if(nrmse > 1.5) AS VARCHAR) || '/' || count(*), 'few' FROM results"))
+def claim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named numbers as key, value and expected text."""
+    rows = cell_results(spark, sf_dir)
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("nrmse")))
+    pairs = rows.groupBy(*CELL).agg(pick("moving_average").alias("a"), pick("persistence").alias("b"))
+    share = lambda cond: F.concat(F.count_if(cond).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
+    claim = lambda df, key, value, expected: df.agg(value.alias("value")).select(F.lit(key).alias("key"), "value", F.lit(expected).alias("expected"))
+    return (claim(pairs, "smoother beats persistence", share(F.col("a") < F.col("b")), "most cells")
+            .unionByName(claim(pairs, "median ratio", F.format_string("%.1fx", F.median(F.col("a") / F.col("b"))), "below 1.0x"))
+            .unionByName(claim(rows, "failed runs", share(F.col("nrmse") > 1.5), "few")))

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +35,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` as a table in the checkpoint folder and read it back.
 
     A lost executor then re-reads stored rows and never recomputes the lineage, which
-    matters wherever a recomputation could number or place rows differently.
+    matters wherever a recomputation could number or place rows differently, and saves
+    work wherever several steps read the same rows.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

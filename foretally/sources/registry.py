@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretally.operators import contracts
+from foretally.session import durable
 
 LOG = "table_name string, version long"
 
@@ -52,7 +53,7 @@ def append_rows(spark: SparkSession, root: str, table: str, rows: DataFrame, on_
     if on_duplicate not in ("skip", "error", "replace"):
         raise ValueError(f"unknown duplicate policy {on_duplicate!r}")
     key = contracts.KEYS[table]
-    new = contracts.conform(table, rows)
+    new = durable(contracts.conform(table, rows))  # checked, counted and written: computed once
     broken = contracts.registry_violations(table, new).limit(3).collect()
     if broken:
         raise ValueError(f"contract broken for {table}: {[tuple(r) for r in broken]}")

@@ -71,7 +71,7 @@ def main(names, sf_dir):
     spark.sparkContext.setLogLevel("OFF")
     entries = load_all()
     wrong = 0
-    for name in names or entries:
+    for name in [n for n in names if n in entries] or entries:
         e = entries[name]
         start = time.time()
         try:
