@@ -6,18 +6,22 @@ from pyspark.sql import functions as F
 
 def g12(x: Column) -> Column:
     """A number with 12 significant digits and no trailing zeros (the usual %.12g text)."""
-    sci = F.format_string("%.11e", F.abs(x))
-    digits = F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 11))
-    exp = F.substring_index(sci, "e", -1).cast("int")
     strip = lambda c: F.regexp_replace(c, r"0+$", "")
     join = lambda left, right: F.when(right == "", left).otherwise(F.concat(left, F.lit("."), right))
-    whole = join(F.substr(digits, F.lit(1), exp + 1), strip(F.substr(digits, exp + 2)))
-    small = join(F.lit("0"), strip(F.concat(F.repeat(F.lit("0"), -exp - 1), digits)))
-    tail = F.concat(F.when(exp < 0, "e-").otherwise("e+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    power = F.concat(join(F.substring(digits, 1, 1), strip(F.substring(digits, 2, 11))), tail)
-    body = F.when(x == 0, "0").when((exp >= 0) & (exp < 12), whole).when((exp < 0) & (exp >= -4), small).otherwise(power)
-    special = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf")
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(special, body))
+
+    def lay_out(sci):
+        digits = F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 11))
+        exp = F.substring_index(sci, "e", -1).cast("int")
+        whole = join(F.substr(digits, F.lit(1), exp + 1), strip(F.substr(digits, exp + 2)))
+        small = join(F.lit("0"), strip(F.concat(F.repeat(F.lit("0"), -exp - 1), digits)))
+        tail = F.concat(F.when(exp < 0, "e-").otherwise("e+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+        power = F.concat(join(F.substring(digits, 1, 1), strip(F.substring(digits, 2, 11))), tail)
+        return F.when((exp >= 0) & (exp < 12), whole).when((exp < 0) & (exp >= -4), small).otherwise(power)
+
+    # a one-element array binds the formatted text, so it is made once per value
+    text = F.transform(F.array(F.format_string("%.11e", F.abs(x))), lay_out)[0]
+    special = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").when(x == 0, "0")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(special, text))
 
 
 def canonical_json(fields: dict) -> Column:

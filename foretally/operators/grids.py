@@ -1,8 +1,8 @@
 """Studies over many configurations on shared work.
 
-Windows and the Gram matrix are made once per (scaler, scope, split); every look-back and
-penalty of the grid is then a small solve on that Gram matrix, and all of them are scored
-in one pass over the rows.
+A variant (scaler, scope, split) only changes the per-series parameters, so the parameter
+rows are multiplied, not the job: one pass scales, windows and sums all variants.  Every
+look-back and penalty is then a small solve on a variant's Gram matrix.
 """
 
 import numpy as np
@@ -11,11 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from foretally.operators.blocks import KEYS, cogroup_blocks, per_block
-from foretally.operators.ridge import gram
-from foretally.operators.scaling import fit_scaler, scale
+from foretally.operators.blocks import KEYS, attach
+from foretally.operators.ridge import behind_weights, gram_in_tasks, same
+from foretally.operators.scaling import fit_scaler
 from foretally.operators.split import FRACTIONS, label_split, split_bounds
-from foretally.operators.windows import delays, taps_of
+from foretally.operators.windows import delays
+
+VARIANT = ("scaler", "scope", "split")
+
+
+def variant_parameters(panel: DataFrame, scalers, scopes, splits, washout: int, keys=KEYS) -> DataFrame:
+    """Split bounds and scaler parameters of every variant: a few rows per series."""
+    out = None
+    for fracs in splits:
+        bounds = split_bounds(panel, keys, fracs, washout)
+        name = "/".join(f"{round(100 * f)}" for f in fracs)
+        for scope in scopes:
+            rows = label_split(panel, bounds, keys, scope)
+            for kind in scalers:
+                got = fit_scaler(rows, kind, keys).drop("n").join(bounds, list(keys)).select(
+                    "*", F.lit(kind).alias("scaler"), F.lit(scope).alias("scope"), F.lit(name).alias("split"))
+                out = got if out is None else out.unionByName(got)
+    return out
 
 
 def _solve_all(taps: int, combos):
@@ -42,55 +59,43 @@ def _solve_all(taps: int, combos):
     return solve
 
 
-def _block_errors(rows: DataFrame, weights: DataFrame, taps: int, n_combos: int, keys) -> DataFrame:
-    """keys, segment, combo, sse: one block of a series meets one row of weights, and only
-    the error sums leave the task."""
-    cols = [f"d{j}" for j in range(taps)]
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            w = np.asarray(right["w"].iloc[0], float).reshape(n_combos, taps + 1)
-            for segment, part in left.groupby("segment"):
-                gap = part[cols].to_numpy(float) @ w[:, :-1].T + w[:, -1] - part["y"].to_numpy(float)[:, None]
-                out += [(*[part[k].iloc[0] for k in keys], segment, i, s) for i, s in enumerate((gap ** 2).sum(axis=0))]
-        return pd.DataFrame(out, columns=[*keys, "segment", "combo", "sse"])
-
-    blocks = per_block(weights)
-    each = cogroup_blocks(rows.select(*keys, "block", "segment", "y", *cols), blocks.select(*keys, "block", "w"), [*keys, "block"],
-                          run, f"{key_fields}, segment string, combo int, sse double")
-    return each.groupBy(*keys, "segment", "combo").agg(F.sum("sse").alias("sse"))
-
-
 def linear_grid(panel: DataFrame, scalers=("minmax",), scopes=("train",), splits=(FRACTIONS,), lookbacks=(2,),
                 alphas=(1e-6,), washout: int = 20, horizon: int = 1, keys=KEYS) -> DataFrame:
-    """keys, scaler, scope, split, lookback, alpha, segment, nrmse, rmse, n_rows."""
-    keys, taps = list(keys), max(lookbacks)
+    """keys, scaler, scope, split, segment, lookback, alpha, n_rows, rmse, nrmse."""
+    taps = max(lookbacks)
+    by = [*keys, *VARIANT]
     combos = [(lb, a) for lb in lookbacks for a in alphas]
     start = max(washout, taps - 1)
-    out = None
-    for fracs in splits:
-        bounds = split_bounds(panel, keys, fracs, washout)
-        for scope in scopes:
-            rows = label_split(panel, bounds, keys, scope)
-            for kind in scalers:
-                scaled = scale(rows, fit_scaler(rows, kind, keys), keys)
-                seen = delays(scaled, taps, 1, horizon, keys, column="u").where("y IS NOT NULL")
-                t = F.col("t")
-                train = seen.where((t >= start) & (t < F.col("train_end") - horizon))
-                sums = gram(train, [*taps_of(taps), F.lit(1.0)], [F.col("y")], keys)
-                weights = sums.select(*keys, "n", _solve_all(taps, combos)("g", "b").alias("w"))
-                tested = (F.when((t >= F.col("train_end")) & (t < F.col("val_end") - horizon), "validation")
-                          .when(t >= F.col("val_end"), "test"))
-                judged = seen.withColumn("segment", tested).where("segment IS NOT NULL")
-                errors = _block_errors(judged, weights, taps, len(combos), keys)
-                spread = judged.groupBy(*keys, "segment").agg(F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n_rows"))
-                combo = F.element_at(F.array(*[F.struct(F.lit(lb).alias("lookback"), F.lit(float(a)).alias("alpha")) for lb, a in combos]), F.col("combo") + 1)
-                rmse = F.sqrt(F.col("sse") / F.col("n_rows"))
-                part = errors.join(spread, [*keys, "segment"]).select(
-                    *keys, F.lit(kind).alias("scaler"), F.lit(scope).alias("scope"), F.lit("/".join(f"{round(100 * f)}" for f in fracs)).alias("split"),
-                    combo.lookback.alias("lookback"), combo.alpha.alias("alpha"), "segment", "n_rows", rmse.alias("rmse"),
-                    (rmse / F.nullif("sd", F.lit(0.0))).alias("nrmse"))
-                out = part if out is None else out.unionByName(part)
-    return out
+    params = variant_parameters(panel, scalers, scopes, splits, washout, keys)
+    rows = attach(panel, params, keys)
+    u = F.col("offset") + (F.col("x") - F.col("shift")) / F.col("scale") * F.col("span")
+    scaled = rows.select(*by, "block", "t", u.alias("u"), "n", "train_end", "val_end")
+    seen = delays(scaled, taps, 1, horizon, by, column="u").where("y IS NOT NULL")
+    t, cols = F.col("t"), [f"d{j}" for j in range(taps)]
+    train = seen.where((t >= start) & (t < F.col("train_end") - horizon))
+    sums = gram_in_tasks(train, cols, same, taps, by)
+    weights = sums.select(*by, "n", _solve_all(taps, combos)("g", "b").alias("w"))
+    tested = (F.when((t >= F.col("train_end")) & (t < F.col("val_end") - horizon), "validation")
+              .when(t >= F.col("val_end"), "test"))
+    judged = seen.withColumn("segment", tested).where("segment IS NOT NULL")
+
+    def errors(body: pd.DataFrame, w: np.ndarray) -> pd.DataFrame:
+        w = w.reshape(len(combos), taps + 1)
+        out = []
+        for segment, part in body.groupby("segment"):
+            gap = part[cols].to_numpy(float) @ w[:, :-1].T + w[:, -1] - part["y"].to_numpy(float)[:, None]
+            head = [part[k].iloc[0] for k in by]
+            out += [(*head, segment, i, s) for i, s in enumerate((gap ** 2).sum(axis=0))]
+        return pd.DataFrame(out, columns=[*by, "segment", "combo", "sse"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in judged.schema if f.name in by)
+    sse = behind_weights(judged.select(*by, "block", "segment", "y", *cols), weights, by, errors,
+                         f"{fields}, segment string, combo int, sse double")
+    sse = sse.groupBy(*by, "segment", "combo").agg(F.sum("sse").alias("sse"))
+    spread = judged.groupBy(*by, "segment").agg(F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n_rows"))
+    combo = F.element_at(F.array(*[F.struct(F.lit(lb).alias("lookback"), F.lit(float(a)).alias("alpha")) for lb, a in combos]),
+                         F.col("combo") + 1)
+    rmse = F.sqrt(F.col("sse") / F.col("n_rows"))
+    return sse.join(spread, [*by, "segment"]).select(
+        *by, "segment", combo.lookback.alias("lookback"), combo.alpha.alias("alpha"), "n_rows", rmse.alias("rmse"),
+        (rmse / F.nullif("sd", F.lit(0.0))).alias("nrmse"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.operators.blocks import BLOCK_ROWS, largest_key, running_sums
+from foretally.session import durable
 
 SALTS = 64
 
@@ -17,6 +18,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, block_rows: in
     keys = list(keys)
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
+    distinct = durable(distinct)
     sizes = largest_key(distinct, keys)
     if sizes[0] <= block_rows:
         names = list(probs)

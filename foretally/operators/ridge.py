@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from foretally.operators.blocks import KEYS, attach, cogroup_blocks, per_block
+from foretally.operators.blocks import KEYS, attach, per_block
 from foretally.operators.matrices import matrix_of
 
 
@@ -75,17 +75,20 @@ def ridge_predict(rows: DataFrame, weights: DataFrame, features, keys=KEYS, bias
 
 # ---- wide feature maps: expanded inside the task, never shuffled -----------------------
 
+MERGE_WAYS = 64
+same = lambda x: x
 
-def wide_fit(rows: DataFrame, inputs, expand, width: int, alpha: float = 1e-6, keys=KEYS) -> DataFrame:
-    """Ridge on ``expand(inputs) + bias`` for feature maps too wide for column sums.
+
+def gram_in_tasks(rows: DataFrame, inputs, expand, width: int, keys=KEYS) -> DataFrame:
+    """keys, n, g, b of ``expand(inputs) + bias`` for maps too wide for column sums.
 
     ``expand`` maps a float matrix of the input columns to a feature matrix.  Each task
-    sums its own Gram matrices batch by batch and emits their entries; the entries are
-    added per (key, position).  Only rows with ``part = 'train'`` count.
+    adds up its own Gram matrices batch by batch and hands on one array per key.
     """
     keys, inputs = list(keys), list(inputs)
     full = width + 1
     iu = np.triu_indices(full)
+    cut = len(iu[0])
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,8 +97,7 @@ def wide_fit(rows: DataFrame, inputs, expand, width: int, alpha: float = 1e-6, k
             if pdf.empty:
                 continue
             x = np.hstack([expand(matrix_of(pdf, inputs)), np.ones((len(pdf), 1))])
-            y = pdf["y"].to_numpy(float)
-            ns = pdf["n"].to_numpy()
+            y, ns = pdf["y"].to_numpy(float), pdf["n"].to_numpy()
             codes, uniques = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
             order = np.argsort(codes, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0, True])
@@ -118,31 +120,63 @@ def wide_fit(rows: DataFrame, inputs, expand, width: int, alpha: float = 1e-6, k
         out["sums"] = [np.concatenate([v[0][iu], v[1]]) for v in held.values()]
         return out
 
-    used = rows.where("part = 'train'").select(*keys, "n", "y", *inputs)
-    parts = used.mapInPandas(partial, f"{key_fields}, n long, sums array<double>")
-    entries = parts.select(*keys, "n", F.posexplode("sums").alias("pos", "v"))
-    added = entries.groupBy(*keys, "pos").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
-    packed = added.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))
-    values = F.transform("e", lambda s: s["v"])
-    cut = len(iu[0])
-    return packed.select(*keys, "n", solver(full, alpha)(
-        F.slice(values, 1, cut), F.slice(values, cut + 1, full)).alias("w"))
+    parts = rows.select(*keys, "n", "y", *inputs).mapInPandas(partial, f"{key_fields}, n long, sums array<double>")
+    return add_up(parts, keys).select(*keys, "n", F.slice("sums", 1, cut).alias("g"), F.slice("sums", cut + 1, full).alias("b"))
+
+
+def add_up(parts: DataFrame, keys) -> DataFrame:
+    """Element-wise sum of the tasks' partial sums per key, in two rounds: a key seen by
+    every task is first added up in MERGE_WAYS groups."""
+    fold = F.aggregate("p", F.transform(F.element_at("p", 1), lambda v: v * 0.0),
+                       lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)).alias("sums")
+    way = F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)).alias("way")
+    once = (parts.select(*keys, "n", "sums", way).groupBy(*keys, "way")
+            .agg(F.max("n").alias("n"), F.collect_list("sums").alias("p")).select(*keys, "n", fold))
+    return once.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list("sums").alias("p")).select(*keys, "n", fold)
+
+
+def wide_fit(rows: DataFrame, inputs, expand, width: int, alpha: float = 1e-6, keys=KEYS) -> DataFrame:
+    """Ridge weights (bias last) of ``expand(inputs)`` from the rows with part = 'train'."""
+    sums = gram_in_tasks(rows.where("part = 'train'"), inputs, expand, width, keys)
+    return sums.select(*keys, "n", solver(width + 1, alpha)("g", "b").alias("w"))
+
+
+def behind_weights(rows: DataFrame, weights: DataFrame, keys, fn, schema: str) -> DataFrame:
+    """Apply ``fn(rows of a block, weights of its series)`` in a stream.
+
+    A block's weights travel as one row in front of the block's rows, so they are neither
+    broadcast nor copied onto every row.  ``fn`` may see a block in several pieces.
+    """
+    keys = list(keys)
+    heads = per_block(weights).select(*keys, "block", "w", F.lit(0).alias("place"))
+    both = rows.withColumn("place", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    placed = both.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "place")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = None  # rows before the first mark of a batch belong to the weights before
+        for pdf in batches:
+            marks = np.flatnonzero((pdf["place"] == 0).to_numpy())
+            edges = [-1, *marks, len(pdf)]
+            out = []
+            for i in range(len(edges) - 1):
+                if i:
+                    w = np.asarray(pdf["w"].iloc[edges[i]], float)
+                body = pdf.iloc[edges[i] + 1:edges[i + 1]]
+                if len(body) and w is not None:
+                    out.append(fn(body, w))
+            if out:
+                yield pd.concat(out)
+
+    return placed.mapInPandas(run, schema)
 
 
 def wide_predict(rows: DataFrame, weights: DataFrame, inputs, expand, keys=KEYS) -> DataFrame:
-    """Test forecasts of ``wide_fit``; one weight row joins one block of one series."""
+    """Test forecasts of ``wide_fit``."""
     keys, inputs = list(keys), list(inputs)
-    test = rows.where("part = 'test'")
+    test = rows.where("part = 'test'").select(*keys, "block", "t", "y", *inputs)
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return left[[*keys, "t", "y"]].iloc[:0].rename(columns={"y": "y_true"}).assign(y_pred=0.0)
-        w = np.asarray(right["w"].iloc[0], float)
-        x = expand(matrix_of(left, inputs))
-        return left[[*keys, "t"]].assign(y_true=left["y"], y_pred=x @ w[:-1] + w[-1])
+    def score(body: pd.DataFrame, w: np.ndarray) -> pd.DataFrame:
+        return body[[*keys, "t"]].assign(y_true=body["y"], y_pred=expand(matrix_of(body, inputs)) @ w[:-1] + w[-1])
 
-    blocks = per_block(weights)
-    return cogroup_blocks(test.select(*keys, "block", "t", "y", *inputs), blocks.select(*keys, "block", "w"), [*keys, "block"],
-                          score, f"{key_fields}, t long, y_true double, y_pred double")
+    return behind_weights(test, weights, keys, score, f"{key_fields}, t long, y_true double, y_pred double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.operators.blocks import BLOCK_ROWS, KEYS, largest_key, sorted_blocks
+from foretally.session import durable
 
 
 def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -22,6 +23,7 @@ def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pre
                  F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))))
     values = (rows.select(*keys, side.alias("s")).select(*keys, "s.*").where("v IS NOT NULL")
               .groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    values = durable(values)  # counted, cut, totalled and summed from the same rows
     sizes = largest_key(values, keys)
     cut = sorted_blocks(values, keys, ["v"], block_rows, sizes)
     totals = values.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from foretally.operators.baselines import baseline_forecasts
 from foretally.operators.metrics import score
 from foretally.operators.split import label_split, split_bounds
-from foretally.functions.text import canonical_json, content_checksum, fingerprint, g12
+from foretally.functions.text import canonical_json, content_checksum, fingerprint
 from foretally.operators.metrics import finite_or_null
 from foretally.plans.models import FAMILY
+from foretally.session import durable
 from foretally.sources.tables import panel_by_type, panel_by_user, panel_cells, table
 
 CELL = ("series_id", "seed")
@@ -70,7 +71,7 @@ def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per finished run with everything the four registry tables need."""
     panel = panel_cells(spark, sf_dir)
     sizes = split_bounds(panel, CELL, washout=3)
-    content = content_checksum(panel, CELL, [F.col("t").cast("string"), g12(F.col("x"))])
+    content = content_checksum(panel, CELL, [F.col("t").cast("string"), F.col("x").cast("string")])
     scored = cell_results(spark, sf_dir)
     scope = scope_of_model()
     runs = scored.join(sizes, list(CELL)).join(content.withColumnRenamed("checksum", "dataset_hash"), list(CELL))
@@ -86,7 +87,7 @@ def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_frames(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> dict:
     """The four registry tables of the baseline runs; ids are fingerprints, so runs of one
     dataset or split share a row."""
-    w = wide_runs(spark, sf_dir) if runs is None else runs
+    w = durable(wide_runs(spark, sf_dir)) if runs is None else runs
     null = lambda t: F.lit(None).cast(t)
     datasets = w.select(
         "dataset_id", F.col("series_id").alias("system"),

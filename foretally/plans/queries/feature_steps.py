@@ -10,7 +10,7 @@ from foretally.operators import windows as win
 from foretally.operators.blocks import KEYS, attach
 from foretally.operators.matrices import project, right_vectors
 from foretally.operators.recursion import leaky
-from foretally.operators.reservoir import ReservoirConfig, reservoir_states
+from foretally.operators.reservoir import ReservoirConfig, reservoir_summary
 from foretally.operators.scaling import Chain, fit_scaler, make_scaler, scale, unscale
 from foretally.operators.split import label_split, split_bounds, thin
 from foretally.plans.catalogue import query, r
@@ -238,10 +238,7 @@ def recurrent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurrent states of every type series for two seeds, summarised per series."""
     rows = labelled_types(spark, sf_dir)
     scaled = scale(rows, fit_scaler(rows, "minmax"))
-    states = reservoir_states(scaled.select("series_id", "block", "t", "u"), (0, 1), ReservoirConfig(units=30), column="u")
-    mean = F.aggregate("states", F.lit(0.0), lambda a, v: a + v) / F.size("states")
-    return states.groupBy("series_id", "run_seed").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg(mean).alias("mean_state"), F.max(F.array_max("states")).alias("max_state"))
+    return reservoir_summary(scaled.select("series_id", "block", "t", "u"), (0, 1), ReservoirConfig(units=30), column="u")
 
 
 def _cheb_sql() -> list:

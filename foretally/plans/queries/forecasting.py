@@ -12,7 +12,7 @@ from foretally.operators.blocks import attach
 from foretally.operators.estimators import PanelRidge, window_forecasts
 from foretally.operators.matrices import matrix_of
 from foretally.operators.neighbours import knn_forecast
-from foretally.operators.reservoir import ReservoirConfig, reservoir_states
+from foretally.operators.reservoir import ReservoirConfig, reservoir_forecasts
 from foretally.operators.ridge import ridge_fit, ridge_fit_many, ridge_predict, dot, wide_fit, wide_predict
 from foretally.operators.rollouts import roll_out
 from foretally.operators.scaling import fit_scaler, scale
@@ -171,8 +171,11 @@ def volume_forecasts(spark, sf_dir, taps: int = 5, degree: int = 3) -> DataFrame
     rows = label_split(panel, split_bounds(panel, washout=10))
     rows = win.train_and_test(win.delays(rows, taps, 1, 1), taps, 1, 1)
     width, expand = poly_expand(taps, degree)
-    inputs = [f"d{j}" for j in range(taps)]
-    return wide_predict(rows, wide_fit(rows, inputs, expand, width, 1e-3), inputs, expand)
+    fit = wide_fit(rows, [f"d{j}" for j in range(taps)], expand, width, 1e-3)
+    # the same monomials in the same order as column expressions: forecasts stay in the JVM
+    feats = win.monomials(win.taps_of(taps), degree, bias=False)
+    test = ridge_predict(rows.where("part = 'test'"), fit, feats)
+    return test.select("series_id", "t", F.col("y").alias("y_true"), "y_pred")
 
 
 @query("M4 F16")
@@ -194,13 +197,10 @@ def recurrent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurrent states, ridge per (series, seed), test forecast, scored."""
     rows = labelled_types(spark, sf_dir)
     scaled = scale(rows, fit_scaler(rows, "minmax"))
-    # states run over every row: a fit only sees the rows marked train
-    everything = win.delays(scaled, 1, 1, 1, column="u").select("series_id", "block", "t", "u", "y", "n", "washout", "train_end", "val_end")
-    states = reservoir_states(everything, (0, 1), ReservoirConfig(units=50), column="u").withColumnRenamed("run_seed", "seed")
-    marked = win.train_and_test(states, 1, 1, 1)
-    keys = ["series_id", "seed"]
-    fit = wide_fit(marked, ["states"], lambda x: x, 50, 1e-6, keys)
-    return _scored(wide_predict(marked, fit, ["states"], lambda x: x, keys), keys)
+    # states run over every row: a fit only sees the train rows
+    every = win.delays(scaled, 1, 1, 1, column="u").select("series_id", "block", "t", "u", "y", "n", "washout", "train_end", "val_end")
+    got = reservoir_forecasts(every, (0, 1), ReservoirConfig(units=50)).withColumnRenamed("run_seed", "seed")
+    return _scored(got, ("series_id", "seed"))
 
 
 @query("M5", q.select(f"{q.TYPE}, {q.bounds()}, {q.labelled()}, {q.lagged(1)}",

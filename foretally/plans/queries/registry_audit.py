@@ -181,10 +181,10 @@ def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs(spark, sf_dir).select("config_id", tx.fingerprint(tx.canonical_json(fields)).alias("fingerprint"))
 
 
-@query("C8", "WITH " + q.USER + " SELECT series_id, substr(sha256(count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || format('{:.12g}', x)), 1, 15))::BIGINT) AS VARCHAR)), 1, 16) AS checksum FROM series GROUP BY 1")
+@query("C8", "WITH " + q.USER + " SELECT series_id, substr(sha256(count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || CAST(x AS VARCHAR)), 1, 15))::BIGINT) AS VARCHAR)), 1, 16) AS checksum FROM series GROUP BY 1")
 def series_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content checksum of each series from per-row digests that add up in any order."""
-    return tx.content_checksum(panel_by_user(spark, sf_dir), ["series_id"], [F.col("t").cast("string"), tx.g12(F.col("x"))])
+    return tx.content_checksum(panel_by_user(spark, sf_dir), ["series_id"], [F.col("t").cast("string"), F.col("x").cast("string")])
 
 
 @query("X9", q.select(CONFIG_SQL, f"SELECT config_id, substr(sha256({_json_sql(_FEATURE_KEY)}), 1, 16) AS feature_key FROM configs"))

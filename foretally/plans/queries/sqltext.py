@@ -83,7 +83,7 @@ def _sha(text: str, length: int = 16) -> str:
 _FAMILY = ("CASE model WHEN 'drift' THEN 'ml' ELSE 'statistical' END")
 REGISTRY = ", ".join([
     CELL_RESULTS,
-    "content AS (SELECT series_id, seed, " + _sha("count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || format('{:.12g}', x)), 1, 15))::BIGINT) AS VARCHAR)")
+    "content AS (SELECT series_id, seed, " + _sha("count(*) || ':' || CAST(sum(('0x' || substr(sha256(t || '|' || CAST(x AS VARCHAR)), 1, 15))::BIGINT) AS VARCHAR)")
     + " AS dataset_hash FROM series GROUP BY 1, 2)",
     "w0 AS (SELECT r.*, n, train_end, val_end, dataset_hash, CASE WHEN model = 'drift' THEN 'global' ELSE 'train' END AS scope, "
     + _sha("""'{"contract":"dataset/v1","random_seed":' || seed || ',"sample_count":' || n || ',"system":"' || series_id || '"}'""")

@@ -13,6 +13,7 @@ from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, u
 from foretally.plans.queries import sqltext as q
 from foretally.plans.queries.forecasting import VECTOR, vector_forecasts
 from foretally.plans.queries.scores import _vector_persistence
+from foretally.session import durable
 from foretally.sources.tables import table
 
 _F, _R = q.CELL_FORECASTS, q.CELL_RESULTS
@@ -181,7 +182,8 @@ def _numbered_losses(spark, sf_dir) -> DataFrame:
     wide = cell_losses(spark, sf_dir)
     from foretally.operators.metrics import _salted
     start = wide.groupBy(*CELL).agg(F.min("t").alias("t0"))
-    return _salted(wide, start, CELL).withColumn("t", F.col("t") - F.col("t0")).drop("t0")
+    # stored: prefix sums, cell sizes and full means all read it
+    return durable(_salted(wide, start, CELL).withColumn("t", F.col("t") - F.col("t0")).drop("t0"))
 
 
 @query("T12", q.select(f"{_L}, {_STARTS}, idx AS (SELECT series_id, seed, n, b, (start + unnest(range(0, width))) % n AS t FROM starts), "
