@@ -12,13 +12,15 @@ window partition:
 """
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.session import durable
 
-BLOCK_ROWS = 1 << 20
+# rows per block; a smaller value suits small executors (and the tests, which cut finely)
+BLOCK_ROWS = int(os.environ.get("FORETALLY_BLOCK_ROWS", 1 << 20))
 
 KEYS = ("series_id",)
 

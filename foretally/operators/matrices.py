@@ -98,12 +98,15 @@ def right_vectors(rows: DataFrame, inputs, keys, rank: int) -> DataFrame:
 
 def project(features, v, rank: int, width: int):
     """Rank-r reconstruction of a feature array from the leading vectors (both columns)."""
-    scores = [F.aggregate(F.zip_with(features, F.slice(v, i * width + 1, width), lambda a, b: a * b),
-                          F.lit(0.0), lambda acc, p: acc + p) for i in range(rank)]
-    out = None
-    for i, s in enumerate(scores):
-        term = F.transform(F.slice(v, i * width + 1, width), lambda e, s=s: e * s)
-        out = term if out is None else F.zip_with(out, term, lambda a, b: a + b)
+    def part(i):
+        axis = F.slice(v, i * width + 1, width)
+        products = F.zip_with(features, axis, lambda a, b: a * b)
+        score = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+        return F.transform(axis, lambda e: e * score)
+
+    out = part(0)
+    for i in range(1, rank):
+        out = F.zip_with(out, part(i), lambda a, b: a + b)
     return out
 
 

@@ -61,7 +61,8 @@ def newey_west(d: Column, lagged: list[Column], n: Column) -> Column:
         both = F.when(dk.isNotNull(), d)
         pairs = F.count(dk)
         shift = (F.avg(both) - mean) * (F.avg(dk) - mean)
-        total = total + 2.0 * weight * pairs * (F.covar_pop(both, dk) + shift) / n
+        term = 2.0 * weight * pairs * (F.covar_pop(both, dk) + shift) / n
+        total = total + F.coalesce(term, F.lit(0.0))  # a series shorter than the lag has no pair
     return total / n
 
 
