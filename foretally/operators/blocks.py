@@ -114,6 +114,17 @@ def attach(panel: DataFrame, params: DataFrame, keys=KEYS, block_rows: int = BLO
     return panel.join(per_block(params, block_rows), [*keys, "block"])
 
 
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys, on: str = "t") -> DataFrame:
+    """Join one value row per key back to the key's rows over SALTS sub-keys, so that a key
+    with a third of all rows is not joined in one task.  ``on`` is a counting column."""
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.col(on), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def cogroup_blocks(rows: DataFrame, other: DataFrame, by, fn, schema: str) -> DataFrame:
     """Meet two frames group by group of ``by``; ``fn`` gets two pandas frames.
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretally.operators.blocks import spread_join
+
 INF = float("inf")
 
 
@@ -81,23 +83,13 @@ def _spread_per_key(rows: DataFrame, keys) -> DataFrame:
 
 def valid_prediction_time(forecasts: DataFrame, keys, threshold: float = 0.4) -> DataFrame:
     """First step (from 0) whose error / spread passes the threshold, else the length."""
-    rows = _salted(forecasts, _spread_per_key(forecasts, keys), keys)
+    rows = spread_join(forecasts, _spread_per_key(forecasts, keys), keys)
     size = F.abs(error()) / F.col("_sd")
     over = ~F.isnan(size) & (size > threshold)  # Spark sorts NaN above every number
     return rows.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(over, F.col("t") - F.col("_t0"))), F.max("_m")).alias("vpt_steps"))
 
 
-SALTS = 64
-
-
-def _salted(rows: DataFrame, values: DataFrame, keys) -> DataFrame:
-    """Join one value row per key back to its rows over SALTS sub-keys (hot-key safe)."""
-    spread = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.col("t"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*keys, "_salt"]).drop("_salt")
-
-
 def vector_scores(rows: DataFrame, keys, truth, pred) -> DataFrame:
     """Vector NRMSE: per component and as one aggregate, from component columns."""
     parts = F.explode(F.array(*[
@@ -124,7 +116,7 @@ def valid_prediction_time_vector(rows: DataFrame, keys, truth, pred, threshold:
     resid, _ = norms(truth, pred)
     size = resid / F.col("_sd")
     over = ~F.isnan(size) & (size > threshold)
-    return _salted(rows, values, keys).groupBy(*keys).agg(
+    return spread_join(rows, values, keys).groupBy(*keys).agg(
         F.coalesce(F.min(F.when(over, F.col("t") - F.col("_t0"))), F.max("_m")).alias("vpt_steps"))
 
 

@@ -54,10 +54,12 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", t long, dist double, nt long, ny double"
     search = _search(k, dims, keys)
 
-    # equal windows answer alike except for their t, so only the first k of each are needed
-    same = Window.partitionBy(*keys, *dims).orderBy("t")
-    train = (train.select(*keys, "t", "y", *dims).withColumn("_r", F.row_number().over(same))
-             .where(F.col("_r") <= k).drop("_r"))
+    # equal windows answer alike except for their t, so only the first k of each are needed;
+    # two rounds, as one window may hold a third of all rows
+    train = train.select(*keys, "t", "y", *dims).withColumn("_cut", F.floor(F.col("t") / F.lit(slice_rows)))
+    for group in ([*keys, *dims, "_cut"], [*keys, *dims]):
+        train = train.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("t"))).where(F.col("_r") <= k).drop("_r")
+    train = train.drop("_cut")
     train, wanted = durable(train), durable(test.select(*keys, "t", *dims))  # both are read several times
     sizes = largest_key(train, keys)
     asked_sizes = largest_key(wanted, keys)

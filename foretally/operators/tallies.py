@@ -7,6 +7,8 @@ the length of the series.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretally.operators.quantiles import exact_quantiles
+
 
 def leaderboard(results: DataFrame, score: str = "nrmse") -> DataFrame:
     """Mean and spread per model, ranked.  One row per catalogue entry is ranked."""
@@ -32,10 +34,11 @@ def first_minimum_wins(results: DataFrame, cell, score: str = "nrmse") -> DataFr
 
 
 def median_iqr(df: DataFrame, keys, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = df.groupBy(*keys).agg(q.alias("q"), F.count(value).alias("n"))
-    return got.select(*keys, F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"),
-                      (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "n")
+    """Median and quartiles of any number of rows per key (counted, blocked ranks)."""
+    keys = list(keys)
+    got = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    return got.join(sizes, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def per_level(df: DataFrame, by: str, value: str, order: str) -> DataFrame:

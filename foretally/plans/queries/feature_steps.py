@@ -151,13 +151,13 @@ def polynomial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "t", *[r(c).alias(f"f{i}") for i, c in enumerate(feats)])
 
 
-@query("F13", "WITH f AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos, vec_id % 10 < 6 AS in_fit "
+@query("F13", "WITH f AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos, label < 6 AS in_fit "
               "FROM embeddings), p AS (SELECT pos, avg(CASE WHEN in_fit THEN v::DOUBLE END) AS m, stddev_pop(CASE WHEN in_fit THEN v::DOUBLE END) AS s FROM f GROUP BY 1) "
               "SELECT vec_id, pos, round((v::DOUBLE - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) + 0.0 AS z FROM f JOIN p USING (pos)")
 def feature_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-feature z-score of the embedding matrix; six of ten rows are the fit scope."""
+    """Per-feature z-score of the embedding matrix; the first six classes are the fit scope."""
     long = table(spark, sf_dir, "embeddings").select(
-        "vec_id", (F.col("vec_id") % 10 < 6).alias("in_fit"), F.posexplode("embedding").alias("pos", "v"))
+        "vec_id", (F.col("label") < 6).alias("in_fit"), F.posexplode("embedding").alias("pos", "v"))
     long = long.select("vec_id", "in_fit", (F.col("pos") + 1).alias("pos"), F.col("v").cast("double").alias("v"))
     fit = F.when(F.col("in_fit"), F.col("v"))
     stats = long.groupBy("pos").agg(F.avg(fit).alias("m"), F.stddev_pop(fit).alias("s"))
@@ -290,10 +290,10 @@ def input_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F23")
 def low_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-8 reconstruction of the embedding rows; the basis comes from the fit rows."""
+    """Rank-8 reconstruction of the embedding rows; the basis comes from the fit rows (first six classes)."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.lit(1).alias("one"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
-    basis = right_vectors(rows.where(F.col("vec_id") % 10 < 6), ["f"], ["one"], 8)
+    basis = right_vectors(rows.where("label < 6"), ["f"], ["one"], 8)
     width = 64
     # one row of 8 x 64 numbers: its size is fixed by the feature width, not by the data
     both = rows.join(F.broadcast(basis.select("one", "v")), "one")

@@ -7,6 +7,7 @@ from foretally.functions import text as tx
 from foretally.operators import audit, contracts, metrics
 from foretally.operators.baselines import baseline_forecasts
 from foretally.operators.grids import linear_grid
+from foretally.operators.quantiles import exact_quantiles
 from foretally.operators.split import split_order_violations
 from foretally.operators.tallies import per_level
 from foretally.plans.catalogue import query, r
@@ -317,7 +318,8 @@ def claim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("nrmse")))
     pairs = rows.groupBy(*CELL).agg(pick("moving_average").alias("a"), pick("persistence").alias("b"))
     share = lambda cond: F.concat(F.count_if(cond).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
+    mid = exact_quantiles(pairs.select(F.lit(1).alias("all"), (F.col("a") / F.col("b")).alias("ratio")), ["all"], "ratio", {"m": 0.5})
     claim = lambda df, key, value, expected: df.agg(value.alias("value")).select(F.lit(key).alias("key"), "value", F.lit(expected).alias("expected"))
     return (claim(pairs, "smoother beats persistence", share(F.col("a") < F.col("b")), "most cells")
-            .unionByName(claim(pairs, "median ratio", F.format_string("%.1fx", F.median(F.col("a") / F.col("b"))), "below 1.0x"))
+            .unionByName(claim(mid, "median ratio", F.format_string("%.1fx", F.max("m")), "below 1.0x"))
             .unionByName(claim(rows, "failed runs", share(F.col("nrmse") > 1.5), "few")))

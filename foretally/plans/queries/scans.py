@@ -115,14 +115,14 @@ def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), r(F.avg("nrmse")).alias("nrmse"))
 
 
-@query("S9", q.select(q.CELL_FORECASTS, "SELECT series_id, model, seed, count(*) AS n_rows, round(sum(y_pred - y_true), 4) + 0.0 AS bias FROM forecasts GROUP BY 1, 2, 3"))
+@query("S9", q.select(q.CELL_FORECASTS, "SELECT series_id, model, seed, count(*) AS n_rows, round(sum(y_pred - y_true), 6) + 0.0 AS bias FROM forecasts GROUP BY 1, 2, 3"))
 def forecast_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts in one folder per (series, model, seed), read back from the folder names."""
     path = scratch(spark)
     files.write_forecasts(cell_forecasts(spark, sf_dir), path)
     back = spark.read.parquet(path)
     return back.groupBy("series_id", "model", F.col("seed").cast("long").alias("seed")).agg(
-        F.count(F.lit(1)).alias("n_rows"), r(F.sum(F.col("y_pred") - F.col("y_true")), 4).alias("bias"))
+        F.count(F.lit(1)).alias("n_rows"), r(F.sum(F.col("y_pred") - F.col("y_true"))).alias("bias"))
 
 
 @query("S10", "SELECT codec, count(*) AS n_rows, round(avg(l_extendedprice), 4) AS price FROM lineitem CROSS JOIN (SELECT unnest(['csv', 'snappy', 'zstd']) AS codec) GROUP BY 1")

@@ -248,12 +248,8 @@ def first_minimum_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A24", q.select(_UR, "SELECT model, round(median(nrmse), 6) AS median, round(quantile_cont(nrmse, 0.25), 6) AS q1, round(quantile_cont(nrmse, 0.75), 6) AS q3, "
                             "round(quantile_cont(nrmse, 0.75) - quantile_cont(nrmse, 0.25), 6) AS iqr, count(*) AS n FROM results GROUP BY 1"))
 def median_and_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over users, whose number grows: the quantiles come from counted, blocked ranks."""
-    from foretally.operators.quantiles import exact_quantiles
-    rows = user_results(spark, sf_dir)
-    got = exact_quantiles(rows, ["model"], "nrmse", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return got.join(rows.groupBy("model").agg(F.count("nrmse").alias("n")), "model").select(
-        "model", r("median").alias("median"), r("q1").alias("q1"), r("q3").alias("q3"), r(F.col("q3") - F.col("q1")).alias("iqr"), "n")
+    got = tallies.median_iqr(user_results(spark, sf_dir), ["model"], "nrmse")
+    return got.select("model", *[r(c).alias(c) for c in ("median", "q1", "q3", "iqr")], "n")
 
 
 @query("A25", q.select(_R, "SELECT model, round(avg(nrmse), 6) AS mean, round(stddev_samp(nrmse), 6) AS std, round(min(nrmse), 6) AS min, round(max(nrmse), 6) AS max, "

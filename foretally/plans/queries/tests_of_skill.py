@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from foretally.functions.pvalues import fisher_p, mann_whitney_p
 from foretally.operators import bootstrap as boot
 from foretally.operators import significance as sig
-from foretally.operators.blocks import running_sums
+from foretally.operators.blocks import running_sums, spread_join
 from foretally.operators.metrics import norms
+from foretally.operators.quantiles import exact_quantiles
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, user_results
 from foretally.plans.queries import sqltext as q
@@ -124,16 +125,23 @@ def dm_square_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "FROM dm WHERE (model_i, model_j) IN (('persistence', 'moving_average'), ('train_mean', 'moving_average')) GROUP BY 1, 2"))
 def headline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.struct("model_i", "model_j").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in (("persistence", "moving_average"), ("train_mean", "moving_average"))])
-    return cell_dm(spark, sf_dir).where(pairs).groupBy("model_i", "model_j").agg(
-        r(F.min("dm_stat")).alias("dm_min"), r(F.median("dm_stat")).alias("dm_median"), r(F.max("dm_stat")).alias("dm_max"), F.count(F.lit(1)).alias("n_tests"))
+    rows = durable(cell_dm(spark, sf_dir).where(pairs))
+    ends = rows.groupBy("model_i", "model_j").agg(r(F.min("dm_stat")).alias("dm_min"), r(F.max("dm_stat")).alias("dm_max"), F.count(F.lit(1)).alias("n_tests"))
+    # the number of cells grows with the panel, so the median comes from counted ranks
+    mid = exact_quantiles(rows, ["model_i", "model_j"], "dm_stat", {"m": 0.5})
+    return ends.join(mid, ["model_i", "model_j"]).select("model_i", "model_j", "dm_min", r("m").alias("dm_median"), "dm_max", "n_tests")
 
 
 @query("T8")
 def headline_pair_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dm = sig.with_p(cell_dm(spark, sf_dir)).where("model_j = 'moving_average'")
+    dm = durable(sig.with_p(cell_dm(spark, sf_dir)).where("model_j = 'moving_average'"))
+    by = ["model_i", "model_j"]
     share = lambda a: F.avg(F.when((F.col("dm_pval") < a) & ~F.isnan("dm_pval"), 1.0).otherwise(0.0))
-    return dm.groupBy("model_i", "model_j").agg(r(share(0.10)).alias("frac_sig_10"), r(share(0.05)).alias("frac_sig_05"),
-                                                r(F.median("dm_stat")).alias("median_dm"), r(F.median("dm_pval")).alias("median_p"))
+    got = dm.groupBy(*by).agg(r(share(0.10)).alias("frac_sig_10"), r(share(0.05)).alias("frac_sig_05"))
+    for value, name in (("dm_stat", "median_dm"), ("dm_pval", "median_p")):
+        clean = dm.where(~F.isnan(value))
+        got = got.join(exact_quantiles(clean, by, value, {name: 0.5}), by, "left")
+    return got.select(*by, "frac_sig_10", "frac_sig_05", r("median_dm").alias("median_dm"), r("median_p").alias("median_p"))
 
 
 @query("T9", q.select(_ALL, "SELECT series_id, seed, model_i, model_j, CASE WHEN exp(-abs(dm_stat)) < 0.05 THEN 'significant' WHEN exp(-abs(dm_stat)) > 0.10 THEN 'NOT significant' ELSE 'borderline' END AS verdict FROM dm"))
@@ -156,7 +164,7 @@ def suffix_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model starts three steps late; the common last rows are kept and must agree."""
     fc = cell_forecasts(spark, sf_dir)
     starts = fc.groupBy(*CELL).agg(F.min("t").alias("t0"))
-    ragged = fc.join(starts, list(CELL)).where("model <> 'moving_average' OR t >= t0 + 3").drop("t0")
+    ragged = spread_join(fc, starts, CELL).where("model <> 'moving_average' OR t >= t0 + 3").drop("t0")
     aligned = sig.align_suffix(ragged, CELL)
     gaps = sig.target_agreement(aligned, CELL)
     sizes = aligned.groupBy(*CELL).agg(F.count_distinct("step").alias("n_rows"))
@@ -180,10 +188,9 @@ def block_bootstrap_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _numbered_losses(spark, sf_dir) -> DataFrame:
     """Losses with t counted from 0 on the test segment."""
     wide = cell_losses(spark, sf_dir)
-    from foretally.operators.metrics import _salted
     start = wide.groupBy(*CELL).agg(F.min("t").alias("t0"))
     # stored: prefix sums, cell sizes and full means all read it
-    return durable(_salted(wide, start, CELL).withColumn("t", F.col("t") - F.col("t0")).drop("t0"))
+    return durable(spread_join(wide, start, CELL).withColumn("t", F.col("t") - F.col("t0")).drop("t0"))
 
 
 @query("T12", q.select(f"{_L}, {_STARTS}, idx AS (SELECT series_id, seed, n, b, (start + unnest(range(0, width))) % n AS t FROM starts), "
@@ -229,7 +236,7 @@ def vector_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["ridge", "persistence"]
     dm = sig.with_p(sig.pairwise_dm(wide, names, ["series_id"])).where("model_i = 'ridge'").select("series_id", "dm_stat", "dm_pval")
     start = wide.groupBy("series_id").agg(F.min("t").alias("t0"))
-    zero = wide.join(start, "series_id").withColumn("t", F.col("t") - F.col("t0")).drop("t0")
+    zero = durable(spread_join(wide, start, ["series_id"]).withColumn("t", F.col("t") - F.col("t0")).drop("t0"))
     means = boot.block_means(zero, ["l_0", "l_1"], ["series_id"], 200, 10)
     full = wide.groupBy("series_id").agg(F.avg("l_0").alias("l_0"), F.avg("l_1").alias("l_1"))
     mcs = boot.confidence_set(means, full, names, ["series_id"]).where("model = 'ridge'").select("series_id", "mcs_pvalue", "in_set_10")
