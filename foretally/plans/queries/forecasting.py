@@ -293,14 +293,17 @@ def vector_closed_loop_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_closed_loop(spark, sf_dir)
 
 
-@query("M18")
+_EST = (f"{q.TYPE}, {q.bounds()}, {q.labelled()}, {q.lagged(2)}, " + two_tap_fit("1e-6::DOUBLE", "t >= 20 AND t < train_end - 1", "lagged"))
+
+
+@query("M18", q.select(_EST, "SELECT series_id, t, round(w0*d0 + w1*d1 + w2, 5) AS y_pred FROM lagged JOIN weights USING (series_id)"))
 def estimator_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the first 60 % of every series, predict along the full series."""
     panel = panel_by_type(spark, sf_dir)
     rows = label_split(panel, split_bounds(panel))
     prefix = rows.where("segment = 'train'").select("series_id", "block", "t", "x")
     model = PanelRidge(taps=2, washout=20).fit(prefix)
-    return model.transform(panel).select("series_id", "t", r("y_pred").alias("y_pred"))
+    return model.transform(panel).select("series_id", "t", r("y_pred", 5).alias("y_pred"))
 
 
 @query("M19", q.select(f"{q.DAILY}, {q.bounds(washout=10)}, {q.labelled()}, {q.lagged(1)}, forecasts AS (SELECT series_id, y AS y_true, d0 AS y_pred "
@@ -356,3 +359,54 @@ def model_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookup = spark.createDataFrame(CATALOGUE, "model string, family string, axes string")
     return cell_results(spark, sf_dir).join(lookup, "model").groupBy("model", "family", "axes").agg(
         F.count(F.lit(1)).alias("n_runs"), r(F.avg("nrmse")).alias("nrmse_mean"))
+
+
+_SQUARE = (f"{_scaled_sql('minmax')}, {q.lagged(1, 1, 1, 'scaled', 'u')}, {q.parts(1)}, sq AS (SELECT * REPLACE (d0 AS d0), d0 * d0 AS d1 FROM parts), "
+           + two_tap_fit("1e-6::DOUBLE", source="sq") + ", forecasts AS (SELECT series_id, y AS y_true, w0*d0 + w1*d1 + w2 AS y_pred FROM sq JOIN weights USING (series_id) WHERE part = 'test')")
+
+
+@query("M4", q.select(_SQUARE, "SELECT series_id, count(*) AS n_test, round(sqrt(avg((y_pred-y_true)^2))/stddev_pop(y_true), 6) AS nrmse, round(sqrt(avg((y_pred-y_true)^2)), 6) AS rmse, "
+                               "round(avg(abs(y_pred-y_true)), 6) AS mae, round(1 - avg((y_pred-y_true)^2)/var_pop(y_true), 6) AS r2 FROM forecasts GROUP BY 1"))
+def quadratic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest polynomial-delay model: one tap and its square."""
+    rows = scaled_windows(spark, sf_dir, 1)
+    feats = win.monomials(win.taps_of(1), 2, bias=False)
+    test = ridge_predict(rows.where("part = 'test'"), ridge_fit(rows.where("part = 'train'"), feats, F.col("y"), 1e-6), feats)
+    return _scored(test.withColumnRenamed("y", "y_true"))
+
+
+_LEVEL = ("runs AS (SELECT series_id, t, x AS level FROM series WHERE t = 0 UNION ALL SELECT s.series_id, s.t, 0.3::DOUBLE * s.x + 0.7::DOUBLE * runs.level FROM runs "
+          "JOIN series s ON s.series_id = runs.series_id AND s.t = runs.t + 1)")
+_SMOOTH = f"RECURSIVE {q.TYPE}, {q.bounds()}, {q.labelled()}, {q.lagged(1)}, {_LEVEL}"
+
+
+@query("M7", q.select(_SMOOTH, "SELECT series_id, t, round(y, 6) AS y_true, round(level, 6) AS y_pred FROM lagged JOIN runs USING (series_id, t) WHERE t >= val_end AND y IS NOT NULL"))
+def simple_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing with one fixed parameter and no trend."""
+    got = smoothing_forecasts(labelled_types(spark, sf_dir), grid=((0.3, 0.0),))
+    return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
+
+
+@query("M8", q.select(_SMOOTH + ", acc AS (SELECT series_id, t, y, val_end, (t + 1)::DOUBLE AS n1, sum(x) OVER w AS sx, sum(t * x) OVER w AS stx, t * (t + 1) / 2.0::DOUBLE AS st, t * (t + 1) * (2 * t + 1) / 6.0::DOUBLE AS stt "
+                      "FROM lagged WINDOW w AS (PARTITION BY series_id ORDER BY t))",
+       "SELECT series_id, t, round(y, 6) AS y_true, round(level + 0.5::DOUBLE * (n1 * stx - st * sx) / (n1 * stt - st * st) * (1 - pow(0.7::DOUBLE, n1)) / 0.3::DOUBLE, 6) AS y_pred FROM acc JOIN runs USING (series_id, t) WHERE t >= val_end AND y IS NOT NULL"))
+def theta_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theta with one fixed smoothing parameter: level plus half the expanding slope."""
+    got = theta_forecasts(labelled_types(spark, sf_dir), grid=((0.3, 0.0),))
+    return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
+
+
+_ROLL = (f"RECURSIVE {_TWO}, anchor AS (SELECT l.series_id, l.val_end, l.d0, l.d1, w0, w1, w2 FROM lagged l JOIN weights USING (series_id) WHERE t = val_end - 1), "
+         "roll AS (SELECT series_id, val_end, w0, w1, w2, 0 AS step, w0*d0 + w1*d1 + w2 AS p, d0 AS prev FROM anchor UNION ALL "
+         "SELECT series_id, val_end, w0, w1, w2, step + 1, w0*p + w1*prev + w2, p FROM roll WHERE step < 39)")
+
+
+@query("M15 M16", q.select(_ROLL, "SELECT series_id, step, round(p, 6) AS y_pred FROM roll"))
+def linear_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty steps of a two-tap linear model fed with its own forecasts."""
+    rows = labelled_types(spark, sf_dir)
+    lagged = win.delays(scale(rows, fit_scaler(rows, "minmax")), 2, 1, 1, column="u")
+    fit = ridge_fit(win.train_and_test(lagged, 2, 1, 1).where("part = 'train'"), win.taps_of(2), F.col("y"), 1e-6)
+    anchor = lagged.where(F.col("t") == F.col("val_end") - 1).select("series_id", F.array("d0", "d1").alias("window"))
+    got = roll_out(fit.join(anchor, "series_id"), 40, 2, ["series_id"])
+    return got.select("series_id", "step", r("y_pred").alias("y_pred"))

@@ -282,7 +282,7 @@ def tuple_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", r(F.col("f")[0]).alias("f0"), F.col("f")[1].alias("f1"), F.col("f")[2].alias("f2"), F.size("f").alias("n"))
 
 
-@query("C11")
+@query("C11", q.select(_R, "SELECT model, count(*) AS n_runs, count(*) AS n_ids FROM results GROUP BY 1"))
 def execution_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One random id per finished run, stored before it fans out to the run and metric rows,
     so that both carry the same one."""

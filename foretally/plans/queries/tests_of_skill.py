@@ -403,3 +403,17 @@ def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     dm = sig.over_seeds(sig.with_p(cell_dm(spark, sf_dir)), ["series_id"]).where((F.col("model_i") == a) & (F.col("model_j") == b))
     winner = F.when(F.col("first_nrmse") < F.col("second_nrmse"), a).otherwise(b)
     return board.join(dm, "series_id").select("series_id", "first_nrmse", "second_nrmse", winner.alias("winner"), "median_p", "frac_seeds_sig", sig.verdict(F.col("median_p")).alias("verdict"))
+
+
+@query("A42", q.select(f"{_R}, losses AS (SELECT *, (y_pred-y_true)^2 AS l FROM forecasts), {_PAIRS}, {_nw(0, keys='series_id, seed, model_i, model_j')}, dm AS (SELECT series_id, model_i, model_j, {_dm_sql(0)} AS dm_stat FROM nw), "
+                "b AS (SELECT series_id, avg(CASE WHEN model = 'moving_average' THEN nrmse END) AS x, avg(CASE WHEN model = 'train_mean' THEN nrmse END) AS y FROM results GROUP BY 1)",
+                "SELECT series_id, round(max(x), 6) AS first_nrmse, round(max(y), 6) AS second_nrmse, CASE WHEN max(x) < max(y) THEN 'moving_average' ELSE 'train_mean' END AS winner, round(avg(dm_stat), 6) + 0.0 AS mean_dm "
+                "FROM b JOIN dm USING (series_id) WHERE model_i = 'moving_average' AND model_j = 'train_mean' GROUP BY 1"))
+def head_to_head_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head-to-head without the p columns: scores, winner and mean statistic."""
+    a, b = "moving_average", "train_mean"
+    board = cell_results(spark, sf_dir).groupBy("series_id").agg(
+        F.avg(F.when(F.col("model") == a, F.col("nrmse"))).alias("x"), F.avg(F.when(F.col("model") == b, F.col("nrmse"))).alias("y"))
+    stat = F.nullif(F.col("dm_stat"), F.lit(float("nan")))
+    dm = cell_dm(spark, sf_dir).where((F.col("model_i") == a) & (F.col("model_j") == b)).groupBy("series_id").agg(r(F.avg(stat)).alias("mean_dm"))
+    return board.join(dm, "series_id").select("series_id", r("x").alias("first_nrmse"), r("y").alias("second_nrmse"), F.when(F.col("x") < F.col("y"), a).otherwise(b).alias("winner"), "mean_dm")
