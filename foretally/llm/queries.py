@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, packing, sharding, token_counts
+from foretally.llm import arrow_files, decontamination, packing, quality, sharding, token_counts
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,17 @@ def op3_arrow_output(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+def op8_positional_decontamination(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_jump_sharding(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -34,5 +45,50 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_arrow_output, op9_jump_sharding, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op3_arrow_output, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL: dict[str, str] = {
+    "op8_positional_decontamination": f"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM documents),
+place AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+met AS (SELECT rid, i, n, item_id FROM place JOIN windows USING (n, win)),
+hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM met) GROUP BY rid),
+listed AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM met) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)""",
+    "op9_jump_sharding": """
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+jumps AS (
+  SELECT rid, shards, ((coalesce(doc_id, 0)::HUGEINT % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS state,
+    -1::BIGINT AS at, 0::BIGINT AS ahead FROM doc, (VALUES (16), (17)) AS v(shards)
+  UNION ALL
+  SELECT rid, shards, state, ahead, floor((ahead + 1)::DOUBLE * (2147483648::DOUBLE / ((state // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT rid, shards, ahead, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM jumps WHERE ahead < shards)),
+placed AS (
+  SELECT rid, max(at) FILTER (WHERE shards = 16)::INTEGER AS shard, max(at) FILTER (WHERE shards = 17)::INTEGER AS grown_shard FROM jumps GROUP BY rid),
+entries AS (
+  SELECT list_transform(range(256), b -> list_reduce(range(8), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+sums AS (
+  SELECT rid, xor(list_reduce(regexp_extract_all(hex(text), '..'), (c, h) -> xor(c // 256, t[(xor(c % 256,
+      (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) + 1)::BIGINT]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM doc, entries)
+SELECT doc_id, strlen(text) + 1 AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, strlen(text), text_crc32) - 1 AS slot, grown_shard
+FROM doc JOIN placed USING (rid) JOIN sums USING (rid)""",
+}
