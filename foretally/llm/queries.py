@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, decontamination, packing, quality, sharding, token_counts
+from foretally.llm import arrow_files, decontamination, jaccard_join, packing, quality, sharding, token_counts
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_jaccard_join(spark, sf_dir):
+    joined = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return joined.select("row.doc_id", "class_id", "n_links")
+
+
 def op3_arrow_output(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     read = arrow_files.read_documents(arrow_files.write_arrow(docs, BYTE_BPE), dict(docs.dtypes)["doc_id"])
@@ -46,7 +51,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_arrow_output, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,12 +81,12 @@ WITH RECURSIVE doc AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 jumps AS (
   SELECT rid, shards, ((coalesce(doc_id, 0)::HUGEINT % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS state,
-    -1::BIGINT AS at, 0::BIGINT AS ahead FROM doc, (VALUES (16), (17)) AS v(shards)
+    -1::BIGINT AS here, 0::BIGINT AS ahead FROM doc, (VALUES (16), (17)) AS v(shards)
   UNION ALL
   SELECT rid, shards, state, ahead, floor((ahead + 1)::DOUBLE * (2147483648::DOUBLE / ((state // 8589934592)::DOUBLE + 1)))::BIGINT
   FROM (SELECT rid, shards, ahead, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM jumps WHERE ahead < shards)),
 placed AS (
-  SELECT rid, max(at) FILTER (WHERE shards = 16)::INTEGER AS shard, max(at) FILTER (WHERE shards = 17)::INTEGER AS grown_shard FROM jumps GROUP BY rid),
+  SELECT rid, max(here) FILTER (WHERE shards = 16)::INTEGER AS shard, max(here) FILTER (WHERE shards = 17)::INTEGER AS grown_shard FROM jumps GROUP BY rid),
 entries AS (
   SELECT list_transform(range(256), b -> list_reduce(range(8), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
 sums AS (
