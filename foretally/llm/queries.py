@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, decontamination, jaccard_join, packing, quality, sharding, token_counts
+from foretally.llm import arrow_files, decontamination, jaccard_join, licenses, packing, quality, sharding, token_counts
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op3_arrow_output(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("row.doc_id", "license", "n_found", "n_shingles", "window_start")
+
+
 def op6_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
@@ -51,12 +56,31 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op5_license_scan, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+NOTICES = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES.items())
+
 SQL: dict[str, str] = {
+    "op5_license_scan": f"""
+WITH known AS (SELECT license, regexp_extract_all(translate(notice, {LETTERS}), '{WORDS}') AS w FROM (VALUES {NOTICES}) AS v(license, notice)),
+template AS (
+  SELECT license, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS t FROM known),
+sized AS (SELECT license, t, pow(2, ceil(log2(len(t))))::BIGINT AS span FROM template),
+doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM documents),
+cut AS (SELECT rid, doc_id, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] AS s FROM doc WHERE len(w) >= 3),
+windows AS (
+  SELECT rid, span, k * span AS window_start, list_distinct(s[k * span + 1:k * span + 2 * span]) AS part
+  FROM (SELECT rid, s, span, unnest(range((len(s) - 1) // span + 1)) AS k FROM cut, (SELECT DISTINCT span FROM sized))),
+met AS (
+  SELECT rid, license, window_start, len(t) AS n_shingles, len(list_intersect(part, t)) AS n_found
+  FROM windows JOIN sized USING (span) WHERE list_has_any(part, t)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY n_found DESC, window_start) AS turn FROM met WHERE n_found >= 0.8 * n_shingles)
+SELECT doc_id, license, n_found, n_shingles, window_start FROM best JOIN doc USING (rid) WHERE turn = 1""",
     "op8_positional_decontamination": f"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM benchmark),
@@ -88,9 +112,9 @@ jumps AS (
 placed AS (
   SELECT rid, max(here) FILTER (WHERE shards = 16)::INTEGER AS shard, max(here) FILTER (WHERE shards = 17)::INTEGER AS grown_shard FROM jumps GROUP BY rid),
 entries AS (
-  SELECT list_transform(range(256), b -> list_reduce(range(8), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
 sums AS (
-  SELECT rid, xor(list_reduce(regexp_extract_all(hex(text), '..'), (c, h) -> xor(c // 256, t[(xor(c % 256,
+  SELECT rid, xor(list_reduce(regexp_extract_all(hex(text), '..'), lambda c, h: xor(c // 256, t[(xor(c % 256,
       (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) + 1)::BIGINT]), 4294967295::BIGINT), 4294967295) AS text_crc32
   FROM doc, entries)
 SELECT doc_id, strlen(text) + 1 AS size, text_crc32, 'key' AS law, shard,
