@@ -1,14 +1,45 @@
-"""A training corpus from raw documents: quality rules, near duplicates, leaks, packing."""
+"""A training corpus from raw documents: quality rules, near duplicates, leaks, packing.
 
-STAGES: list = []
+Each stage gets the documents its predecessor kept and works on all of them; what it
+decides takes effect.  Stages before the last return the columns of ``documents``.
+"""
+
+from foretally.llm import decontamination, jaccard_join, packing, quality
+from foretally.llm.queries import WORD_BPE
+from foretally.session import durable
+from foretally.sources.tables import table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Drop documents that fail the base rules or lie outside their language's perplexity bands."""
+    return quality.kept_documents(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keep the document of smallest doc_id of each class linked by the 5-gram Jaccard join."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Drop documents in which a ten-word window of a benchmark item occurs."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark, docs, sf_dir):
+    """Pack what is left into training sequences: one row per piece."""
+    packed = packing.pack_documents(docs, WORD_BPE)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
+
+# tokens and the language model are beyond SQL; tests hold the stages against plain versions
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """Apply the stages one after another, each on the stored result of the one before."""
-    from foretally.session import durable
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir))
     return docs

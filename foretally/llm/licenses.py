@@ -56,8 +56,9 @@ def shingles_of(text: Column) -> Column:
     """Shingle hashes of a cleaned text in order; none for fewer than three words."""
     words = F.split(text, " ")
     count = F.size(words) - (SHINGLE - 1)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
-    return F.when(count > 0, cut).otherwise(F.array().cast("array<bigint>"))
+    # neighbours side by side, so that the words are cut once and not for every shingle
+    beside = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(count, F.lit(0))).alias(f"w{k}") for k in range(SHINGLE)])
+    return F.transform(beside, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(SHINGLE)]))
 
 
 def smallest(part: Column, band: int) -> Column:
