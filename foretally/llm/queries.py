@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, decontamination, jaccard_join, licenses, packing, quality, sharding, token_counts
+from foretally.llm import arrow_files, chat, decontamination, jaccard_join, licenses, packing, quality, sharding, token_counts
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op3_arrow_output(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_chat_role_repair(spark, sf_dir):
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "license", "n_found", "n_shingles", "window_start")
@@ -56,7 +60,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op5_license_scan, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
