@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, chat, decontamination, jaccard_join, licenses, packing, quality, sharding, token_counts
+from foretally.llm import arrow_files, chat, decontamination, jaccard_join, licenses, masked_lm, packing, quality, sharding, token_counts
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,10 @@ def op6_quality_rules(spark, sf_dir):
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op7_masked_scoring(spark, sf_dir):
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op8_positional_decontamination(spark, sf_dir):
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
@@ -60,7 +64,8 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan, op6_quality_rules, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+    op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan,
+    op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
