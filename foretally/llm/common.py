@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators."""
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -46,6 +48,25 @@ def chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[lis
         yield part
 
 
+def worker_state(key: tuple, make: Callable):
+    """An object that a Python worker keeps for its next tasks; one at a time, so bounded by
+    the largest.  Functions sent to executors bring fresh globals with every task."""
+    home = sys.modules.setdefault("foretally_worker_state", types.ModuleType("foretally_worker_state"))
+    if getattr(home, "key", None) != key:
+        home.key, home.value = None, None
+        home.value = make()
+        home.key = key
+    return home.value
+
+
+def trim(cache: dict, most: int) -> None:
+    """Bound a cache: beyond ``most`` entries the half that came last goes.  Frequent units
+    are met early, so the half that stays is the useful one."""
+    if len(cache) > most:
+        for unit in list(cache)[most // 2:]:
+            del cache[unit]
+
+
 def stamped(df: DataFrame) -> DataFrame:
     """Store ``df`` with ``_part`` (the task that wrote a row) and ``_seq`` (its place in it).
 

@@ -8,12 +8,16 @@ strings) is encoded whole by the library.  Results equal the library's on whole
 """
 
 import json
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
+from foretally.llm.common import trim, worker_state
+
 FIRST, LINE = "\x01", "\x00"  # mark a text's first unit, and a unit after a line break
-CACHE_UNITS = 300_000
+CACHE_UNITS = 500_000
 
 
 def units_of(text: str, spaced: bool) -> list[str]:
@@ -55,24 +59,37 @@ class Encoder:
         self.spaced = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cuts = self.spaced or drops_space(before)
         self.cache: dict[str, bytes | None] = {}
+        self.tails = dict(zip("\n.,", self.whole(["\n", ".", ","])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def parts_of(self, unit: str) -> tuple[bool, str, str]:
+        """(after a line break, stem, full stop or comma behind it): tokens never span them."""
+        mark, body = (unit[:1], unit[1:]) if self.spaced and unit[:1] in (FIRST, LINE) else ("", unit)
+        tail = body[-1:] if body[-1:] in (".", ",") and self.letters(body[:-1]) else ""
+        stem = body[:-1] if tail else body
+        return mark == LINE, FIRST + stem if mark else stem, tail
+
+    def letters(self, body: str) -> bool:
+        return body.isalpha() and (self.spaced or body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha())
+
     def learn(self, fresh: list[str]) -> None:
-        good = [u for u in fresh if not self.spaced or is_clean(u)]
-        self.cache.update(dict.fromkeys(fresh))
-        self.cache.update(zip(good, self.whole([unit_text(u) if self.spaced else u for u in good])))
+        cut = {u: self.parts_of(u) for u in fresh if not self.spaced or is_clean(u)}
+        stems = list({stem for _, stem, _ in cut.values() if stem not in self.cache})
+        self.cache.update(dict.fromkeys(u for u in fresh if u not in cut))
+        self.cache.update(zip(stems, self.whole([unit_text(s) if self.spaced else s for s in stems])))
+        for unit, (broken, stem, tail) in cut.items():
+            self.cache[unit] = (self.tails["\n"] if broken else b"") + self.cache[stem] + (self.tails[tail] if tail else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+        trim(self.cache, CACHE_UNITS)
         cut, cache = [], self.cache
         for text in texts:
             plain = self.cuts and not any(s in text for s in self.specials) and FIRST not in text and LINE not in text
             cut.append(units_of(text, self.spaced) if plain else None)
-        fresh = {u for units in cut if units for u in units if u not in cache}
+        fresh = set(chain.from_iterable(units for units in cut if units)).difference(cache)
         if fresh:
             self.learn(list(fresh))
         out: list[bytes | None] = []
@@ -104,6 +121,6 @@ def quiet_library() -> None:
 
 def encoded(path: str, texts: Iterator[list[str]]) -> Iterator[bytes]:
     quiet_library()
-    encoder = Encoder(path)
+    encoder = worker_state(("encoder", path), lambda: Encoder(path))
     for part in texts:
         yield from encoder.encode(part)

@@ -13,13 +13,14 @@ length is a list of short units; a single unit of any length is one sequence.
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks
+from foretally.llm.common import chunks, trim, worker_state
 from foretally.llm.encoding import FIRST, LINE, is_clean, unit_text, units_of
 
 NONE = np.int64(1) << 40  # above every rank
@@ -112,8 +113,7 @@ class Counter:
             self.cache[unit] = sum(counts[t] for t in tokens)
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+        trim(self.cache, CACHE_UNITS)
         parts, owner, specials = [], [], [0] * len(texts)
         for i, text in enumerate(texts):
             cut = self.special.split(text) if self.special and self.special.search(text) else [text]
@@ -121,7 +121,7 @@ class Counter:
             parts += cut
             owner += [i] * len(cut)
         cut = [None if FIRST in p or LINE in p else units_of(p, True) for p in parts]
-        fresh = {u for units in cut if units for u in units if u not in self.cache}
+        fresh = set(chain.from_iterable(units for units in cut if units)).difference(self.cache)
         self.cache.update(dict.fromkeys(u for u in fresh if not is_clean(u)))
         self.learn({u: self.pattern.findall(unit_text(u)) for u in fresh if is_clean(u)})
         totals, odd = list(specials), []
@@ -141,7 +141,7 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(path)
+        counter = worker_state(("token counter", path), lambda: Counter(path))
         for batch in batches:
             yield pd.Series([n for part in chunks(batch) for n in counter.count(part)], dtype="int64")
 
