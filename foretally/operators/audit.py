@@ -90,17 +90,21 @@ def table_fingerprint(df: DataFrame) -> str:
     return row["checksum"] if row else "empty"
 
 
+def exists(spark, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def guarded_write(df: DataFrame, path: str, allow_overwrite: bool = False) -> str:
     """Write unless the stored table no longer matches the fingerprint recorded beside it."""
     spark = df.sparkSession
-    from pyspark.errors import AnalysisException
-    try:
-        recorded = spark.read.text(f"{path}.fingerprint").first()["value"]
+    if exists(spark, path):
+        mark = f"{path}.fingerprint"
+        recorded = spark.read.text(mark).first()["value"] if exists(spark, mark) else "nothing"
         actual = table_fingerprint(spark.read.parquet(path))
         if recorded != actual and not allow_overwrite:
             raise FileExistsError(f"refusing to overwrite {path}: content {actual} is not the recorded {recorded}")
-    except AnalysisException:
-        pass  # first write: nothing to protect
     df.write.mode("overwrite").parquet(path)
     mark = table_fingerprint(spark.read.parquet(path))
     spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.fingerprint")
@@ -156,11 +160,8 @@ def read_through(wanted: DataFrame, store: str, key: str, compute) -> DataFrame:
     ``compute`` maps the missing keys' rows to feature rows that carry ``key``.
     """
     spark = wanted.sparkSession
-    from pyspark.errors import AnalysisException
-    try:
-        have = spark.read.parquet(store).select(key).distinct()
-        missing = wanted.join(have, key, "left_anti")
-    except AnalysisException:
-        missing = wanted
+    missing = wanted
+    if exists(spark, store):
+        missing = wanted.join(spark.read.parquet(store).select(key).distinct(), key, "left_anti")
     compute(missing).write.mode("append").partitionBy(key).parquet(store)
     return spark.read.parquet(store).join(wanted.select(key).distinct(), key, "left_semi")

@@ -11,7 +11,6 @@ window partition:
   back never sends a whole series to one task.
 """
 
-import math
 import os
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,59 +24,52 @@ BLOCK_ROWS = int(os.environ.get("FORETALLY_BLOCK_ROWS", 1 << 20))
 KEYS = ("series_id",)
 
 
-def largest_key(df: DataFrame, keys) -> tuple[int, int]:
-    """(rows of the largest key, all rows): one column-pruned, map-side combined count."""
-    top = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return int(top[0] or 0), int(top[1] or 0)
+def sorted_blocks(df: DataFrame, keys, order) -> DataFrame:
+    """Add ``run``: an ordered slice number inside each key.
 
-
-def sorted_blocks(df: DataFrame, keys, order, block_rows: int = BLOCK_ROWS,
-                  sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Add ``run``: an ordered, bounded-size slice number inside each key.
-
-    Keys that fit in one slice keep run 0.  Otherwise rows are range partitioned on
-    (keys, order), and the placement is stored durably, because the range bounds come
-    from a sample and must not move when a task is run again.
+    Rows are range partitioned on (keys, order) into as many slices as the session has
+    shuffle partitions.  The placement is stored, because the range bounds come from a
+    sample and must not move when a task is run again.
     """
-    largest, total = sizes or largest_key(df, keys)
-    if largest <= block_rows:
-        return df.withColumn("run", F.lit(0).cast("long"))
-    parts = max(2, math.ceil(total / block_rows))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *keys, *order)
     return durable(ranged.withColumn("run", F.spark_partition_id().cast("long")))
 
 
-def running_sums(df: DataFrame, keys, order, sums: dict, block_rows: int = BLOCK_ROWS,
-                 sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Running totals (this row included) of each expression in ``sums`` per key."""
-    largest, total = sizes or largest_key(df, keys)
-    cut = sorted_blocks(df, keys, order, block_rows, (largest, total))
-    inside = (Window.partitionBy(*keys, "run").orderBy(*order)
+def running_sums(df: DataFrame, keys, order, sums: dict, run: str | None = None) -> DataFrame:
+    """Running totals (this row included) of each expression in ``sums`` per key; the name
+    ``run`` keeps the slice numbers under that name."""
+    return sums_over(sorted_blocks(df, keys, order), keys, order, sums, "run", run)
+
+
+def sums_over(cut: DataFrame, keys, order, sums: dict, slice_: str, keep: str | None = None) -> DataFrame:
+    """Running totals over rows already cut into ordered slices: totals of the slices before
+    plus a window inside the slice."""
+    inside = (Window.partitionBy(*keys, slice_).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if largest <= block_rows:
-        inside = (Window.partitionBy(*keys).orderBy(*order)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return cut.select("*", *[F.sum(e).over(inside).alias(n) for n, e in sums.items()]).drop("run")
-    totals = cut.groupBy(*keys, "run").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "run", *[
+    totals = cut.groupBy(*keys, slice_).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, slice_, *[
         F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    joined = cut.join(offsets, [*keys, "run"])
+    joined = cut.join(offsets, [*keys, slice_])
     out = joined.select("*", *[(F.sum(e).over(inside) + F.col(f"_o_{n}")).alias(n) for n, e in sums.items()])
-    return out.drop("run", *[f"_o_{n}" for n in sums])
+    out = out.withColumnRenamed(slice_, keep) if keep else out.drop(slice_)
+    return out.drop(*[f"_o_{n}" for n in sums])
+
 
+def number_rows(df: DataFrame, keys, order, out: str = "t", block_rows: int = BLOCK_ROWS, stretch: Column | None = None) -> DataFrame:
+    """Position of each row inside its key, from 0, and the block it falls in.
 
-def number_rows(df: DataFrame, keys, order, out: str = "t", block_rows: int = BLOCK_ROWS,
-                sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Position of each row inside its key, from 0, and the block it falls in."""
-    largest, total = sizes or largest_key(df, keys)
-    if largest <= block_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        numbered = df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    ``stretch`` is a coarser form of the first order column (the hour of a time, say): rows
+    are counted per stretch and numbered inside it, with no sampling and nothing stored.
+    Without it they are cut by ranges of the order.
+    """
+    one = {out: F.lit(1).cast("long")}
+    if stretch is None:
+        numbered = running_sums(df, keys, order, one)
     else:
-        one = F.lit(1).cast("long")
-        numbered = running_sums(df, keys, order, {out: one}, block_rows, (largest, total))
-        numbered = numbered.withColumn(out, F.col(out) - 1)
+        numbered = sums_over(df.withColumn("_stretch", stretch), keys, order, one, "_stretch")
+    numbered = numbered.withColumn(out, F.col(out) - 1)
     return numbered.withColumn("block", block_of(F.col(out), block_rows))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import BLOCK_ROWS, running_sums
+from foretally.operators.blocks import BLOCK_ROWS, block_of, sums_over
 
 
 def hash_draw(b: Column, j: Column, n: Column, seed: int = 0) -> Column:
@@ -42,8 +42,8 @@ def block_means(wide: DataFrame, columns, keys, n_boot: int, block_length: int,
     the n_boot x n resampled rows are never made.  ``time`` must count 0..n-1 per cell.
     """
     keys, columns = list(keys), list(columns)
-    prefix = running_sums(wide.select(*keys, F.col(time).alias("t"), *columns), keys, ["t"],
-                          {f"s_{c}": F.col(c) for c in columns}, block_rows)
+    cut = wide.select(*keys, F.col(time).alias("t"), *columns).withColumn("_cut", block_of(F.col("t"), block_rows))
+    prefix = sums_over(cut, keys, ["t"], {f"s_{c}": F.col(c) for c in columns}, "_cut")
     sums = [f"s_{c}" for c in columns]
     prefix = prefix.select(*keys, F.col("t"), *sums)
     cells = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -56,50 +56,53 @@ def block_means(wide: DataFrame, columns, keys, n_boot: int, block_length: int,
         F.struct((F.col("start") - 1).alias("t"), F.lit(-1.0).alias("sign")),
         F.struct(F.when(end >= n, n - 1).alias("t"), F.lit(1.0).alias("sign")))
     asked = (starts.select(*keys, "n", "b", F.explode(looks).alias("k"))
-             .select(*keys, "n", "b", "k.t", "k.sign").where("t >= 0")
-             .groupBy(*keys, "n", "b", "t").agg(F.sum("sign").alias("sign")))
+             .select(*keys, "n", "b", "k.t", "k.sign").where("t >= 0"))
     found = asked.join(prefix, [*keys, "t"])
     return found.groupBy(*keys, "b").agg(*[
         (F.sum(F.col(s) * F.col("sign")) / F.max("n")).alias(c) for s, c in zip(sums, columns)])
 
 
 def confidence_set(boot_means: DataFrame, full_means: DataFrame, models, keys) -> DataFrame:
-    """Model Confidence Set by the range statistic.
+    """Model Confidence Set by the range statistic (Hansen, Lunde and Nason, 2011).
 
-    Both inputs are small per cell (n_boot rows and one row of ``l_i`` columns); the
-    elimination runs per cell on that matrix.  Returns model, elimination order, p, flags.
+    Both inputs are small per cell (n_boot rows and one row of ``l_i`` columns).  One
+    covariance matrix of the resampled means gives every standard error that any round
+    needs; a round only looks at the rows and columns of the models still in.
     """
     keys, models = list(keys), list(models)
-    cols = [f"l_{i}" for i in range(len(models))]
+    size = len(models)
+    cols = [f"l_{i}" for i in range(size)]
     full = full_means.select(*keys, *[F.col(c).alias(f"f_{c}") for c in cols])
     joined = boot_means.join(full, keys)
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in keys)
 
-    def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
-        boots = pdf.sort_values("b")[cols].to_numpy(float)
-        means = pdf[[f"f_{c}" for c in cols]].iloc[0].to_numpy(float)
-        alive, rows, running = list(range(len(models))), [], 0.0
-        while len(alive) > 1:
-            mu, dev = means[alive], boots[:, alive] - means[alive]
-            gaps, boot_gaps = mu[:, None] - mu[None, :], dev[:, :, None] - dev[:, None, :]
-            se = boot_gaps.std(axis=0, ddof=1)
-            safe = np.where(se > 0, se, np.inf)
-            seen = np.max(np.abs(gaps) / safe)
-            null = np.max(np.abs(boot_gaps) / safe, axis=(1, 2))
-            running = max(running, float(np.mean(null >= seen)))
-            around = dev - dev.mean(axis=1, keepdims=True)
-            sd = around.std(axis=0, ddof=1)
-            excess = (mu - mu.mean()) / np.where(sd > 0, sd, np.inf)
-            worst = alive[int(np.argmax(excess))]
-            rows.append((models[worst], len(rows), running))
-            alive.remove(worst)
-        rows.append((models[alive[0]], len(rows), 1.0))
-        out = pd.DataFrame(rows, columns=["model", "eliminated", "mcs_pvalue"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "model", "eliminated", "mcs_pvalue"]]
-
-    sets = joined.groupBy(*keys).applyInPandas(eliminate, f"{key_fields}, model string, eliminated long, mcs_pvalue double")
+    def ratio(value, variance):
+        """value / sqrt(variance), 0 where there is no variance."""
+        return np.divide(value, np.sqrt(np.maximum(variance, 0)), out=np.zeros(np.broadcast(value, variance).shape), where=variance > 1e-30)
+
+    def test_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        loss = pdf[[f"f_{c}" for c in cols]].iloc[0].to_numpy(float)
+        moved = pdf.sort_values("b")[cols].to_numpy(float) - loss
+        cov = np.cov(moved, rowvar=False).reshape(size, size)
+        spread = cov.diagonal()[:, None] + cov.diagonal()[None, :] - 2 * cov
+        seen = np.abs(ratio(loss[:, None] - loss[None, :], spread))
+        drawn = np.abs(ratio(moved[:, :, None] - moved[:, None, :], spread[None]))
+        inside = np.ones(size, bool)
+        order, p_values = [], []
+        for _ in range(size - 1):
+            pair = np.ix_(inside, inside)
+            p_values.append((drawn[:, inside][:, :, inside].max(axis=(1, 2)) >= seen[pair].max()).mean())
+            block = cov[pair]
+            own = block.diagonal() - 2 * block.mean(axis=1) + block.mean()  # variance of a model's gap to the mean
+            out = np.flatnonzero(inside)[np.argmax(ratio(loss[inside] - loss[inside].mean(), own))]
+            order.append(out)
+            inside[out] = False
+        order.append(int(np.flatnonzero(inside)[0]))
+        found = pd.DataFrame({"model": [models[i] for i in order], "eliminated": range(size),
+                              "mcs_pvalue": [*np.maximum.accumulate(p_values), 1.0] if p_values else [1.0]})
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "model", "eliminated", "mcs_pvalue"]]
+
+    sets = joined.groupBy(*keys).applyInPandas(test_cell, f"{key_fields}, model string, eliminated long, mcs_pvalue double")
     return sets.withColumn("in_set_10", F.col("mcs_pvalue") >= 0.10).withColumn("in_set_25", F.col("mcs_pvalue") >= 0.25)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import KEYS, cogroup_blocks, largest_key, running_sums
+from foretally.operators.blocks import KEYS, cogroup_blocks, running_sums
 from foretally.session import durable
 
 SLICE_ROWS = 2048
@@ -30,7 +30,6 @@ def _search(k: int, dims: list, keys: list):
             d2 = np.zeros((len(a[i:i + 512]), len(b)))
             for c in range(len(dims)):
                 d2 += (a[i:i + 512, c][:, None] - b[:, c][None, :]) ** 2
-            d2 = np.round(d2, 9)
             far = np.partition(d2, take - 1, axis=1)[:, take - 1]
             who, near = np.nonzero(d2 <= far[:, None])  # k per row, more only on a tie
             part = test.iloc[i:i + 512][[*keys, "t"]].iloc[who]
@@ -61,10 +60,7 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
         train = train.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("t"))).where(F.col("_r") <= k).drop("_r")
     train = train.drop("_cut")
     train, wanted = durable(train), durable(test.select(*keys, "t", *dims))  # both are read several times
-    sizes = largest_key(train, keys)
-    asked_sizes = largest_key(wanted, keys)
-    probe_sizes = tuple(a + 2 * b for a, b in zip(sizes, asked_sizes))
-    spots = running_sums(train, keys, [dims[0], "t"], {"pos": F.lit(1).cast("long")}, sizes=sizes)
+    spots = running_sums(train, keys, [dims[0], "t"], {"pos": F.lit(1).cast("long")})
     spots = durable(spots.withColumn("slice", F.floor((F.col("pos") - 1) / F.lit(slice_rows)).cast("long")))
 
     def place(points: DataFrame, at: str) -> DataFrame:
@@ -74,7 +70,7 @@ def nearest(train: DataFrame, test: DataFrame, dims, k: int = 5, keys=KEYS, slic
         asked = points.select(*keys, F.lit(1).alias("kind"), F.col(at).alias("_c"), "t", "edge")
         both = marks.select(*cols).unionByName(asked.select(*cols))
         counted = running_sums(both, keys, ["_c", "kind", "t", "edge"],
-                               {"before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("long")}, sizes=probe_sizes)
+                               {"before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("long")})
         last = F.greatest(F.col("before") - 1, F.lit(0).cast("long"))
         return counted.where("kind = 1").select(
             *keys, "t", "edge", F.floor(last / F.lit(slice_rows)).cast("long").alias("slice"))

@@ -1,15 +1,13 @@
 """Exact interpolated quantiles that never gather a group in one buffer."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import BLOCK_ROWS, largest_key, running_sums
+from foretally.operators.blocks import running_sums
 from foretally.session import durable
 
-SALTS = 64
 
-
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     """keys plus one column per entry of ``probs`` (name -> probability), linear rule.
 
     Equal values are counted first (partial counts before the shuffle); running counts
@@ -19,18 +17,11 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict, block_rows: in
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
     distinct = durable(distinct)
-    sizes = largest_key(distinct, keys)
-    if sizes[0] <= block_rows:
-        names = list(probs)
-        return (distinct.groupBy(*keys)
-                .agg(F.percentile("_v", F.array(*[F.lit(probs[n]) for n in names]), F.col("_c")).alias("_q"))
-                .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
-    ranked = running_sums(distinct, keys, ["_v"], {"_upto": F.col("_c")}, block_rows, sizes)
-    totals = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    # the total of a key is repeated per salt, so a hot key's values stay spread out
-    totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ranked = ranked.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    ranked = ranked.join(totals, [*keys, "_salt"])
+    ranked = running_sums(distinct, keys, ["_v"], {"_upto": F.col("_c")}, run="_run")
+    # a key's total is repeated for each of its slices, so a hot key's values stay spread out
+    whole = Window.partitionBy(*keys)
+    totals = ranked.groupBy(*keys, "_run").agg(F.sum("_c").alias("_part")).select(*keys, "_run", F.sum("_part").over(whole).alias("_n"))
+    ranked = ranked.join(totals, [*keys, "_run"])
     picks = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)

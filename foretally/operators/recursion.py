@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretally.operators.blocks import BLOCK_ROWS, KEYS, block_of
+from foretally.session import durable
 
 CHUNK = 64
 
@@ -76,9 +77,7 @@ def leaky(panel: DataFrame, eps: float, keys=KEYS, column: str = "x", out: str =
         pdf = pdf.sort_values("t")
         return pdf.assign(**{out: scan_line(eps * pdf[column].to_numpy(float), keep)})
 
-    zero = panel.groupBy(*keys, "block").applyInPandas(local, f"{fields}, {out} double")
-    if not _many_blocks(panel):
-        return zero
+    zero = durable(panel.groupBy(*keys, "block").applyInPandas(local, f"{fields}, {out} double"))  # read three times
     # powers of a contraction vanish, so a block's end state needs no second pass over rows
     ends = zero.groupBy(*keys, "block").agg(F.max_by(out, "t").alias("s"), F.count(F.lit(1)).alias("m"))
     starts = block_starts(ends, keys, [keep], ["s"])
@@ -88,10 +87,6 @@ def leaky(panel: DataFrame, eps: float, keys=KEYS, column: str = "x", out: str =
     return rows.withColumn(out, F.col(out) + power * F.col("start_s")).drop("start_s", "_t0")
 
 
-def _many_blocks(panel: DataFrame) -> bool:
-    return bool(panel.agg(F.max("block")).first()[0])
-
-
 HOLT_GRID = tuple((a / 10, b / 10) for a in (1, 3, 5, 7, 9) for b in (0, 1, 3, 5))
 
 
@@ -134,8 +129,6 @@ def holt(panel: DataFrame, grid=HOLT_GRID, keys=KEYS, horizon: int = 1) -> DataF
             return pdf.drop(columns=["start"], errors="ignore").assign(f=list(f))
         return one
 
-    if not _many_blocks(panel):
-        return panel.groupBy(*keys, "block").applyInPandas(sweep(False), f"{fields}, f array<double>")
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.schema if f.name in keys)
     ends = panel.groupBy(*keys, "block").applyInPandas(sweep(True), f"{key_fields}, block long, m long, s array<double>")
     step = np.stack([np.array([[1 - a, 1 - a], [-a * b, 1 - a * b]]) for a, b in zip(alphas, betas)])

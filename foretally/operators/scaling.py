@@ -35,7 +35,7 @@ def fit_scaler(labelled: DataFrame, kind: str = "minmax", keys=KEYS, lo: float =
                           F.lit(1.0).alias("span"), F.lit(0.0).alias("offset"))
     if kind == "robust":
         fit_rows = labelled.where("in_fit")
-        q = exact_quantiles(fit_rows, keys, "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, block_rows)
+        q = exact_quantiles(fit_rows, keys, "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
         sizes = labelled.groupBy(*keys).agg(n)
         return sizes.join(q, keys).select(
             *keys, "n", F.col("q2").alias("shift"), one(F.col("q3") - F.col("q1")).alias("scale"),

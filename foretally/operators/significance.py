@@ -25,7 +25,7 @@ def align_suffix(forecasts: DataFrame, keys, block_rows: int = BLOCK_ROWS) -> Da
     """
     keys = list(keys)
     numbered = number_rows(forecasts, [*keys, "model"], [F.col("t").desc()], out="step",
-                           block_rows=block_rows).drop("block")
+                           block_rows=block_rows, stretch=-block_of(F.col("t"), block_rows)).drop("block")
     lengths = (forecasts.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("m"))
                .groupBy(*keys).agg(F.min("m").alias("common")))
     spread = lengths.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("common"), block_rows))))

@@ -5,11 +5,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import BLOCK_ROWS, KEYS, largest_key, sorted_blocks
+from foretally.operators.blocks import KEYS, sorted_blocks
 from foretally.session import durable
 
 
-def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """Wasserstein-1 between the two columns' samples; non-finite predictions dropped.
 
     Values are counted first, then the gap between the two running shares is summed over
@@ -24,8 +24,7 @@ def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pre
     values = (rows.select(*keys, side.alias("s")).select(*keys, "s.*").where("v IS NOT NULL")
               .groupBy(*keys, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     values = durable(values)  # counted, cut, totalled and summed from the same rows
-    sizes = largest_key(values, keys)
-    cut = sorted_blocks(values, keys, ["v"], block_rows, sizes)
+    cut = sorted_blocks(values, keys, ["v"])
     totals = values.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     runs = cut.groupBy(*keys, "run").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("v").alias("v0"))
     before = Window.partitionBy(*keys).orderBy("run")
@@ -64,27 +63,40 @@ def spectral_mse(rollouts: DataFrame, keys) -> DataFrame:
     return rollouts.groupBy(*keys).applyInPandas(one, f"{key_fields}, spectral_mse double")
 
 
-def new_frequency_fraction(rows: DataFrame, base, targets, keys=KEYS, threshold: float = 0.01) -> DataFrame:
+SEGMENT = 4096
+
+
+def new_frequency_fraction(rows: DataFrame, base, targets, keys=KEYS, threshold: float = 0.01, segment: int = SEGMENT) -> DataFrame:
     """Share of the targets' spectral power outside the base columns' support.
 
-    One spectrum per (series, block); a series longer than one block reports the mean of
-    its blocks' fractions, so no task transforms an unbounded series.
+    Power is summed over segments of ``segment`` steps (Welch's estimate without overlap;
+    the last segment is filled up with zeros) for the base and for the targets alike; a
+    series of up to one segment is transformed whole.  The answer depends on ``segment``
+    only, never on how the rows are stored or cut.
     """
     keys, base, targets = list(keys), list(base), list(targets)
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    span = rows.groupBy(*keys).agg(F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_n"))
+    span = span.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / segment))))
+    # every segment of every series, with the series' own start and length
+    edges = span.withColumn("_first", F.col("_t0") + F.col("_cut") * segment)
+    first = rows.groupBy(*keys).agg(F.min("t").alias("_t0"))
+    cut = rows.join(first, keys).withColumn("_cut", F.floor((F.col("t") - F.col("_t0")) / segment)).drop("_t0")
+    placed = cut.select(*keys, "t", "_cut", *dict.fromkeys(base + targets)).join(edges.select(*keys, "_cut", "_n"), [*keys, "_cut"])
 
-    def power(x):
-        return np.abs(np.fft.rfft(x - x.mean(axis=0), axis=0)) ** 2
+    def power(x, n):
+        return np.abs(np.fft.rfft(x - x.mean(axis=0), n=n, axis=0)) ** 2
 
     def one(pdf):
         pdf = pdf.sort_values("t")
-        support = power(pdf[base].to_numpy(float)).sum(axis=1)
-        inside = support > threshold * support.max()
-        p = power(pdf[targets].to_numpy(float))
-        total = p.sum(axis=0)
-        share = np.where(total > 0, p[~inside].sum(axis=0) / np.where(total > 0, total, 1.0), 0.0)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "block": pdf["block"].iloc[0], "fraction": float(share.mean())}])
-
-    each = rows.groupBy(*keys, "block").applyInPandas(one, f"{key_fields}, block long, fraction double")
-    return each.groupBy(*keys).agg(F.avg("fraction").alias("new_frequency_fraction"))
+        n = int(min(pdf["_n"].iloc[0], segment))
+        support, p = power(pdf[base].to_numpy(float), n).sum(axis=1), power(pdf[targets].to_numpy(float), n)
+        out = pd.DataFrame({"bin": np.arange(support.size), "support": support, "power": list(p)})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "bin", "support", "power"]]
+
+    each = placed.groupBy(*keys, "_cut").applyInPandas(one, f"{key_fields}, bin long, support double, power array<double>")
+    bins = each.groupBy(*keys, "bin").agg(F.sum("support").alias("support"), *[F.sum(F.col("power")[i]).alias(f"p{i}") for i in range(len(targets))])
+    # one row per frequency bin: at most segment / 2 + 1 for a series
+    marked = bins.withColumn("outside", F.col("support") <= threshold * F.max("support").over(Window.partitionBy(*keys)))
+    share = [F.coalesce(F.sum(F.when(F.col("outside"), F.col(f"p{i}"))) / F.nullif(F.sum(f"p{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(len(targets))]
+    return marked.groupBy(*keys).agg((sum(share[1:], share[0]) / len(share)).alias("new_frequency_fraction"))

@@ -43,9 +43,9 @@ def scope_of_model():
     return F.when(F.col("model") == "drift", "global").otherwise("train")
 
 
-def dataset_id():
+def dataset_id(system: str = "series_id"):
     return fingerprint(canonical_json({
-        "contract": (F.lit("dataset/v1"), "text"), "system": (F.col("series_id"), "text"),
+        "contract": (F.lit("dataset/v1"), "text"), "system": (F.col(system), "text"),
         "random_seed": (F.col("seed"), "number"), "sample_count": (F.col("n"), "number")}))
 
 

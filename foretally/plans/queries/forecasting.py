@@ -116,7 +116,12 @@ def autoregression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_windows(spark, sf_dir) -> DataFrame:
-    """Vector panel rows with flat delays (tap after tap) and the next state, per segment."""
+    """The train and test rows of ``vector_rows``."""
+    return win.train_and_test(vector_rows(spark, sf_dir), 2, 1, 1)
+
+
+def vector_rows(spark, sf_dir) -> DataFrame:
+    """Vector panel rows with flat delays (tap after tap) and the next state."""
     cols = ["c0", "c1", "c2"]
     panel = vector_panel(spark, sf_dir)
     rows = label_split(panel, split_bounds(panel, washout=20))
@@ -125,7 +130,7 @@ def vector_windows(spark, sf_dir) -> DataFrame:
     nxt = [F.lead(c, 1).over(in_block()).alias(f"y_{c}") for c in cols]
     ahead = ahead.select("*", *nxt).where("home").drop("home")
     flat = [F.col(f"{c}_lags")[j].alias(f"{c}_{j}") for j in range(2) for c in cols]
-    return win.train_and_test(ahead.select("*", *flat), 2, 1, 1)
+    return ahead.select("*", *flat)
 
 
 VECTOR = ("c0", "c1", "c2")
@@ -241,7 +246,7 @@ def elastic_net_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KNN = (f"{_scaled_sql('minmax')}, {q.lagged(2, 1, 1, 'scaled', 'u')}, {q.parts(2)}, "
         "pairs AS (SELECT a.series_id, a.t, a.y AS y_true, b.y AS ny, row_number() OVER (PARTITION BY a.series_id, a.t ORDER BY "
-        "round((a.d0-b.d0)*(a.d0-b.d0) + (a.d1-b.d1)*(a.d1-b.d1), 9), b.t) AS rk FROM parts a JOIN parts b ON a.series_id = b.series_id "
+        "(a.d0-b.d0)*(a.d0-b.d0) + (a.d1-b.d1)*(a.d1-b.d1), b.t) AS rk FROM parts a JOIN parts b ON a.series_id = b.series_id "
         "AND a.part = 'test' AND b.part = 'train')")
 
 
@@ -276,13 +281,15 @@ def closed_loop_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_closed_loop(spark, sf_dir, steps: int = 60) -> DataFrame:
-    rows = vector_windows(spark, sf_dir)
+    rows = vector_rows(spark, sf_dir)
     feats = [F.col(c) for c in VECTOR_IN]
-    fit = ridge_fit_many(rows.where("part = 'train'"), feats, [F.col(f"y_{c}") for c in VECTOR], 1e-6)
-    anchor = rows.where(F.col("t") == F.col("val_end")).select("series_id", "val_end", F.array(*VECTOR_IN).alias("window"))
+    train = win.train_and_test(rows, 2, 1, 1).where("part = 'train'")
+    fit = ridge_fit_many(train, feats, [F.col(f"y_{c}") for c in VECTOR], 1e-6)
+    # the last state before the test rows: a free run sees none of them
+    anchor = rows.where(F.col("t") == F.col("val_end") - 1).select("series_id", "val_end", F.array(*VECTOR_IN).alias("window"))
     runs = roll_out(fit.join(anchor, "series_id"), steps, 2, ["series_id", "val_end"], dims=3)
     truth = rows.select("series_id", "t", *[F.col(f"y_{c}").alias(f"t_{c}") for c in VECTOR])
-    runs = runs.withColumn("t", F.col("val_end") + F.col("step"))
+    runs = runs.withColumn("t", F.col("val_end") - 1 + F.col("step"))  # the row whose next state step 0 forecasts
     return runs.join(truth, ["series_id", "t"]).select(
         "series_id", F.col("step").alias("t"), *[f"t_{c}" for c in VECTOR],
         *[F.col("y_pred")[i].alias(f"p_{c}") for i, c in enumerate(VECTOR)])

@@ -11,7 +11,8 @@ from foretally.operators.quantiles import exact_quantiles
 from foretally.operators.split import split_order_violations
 from foretally.operators.tallies import per_level
 from foretally.plans.catalogue import query, r
-from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, registry_frames, user_results, wide_runs
+from foretally.plans.frames import (CELL, MODELS, cell_forecasts, cell_results, dataset_id, registry_frames, split_id, user_results,
+                                     wide_runs)
 from foretally.plans.models import AXIS_LEVELS, FAMILY
 from foretally.plans.queries import sqltext as q
 from foretally.plans.queries.contract_checks import _CONFIG_RULES, CONFIG_SQL, configs
@@ -72,13 +73,10 @@ def scoreboard(spark, sf_dir) -> DataFrame:
                             "max(CASE WHEN status = 'failed' THEN 'error: score above 1.5' END) AS error_message FROM w GROUP BY 1, 2, 3"))
 def scoreboard_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoreboard rebuilt as registry rows: ids, recoded status and family, finite scores."""
-    board = scoreboard(spark, sf_dir).withColumn("fracs", tx.number_list(F.col("cfg_split_fracs")))
+    board = scoreboard(spark, sf_dir)
     # fixed values: group words of the scoreboard and the registry's family words
     family = F.create_map(*[F.lit(v) for v in ("Statistical", "statistical", "Machine learning", "ml")])
-    did = tx.fingerprint(tx.canonical_json({"contract": (F.lit("dataset/v1"), "text"), "system": (F.col("system"), "text"),
-                                            "random_seed": (F.col("seed"), "number"), "sample_count": (F.col("n"), "number")}))
-    sid = tx.fingerprint(tx.canonical_json({"contract": (F.lit("split/v1"), "text"), "dataset_id": (F.col("dataset_id"), "text"),
-                                            "split_fracs": (F.col("fracs"), "floats"), "scaler_fit_range": (F.col("cfg_scaler_scope"), "text")}))
+    did, sid = dataset_id("system"), split_id(F.col("cfg_scaler_scope"))
     ok = F.col("status") == "ok"
     rows = board.withColumn("dataset_id", did).withColumn("split_id", sid).select(
         "dataset_id", "split_id", F.col("model_key").alias("model"), F.element_at(family, F.col("group")).alias("model_family"),

@@ -1,23 +1,17 @@
 """Table scans and the panels derived from them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import largest_key, number_rows
-
-_SIZES: dict = {}
+from foretally.operators.blocks import number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sizes(spark, sf_dir, label, df, keys):
-    """Largest-key count of a panel source, taken once per application and folder."""
-    slot = (spark.sparkContext.applicationId, sf_dir, label)
-    if slot not in _SIZES:
-        _SIZES[slot] = largest_key(df, keys)
-    return _SIZES[slot]
+def hour(name: str) -> Column:
+    return F.date_trunc("hour", name)
 
 
 def panel_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +19,7 @@ def panel_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("series_id"), "ts", "event_id", F.col("value").alias("x"))
     keys = ["series_id"]
-    sizes = _sizes(spark, sf_dir, "type", rows, keys)
-    return number_rows(rows, keys, ["ts", "event_id"], sizes=sizes).select("series_id", "block", "t", "x")
+    return number_rows(rows, keys, ["ts", "event_id"], stretch=hour("ts")).select("series_id", "block", "t", "x")
 
 
 def panel_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +27,7 @@ def panel_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("series_id"), "ts", "event_id", F.col("value").alias("x"))
     keys = ["series_id"]
-    sizes = _sizes(spark, sf_dir, "user", rows, keys)
-    return number_rows(rows, keys, ["ts", "event_id"], sizes=sizes).select("series_id", "block", "t", "x")
+    return number_rows(rows, keys, ["ts", "event_id"], stretch=hour("ts")).select("series_id", "block", "t", "x")
 
 
 def panel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +36,7 @@ def panel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("series_id"), (F.dayofweek("ts") - 1).cast("long").alias("seed"),
         "ts", "event_id", F.col("value").alias("x"))
     keys = ["series_id", "seed"]
-    sizes = _sizes(spark, sf_dir, "cells", rows, keys)
-    return number_rows(rows, keys, ["ts", "event_id"], sizes=sizes).select(*keys, "block", "t", "x")
+    return number_rows(rows, keys, ["ts", "event_id"], stretch=hour("ts")).select(*keys, "block", "t", "x")
 
 
 def panel_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +46,7 @@ def panel_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("series_id"), *order,
         (F.col("l_extendedprice") / 100000).alias("x"))
     keys = ["series_id"]
-    sizes = _sizes(spark, sf_dir, "supplier", rows, keys)
-    return number_rows(rows, keys, order, sizes=sizes).select("series_id", "block", "t", "x")
+    return number_rows(rows, keys, order, stretch=F.col("l_shipdate")).select("series_id", "block", "t", "x")
 
 
 def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +55,4 @@ def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("day"))
             .agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("x")))
     keys = ["series_id"]
-    sizes = _sizes(spark, sf_dir, "daily", days, keys)
-    return number_rows(days, keys, ["day"], sizes=sizes).select("series_id", "block", "t", "x")
+    return number_rows(days, keys, ["day"], stretch=F.date_trunc("month", "day")).select("series_id", "block", "t", "x")

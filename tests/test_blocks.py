@@ -67,10 +67,9 @@ def test_attach_keeps_every_row_once(panel):
     assert segments == {"train": int(0.6 * n), "validation": int((0.6 + 0.2) * n) - int(0.6 * n), "test": n - int((0.6 + 0.2) * n)}
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 20])
-def test_exact_quantiles(skewed, block_rows):
+def test_exact_quantiles(skewed):
     parts, df = skewed
-    got = exact_quantiles(df, ["series_id"], "x", {"a": 0.25, "b": 0.5, "c": 0.97}, block_rows)
+    got = exact_quantiles(df, ["series_id"], "x", {"a": 0.25, "b": 0.5, "c": 0.97})
     for row in got.collect():
         np.testing.assert_allclose([row["a"], row["b"], row["c"]], np.percentile(parts[row["series_id"]], [25, 50, 97]))
 
@@ -132,3 +131,10 @@ def test_wasserstein_over_slices(spark):
     fb = np.searchsorted(good, z[:-1], side="right") / len(good)
     want = float(np.sum(np.abs(fa - fb) * np.diff(z)))
     assert wasserstein(rows, ["k"]).first()["wasserstein"] == pytest.approx(want)
+
+
+def test_rows_are_numbered_alike_by_stretch_and_by_range(skewed):
+    _, df = skewed
+    whole = number_rows(df, ["series_id"], ["order"])
+    cut = number_rows(df, ["series_id"], ["order"], stretch=F.floor(F.col("order") / 50))
+    assert sorted(map(tuple, whole.select("series_id", "order", "t").collect())) == sorted(map(tuple, cut.select("series_id", "order", "t").collect()))

@@ -66,7 +66,7 @@ def test_neighbours_are_the_brute_force_ones(windows, slice_rows):
         xtr, ytr, xte, _ = numpy_windows(x)
         first_train, first_test = max(10, 2), int((0.6 + 0.2) * len(x))
         for i in (0, 3, len(xte) - 1):
-            d = np.round((xtr[:, 0] - xte[i, 0]) ** 2 + (xtr[:, 1] - xte[i, 1]) ** 2, 9)
+            d = (xte[i, 0] - xtr[:, 0]) ** 2 + (xte[i, 1] - xtr[:, 1]) ** 2
             order = np.lexsort((np.arange(len(d)), d))[:4]
             mine = sorted([r for r in got if r["series_id"] == name and r["t"] == first_test + i], key=lambda r: r["rank"])
             assert [r["nt"] - first_train for r in mine] == list(order)
@@ -133,3 +133,22 @@ def test_rollout_feeds_back_and_freezes(spark):
 
 def test_monomial_count():
     assert len(monomials(taps_of(5), 3)) == 56
+
+
+def test_close_neighbours_are_told_apart(spark):
+    """Ten windows a millionth apart: the nearest are the last ones, not the oldest."""
+    train = spark.createDataFrame([("s", i, float(i), 0.5 + (9 - i) * 1e-6) for i in range(10)], "series_id string, t long, y double, d0 double")
+    test = spark.createDataFrame([("s", 20, 0.0, 0.5)], "series_id string, t long, y double, d0 double")
+    got = sorted(nearest(train, test, ["d0"], 3).collect(), key=lambda r: r["rank"])
+    assert [r["nt"] for r in got] == [9, 8, 7]
+
+
+def test_states_depend_on_the_stated_segment_only(windows):
+    from foretally.operators.reservoir import ReservoirConfig, reservoir_summary
+    _, rows = windows
+    panel = rows.select("series_id", "block", "t", F.col("d0").alias("x"))
+    moved = panel.withColumn("block", F.lit(0).cast("long"))
+    cfg = ReservoirConfig(units=8)
+    brief = lambda df: {r["series_id"]: r["mean_state"] for r in reservoir_summary(df, [1], cfg, warmup=50, segment=32).collect()}
+    one, two = brief(panel), brief(moved)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
