@@ -96,7 +96,7 @@ def right_vectors(rows: DataFrame, inputs, keys, rank: int) -> DataFrame:
     return triangular(rows, inputs, keys).select(*keys, "width", leading("r", "width").alias("v"))
 
 
-def project(features, v, rank: int, width: int):
+def project(features, v, rank: int, width):
     """Rank-r reconstruction of a feature array from the leading vectors (both columns)."""
     def part(i):
         axis = F.slice(v, i * width + 1, width)

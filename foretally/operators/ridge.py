@@ -127,12 +127,34 @@ def gram_in_tasks(rows: DataFrame, inputs, expand, width: int, keys=KEYS) -> Dat
 def add_up(parts: DataFrame, keys) -> DataFrame:
     """Element-wise sum of the tasks' partial sums per key, in two rounds: a key seen by
     every task is first added up in MERGE_WAYS groups."""
-    fold = F.aggregate("p", F.transform(F.element_at("p", 1), lambda v: v * 0.0),
-                       lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b)).alias("sums")
     way = F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)).alias("way")
-    once = (parts.select(*keys, "n", "sums", way).groupBy(*keys, "way")
-            .agg(F.max("n").alias("n"), F.collect_list("sums").alias("p")).select(*keys, "n", fold))
-    return once.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list("sums").alias("p")).select(*keys, "n", fold)
+    once = stream_sums(parts.select(*keys, "n", "sums", way), [*keys, "way"])
+    return stream_sums(once.drop("way"), keys)
+
+
+def stream_sums(parts: DataFrame, keys) -> DataFrame:
+    """(keys, n, sums) added up over sorted partitions with one running sum held per task."""
+    keys = list(keys)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, total = None, 0, None
+
+        def done():
+            return pd.DataFrame([(*last, n, total)], columns=[*keys, "n", "sums"])
+
+        for pdf in batches:
+            for key, n_rows, sums in zip(pdf[keys].itertuples(index=False, name=None), pdf["n"], pdf["sums"]):
+                if key != last:
+                    if last is not None:
+                        yield done()
+                    last, n, total = key, 0, np.zeros(len(sums))
+                n, total = max(n, int(n_rows)), total + np.asarray(sums, float)
+        if last is not None:
+            yield done()
+
+    placed = parts.select(*keys, "n", "sums").repartition(*keys).sortWithinPartitions(*keys)
+    return placed.mapInPandas(run, f"{fields}, n long, sums array<double>")
 
 
 def wide_fit(rows: DataFrame, inputs, expand, width: int, alpha: float = 1e-6, keys=KEYS) -> DataFrame:

@@ -294,8 +294,8 @@ def low_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         F.lit(1).alias("one"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
     basis = right_vectors(rows.where("label < 6"), ["f"], ["one"], 8)
-    width = 64
-    # one row of 8 x 64 numbers: its size is fixed by the feature width, not by the data
+    width = F.size("f")
+    # one row of 8 x width numbers: its size is fixed by the feature width, not by the data
     both = rows.join(F.broadcast(basis.select("one", "v")), "one")
     back = project(F.col("f"), F.col("v"), 8, width)
     err = F.aggregate(F.zip_with(F.col("f"), back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)

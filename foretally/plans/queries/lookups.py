@@ -10,6 +10,7 @@ from foretally.operators.quantiles import exact_quantiles
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, MODELS, cell_results, registry_frames, user_results, wide_runs
 from foretally.plans.queries import sqltext as q
+from foretally.session import durable
 from foretally.sources.files import replace_model_rows
 from foretally.sources.tables import panel_by_type, panel_by_user, table
 
@@ -163,10 +164,10 @@ def nearest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(gap, "event_id").limit(10).select("event_id", r("value").alias("value"), r(gap / 50.0, 9).alias("rel"))
 
 
-@query("L5")
+@query("L5", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props FROM events ORDER BY event_id LIMIT 6")
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of a table, as the preview feature shows them."""
-    return table(spark, sf_dir, "events").limit(6)
+    """The first rows of a table in the order of its key, as the preview feature shows them."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).orderBy("event_id").limit(6)
 
 
 _TWO = ("WITH " + q.CELLS + ", " + q.forecasts() + ", " + q.results() + ", ua AS (SELECT * FROM (" + q.select(q.USER_RESULTS, "SELECT model, nrmse FROM results") + "))")
@@ -200,7 +201,10 @@ def distinct_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_model_per_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = registry_frames(spark, sf_dir)
     rows = f["runs"].where("status = 'success'").join(f["metrics"].where("nrmse IS NOT NULL"), "run_id").join(f["datasets"], "dataset_id")
-    return rows.groupBy("system", "model", "model_family").agg(r(F.median("nrmse")).alias("median_nrmse"), F.count(F.lit(1)).alias("n_runs")).orderBy("system", "median_nrmse")
+    rows, by = durable(rows), ["system", "model", "model_family"]
+    middle = exact_quantiles(rows, by, "nrmse", {"m": 0.5})
+    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"))
+    return counted.join(middle, by).select(*by, r("m").alias("median_nrmse"), "n_runs").orderBy("system", "median_nrmse")
 
 
 @query("A29", q.select(_REG, "SELECT r.model_family, count(*) AS n_runs, count(DISTINCT r.dataset_id) AS n_datasets, round(median(m.nrmse), 6) AS median_nrmse, round(min(m.nrmse), 6) AS best_nrmse FROM runs r JOIN metrics m USING (run_id) WHERE m.nrmse IS NOT NULL GROUP BY 1"))

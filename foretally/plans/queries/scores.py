@@ -8,12 +8,14 @@ from foretally.operators.baselines import baseline_forecasts
 from foretally.operators.matrices import rank_report, residual_power
 from foretally.operators.ridge import gram, solver
 from foretally.operators.scaling import fit_scaler, scale
+from foretally.operators.quantiles import exact_quantiles
 from foretally.operators.spectra import new_frequency_fraction, spectral_mse, wasserstein
 from foretally.operators.split import label_split, split_bounds
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, labelled_types, user_results
 from foretally.plans.queries import sqltext as q
 from foretally.plans.queries.forecasting import VECTOR, closed_loop, scaled_windows, vector_closed_loop, vector_panel
+from foretally.session import durable
 from foretally.sources.tables import panel_by_type, panel_by_user, panel_cells, table
 
 _F, _R, _UR = q.CELL_FORECASTS, q.CELL_RESULTS, q.USER_RESULTS
@@ -381,14 +383,16 @@ def trend_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A40")
 def climate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-run climate per model: prediction time, spectrum, Wasserstein, diverged count."""
-    from foretally.session import durable
     runs = durable(closed_loop(spark, sf_dir))  # four measures read the same roll-outs
     keys = ["series_id", "model"]
     table_ = (metrics.valid_prediction_time(runs, keys)
               .join(spectral_mse(runs, keys), keys).join(wasserstein(runs, keys), keys)
               .join(runs.groupBy(*keys).agg(metrics.diverged().alias("diverged")), keys))
-    return table_.groupBy("model").agg(F.median("vpt_steps").alias("vpt_median"), F.avg("spectral_mse").alias("spectral_mse"),
-                                       F.avg("wasserstein").alias("wasserstein"), F.count_if("diverged").alias("n_diverged"))
+    table_ = durable(table_)
+    means = table_.groupBy("model").agg(F.avg("spectral_mse").alias("spectral_mse"), F.avg("wasserstein").alias("wasserstein"),
+                                        F.count_if("diverged").alias("n_diverged"))
+    middle = exact_quantiles(table_, ["model"], "vpt_steps", {"vpt_median": 0.5})
+    return means.join(middle, "model", "left").select("model", "vpt_median", "spectral_mse", "wasserstein", "n_diverged")
 
 
 @query("A41 J10", q.select(f"{_R}, {_STEP}, v AS (SELECT series_id, seed, model, coalesce(min(CASE WHEN abs(y_pred-y_true)/sd > 2.0 THEN step END), max(m)) AS vpt, "
@@ -398,11 +402,13 @@ def climate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robustness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two aggregates per (system, model) joined: one-step scores and prediction times."""
     fc = cell_forecasts(spark, sf_dir)
-    a = cell_results(spark, sf_dir).groupBy("series_id", "model").agg(F.median("nrmse").alias("nrmse_med"))
+    by = ["series_id", "model"]
+    a = exact_quantiles(cell_results(spark, sf_dir), by, "nrmse", {"nrmse_med": 0.5})
     big = fc.groupBy(*_KEYS).agg((F.max(F.abs("y_pred")) > 1.05 * F.max(F.abs("y_true"))).alias("big"))
     v = metrics.valid_prediction_time(fc, _KEYS, 2.0).join(big, _KEYS)
-    b = v.groupBy("series_id", "model").agg(F.median("vpt_steps").alias("vpt_med"), F.avg(F.col("big").cast("double")).alias("div_frac"))
-    return a.join(b, ["series_id", "model"]).select("series_id", "model", *[r(c).alias(c) for c in ("nrmse_med", "vpt_med", "div_frac")])
+    v = durable(v)
+    b = v.groupBy(*by).agg(F.avg(F.col("big").cast("double")).alias("div_frac")).join(exact_quantiles(v, by, "vpt_steps", {"vpt_med": 0.5}), by)
+    return a.join(b, by).select("series_id", "model", *[r(c).alias(c) for c in ("nrmse_med", "vpt_med", "div_frac")])
 
 
 @query("A43", q.select(f"{_R}, p AS (SELECT series_id, seed, max(CASE WHEN model = 'moving_average' THEN nrmse END) AS a, max(CASE WHEN model = 'persistence' THEN nrmse END) AS b FROM results GROUP BY 1, 2)",
