@@ -71,16 +71,26 @@ def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dm.select(*CELL, "n", r("dm_stat").alias("dm_stat"))
 
 
-@query("T4")
-def diebold_mariano_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sig.with_p(cell_dm(spark, sf_dir)).select(*CELL, "model_i", "model_j", r("dm_stat").alias("dm_stat"), r("dm_pval", 9).alias("dm_pval"))
-
-
 _PAIRS = ("d AS (SELECT a.series_id, a.seed, a.model AS model_i, b.model AS model_j, a.t, a.l - b.l AS d, a.l AS la, b.l AS lb FROM losses a JOIN losses b "
           "ON a.series_id = b.series_id AND a.seed = b.seed AND a.t = b.t AND a.model <> b.model)")
 _ALL = f"{_L}, {_PAIRS}, {_nw(0, keys='series_id, seed, model_i, model_j')}, dm AS (SELECT series_id, seed, model_i, model_j, n, {_dm_sql(0)} AS dm_stat FROM nw)"
 
 
+# two-sided p of Student's t with whole degrees of freedom as finite trigonometric sums
+_TRIG = ("tr AS (SELECT *, n - 1 AS nu, atan(abs(dm_stat) / sqrt(n - 1)) AS th FROM dm), "
+         "tp AS (SELECT * EXCLUDE (nu, th), 1 - CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2) * pow(cos(th), 2 * k) FOR k IN range(nu // 2)]) "
+         "ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2)) * pow(cos(th), 2 * k) FOR k IN range((nu - 1) // 2)]), 0)) END AS dm_pval FROM tr)")
+_SEEDS = ("os AS (SELECT series_id, model_i, model_j, avg(dm_stat) AS mean_dm, median(dm_pval) AS median_p, avg(CASE WHEN dm_pval < 0.05 THEN 1.0 ELSE 0.0 END) AS frac_seeds_sig "
+          "FROM tp GROUP BY 1, 2, 3)")
+_VERDICT = "CASE WHEN median_p < 0.05 THEN 'significant' WHEN median_p > 0.10 THEN 'NOT significant' ELSE 'borderline' END AS verdict"
+_ALL_P = f"{_ALL}, {_TRIG}"
+
+
+@query("T4", q.select(_ALL_P, "SELECT series_id, seed, model_i, model_j, round(dm_stat, 6) + 0.0 AS dm_stat, round(dm_pval, 9) AS dm_pval FROM tp"))
+def diebold_mariano_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.with_p(cell_dm(spark, sf_dir)).select(*CELL, "model_i", "model_j", r("dm_stat").alias("dm_stat"), r("dm_pval", 9).alias("dm_pval"))
+
+
 @query("T5 J8", q.select(_ALL, "SELECT series_id, seed, model_i, model_j, n, round(dm_stat, 6) + 0.0 AS dm_stat FROM dm "
                                "UNION ALL SELECT DISTINCT series_id, seed, model, model, n_test, 0.0::DOUBLE FROM (SELECT series_id, seed, model, count(*) AS n_test FROM forecasts GROUP BY 1, 2, 3)"))
 def all_pairs_dm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +101,7 @@ def all_pairs_dm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dm.unionByName(diagonal)
 
 
-@query("T6")
+@query("T6", q.select(f"{_ALL_P}, {_SEEDS}", "SELECT series_id, model_i, model_j, round(mean_dm, 6) + 0.0 AS mean_dm, round(median_p, 6) AS median_p, round(frac_seeds_sig, 6) AS frac_seeds_sig FROM os"))
 def dm_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sig.over_seeds(sig.with_p(cell_dm(spark, sf_dir)), ["series_id"])
     return got.select("series_id", "model_i", "model_j", *[r(c).alias(c) for c in ("mean_dm", "median_p", "frac_seeds_sig")])
@@ -110,7 +120,9 @@ def dm_statistic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("series_id", "model_i", *[F.coalesce(r(m), F.lit(0.0)).alias(m) for m in MODELS])
 
 
-@query("T7")
+@query("T7", q.select(f"{_ALL_P}, {_SEEDS}, sided AS (SELECT *, list_position({list(MODELS)}, model_i) > list_position({list(MODELS)}, model_j) AS lower_ FROM os)",
+       "SELECT series_id, model_i, " + ", ".join(f"coalesce(round(max(CASE WHEN model_j = '{m}' THEN CASE WHEN lower_ THEN mean_dm ELSE median_p END END), 6), 0) + 0.0 AS {m}" for m in MODELS)
+       + " FROM sided GROUP BY 1, 2"))
 def dm_square_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower triangle the mean statistic, upper triangle the median p, zero diagonal."""
     got = sig.over_seeds(sig.with_p(cell_dm(spark, sf_dir)), ["series_id"])
@@ -132,7 +144,8 @@ def headline_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.join(mid, ["model_i", "model_j"]).select("model_i", "model_j", "dm_min", r("m").alias("dm_median"), "dm_max", "n_tests")
 
 
-@query("T8")
+@query("T8", q.select(_ALL_P, "SELECT model_i, model_j, round(avg(CASE WHEN dm_pval < 0.10 THEN 1.0 ELSE 0.0 END), 6) AS frac_sig_10, round(avg(CASE WHEN dm_pval < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS frac_sig_05, "
+                             "round(median(dm_stat), 6) + 0.0 AS median_dm, round(median(dm_pval), 6) AS median_p FROM tp WHERE model_j = 'moving_average' GROUP BY 1, 2"))
 def headline_pair_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     dm = durable(sig.with_p(cell_dm(spark, sf_dir)).where("model_j = 'moving_average'"))
     by = ["model_i", "model_j"]
@@ -144,13 +157,12 @@ def headline_pair_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*by, "frac_sig_10", "frac_sig_05", r("median_dm").alias("median_dm"), r("median_p").alias("median_p"))
 
 
-@query("T9", q.select(_ALL, "SELECT series_id, seed, model_i, model_j, CASE WHEN exp(-abs(dm_stat)) < 0.05 THEN 'significant' WHEN exp(-abs(dm_stat)) > 0.10 THEN 'NOT significant' ELSE 'borderline' END AS verdict FROM dm"))
+@query("T9", q.select(_ALL_P, "SELECT series_id, seed, model_i, model_j, CASE WHEN dm_pval < 0.05 THEN 'significant' WHEN dm_pval > 0.10 THEN 'NOT significant' ELSE 'borderline' END AS verdict FROM tp"))
 def verdict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict rule, on a p-like score both engines can form from the statistic."""
-    return cell_dm(spark, sf_dir).select(*CELL, "model_i", "model_j", sig.verdict(F.exp(-F.abs("dm_stat"))).alias("verdict"))
+    return sig.with_p(cell_dm(spark, sf_dir)).select(*CELL, "model_i", "model_j", sig.verdict(F.col("dm_pval")).alias("verdict"))
 
 
-@query("T9")
+@query("T9", q.select(f"{_ALL_P}, {_SEEDS}", f"SELECT series_id, model_i, model_j, round(median_p, 6) AS median_p, {_VERDICT} FROM os"))
 def headline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sig.over_seeds(sig.with_p(cell_dm(spark, sf_dir)), ["series_id"])
     return got.select("series_id", "model_i", "model_j", r("median_p").alias("median_p"), sig.verdict(F.col("median_p")).alias("verdict"))
@@ -302,12 +314,11 @@ def log_gap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ci_rows(score_pairs(spark, sf_dir), F.log10("a") - F.log10("b"), "median")
 
 
-# a p-like number both engines can form from the statistic, so the corrections can be checked
-_PLIKE = "pl AS (SELECT series_id, seed, model_i, model_j, dm_stat, exp(-abs(dm_stat)) AS p FROM dm WHERE model_i < model_j)"
+_TESTS = "pl AS (SELECT series_id, seed, model_i, model_j, dm_stat, dm_pval AS p FROM tp WHERE model_i < model_j)"
 
 
-def p_like(spark, sf_dir) -> DataFrame:
-    return cell_dm(spark, sf_dir).where("model_i < model_j").select(*CELL, "model_i", "model_j", "dm_stat", F.exp(-F.abs("dm_stat")).alias("p"))
+def tested_pairs(spark, sf_dir) -> DataFrame:
+    return sig.with_p(cell_dm(spark, sf_dir)).where("model_i < model_j").select(*CELL, "model_i", "model_j", "dm_stat", F.col("dm_pval").alias("p"))
 
 
 def _holm_sql(cap: bool) -> str:
@@ -318,15 +329,15 @@ def _holm_sql(cap: bool) -> str:
     return f"{ranked}, holm AS (SELECT *, {value} AS p_holm FROM rk)"
 
 
-@query("T19 W3", q.select(f"{_ALL}, {_PLIKE}, {_holm_sql(True)}", "SELECT series_id, seed, model_i, model_j, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM holm"))
+@query("T19 W3", q.select(f"{_ALL_P}, {_TESTS}, {_holm_sql(True)}", "SELECT series_id, seed, model_i, model_j, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM holm"))
 def holm_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sig.holm(p_like(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"])
+    got = sig.holm(tested_pairs(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"])
     return got.select(*CELL, "model_i", "model_j", r("p").alias("p"), r("p_holm").alias("p_holm"))
 
 
-@query("T20", q.select(f"{_ALL}, {_PLIKE}, {_holm_sql(False)}", "SELECT series_id, count(*) AS family_size, round(max(p), 6) AS max_raw_p, round(max(p_holm), 6) AS max_adjusted_p, bool_and(p_holm < 0.05) AS all_significant FROM holm GROUP BY 1"))
+@query("T20", q.select(f"{_ALL_P}, {_TESTS}, {_holm_sql(False)}", "SELECT series_id, count(*) AS family_size, round(max(p), 6) AS max_raw_p, round(max(p_holm), 6) AS max_adjusted_p, bool_and(p_holm < 0.05) AS all_significant FROM holm GROUP BY 1"))
 def uncapped_holm_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sig.holm(p_like(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"], cap=False)
+    got = sig.holm(tested_pairs(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"], cap=False)
     return got.groupBy("series_id").agg(F.count(F.lit(1)).alias("family_size"), r(F.max("p")).alias("max_raw_p"), r(F.max("p_holm")).alias("max_adjusted_p"),
                                         F.bool_and(F.col("p_holm") < 0.05).alias("all_significant"))
 
@@ -361,13 +372,21 @@ def mann_whitney_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("p", mann_whitney_p("u", "n1", "n2", "ties"))
 
 
-@query("T22")
+_LOGP = "lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1)"
+
+
+@query("T22", "WITH n AS (SELECT lang, count_if(quality=1 AND toxic=1)::BIGINT AS a, count_if(quality=1 AND toxic=0)::BIGINT AS b, count_if(quality=0 AND toxic=1)::BIGINT AS c, "
+              "count_if(quality=0 AND toxic=0)::BIGINT AS d FROM labels JOIN documents USING (doc_id) GROUP BY 1), "
+              "k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM n), "
+              f"w AS (SELECT *, {_LOGP} - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lp, "
+              f"{_LOGP} - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS seen FROM k) "
+              "SELECT lang, a, b, c, d, round(least(1, sum(CASE WHEN lp <= seen + 1e-7 THEN exp(lp) ELSE 0 END)), 9) AS p FROM w GROUP BY 1, 2, 3, 4, 5")
 def fisher_exact_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality against toxicity, per language of the labelled documents."""
     docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     cell = lambda a, b: F.count_if((F.col("quality") == a) & (F.col("toxic") == b))
     counts = docs.groupBy("lang").agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
-    return counts.withColumn("p", fisher_p("a", "b", "c", "d"))
+    return counts.withColumn("p", r(fisher_p("a", "b", "c", "d"), 9))
 
 
 @query("T22", "SELECT lang, CAST(count_if(quality=1 AND toxic=1) AS BIGINT) AS a, CAST(count_if(quality=1 AND toxic=0) AS BIGINT) AS b, CAST(count_if(quality=0 AND toxic=1) AS BIGINT) AS c, "
@@ -382,19 +401,23 @@ def two_by_two_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT *, CASE WHEN first_worse > first_better THEN 'second' WHEN first_better > first_worse THEN 'first' ELSE 'tied' END AS winner, first_worse = seeds OR first_better = seeds AS unanimous FROM c"))
 def condition_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foretally.operators.tallies import condition_verdicts as verdicts
-    return verdicts(p_like(spark, sf_dir), ["series_id", "model_i", "model_j"])
+    return verdicts(tested_pairs(spark, sf_dir), ["series_id", "model_i", "model_j"])
 
 
-@query("A35", q.select(f"{_ALL}, {_PLIKE}, {_holm_sql(True)}",
+@query("A35", q.select(f"{_ALL_P}, {_TESTS}, {_holm_sql(True)}",
        "SELECT series_id, count(*) AS n_tests, CAST(count_if(dm_stat > 0) AS BIGINT) AS first_worse, CAST(count_if(dm_stat < 0) AS BIGINT) AS first_better, round(count_if(dm_stat > 0) / count(*)::DOUBLE, 6) AS share_worse, "
        "CAST(count_if(p_holm < 0.05) AS BIGINT) AS significant, round(max(p_holm), 6) AS max_adjusted FROM holm GROUP BY 1"))
 def family_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foretally.operators.tallies import family_report as report
-    got = sig.holm(p_like(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"]).groupBy("series_id").agg(*report("p_holm"))
+    got = sig.holm(tested_pairs(spark, sf_dir), ["series_id"], "p", ["seed", "model_i", "model_j"]).groupBy("series_id").agg(*report("p_holm"))
     return got.select("series_id", "n_tests", "first_worse", "first_better", r("share_worse").alias("share_worse"), "significant", r("max_adjusted").alias("max_adjusted"))
 
 
-@query("A42")
+@query("A42", q.select(f"{_R}, losses AS (SELECT *, (y_pred-y_true)^2 AS l FROM forecasts), {_PAIRS}, {_nw(0, keys='series_id, seed, model_i, model_j')}, "
+                       f"dm AS (SELECT series_id, seed, model_i, model_j, n, {_dm_sql(0)} AS dm_stat FROM nw), {_TRIG}, {_SEEDS}, "
+                       "b AS (SELECT series_id, avg(CASE WHEN model = 'moving_average' THEN nrmse END) AS first_nrmse, avg(CASE WHEN model = 'train_mean' THEN nrmse END) AS second_nrmse FROM results GROUP BY 1)",
+                       "SELECT series_id, round(first_nrmse, 6) AS first_nrmse, round(second_nrmse, 6) AS second_nrmse, CASE WHEN first_nrmse < second_nrmse THEN 'moving_average' ELSE 'train_mean' END AS winner, "
+                       f"round(median_p, 6) AS median_p, round(frac_seeds_sig, 6) AS frac_seeds_sig, {_VERDICT} FROM b JOIN os USING (series_id) WHERE model_i = 'moving_average' AND model_j = 'train_mean'"))
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, winner, median p, share significant and verdict of two models per series."""
     a, b = "moving_average", "train_mean"
@@ -402,7 +425,8 @@ def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(F.when(F.col("model") == a, F.col("nrmse"))).alias("first_nrmse"), F.avg(F.when(F.col("model") == b, F.col("nrmse"))).alias("second_nrmse"))
     dm = sig.over_seeds(sig.with_p(cell_dm(spark, sf_dir)), ["series_id"]).where((F.col("model_i") == a) & (F.col("model_j") == b))
     winner = F.when(F.col("first_nrmse") < F.col("second_nrmse"), a).otherwise(b)
-    return board.join(dm, "series_id").select("series_id", "first_nrmse", "second_nrmse", winner.alias("winner"), "median_p", "frac_seeds_sig", sig.verdict(F.col("median_p")).alias("verdict"))
+    return board.join(dm, "series_id").select("series_id", *[r(c).alias(c) for c in ("first_nrmse", "second_nrmse")], winner.alias("winner"),
+                                              *[r(c).alias(c) for c in ("median_p", "frac_seeds_sig")], sig.verdict(F.col("median_p")).alias("verdict"))
 
 
 @query("A42", q.select(f"{_R}, losses AS (SELECT *, (y_pred-y_true)^2 AS l FROM forecasts), {_PAIRS}, {_nw(0, keys='series_id, seed, model_i, model_j')}, dm AS (SELECT series_id, model_i, model_j, {_dm_sql(0)} AS dm_stat FROM nw), "
