@@ -38,7 +38,7 @@ def op5_license_scan(spark, sf_dir):
 
 def op6_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_masked_scoring(spark, sf_dir):
@@ -90,6 +90,58 @@ met AS (
 best AS (
   SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY n_found DESC, window_start) AS turn FROM met WHERE n_found >= 0.8 * n_shingles)
 SELECT doc_id, license, n_found, n_shingles, window_start FROM best JOIN doc USING (rid) WHERE turn = 1""",
+    "op6_quality_rules": f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+triples AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS times
+  FROM (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2))),
+repeated AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS p FROM triples WHERE times > 1) GROUP BY rid),
+base AS (
+  SELECT rid, doc_id, lang, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM doc LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
+chars AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM base),
+class AS (
+  SELECT ch, CASE WHEN ch = chr(0) OR regexp_matches(ch, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]') THEN 1
+    WHEN ch BETWEEN 'a' AND 'z' THEN unicode(ch) - 95 WHEN ch BETWEEN 'A' AND 'Z' THEN unicode(ch) - 63 WHEN ch BETWEEN '0' AND '9' THEN 28
+    WHEN instr('.,;:!?''"()-', ch) > 0 THEN 29 WHEN unicode(ch) < 128 THEN 30 + unicode(ch) % 4
+    WHEN unicode(ch) < 65536 THEN 34 + unicode(lower(ch)) % 6 ELSE 34 + unicode(ch) % 6 END AS s FROM chars WHERE ch <> ''),
+folded AS (SELECT map(list(ch), list(s)) AS m FROM class),
+coded AS (SELECT rid, lang, [0, 0, 0] || [m[c] FOR c IN string_split(text, '')] || [0] AS s FROM base, folded WHERE text <> ''),
+gram AS (
+  SELECT rid, lang, ((s[i - 3] * 40 + s[i - 2]) * 40 + s[i - 1]) * 40 + s[i] AS g
+  FROM (SELECT rid, lang, s, unnest(range(4, len(s) + 1)) AS i FROM coded)),
+c4 AS (SELECT lang, g, count(*) AS c FROM gram GROUP BY ALL),
+c3 AS (SELECT lang, g % 64000 AS g, count(*) AS c FROM c4 GROUP BY ALL),
+c2 AS (SELECT lang, g % 1600 AS g, count(*) AS c FROM c3 GROUP BY ALL),
+c1 AS (SELECT lang, g % 40 AS g, count(*) AS c FROM c2 GROUP BY ALL),
+{", ".join(f"""
+k{n} AS (SELECT lang, count_if(c = 1)::DOUBLE AS n1, count_if(c = 2)::DOUBLE AS n2, count_if(c = 3)::DOUBLE AS n3, count_if(c = 4)::DOUBLE AS n4 FROM c{n} GROUP BY lang),
+d{n} AS (
+  SELECT lang, CASE WHEN least(n1, n2, n3) = 0 THEN [0.5, 0.75, 1.0] ELSE [
+    greatest(0.05, least(0.95, 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1)), greatest(0.05, least(1.95, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2)),
+    greatest(0.05, least(2.95, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3))] END AS d FROM k{n}),
+e{n} AS (SELECT lang, g, c - d[least(c, 3)] AS rest, d[least(c, 3)] AS off, c FROM c{n} JOIN d{n} USING (lang)),
+p{n} AS (
+  SELECT e.lang, e.g, (rest + sum(off) OVER by_context * {"1 / 40::DOUBLE" if n == 1 else "l.p"}) / sum(c) OVER by_context AS p
+  FROM e{n} e {"" if n == 1 else f"JOIN p{n - 1} l ON e.lang = l.lang AND e.g % {40 ** (n - 1)} = l.g"}
+  WINDOW by_context AS (PARTITION BY e.lang, e.g // 40))""" for n in (1, 2, 3, 4))},
+scored AS (SELECT rid, -sum(log2(p)) AS bits FROM gram JOIN p4 USING (lang, g) GROUP BY rid),
+rated AS (SELECT base.*, bits / nullif(n_words, 0) AS rate FROM base LEFT JOIN scored USING (rid)),
+bins AS (SELECT lang, floor(rate * 100) AS bin, count(*) AS c FROM rated WHERE NOT base_failed GROUP BY ALL),
+upto AS (SELECT lang, bin, sum(c) OVER (PARTITION BY lang ORDER BY bin) AS u, sum(c) OVER (PARTITION BY lang) AS a FROM bins),
+quarter AS (
+  SELECT lang, min(CASE WHEN u >= a * 0.25 THEN (bin + 0.5) / 100 END) AS q0, min(CASE WHEN u >= a * 0.5 THEN (bin + 0.5) / 100 END) AS q1,
+    min(CASE WHEN u >= a * 0.75 THEN (bin + 0.5) / 100 END) AS q2 FROM upto GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(rate BETWEEN q1 - greatest(1.5, 12 * (q1 - q0)) AND q1 + greatest(1.5, 12 * (q2 - q1)), FALSE) AS kept
+FROM rated LEFT JOIN quarter USING (lang)""",
     "op8_positional_decontamination": f"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM benchmark),
