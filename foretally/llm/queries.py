@@ -73,6 +73,20 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOTICES = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES.items())
 
 SQL: dict[str, str] = {
+    "op2_jaccard_join": f"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORDS}') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT rid, count(*) AS n FROM shingle GROUP BY rid),
+met AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.rid <> y.rid GROUP BY ALL),
+link AS (
+  SELECT a, b FROM met JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT rid, rid AS other FROM doc UNION SELECT reach.rid, link.b FROM reach JOIN link ON link.a = reach.other),
+named AS (SELECT reach.rid, min(doc.doc_id) AS class_id FROM reach JOIN doc ON doc.rid = reach.other GROUP BY reach.rid),
+counted AS (SELECT a AS rid, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM doc JOIN named USING (rid) LEFT JOIN counted USING (rid)""",
     "op5_license_scan": f"""
 WITH known AS (SELECT license, regexp_extract_all(translate(notice, {LETTERS}), '{WORDS}') AS w FROM (VALUES {NOTICES}) AS v(license, notice)),
 template AS (
