@@ -70,6 +70,56 @@ QUERIES = {f.__name__: f for f in (
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def chat_sql() -> str:
+    """The repair as two recursive walks: cheapest costs forward, the chosen states backward."""
+    names, states = list(chat.ROLES), range(chat.STATES)
+    header = [chat.OPEN.format(name) for name in names]
+    between = [[() if s == g else chat.BETWEEN.get((s, g), ()) for g in range(3)] for s in states]
+    inserted = [[",".join(names[r] for r in put) for put in row] for row in between]
+    opened = [["".join(header[r] + chat.CLOSE for r in put) for put in row] for row in between]
+    closing = [",".join(names[r] for r in chat.ENDING[s]) for s in states]
+    closed = ["".join(header[r] + chat.CLOSE for r in chat.ENDING[s]) for s in states]
+    ending = [chat.INSERT * len(chat.ENDING[s]) for s in states]
+    never = chat.NEVER
+    return f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(nullif(list_position({names}, lower(trim(role))), 0), 4) AS f,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, coalesce(text, '')) AS pos FROM conversations),
+sizes AS (SELECT conv_id, max(pos) AS n FROM turns GROUP BY conv_id),
+ahead AS (
+  SELECT conv_id, 0::BIGINT AS pos, [{never}, {never}, {never}, 0]::BIGINT[] AS best FROM sizes
+  UNION ALL
+  SELECT t.conv_id, t.pos, list_concat([list_min([best[s] + ({chat.STEP.tolist()})[f][s][g] FOR s IN range(1, 5)]) FOR g IN range(1, 4)], [{never}::BIGINT])
+  FROM ahead JOIN turns t ON t.conv_id = ahead.conv_id AND t.pos = ahead.pos + 1),
+walk AS (
+  SELECT conv_id, pos, list_position([best[s] + ({ending})[s] FOR s IN range(1, 5)], list_min([best[s] + ({ending})[s] FOR s IN range(1, 5)])) AS g
+  FROM ahead JOIN sizes USING (conv_id) WHERE pos = n
+  UNION ALL
+  SELECT w.conv_id, w.pos - 1, list_position([b.best[s] + ({chat.STEP.tolist()})[f][s][w.g] = a.best[w.g] FOR s IN range(1, 5)], true)
+  FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.pos = w.pos JOIN ahead a ON a.conv_id = w.conv_id AND a.pos = w.pos
+    JOIN ahead b ON b.conv_id = w.conv_id AND b.pos = w.pos - 1 WHERE w.pos > 0),
+chosen AS (
+  SELECT t.*, n, x.g AS s, y.g AS g, x.g = y.g AS merged FROM turns t JOIN sizes USING (conv_id)
+    JOIN walk x ON x.conv_id = t.conv_id AND x.pos = t.pos - 1 JOIN walk y ON y.conv_id = t.conv_id AND y.pos = t.pos)
+SELECT conv_id, pos - 1 AS position, turn, role, ({names})[g] AS new_role,
+  CASE WHEN f = g THEN CASE WHEN merged THEN 'merge' ELSE 'keep' END WHEN merged THEN 'relabel and merge' ELSE 'relabel' END AS action,
+  ({inserted})[s][g] AS inserted, CASE WHEN pos = n THEN ({closing})[g] ELSE '' END AS closing,
+  CASE WHEN merged THEN {chat.MERGE} ELSE {chat.INSERT} * ({[[len(put) for put in row] for row in between]})[s][g] END
+    + CASE WHEN f = g THEN 0 ELSE {chat.RELABEL} END + CASE WHEN pos = n THEN ({ending})[g] ELSE 0 END AS cost,
+  CASE WHEN merged THEN {quoted(chat.JOINT)} || text ELSE CASE WHEN s = 4 THEN '' ELSE {quoted(chat.CLOSE)} END || {quoted(opened)}[s][g] || {quoted(header)}[g] || text END
+    || CASE WHEN pos = n THEN {quoted(chat.CLOSE)} || {quoted(closed)}[g] ELSE '' END AS piece
+FROM chosen"""
+
+
+def quoted(value) -> str:
+    """A string or a nested list of strings as an SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return "([" + ", ".join(quoted(v) for v in value) + "])"
+
+
 NOTICES = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES.items())
 
 SQL: dict[str, str] = {
@@ -87,6 +137,7 @@ reach AS (SELECT rid, rid AS other FROM doc UNION SELECT reach.rid, link.b FROM
 named AS (SELECT reach.rid, min(doc.doc_id) AS class_id FROM reach JOIN doc ON doc.rid = reach.other GROUP BY reach.rid),
 counted AS (SELECT a AS rid, count(*) AS n_links FROM link GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM doc JOIN named USING (rid) LEFT JOIN counted USING (rid)""",
+    "op4_chat_role_repair": chat_sql(),
     "op5_license_scan": f"""
 WITH known AS (SELECT license, regexp_extract_all(translate(notice, {LETTERS}), '{WORDS}') AS w FROM (VALUES {NOTICES}) AS v(license, notice)),
 template AS (
