@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, map_groups
+from foretally.llm.common import chunks, map_groups, short_batches
 from foretally.llm.shingles import word_hashes
 from foretally.session import durable
 
@@ -54,21 +54,31 @@ class Network:
         self.places, self.given, self.upper, self.lower, self.bias, upper_bias, lower_bias = part
         self.upper_bias, self.lower_bias = upper_bias.reshape(HALF), lower_bias.reshape(HALF, HALF)
 
-    def forward(self, context: np.ndarray, upper: np.ndarray):
-        before = self.places[context].sum(axis=1) + self.bias
-        one, two = np.tanh(before), np.tanh(before + self.given[upper])
-        return one, two, log_softmax(one @ self.upper.T + self.upper_bias), log_softmax(two @ self.lower.T + self.lower_bias[upper])
+    def hidden(self, context: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = self.places.take(context[:, 0], axis=0)
+        for k in range(1, len(PLACES)):
+            before += self.places.take(context[:, k], axis=0)
+        before += self.bias
+        two = np.tanh(before + self.given.take(upper, axis=0))
+        return np.tanh(before, out=before), two
+
+    def logits(self, one: np.ndarray, two: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised log probabilities of both halves, shifted so that none is above 0."""
+        a, b = one @ self.upper.T, two @ self.lower.T
+        a += self.upper_bias
+        b += self.lower_bias.take(upper, axis=0)
+        for z in (a, b):
+            z -= z.max(axis=1, keepdims=True)
+        return a, b
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        upper, lower = np.divmod(token, HALF)
-        _, _, a, b = self.forward(context, upper)
+        halves = np.divmod(token, HALF)
         at = np.arange(token.size)
-        return a[at, upper].astype(np.float64) + b[at, lower]
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        total = np.zeros(token.size)
+        for z, half in zip(self.logits(*self.hidden(context, halves[0]), halves[0]), halves):
+            total += z[at, half]
+            total -= np.log(np.exp(z, out=z).sum(axis=1))
+        return total
 
 
 def initial_weights() -> np.ndarray:
@@ -77,12 +87,20 @@ def initial_weights() -> np.ndarray:
     return weights
 
 
-def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, summed values, times)."""
+def summed(rows: np.ndarray, values: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, summed values, times); a row of ``values`` serves ``each`` rows in turn."""
     order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order]
-    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[heads], np.add.reduceat(values, heads, axis=0), np.diff(np.r_[heads, rows.size])
+    rows = rows[order]
+    first = np.r_[True, rows[1:] != rows[:-1]]
+    heads = np.flatnonzero(first)
+    times = np.diff(np.r_[heads, rows.size])
+    sums = values.take(order[heads] // each, axis=0)
+    again = np.flatnonzero(times > 1)  # most rows occur once in a batch
+    if again.size:
+        members = np.repeat(times > 1, times)
+        starts = np.cumsum(times[again]) - times[again]
+        sums[again] = np.add.reduceat(values.take(order[members] // each, axis=0), starts, axis=0)
+    return rows[heads], sums, times
 
 
 class Trainer:
@@ -95,22 +113,28 @@ class Trainer:
         self.used = np.zeros(ROWS, np.float32)
 
     def move(self, rows: np.ndarray, gradient: np.ndarray, times) -> None:
-        self.squares[rows] += (gradient * gradient).mean(axis=1)
-        self.net.rows[rows] -= RATE * gradient / np.sqrt(self.squares[rows])[:, None]
+        self.squares[rows] += np.einsum("ij,ij->i", gradient, gradient) / WIDTH
+        self.net.rows[rows] -= gradient * (RATE / np.sqrt(self.squares[rows]))[:, None]
         self.used[rows] += times
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
         net, n, at = self.net, token.size, np.arange(token.size)
         upper, lower = np.divmod(token, HALF)
-        one, two, a, b = net.forward(context, upper)
-        ga, gb = np.exp(a), np.exp(b)
-        ga[at, upper] -= 1
-        gb[at, lower] -= 1
-        ga, gb = ga / n, gb / n
+        one, two = net.hidden(context, upper)
+        ga, gb = net.logits(one, two, upper)
+        for g, half in ((ga, upper), (gb, lower)):  # gradient: probabilities less the seen token
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True) * n
+            g[at, half] -= 1 / n
         back_one, back_two = (ga @ net.upper) * (1 - one * one), (gb @ net.lower) * (1 - two * two)
         back = back_one + back_two
-        rows, values, times = summed(context.ravel(), np.repeat(back, len(PLACES), axis=0))
-        given, given_values, given_times = summed(upper, np.concatenate([back_two, gb], axis=1))
+        rows, values, times = summed(context.ravel(), back, len(PLACES))
+        chosen = np.zeros((n, HALF), np.float32)  # adds rows up by upper half as one product
+        chosen[at, upper] = 1
+        given_times = chosen.sum(axis=0)
+        given = np.flatnonzero(given_times)
+        given_times = given_times[given]
+        given_values = (chosen.T @ np.concatenate([back_two, gb], axis=1))[given]
         dense = np.concatenate([ga.T @ one, gb.T @ two, back.sum(axis=0)[None], ga.sum(axis=0).reshape(-1, WIDTH)])
         self.move(rows, values, times)
         self.move(FIRST[1] + given, given_values[:, :WIDTH], given_times)
@@ -207,6 +231,7 @@ def text_score(text: Column, weights: np.ndarray) -> Column:
 def pseudo_likelihood(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``score`` (natural log) and ``mean_score`` of every row, by the
     given weights or by a network trained on these documents."""
+    short_batches(docs.sparkSession)
     weights = train(docs) if weights is None else weights
     scored = docs.select("doc_id", text_score(F.col("text"), weights).alias("s")).select("doc_id", "s.*")
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
