@@ -14,7 +14,15 @@ from foretally.session import durable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # at most so many characters of text are worked on at once inside a task
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+
+
+def short_batches(spark, rows: int = 2000) -> None:
+    """Send texts to Python in batches of at most so many rows (the session's default of
+    10,000 is meant for rows of numbers)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def partitions(spark) -> int:

@@ -8,6 +8,7 @@ strings) is encoded whole by the library.  Results equal the library's on whole
 """
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -42,6 +43,14 @@ def is_clean(unit: str) -> bool:
     return bool(body) and not (body[0].isspace() or body[-1].isspace())
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in that byte-level vocabulary files use for each byte: printable
+    Latin-1 characters stand for themselves, the others for code points from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    others = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library."""
 
@@ -58,6 +67,7 @@ class Encoder:
         # white space inside the tokens: the byte-level form; dropped: the form that splits words off
         self.spaced = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cuts = self.spaced or drops_space(before)
+        self.stand_ins = byte_letters()
         self.cache: dict[str, bytes | None] = {}
         self.tails = dict(zip("\n.,", self.whole(["\n", ".", ","])))
 
@@ -75,11 +85,32 @@ class Encoder:
     def letters(self, body: str) -> bool:
         return body.isalpha() and (self.spaced or body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha())
 
+    def one_word(self, stem: str) -> str | None:
+        """A stem of letters alone as the one pre-token it is, spelt for the library's merge
+        model; the library's splitting and normalising steps would find nothing to do."""
+        bare = stem[1:] if stem[:1] == FIRST else stem
+        if not bare.isalpha():
+            return None
+        if self.spaced:
+            text = bare if bare is not stem else " " + bare
+        else:
+            text = bare.lower()
+            if not bare.isascii() and (max(bare) >= "\u0250" or len(text) != len(bare) or unicodedata.normalize("NFC", bare) != bare):
+                return None
+        return text.encode().decode("latin-1").translate(self.stand_ins)
+
     def learn(self, fresh: list[str]) -> None:
         cut = {u: self.parts_of(u) for u in fresh if not self.spaced or is_clean(u)}
         stems = list({stem for _, stem, _ in cut.values() if stem not in self.cache})
         self.cache.update(dict.fromkeys(u for u in fresh if u not in cut))
-        self.cache.update(zip(stems, self.whole([unit_text(s) if self.spaced else s for s in stems])))
+        words = {s: self.one_word(s) for s in stems} if self.cuts else {}
+        rest = [s for s in stems if not words.get(s)]
+        tokenize = self.library.model.tokenize
+        for stem, word in words.items():
+            if word:
+                ids = [t.id for t in tokenize(word)]
+                self.cache[stem] = struct.pack(f"<{len(ids)}I", *ids)
+        self.cache.update(zip(rest, self.whole([unit_text(s) if self.spaced else s for s in rest])))
         for unit, (broken, stem, tail) in cut.items():
             self.cache[unit] = (self.tails["\n"] if broken else b"") + self.cache[stem] + (self.tails[tail] if tail else b"")
 

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, trim, worker_state
-from foretally.llm.encoding import FIRST, LINE, is_clean, unit_text, units_of
+from foretally.llm.common import chunks, short_batches, trim, worker_state
+from foretally.llm.encoding import FIRST, LINE, byte_letters, is_clean, unit_text, units_of
 
 NONE = np.int64(1) << 40  # above every rank
 SHIFT = np.int64(1) << 20  # above every id
@@ -31,14 +31,6 @@ CACHE_UNITS = 500_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable stand-in that byte-level vocabulary files use for each byte: printable
-    Latin-1 characters stand for themselves, the others for code points from 256 on."""
-    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
-    others = [b for b in range(256) if b not in own]
-    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(others)}}
-
-
 class Merges:
     """Pair ranks as sorted arrays."""
 
@@ -150,6 +142,7 @@ def token_count(text: Column, path: str) -> Column:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` of every row; no shuffle."""
+    short_batches(docs.sparkSession)
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),

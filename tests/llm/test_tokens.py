@@ -21,7 +21,9 @@ TRICKY = ["", " ", "  a", "a  b", "a \n b", "a\n\nb", "a\nb", "\n", "tail ", "ta
 def texts():
     rng = random.Random(7)
     alphabet = list("abcdeß éà09.,'#\n\t ") + [" ", " ", "the", " and", " ", " ", "ing", "'s", "\r\n", "日", "<|endoftext|>"]
-    return TRICKY + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(1500)]
+    letters = "abzABZßÉéñÑçÇøØœŒžŽıİǅŉĸſáü"
+    words = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", ".", ",", "\n"]) for _ in range(12)) for _ in range(300)]
+    return TRICKY + words + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(1500)]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
