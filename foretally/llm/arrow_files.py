@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, partitions
+from foretally.llm.common import chunks, partitions, short_batches
 from foretally.llm.encoding import encoded
 from foretally.session import checkpoint_folder, durable
 
@@ -176,6 +176,7 @@ def write_arrow(docs: DataFrame, vocabulary_path: str, folder: str | None = None
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens": [names[0]], "docs": [names[1]],
                                           "n_tokens": [writer.n_tokens], "n_docs": [n_docs]})
 
+    short_batches(spark)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_seq"))
     ranged = rows.repartitionByRange(partitions(spark), "doc_id", "_seq").sortWithinPartitions("doc_id", "_seq")
     return durable(ranged.select("doc_id", "text").mapInArrow(write, MANIFEST))

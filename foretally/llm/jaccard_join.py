@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, column, map_groups
+from foretally.llm.common import chunks, column, map_groups, short_batches
 from foretally.llm.shingles import mix, shingle_sets
 from foretally.session import durable
 
@@ -268,6 +268,7 @@ def links_of(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def jaccard_join(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Every row with its class: ``row`` (the carried columns), ``class_id``, ``n_links``
     (linked other rows, copies included), ``keeper`` (true for one row of each class)."""
+    short_batches(docs.sparkSession)
     carry = carry or docs.columns
     apart = [] if "text" in carry else [column(docs, "text").alias("text")]
     stored = durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[column(docs, c) for c in carry]).alias("row"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, numbered, stamped
+from foretally.llm.common import chunks, numbered, short_batches, stamped
 from foretally.llm.encoding import encoded
 
 CAPACITY = 2048
@@ -73,6 +73,7 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY)
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 held, row = {k: [] for k in held}, 0
 
+    short_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind))
 
