@@ -67,6 +67,13 @@ def worker_state(key: tuple, make: Callable):
     return home.value
 
 
+def drop_worker_state() -> None:
+    """Let go of what an earlier job left in this Python worker."""
+    home = sys.modules.get("foretally_worker_state")
+    if home is not None:
+        home.key, home.value = None, None
+
+
 def trim(cache: dict, most: int) -> None:
     """Bound a cache: beyond ``most`` entries the half that came last goes.  Frequent units
     are met early, so the half that stays is the useful one."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.llm.common import chunks, column, map_groups, short_batches
+from foretally.llm.common import chunks, column, drop_worker_state, map_groups, short_batches
 from foretally.llm.shingles import mix, shingle_sets
 from foretally.session import durable
 
@@ -70,6 +70,7 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
 def sketch(rows: DataFrame) -> DataFrame:
     """``rows`` (rid, text) -> sketches of all rows that have shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         for batch in batches:
             at = 0
             for texts in chunks(batch.column("text").to_pylist()):
@@ -91,6 +92,7 @@ def sketch(rows: DataFrame) -> DataFrame:
 def shingled(rows: DataFrame) -> DataFrame:
     """``rows`` (rid, signature, text) -> the exact sets: (rid, signature, shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_state()
         for batch in batches:
             at = 0
             for texts in chunks(batch.column("text").to_pylist()):
