@@ -1,6 +1,18 @@
 """Masked pseudo-likelihood: every word predicted from both sides by a small numpy network.
 
-A word's token is its hash in 4,096 values, predicted in two steps of 64.  The network adds
+A word is predicted in two steps: its class (its token: its hash in 4,096 values, predicted
+by the network as two halves of 64), then the word within its class.  The second step rests
+on a count of all words of all documents, so the vocabulary grows with the corpus: a word
+seen ``RARE`` times or more has its share of its class.  Rarer and unknown words share
+what is left and are spelt byte by byte.  The probabilities of all words of a class add up
+to at most 1; a spelt word pays for its spelling among the strings of all classes.  What
+stays fixed are the 4,096 classes, which are also all that the network sees of the words
+around.
+
+The ``HEAD`` most frequent words are looked up inside the tasks, all others by a join on
+the word, so no task and not the driver holds the vocabulary.
+
+The network adds
 an embedding for each of the two words before and after (one table per place), takes tanh,
 and predicts the upper half of the token; with the upper half known it predicts the lower
 half.  A document's score is the sum of its words' conditional log probabilities.
@@ -17,6 +29,7 @@ rows score alike.  With an empty table nothing is trained and no row comes back.
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.llm.common import chunks, map_groups, short_batches
-from foretally.llm.shingles import word_hashes
+from foretally.llm.shingles import FOLDED, IN_WORD, word_hashes
 from foretally.session import durable
 
 HALF = 64  # values of each half of a token
@@ -37,6 +50,10 @@ BATCH = 1024
 RATE = 0.15
 FAN = 64  # task results added up at once
 CHUNK = 512  # weight rows in a piece
+RARE = 3  # words seen fewer times are spelt
+HEAD = 1 << 16  # so many of the most frequent words are looked up inside the tasks
+COUNTED = 1 << 18  # different words a counting task holds before it passes them on
+SMOOTH = 0.1
 
 EDGE = TOKENS  # stands for a word beyond the text's ends
 TABLE = TOKENS + 1
@@ -145,7 +162,10 @@ class Trainer:
 
 def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context rows in the place tables, token, number of the text) of every word."""
-    hashes, owner = word_hashes(texts)
+    return placed(*word_hashes(texts))
+
+
+def placed(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token = (hashes % np.uint64(TOKENS)).astype(np.int64)
     context = np.full((token.size, len(PLACES)), EDGE, np.int64)
     for i, place in enumerate(PLACES):
@@ -208,30 +228,178 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def text_score(text: Column, weights: np.ndarray) -> Column:
-    """Number of tokens and summed log probability of each text."""
+# -- words within their classes ----------------------------------------------------------
+
+class Head(NamedTuple):
+    """What a task needs of the vocabulary, bounded by ``HEAD``, the classes and the bytes."""
+
+    hashes: np.ndarray  # sorted
+    logs: np.ndarray  # log counts
+    total: np.ndarray  # log (1 + occurrences) of each class
+    rare: np.ndarray  # log (1 + occurrences of rare words) of each class
+    spelling: np.ndarray  # log probability of a byte after a byte, 0 at both ends
+
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words, first and last place of each word), words as in ``word_hashes``."""
+    data = np.frombuffer(b"".join(t.encode("utf-8", "surrogatepass") + b" " for t in texts), np.uint8)
+    inside = np.flatnonzero(IN_WORD[data])
+    if not inside.size:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, np.diff(inside) > 1])
+    return (FOLDED[data[inside]] - np.uint64(1)).astype(np.uint8), first, np.r_[first[1:], inside.size] - 1
+
+
+def pairs(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte pair (before x 256 + byte) at every byte, and the pair that ends each word."""
+    before = np.r_[np.zeros(min(data.size, 1), np.int64), data[:-1].astype(np.int64)]
+    before[first] = 0
+    return before * 256 + data, data[last].astype(np.int64) * 256
 
-    @F.pandas_udf("n_tokens long, score double")
+
+def spelt(texts: list[str], spelling: np.ndarray) -> np.ndarray:
+    """Log probability of every word's spelling."""
+    data, first, last = letters(texts)
+    if not first.size:
+        return np.zeros(0)
+    within, end = pairs(data, first, last)
+    return np.add.reduceat(spelling[within], first) + spelling[end]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(hash, word, c): how often each word occurs in all documents."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        names: dict[int, bytes] = {}
+
+        def emit():
+            out = pa.RecordBatch.from_pydict({"hash": pa.array(list(held), pa.int64()), "word": pa.array([names[h] for h in held], pa.binary()),
+                                              "c": pa.array(list(held.values()), pa.int64())})
+            held.clear()
+            names.clear()
+            return out
+
+        for batch in batches:
+            for texts in chunks(batch.column("text").to_pylist()):
+                hashes, at, times = np.unique(word_hashes(texts)[0].view(np.int64), return_index=True, return_counts=True)
+                data, first, last = letters(texts)
+                raw = data.tobytes()
+                for h, a, b, c in zip(hashes.tolist(), first[at].tolist(), last[at].tolist(), times.tolist()):
+                    if h in held:
+                        held[h] += c
+                    else:
+                        held[h], names[h] = c, raw[a:b + 1]
+                if len(held) > COUNTED:
+                    yield emit()
+        if held:
+            yield emit()
+
+    counted = docs.select("text").mapInArrow(count, "hash long, word binary, c long")
+    return counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
+
+
+def spelling_of(known: DataFrame) -> np.ndarray:
+    """Byte after byte in the different words, each word once."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            words = [w for w in batch.column("word").to_pylist() if w]
+            sizes = np.array([len(w) for w in words], np.int64)
+            last = np.cumsum(sizes) - 1
+            for codes in pairs(np.frombuffer(b"".join(words), np.uint8), last + 1 - sizes, last):
+                seen += np.bincount(codes, minlength=seen.size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"pair": at, "c": seen[at]})
+
+    times = np.full(1 << 16, SMOOTH)
+    for row in known.select("word").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        times[row["pair"]] += row["c"]  # at most 65,536 rows
+    table = times.reshape(256, 256)
+    return np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+
+
+def vocabulary(docs: DataFrame) -> tuple[Head, DataFrame]:
+    """The head, and the other words of the vocabulary as (hash, log_c)."""
+    # counts fall into at most some hundred steps of a sixteenth of a power of two
+    known = durable(word_counts(docs).withColumn("step", F.floor(F.log2("c") * 16)))
+    total, rare = np.zeros(TOKENS), np.zeros(TOKENS)
+    by_class = known.groupBy(F.col("hash").bitwiseAND(TOKENS - 1).alias("class"))
+    for row in by_class.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") < RARE, F.col("c")).otherwise(0)).alias("rare")).collect():
+        total[row["class"]], rare[row["class"]] = row["all"], row["rare"]
+    often = known.filter(F.col("c") >= RARE)
+    least, room = None, HEAD
+    for row in sorted(often.groupBy("step").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    top = often.filter(F.col("step") >= least).select("hash", "c").collect() if least is not None else []
+    top.sort()
+    head = Head(np.array([r["hash"] for r in top], np.int64), np.log(np.array([r["c"] for r in top], float)),
+                np.log1p(total), np.log1p(rare), spelling_of(known))
+    tail = often if least is None else often.filter(F.col("step") < least)
+    return head, tail.select("hash", F.log("c").alias("log_c"))
+
+
+def in_class(texts: list[str], hashes: np.ndarray, token: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(in the head or not, log probability within the class as a head or rare word, what
+    a word outside the head that the join finds has to add to its log count)."""
+    of_class = -head.total[token]
+    value = of_class + head.rare[token] + spelt(texts, head.spelling)
+    inside = np.zeros(hashes.size, bool)
+    if head.hashes.size:
+        at = np.minimum(np.searchsorted(head.hashes, hashes), head.hashes.size - 1)
+        inside = head.hashes[at] == hashes
+        value[inside] = head.logs[at[inside]] + of_class[inside]
+    return inside, value, of_class
+
+
+def text_score(text: Column, weights: np.ndarray, head: Head | None = None) -> Column:
+    """Number of tokens and summed log probability of each text: of the words with ``head``,
+    of their classes without.  Words outside the head come as arrays and are not yet in the sum."""
+
+    @F.pandas_udf("n_tokens long, score double, hash array<bigint>, spelt array<double>, share array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = Network(weights)
         for batch in batches:
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            counts, sums, late = [np.zeros(0, np.int64)], [np.zeros(0)], ([], [], [])
             for texts in chunks(batch):
-                context, token, owner = examples(texts)
+                hashes, owner = word_hashes(texts)
+                context, token, owner = placed(hashes, owner)
                 each = np.zeros(token.size)
                 for at in range(0, token.size, 4096):
                     each[at:at + 4096] = net.log_probability(context[at:at + 4096], token[at:at + 4096])
+                outside = np.zeros(0, np.int64)
+                if head is not None:
+                    hashes = hashes.view(np.int64)
+                    inside, value, of_class = in_class(texts, hashes, token, head)
+                    each[inside] += value[inside]
+                    outside = np.flatnonzero(~inside)
+                cuts = np.searchsorted(owner[outside], np.arange(1, len(texts)))
+                for out, values in zip(late, (hashes, value, of_class) if head is not None else (hashes.view(np.int64), each, each)):
+                    out += np.split(values[outside], cuts)
                 counts.append(np.bincount(owner, minlength=len(texts)))
                 sums.append(np.bincount(owner, weights=each, minlength=len(texts)))
-            yield pd.DataFrame({"n_tokens": np.concatenate(counts).astype(np.int64), "score": np.concatenate(sums)})
+            yield pd.DataFrame({"n_tokens": np.concatenate(counts).astype(np.int64), "score": np.concatenate(sums),
+                                "hash": late[0], "spelt": late[1], "share": late[2]})
 
     return score(text)
 
 
-def pseudo_likelihood(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``score`` (natural log) and ``mean_score`` of every row, by the
-    given weights or by a network trained on these documents."""
+def pseudo_likelihood(docs: DataFrame, weights: np.ndarray | None = None, words: tuple[Head, DataFrame] | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``score`` (natural log) and ``mean_score`` of every row, by a
+    network and a vocabulary made of these documents or by the given ones.  Given weights
+    without words score classes only."""
     short_batches(docs.sparkSession)
-    weights = train(docs) if weights is None else weights
-    scored = docs.select("doc_id", text_score(F.col("text"), weights).alias("s")).select("doc_id", "s.*")
-    return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+    if weights is None:
+        weights, words = train(docs), words or vocabulary(docs)
+    head, tail = words or (None, None)
+    scored = docs.select("doc_id", text_score(F.col("text"), weights, head).alias("s")).select("doc_id", "s.*")
+    if tail is not None:
+        scored = durable(scored.withColumn("rid", F.monotonically_increasing_id()))
+        # a word outside the head is rare enough for no task to be full of it
+        late = scored.select("rid", F.explode(F.arrays_zip("hash", "spelt", "share")).alias("w")).select("rid", "w.*")
+        value = F.coalesce(F.col("log_c") + F.col("share"), F.col("spelt"))
+        more = late.join(tail, "hash", "left").groupBy("rid").agg(F.sum(value).alias("more"))
+        scored = scored.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))

@@ -66,3 +66,46 @@ def test_scores_are_sums_of_conditionals_and_odd_rows(spark):
     for (doc, n, score, mean), (d, m, s) in zip(got, sorted(want, key=str)):
         assert (doc, n) == (d, m) and (n > 3 or abs(score - s) < 1e-4) and (mean is None) == (n == 0)
     assert lm.pseudo_likelihood(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_one_class_are_told_apart(spark, monkeypatch):
+    """Made-up words that share a frequent word's hash class score lower than that word, and
+    plausible spellings better than others; the same on both ways to the vocabulary."""
+    of = lambda w: int(lm.examples([w])[1][0])
+    made = next(w for w in (f"zq{i}xj" for i in range(10**6)) if of(w) == of("river"))
+    rows = [(i, "down by the river we go", 1) for i in range(50)] + [(100, f"down by the {made} we go", 1), (101, "down by the river we go", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.pseudo_likelihood(docs).collect()}
+    got = score()
+    assert got[100] < got[101] - 5
+    monkeypatch.setattr(lm, "HEAD", 2)  # most words by the join
+    again = score()
+    assert all(abs(got[k] - again[k]) < 0.5 for k in got)
+
+
+def test_vocabulary_counts_all_words_and_classes_add_up(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(300)), 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(lm, "COUNTED", 100)
+    want = {}
+    for _, text, _ in rows:
+        for w in text.split():
+            want[w] = want.get(w, 0) + 1
+    counted = lm.word_counts(docs).collect()
+    assert {bytes(r["word"]).decode(): r["c"] for r in counted} == want
+    monkeypatch.setattr(lm, "HEAD", 50)
+    head, tail = lm.vocabulary(docs)
+    often = {w for w, c in want.items() if c >= lm.RARE}
+    assert 0 < head.hashes.size <= 50 and head.hashes.size + tail.count() == len(often)
+    late = {r["hash"]: r["log_c"] for r in tail.collect()}
+    sums = np.zeros(lm.TOKENS)
+    for w in want:
+        hashes, owner = lm.word_hashes([w])
+        token = lm.placed(hashes, owner)[1]
+        (inside,), (value,), (share,) = lm.in_class([w], hashes.view(np.int64), token, head)
+        key = int(hashes.view(np.int64)[0])
+        p = np.exp(value if inside else late[key] + share if key in late else value)
+        assert w not in often or abs(p - want[w] / np.exp(head.total[token[0]])) < 1e-9
+        sums[token[0]] += p
+    assert sums.max() <= 1 + 1e-9
