@@ -51,6 +51,20 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+# fixed values: the words that tell a notice from its relatives and from its older versions
+PHRASES = {
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "Apache-2.0 header": "licenses/LICENSE-2.0",
+    "CC-BY-4.0": "CC BY 4.0",
+    "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "CC BY-SA 4.0",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "GPL header": "terms of the GNU General Public License as published",
+    "LGPL header": "terms of the GNU Lesser General Public License as published",
+    "MIT": "the MIT License",
+    "MPL-2.0": "Mozilla Public License, v. 2.0",
+}
+
 
 def shingles_of(text: Column) -> Column:
     """Shingle hashes of a cleaned text in order; none for fewer than three words."""
@@ -79,10 +93,14 @@ def band_values(frame: DataFrame, part: str, keep: list[str]) -> DataFrame:
     return frame.select(*keep, F.explode(values).alias("v")).select(*keep, "v.band", "v.value")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, carry: list[str] | None = None,
+         phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per document and license found: ``row`` (the carried columns), ``license``,
     ``n_found`` and ``n_shingles`` (of the template), ``window_start`` (the word at which the
-    first window that holds it best begins)."""
+    first window that holds it best begins).
+
+    With ``phrases`` a window counts for a template only if it holds the template's phrase
+    word for word; a template without one needs the shingles alone."""
     spark = docs.sparkSession
     known = durable(template_table(spark, templates))
     spans = sorted({r["span"] for r in known.select("span").collect()})
@@ -111,6 +129,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, carry: list[str
                 .select("rid", "license", "window_start", F.size("shingles").alias("n_shingles"),
                         F.size(F.array_intersect("part", "shingles")).alias("n_found"))
                 .filter(F.col("n_found") >= CONTAINED * F.col("n_shingles")))
+    if phrases:
+        told = durable(spark.createDataFrame(list(phrases.items()), "license string, phrase string")
+                       .select("license", shingles_of(cleaned(F.col("phrase"))).alias("phrase")))
+        # all verified windows, not only the best: a relative's notice may hold more shingles than a changed real one
+        placed = verified.join(near.select("rid", "window_start", "span").distinct(), ["rid", "window_start"]).join(
+            known.select("license", "span"), ["license", "span"]).join(told, "license", "left").join(possible.select("rid", "shingles"), "rid")
+        inside = F.slice("shingles", F.col("window_start") + 1, 2 * F.col("span"))
+        starts = F.transform(inside, lambda h, i: F.when(h == F.col("phrase")[0], i + 1))
+        holds = F.exists(starts, lambda i: i.isNotNull() & (F.slice(inside, F.coalesce(i, F.lit(1)), F.size("phrase")) == F.col("phrase")))
+        verified = placed.filter(F.col("phrase").isNull() | holds).select(verified.columns)
     best = (verified.groupBy("rid", "license", "n_shingles")
             .agg(F.max(F.struct("n_found", (-F.col("window_start")).alias("back"))).alias("best"))
             .select("rid", "license", F.col("best.n_found").alias("n_found"), "n_shingles", (-F.col("best.back")).alias("window_start")))

@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from foretally.llm import arrow_files, chat, decontamination, jaccard_join, licenses, masked_lm, packing, quality, sharding, token_counts
+from foretally.session import durable
 from foretally.sources.tables import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +37,16 @@ def op5_license_scan(spark, sf_dir):
     return found.select("row.doc_id", "license", "n_found", "n_shingles", "window_start")
 
 
+def op5_license_names(spark, sf_dir):
+    """The licenses told apart; op5_license_scan and its SQL report every notice that holds enough shingles.
+    Documents without one have a row of nulls."""
+    docs = table(spark, sf_dir, "documents")
+    found = durable(licenses.scan(docs, carry=["doc_id"], phrases=licenses.PHRASES).select("row.doc_id", "license", "n_found", "n_shingles", "window_start"))
+    ids = found.select(F.col("doc_id").alias("with")).distinct()
+    without = docs.select("doc_id").join(ids, F.col("doc_id").eqNullSafe(F.col("with")), "left_anti")
+    return found.unionByName(without, allowMissingColumns=True)
+
+
 def op6_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,7 +76,7 @@ def op10_token_counts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan,
-    op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts)}
+    op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts, op5_license_names)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

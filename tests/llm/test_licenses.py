@@ -68,3 +68,25 @@ def test_empty_table_and_clashing_names(spark):
     assert found(spark, [], OWN) == []
     got = licenses.scan(spark.createDataFrame([(1, "x " + OWN["five"], "mine", 7)], SCHEMA), OWN)
     assert [tuple(r) for r in got.select("row.*").collect()] == [(1, "x " + OWN["five"], "mine", 7)]
+
+
+def test_relatives_and_older_versions_are_told_apart(spark):
+    notices = licenses.TEMPLATES
+    around = " ".join(f"f{i}" for i in range(40))
+    named = lambda text: [(i, f"{around} {t} {around}", "x", i) for i, t in enumerate(text)]
+    got = licenses.scan(spark.createDataFrame(named(notices.values()), SCHEMA), carry=["doc_id"], phrases=licenses.PHRASES)
+    assert sorted((r["row"]["doc_id"], r["license"]) for r in got.collect()) == list(enumerate(notices))
+    others = [notices["GPL-3.0"].replace("version 3", "version 2"), notices["GPL-3.0"].replace("General", "Lesser General"), notices["MPL-2.0"].replace("2.0", "1.1"),
+              notices["LGPL header"].replace("Lesser", "Library"), notices["GPL header"].replace("General", "Affero General"),
+              notices["Apache-2.0"].replace("2.0", "1.1"), notices["CC-BY-NC-4.0"].replace("NC", "NC-SA"), notices["CC-BY-4.0"].replace("4.0", "3.0"),
+              notices["LGPL header"].replace("Lesser", "Library") + " the GNU General Public License, version 3"]
+    got = licenses.scan(spark.createDataFrame(named(others), SCHEMA), carry=["doc_id"], phrases=licenses.PHRASES)
+    assert got.collect() == []
+
+
+def test_a_changed_notice_beside_its_relative_is_found(spark):
+    """The relative holds more of the template's shingles than the changed notice does."""
+    gpl, lgpl = licenses.TEMPLATES["GPL header"], licenses.TEMPLATES["LGPL header"]
+    text = lgpl + " " + " ".join(f"f{i}" for i in range(200)) + " " + gpl.replace("redistribute", "spread")
+    got = licenses.scan(spark.createDataFrame([(1, text, "x", 1)], SCHEMA), carry=["doc_id"], phrases=licenses.PHRASES)
+    assert sorted(r["license"] for r in got.collect()) == ["GPL header", "LGPL header"]
