@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foretally.llm import arrow_files, chat, decontamination, jaccard_join, licenses, masked_lm, packing, quality, sharding, token_counts
+from foretally.llm import (
+    arrow_files, chat, conversations, decontamination, jaccard_join, language_id, licenses, masked_lm, packing, quality, sharding,
+    token_counts, whitening)
 from foretally.session import durable
 from foretally.sources.tables import table
 
@@ -74,11 +76,39 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op11_jacobi_davidson_whitening(spark, sf_dir):
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", components=4, carry=["vec_id"])
+    return made.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "residual")
+
+
+def op12_conversation_structure(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations")
+    return conversations.repair_structure(conversations.damaged(talks), every=talks)
+
+
+def op13_compression_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    model = language_id.learn(docs.where(fold != 1))
+    found = language_id.identify(docs.withColumn("held_out", fold == 1), model, carry=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", F.col("guess").alias("lang_pred"), "score", "narrow")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan,
     op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts, op5_license_names)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+CRC_TABLE = """entries AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t)"""
+
+
+def crc_of(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, with the table of ``CRC_TABLE`` in reach."""
+    return f"""xor(list_reduce(regexp_extract_all(hex({text}), '..'), lambda c, h: xor(c // 256, t[(xor(c % 256,
+      (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1) + 1)::BIGINT]), 4294967295::BIGINT), 4294967295)"""
+
+
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -124,6 +154,64 @@ SELECT conv_id, pos - 1 AS position, turn, role, ({names})[g] AS new_role,
 FROM chosen"""
 
 
+def structure_sql() -> str:
+    """Damage, faults, the cheapest edits from the end, and a walk along them."""
+    def least(options):
+        return "list_min([" + ", ".join(options) + "])"
+
+    def option(base, state, cost, edit):
+        return f"{{'c': {base}[{state + 1}].c + {cost}, 'a': '{edit}' || {base}[{state + 1}].a}}"
+
+    follow, never = conversations.NEXT, 1 << 40
+    plain = [least([option("b", s, conversations.DELETE, "D"),
+                    f"{{'c': b[{follow[s] + 1}].c + CASE WHEN gone THEN {never} ELSE {conversations.REROLE} + extra END, 'a': 'R' || b[{follow[s] + 1}].a}}"]
+                   + [f"{{'c': b[{to + 1}].c + CASE WHEN gone OR ini <> '{letter}' THEN {never} ELSE extra END, 'a': 'K' || b[{to + 1}].a}}"
+                      for (at, letter), to in conversations.KEPT.items() if at == s]) for s in range(4)]
+    insert = [[f"x[{s + 1}]", option("p", follow[s], conversations.INSERT, "I")] for s in range(4)]
+    ending = ", ".join(f"{{'c': {conversations.INSERT * len(c)}::BIGINT, 'a': '{c}'}}" for c in conversations.CLASSES.closing)
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT row_number() OVER () AS rid, coalesce(conv_id::VARCHAR, ' ') AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+{CRC_TABLE},
+cases AS (SELECT rid, {crc_of("k")} % 20 AS c FROM keyed, entries),
+damaged AS (
+  SELECT cid, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed JOIN cases USING (rid))),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS pos,
+    substr(role, 1, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY cid ORDER BY pos) || ini AS pair FROM placed),
+turns AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN {conversations.TRUNCATED} ELSE 0 END AS extra FROM judged),
+sizes AS (SELECT cid, count(*) AS n FROM turns GROUP BY cid),
+ahead AS (
+  SELECT cid, n + 1 AS pos, [{ending}] AS b FROM sizes
+  UNION ALL
+  SELECT cid, pos, [{", ".join(least(i) for i in insert)}] AS b
+  FROM (SELECT cid, pos, x, [{", ".join(least([f"x[{s + 1}]", option("x", follow[s], conversations.INSERT, "I")]) for s in range(4))}] AS p
+    FROM (SELECT t.cid, t.pos, [{", ".join(plain)}] AS x FROM ahead JOIN turns t ON t.cid = ahead.cid AND t.pos = ahead.pos - 1))),
+best AS (SELECT cid, b[1].c AS cost, b[1].a AS audit FROM ahead WHERE pos = 1),
+walk AS (
+  SELECT cid, audit, 0 AS i, 1 AS pos, 0 AS g, NULL::VARCHAR AS line FROM best
+  UNION ALL
+  SELECT cid, audit, i, pos, g, CASE e WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text
+    ELSE ['', 'user', 'assistant'][g] || ':' || CASE e WHEN 'R' THEN text ELSE '' END END
+  FROM (SELECT w.cid, audit, i + 1 AS i, w.pos + (e <> 'I')::INT AS pos, t.role, t.text, e,
+      CASE e WHEN 'D' THEN g WHEN 'K' THEN CASE t.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE {list(follow)}[g + 1] END AS g
+    FROM (SELECT *, substr(audit, i + 1, 1) AS e FROM walk WHERE i < length(audit)) w LEFT JOIN turns t ON t.cid = w.cid AND t.pos = w.pos)),
+spoken AS (SELECT cid, string_agg(line, chr(10) ORDER BY i) AS said FROM walk GROUP BY cid),
+counts AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+    count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY cid),
+every AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS cid FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM every LEFT JOIN counts USING (cid) LEFT JOIN best USING (cid) LEFT JOIN spoken USING (cid)"""
+
+
 def quoted(value) -> str:
     """A string or a nested list of strings as an SQL literal."""
     if isinstance(value, str):
@@ -149,6 +237,7 @@ named AS (SELECT reach.rid, min(doc.doc_id) AS class_id FROM reach JOIN doc ON d
 counted AS (SELECT a AS rid, count(*) AS n_links FROM link GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM doc JOIN named USING (rid) LEFT JOIN counted USING (rid)""",
     "op4_chat_role_repair": chat_sql(),
+    "op12_conversation_structure": structure_sql(),
     "op5_license_scan": f"""
 WITH known AS (SELECT license, regexp_extract_all(translate(notice, {LETTERS}), '{WORDS}') AS w FROM (VALUES {NOTICES}) AS v(license, notice)),
 template AS (
