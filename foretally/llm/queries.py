@@ -96,7 +96,8 @@ def op13_compression_language(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_jaccard_join, op3_arrow_output, op4_chat_role_repair, op5_license_scan,
-    op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts, op5_license_names)}
+    op6_quality_rules, op7_masked_scoring, op8_positional_decontamination, op9_jump_sharding, op10_token_counts,
+    op11_jacobi_davidson_whitening, op12_conversation_structure, op13_compression_language, op5_license_names)}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 CRC_TABLE = """entries AS (
