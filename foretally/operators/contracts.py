@@ -75,7 +75,7 @@ def at_least(name: str, bound: float, closed: bool = True) -> Column:
     return ok & ~F.isnan(c.cast("double"))
 
 
-# execution facts: what a row of each origin must leave empty or must state, and the rule's name
+# fixed values: the execution facts that a row of each origin must leave empty or must state, and the rule's name
 FACTS = (
     ("reconstructed", "empty", ("git_commit", "environment_id", "start_time", "end_time"), "reconstructed row claims execution facts"),
     ("captured", "stated", ("git_commit", "start_time", "end_time"), "captured row lacks execution facts"),

@@ -1,14 +1,14 @@
-"""ML estimators over windows: a ridge estimator object and the MLlib regressors."""
+"""Estimators over windows: a ridge estimator object and regressors by name."""
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.operators.blocks import KEYS
+from foretally.operators.elastic import elastic_fit
 from foretally.operators.ridge import ridge_fit, ridge_predict
 from foretally.operators.split import split_bounds
+from foretally.operators.trees import boosted_forecasts, forest_forecasts
 from foretally.operators.windows import delays, taps_of
 
 
@@ -40,22 +40,22 @@ class PanelRidge(Estimator):
         return PanelRidgeModel(weights.drop("n").join(sizes, self.keys), self.taps, self.keys)
 
 
+# fitting and forecasting by name: (rows with part, features, keys) -> keys, t, y_true, y_pred
 REGRESSORS = {
-    "random_forest": lambda: RandomForestRegressor(featuresCol="z", labelCol="y", predictionCol="y_pred", numTrees=20, maxDepth=6, seed=0),
-    "boosted_trees": lambda: GBTRegressor(featuresCol="z", labelCol="y", predictionCol="y_pred", maxIter=10, maxDepth=4, seed=0),
-    "elastic_net": lambda: LinearRegression(featuresCol="z", labelCol="y", predictionCol="y_pred", elasticNetParam=0.5, regParam=1e-3),
+    "random_forest": forest_forecasts,
+    "boosted_trees": boosted_forecasts,
+    "elastic_net": lambda rows, inputs, keys, **how: _elastic(rows, inputs, keys, **how),
 }
 
 
-def window_regressor(kind: str, inputs) -> Pipeline:
-    """Standardise the window, then fit the named regressor."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(inputs), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True),
-        REGRESSORS[kind]()])
+def _elastic(rows: DataFrame, inputs, keys, **how) -> DataFrame:
+    cols = [F.col(c) for c in inputs]
+    fit = elastic_fit(rows.where("part = 'train'"), cols, F.col("y"), keys=keys, **how)
+    test = ridge_predict(rows.where("part = 'test'"), fit, cols, keys)
+    return test.select(*keys, "t", F.col("y").alias("y_true"), "y_pred")
 
 
-def window_forecasts(rows: DataFrame, kind: str, inputs, keys=KEYS) -> DataFrame:
-    """One model over the whole panel: fitted on the train windows, applied to the test ones."""
-    model = window_regressor(kind, inputs).fit(rows.where("part = 'train'").select(*inputs, "y"))
-    return model.transform(rows.where("part = 'test'")).select(*keys, "t", F.col("y").alias("y_true"), "y_pred")
+def window_forecasts(rows: DataFrame, kind: str, inputs, keys=KEYS, **how) -> DataFrame:
+    """The named regressor, fitted per series on its train windows and applied to its test
+    windows.  Standardising the windows changes no tree, and the elastic net does it itself."""
+    return REGRESSORS[kind](rows, list(inputs), list(keys), **how)

@@ -96,12 +96,12 @@ def registry_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P4", q.select(_REG + _DAMAGED, "SELECT run_id, NOT (provenance_source = 'reconstructed' AND git_commit IS NOT NULL) AS holds FROM damaged"))
 def reconstructed_claims_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return damaged_runs(spark, sf_dir).select("run_id", contracts.reconstructed_rows_claim_nothing().alias("holds"))
+    return damaged_runs(spark, sf_dir).select("run_id", contracts.fact_rules()["reconstructed row claims execution facts"].alias("holds"))
 
 
 @query("P5 X12", q.select(_REG + _DAMAGED, "SELECT run_id, provenance_source, provenance_source <> 'captured' AS holds FROM damaged"))
 def captured_carries_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return damaged_runs(spark, sf_dir).select("run_id", "provenance_source", contracts.captured_rows_carry_provenance().alias("holds"))
+    return damaged_runs(spark, sf_dir).select("run_id", "provenance_source", contracts.fact_rules()["captured row lacks execution facts"].alias("holds"))
 
 
 @query("P6", q.select(q.USER_RESULTS, "SELECT series_id, model, rule FROM (SELECT series_id, model, 'n_features' AS rule FROM results WHERE n_test % 3 = 0 UNION ALL SELECT series_id, model, 'seed' FROM results WHERE CAST(series_id AS BIGINT) < 5)"))

@@ -224,24 +224,58 @@ def theta_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(theta_forecasts(labelled_types(spark, sf_dir)))
 
 
-def _mllib(spark, sf_dir, kind):
-    rows = scaled_windows(spark, sf_dir, 5)
-    return _scored(window_forecasts(rows, kind, [f"d{j}" for j in range(5)]))
+def _by_name(spark, sf_dir, kind, taps: int = 5, **how) -> DataFrame:
+    return window_forecasts(scaled_windows(spark, sf_dir, taps), kind, [f"d{j}" for j in range(taps)], **how)
 
 
 @query("M10 M14")
 def random_forest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mllib(spark, sf_dir, "random_forest")
+    """A forest per series: 200 trees of unlimited depth."""
+    return _scored(_by_name(spark, sf_dir, "random_forest", trees=200))
 
 
 @query("M11 M14")
 def boosted_trees_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mllib(spark, sf_dir, "boosted_trees")
+    """Boosting per series: 300 rounds of trees of four levels."""
+    return _scored(_by_name(spark, sf_dir, "boosted_trees", rounds=300))
 
 
 @query("M12 M14")
 def elastic_net_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mllib(spark, sf_dir, "elastic_net")
+    return _scored(_by_name(spark, sf_dir, "elastic_net"))
+
+
+def stump_sql(taps: int) -> str:
+    """One split of the train rows: at most 256 quantile bins, largest drop of the squared error."""
+    cols = ", ".join(f"({j}, d{j})" for j in range(taps))
+    return (f"{_scaled_sql('minmax')}, {q.lagged(taps, 1, 1, 'scaled', 'u')}, {q.parts(taps)}, "
+            f"long AS (SELECT series_id, t, part, y, f, v FROM parts, LATERAL (VALUES {cols}) AS z(f, v)), "
+            "ranked AS (SELECT series_id, f, v, row_number() OVER (PARTITION BY series_id, f ORDER BY v) AS rk, count(*) OVER (PARTITION BY series_id, f) AS n FROM long WHERE part = 'train'), "
+            "edges AS (SELECT DISTINCT r.series_id, r.f, r.v AS edge FROM ranked r JOIN range(1, 256) k(i) ON r.rk = ceil(i / 256.0 * r.n)), "
+            "whole AS (SELECT series_id, count(*) AS tw, sum(y) AS ts FROM parts WHERE part = 'train' GROUP BY 1), "
+            "cuts AS (SELECT l.series_id, l.f, e.edge, count(*) AS cw, sum(l.y) AS cs FROM long l JOIN edges e ON l.series_id = e.series_id AND l.f = e.f AND l.v <= e.edge WHERE l.part = 'train' GROUP BY 1, 2, 3), "
+            "best AS (SELECT * FROM cuts JOIN whole USING (series_id) WHERE cw < tw QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY cs * cs / cw + (ts - cs) * (ts - cs) / (tw - cw) DESC, f, edge) = 1) "
+            "SELECT l.series_id, l.t, round(l.y, 6) AS y_true, round(CASE WHEN l.v <= edge THEN cs / cw ELSE (ts - cs) / (tw - cw) END, 6) AS y_pred "
+            "FROM long l JOIN best b ON l.series_id = b.series_id AND l.f = b.f WHERE l.part = 'test'")
+
+
+@query("M11 M14", "WITH " + stump_sql(3))
+def boosted_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round with a tree of one split on all rows: boosting small enough for SQL."""
+    got = _by_name(spark, sf_dir, "boosted_trees", 3, rounds=1, depth=1, rate=1.0, share=1.0, penalty=0.0)
+    return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
+
+
+_ONE_TAP = (f"{_scaled_sql('minmax')}, {q.lagged(1, 1, 1, 'scaled', 'u')}, {q.parts(1)}, "
+            "m AS (SELECT series_id, avg(d0) AS mx, stddev_pop(d0) AS sx, avg(y) AS my, covar_pop(d0, y) AS c FROM parts WHERE part = 'train' GROUP BY 1), "
+            "w AS (SELECT *, sign(c) * greatest(abs(c / sx) - 0.005, 0) / (1 + 0.005) / sx AS w FROM m)")
+
+
+@query("M12 M14", q.select(_ONE_TAP, "SELECT series_id, t, round(y, 6) AS y_true, round(my + w * (d0 - mx), 6) AS y_pred FROM parts JOIN w USING (series_id) WHERE part = 'test'"))
+def elastic_net_one_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature: the weight is a soft threshold of its covariance."""
+    got = _by_name(spark, sf_dir, "elastic_net", 1, alpha=0.01)
+    return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
 
 
 _KNN = (f"{_scaled_sql('minmax')}, {q.lagged(2, 1, 1, 'scaled', 'u')}, {q.parts(2)}, "
