@@ -196,7 +196,9 @@ def forecasts_from(pieces: DataFrame, by, keys, width: int, fit, schema: str) ->
     """In each group of ``by`` (train pieces first, at most ``LOCAL`` rows) a model is fitted by
     ``fit(key, x, y, t)`` and then applied to the test pieces as they stream past."""
     by = list(by)
-    dealt = pieces.repartition(*by).sortWithinPartitions(*by, F.desc("part"), "first")
+    # a stated number of partitions: the pieces are small but the work on them is not
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, *by).sortWithinPartitions(*by, F.desc("part"), "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, train, model = None, [], None

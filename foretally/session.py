@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,5 +48,26 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_made: list[str] = []  # the tables written by this process, oldest first
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """Fills the list with the paths of the tables that ``durable`` writes in the block."""
+    before, paths = len(_made), []
+    try:
+        yield paths
+    finally:
+        paths += _made[before:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Give back the space of tables that nothing will read again.  A frame that still refers
+    to one fails with a missing file, it does not lose rows."""
+    for path in paths:
+        spark.createDataFrame([], "released int").coalesce(1).write.mode("overwrite").parquet(path)
