@@ -131,61 +131,21 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all values one after another, length of each) of a binary column without nulls, without copies."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[at[0]:at[-1]], np.diff(at).astype(np.int64)
-
-
 def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The opposite of ``flat``."""
+    """A binary column of values that lie one behind the other, without a loop over them."""
     at = np.r_[0, np.cumsum(sizes)]
     if at[-1] >= 1 << 31:
         return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def coded(docs: DataFrame, vocabulary_path: str, kind: pa.DataType) -> DataFrame:
-    """``doc_id``, ``_seq`` and ``ids`` (in the narrowest type, end id behind them), stored."""
-    narrow, end = np.dtype(kind.to_pandas_dtype()), np.array([END_ID], "<u4").tobytes()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def texts():
-            for batch in batches:
-                at = 0
-                for run in chunks(batch.column("text").to_pylist()):
-                    held.append(batch.select(["doc_id", "_seq"]).slice(at, len(run)))
-                    at += len(run)
-                    yield run
-
-        done: list[bytes] = []
-        for ids in encoded(vocabulary_path, texts()):
-            done.append(ids)
-            if len(done) == held[0].num_rows:
-                rows = held.pop(0)
-                sizes = np.array([len(x) // 4 + 1 for x in done], np.int64) * narrow.itemsize
-                data = np.frombuffer(end.join(done) + end, "<u4").astype(narrow).view(np.uint8)
-                done = []
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), binaries(data, sizes)], names=["doc_id", "_seq", "ids"])
-
-    short_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_seq"))
-    return durable(rows.mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, _seq long, ids binary"))
-
-
 def write_arrow(docs: DataFrame, vocabulary_path: str, folder: str | None = None, length: int = SEQUENCE) -> DataFrame:
-    """Encode and write all documents; returns the manifest, one row per file in order.
-
-    Texts are encoded where they are read; what is sorted and moved are their ids."""
+    """Encode and write all documents; returns the manifest, one row per file in order."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_folder(spark).rstrip('/')}/arrow-{uuid.uuid4().hex}"
     store, inner = filesystem(folder)
     store.create_dir(inner, recursive=True)
-    kind = id_type(vocabulary_size(vocabulary_path))
+    kind, end = id_type(vocabulary_size(vocabulary_path)), np.array([END_ID], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -198,25 +158,38 @@ def write_arrow(docs: DataFrame, vocabulary_path: str, folder: str | None = None
         names = [f"{folder}/{stem}.{x}.arrow" for x in ("tokens", "docs")]
         store, inner = filesystem(folder)
         listed = pa.schema([("doc_id", first.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        narrow, n_docs = np.dtype(kind.to_pandas_dtype()), 0
+        runs: list = []  # ids of the documents of each run of texts on its way
+
+        def texts():
+            for batch in (b for g in ([first], batches) for b in g):
+                at = 0
+                for run in chunks(batch.column("text").to_pylist()):
+                    runs.append(batch.column("doc_id").slice(at, len(run)))
+                    at += len(run)
+                    yield run
+
         with store.open_output_stream(f"{inner}/{stem}.tokens.arrow") as sink, \
                 store.open_output_stream(f"{inner}/{stem}.docs.arrow") as side:
             writer = SequenceWriter(sink, kind, length)
             index = pa.ipc.new_file(side, listed)
-            for batch in (b for g in ([first], batches) for b in g):
-                data, sizes = flat(batch.column("ids"))
-                n = sizes // narrow.itemsize
-                start = writer.n_tokens + np.cumsum(n) - n
-                writer.add(np.frombuffer(data.tobytes(), narrow))
-                index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(start), pa.array(n)], schema=listed))
-                n_docs += n.size
+            n_docs, done = 0, []
+            for ids in encoded(vocabulary_path, texts()):
+                done.append(ids)
+                if len(done) == len(runs[0]):
+                    n = np.array([len(x) // 4 + 1 for x in done], np.int64)
+                    start = writer.n_tokens + np.cumsum(n) - n
+                    writer.add(np.frombuffer(end.join(done) + end, "<u4"))
+                    index.write_batch(pa.record_batch([runs.pop(0), pa.array(start), pa.array(n)], schema=listed))
+                    n_docs, done = n_docs + n.size, []
             writer.close()
             index.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens": [names[0]], "docs": [names[1]],
                                           "n_tokens": [writer.n_tokens], "n_docs": [n_docs]})
 
-    ranged = coded(docs, vocabulary_path, kind).repartitionByRange(partitions(spark), "doc_id", "_seq").sortWithinPartitions("doc_id", "_seq")
-    return durable(ranged.select("doc_id", "ids").mapInArrow(write, MANIFEST))
+    short_batches(spark)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_seq"))
+    ranged = rows.repartitionByRange(partitions(spark), "doc_id", "_seq").sortWithinPartitions("doc_id", "_seq")
+    return durable(ranged.select("doc_id", "text").mapInArrow(write, MANIFEST))
 
 
 def read_documents(manifest: DataFrame, id_kind: str = "long") -> DataFrame:
