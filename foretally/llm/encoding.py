@@ -68,6 +68,7 @@ class Encoder:
         self.spaced = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cuts = self.spaced or drops_space(before)
         self.stand_ins = byte_letters()
+        self.space = self.stand_ins[ord(" ")]
         self.cache: dict[str, bytes | None] = {}
         self.tails = dict(zip("\n.,", self.whole(["\n", ".", ","])))
 
@@ -100,6 +101,31 @@ class Encoder:
         return text.encode().decode("latin-1").translate(self.stand_ins)
 
     def learn(self, fresh: list[str]) -> None:
+        """Ids of new units: plain words here, all others in ``learn_others``."""
+        cache, tails, tokenize, others = self.cache, self.tails, self.library.model.tokenize, []
+        for unit in fresh if self.cuts else ():
+            stem = unit[:-1] if unit[-1:] in (".", ",") else unit
+            if not stem.isalpha() or not (self.spaced or stem.isascii()):
+                others.append(unit)
+                continue
+            ids = cache.get(stem)
+            if ids is None:
+                if not self.spaced:
+                    word = stem.lower()
+                elif stem.isascii():
+                    word = self.space + stem
+                else:
+                    word = (" " + stem).encode().decode("latin-1").translate(self.stand_ins)
+                ids = [t.id for t in tokenize(word)]
+                ids = cache[stem] = struct.pack(f"<{len(ids)}I", *ids)
+            if stem is not unit:
+                cache[unit] = ids + tails[unit[-1]]
+        others = others if self.cuts else fresh
+        if others:
+            self.learn_others(others)
+
+    def learn_others(self, fresh: list[str]) -> None:
+        """Ids of units that are no plain words, in one call; None if a unit cannot stand alone."""
         cut = {u: self.parts_of(u) for u in fresh if not self.spaced or is_clean(u)}
         stems = list({stem for _, stem, _ in cut.values() if stem not in self.cache})
         self.cache.update(dict.fromkeys(u for u in fresh if u not in cut))
