@@ -34,8 +34,8 @@ def scan_line(m: np.ndarray, keep: float, start: float = 0.0) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def block_starts(ends: DataFrame, keys, decay: list, state: list) -> DataFrame:
-    """Chain per-block end states: the state every block starts from.
+def block_starts(ends: DataFrame, keys, decay: list, state: list, carry_along=()) -> DataFrame:
+    """Chain per-block end states: the state every block starts from (``carry_along``: further columns to keep).
 
     ``ends`` has one row per (series, block) with the zero-start end state and the block
     length; the fold below runs over those rows in block order, streamed batch by batch.
@@ -43,8 +43,9 @@ def block_starts(ends: DataFrame, keys, decay: list, state: list) -> DataFrame:
     width = len(state)
     matrix = np.array(decay, dtype=float).reshape(width, width)
     names = list(state)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema if f.name in keys)
-    schema += ", block long, " + ", ".join(f"start_{n} double" for n in names)
+    typed = lambda kept: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema if f.name in kept)
+    carry_along = list(carry_along)
+    schema = f"{typed(keys)}, block long, " + "".join(f"{typed([c])}, " for c in carry_along) + ", ".join(f"start_{n} double" for n in names)
 
     def fold(batches):
         carry, last = None, None
@@ -58,7 +59,7 @@ def block_starts(ends: DataFrame, keys, decay: list, state: list) -> DataFrame:
                     carry, last = np.zeros(width), key
                 out[i] = carry
                 carry = np.linalg.matrix_power(matrix, int(sizes[i])) @ carry + values[i]
-            res = pdf[[*keys, "block"]].copy()
+            res = pdf[[*keys, "block", *carry_along]].copy()
             for j, n in enumerate(names):
                 res[f"start_{n}"] = out[:, j]
             yield res
@@ -77,12 +78,11 @@ def leaky(panel: DataFrame, eps: float, keys=KEYS, column: str = "x", out: str =
         pdf = pdf.sort_values("t")
         return pdf.assign(**{out: scan_line(eps * pdf[column].to_numpy(float), keep)})
 
-    zero = durable(panel.groupBy(*keys, "block").applyInPandas(local, f"{fields}, {out} double"))  # read three times
+    zero = durable(panel.groupBy(*keys, "block").applyInPandas(local, f"{fields}, {out} double"))  # read twice
     # powers of a contraction vanish, so a block's end state needs no second pass over rows
-    ends = zero.groupBy(*keys, "block").agg(F.max_by(out, "t").alias("s"), F.count(F.lit(1)).alias("m"))
-    starts = block_starts(ends, keys, [keep], ["s"])
-    head = zero.groupBy(*keys, "block").agg(F.min("t").alias("_t0"))
-    rows = zero.join(starts.join(head, [*keys, "block"]), [*keys, "block"])
+    ends = zero.groupBy(*keys, "block").agg(F.max_by(out, "t").alias("s"), F.count(F.lit(1)).alias("m"), F.min("t").alias("_t0"))
+    starts = block_starts(ends, keys, [keep], ["s"], ["_t0"])
+    rows = zero.join(starts, [*keys, "block"])
     power = F.pow(F.lit(keep), F.col("t") - F.col("_t0") + 1)
     return rows.withColumn(out, F.col(out) + power * F.col("start_s")).drop("start_s", "_t0")
 

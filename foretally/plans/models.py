@@ -9,7 +9,7 @@ CATALOGUE = (
     ("ar", "statistical", "lookback,washout"),
     ("smoothing", "statistical", "split"),
     ("theta", "statistical", "split"),
-    ("linear", "ml", "scaler,lookback,alpha"),
+    ("linear", "ml", "scaler,scope,split,washout,lookback,horizon,alpha,postprocess"),
     ("knn", "ml", "scaler,lookback"),
     ("random_forest", "ml", "lookback"),
     ("boosted_trees", "ml", "lookback"),
@@ -17,7 +17,8 @@ CATALOGUE = (
     ("poly_delay", "reservoir", "scaler,lookback,stride,alpha"),
     ("normed_poly_delay", "reservoir", "scaler,lookback,stride,alpha"),
     ("random_layer", "reservoir", "scaler,lookback,alpha"),
-    ("recurrent", "reservoir", "scaler,alpha,washout"),
+    ("recurrent", "reservoir", "scaler,alpha,washout,windowing"),
+    ("angle_delay", "reservoir", "horizon,alpha,encoding"),
     ("chebyshev", "reservoir", "scaler,lookback,alpha"),
 )
 FAMILY = {key: family for key, family, _ in CATALOGUE}

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from foretally.operators import windows as win
 from foretally.operators.blocks import KEYS, attach
 from foretally.operators.matrices import project, right_vectors
 from foretally.operators.recursion import leaky
-from foretally.operators.reservoir import ReservoirConfig, reservoir_summary
+from foretally.operators.reservoir import ReservoirConfig, reservoir_map, reservoir_summary, reservoir_weights
 from foretally.operators.scaling import Chain, fit_scaler, make_scaler, scale, unscale
 from foretally.operators.split import label_split, split_bounds, thin
 from foretally.plans.catalogue import query, r
@@ -238,7 +239,27 @@ def recurrent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurrent states of every type series for two seeds, summarised per series."""
     rows = labelled_types(spark, sf_dir)
     scaled = scale(rows, fit_scaler(rows, "minmax"))
-    return reservoir_summary(scaled.select("series_id", "block", "t", "u"), (0, 1), ReservoirConfig(units=30), column="u")
+    return reservoir_summary(scaled.select("series_id", "block", "t", "u"), (0, 1), ReservoirConfig(), column="u")
+
+
+SMALL_STATE = ReservoirConfig(units=2, density=1.0, leak_rate=0.2)
+
+
+def _state_sql() -> str:
+    """Two units driven in order by a recursive query."""
+    w_in, w, _ = reservoir_weights(SMALL_STATE, 0)
+    step = [f"({1 - SMALL_STATE.leak_rate!r}::DOUBLE) * s{i} + ({SMALL_STATE.leak_rate!r}::DOUBLE) * tanh(({float(w_in[i, 0])!r}::DOUBLE) * u + ({float(w[i, 0])!r}::DOUBLE) * s0 + ({float(w[i, 1])!r}::DOUBLE) * s1)" for i in range(2)]
+    return (f"states AS (SELECT series_id, -1::BIGINT AS t, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1 FROM scaled WHERE t = 0 UNION ALL "
+            f"SELECT x.series_id, x.t, {step[0]}, {step[1]} FROM states s JOIN scaled x ON x.series_id = s.series_id AND x.t = s.t + 1)")
+
+
+@query("F19", f"WITH RECURSIVE {_UNIT}, {_state_sql()} SELECT series_id, t, round(s0, 6) + 0.0 AS s0, round(s1, 6) + 0.0 AS s1 FROM states WHERE t >= 0")
+def recurrent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states themselves, of a small reservoir."""
+    rows = _unit_rows(spark, sf_dir, 1)
+    out = lambda pdf, states, _: pd.DataFrame({"series_id": pdf["series_id"].to_numpy(), "t": pdf["t"].to_numpy(), "s0": states[:, 0], "s1": states[:, 1]})
+    got = reservoir_map(rows, [0], out, "series_id string, t long, s0 double, s1 double", SMALL_STATE, columns=["d0"])
+    return got.select("series_id", "t", r("s0").alias("s0"), r("s1").alias("s1"))
 
 
 def _cheb_sql() -> list:

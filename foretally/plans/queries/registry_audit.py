@@ -4,18 +4,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretally.functions import text as tx
-from foretally.operators import audit, contracts, metrics
+from foretally.operators import audit, contracts, lattice, metrics
 from foretally.operators.baselines import baseline_forecasts
 from foretally.operators.grids import linear_grid
 from foretally.operators.quantiles import exact_quantiles
-from foretally.operators.split import split_order_violations
+from foretally.operators.reservoir import reservoir_forecasts
+from foretally.operators.scaling import fit_scaler, scale
+from foretally.operators.split import label_split, split_bounds, split_order_violations
 from foretally.operators.tallies import per_level
+from foretally.operators.windows import delays
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import (CELL, MODELS, cell_forecasts, cell_results, dataset_id, registry_frames, split_id, user_results,
                                      wide_runs)
 from foretally.plans.models import AXIS_LEVELS, FAMILY
 from foretally.plans.queries import sqltext as q
 from foretally.plans.queries.contract_checks import _CONFIG_RULES, CONFIG_SQL, configs
+from foretally.plans.queries.forecasting import _det
 from foretally.plans.queries.lookups import _MATRIX, cell_matrix
 from foretally.plans.queries.scans import scratch
 from foretally.session import durable
@@ -263,26 +267,87 @@ def fault_injection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fault", "caught", (F.col("caught") > 0).alias("detected"))
 
 
+def level_sql(levels) -> str:
+    """CTEs up to ``scored``: every level of at most two features fitted by Cramer's rule, test rows."""
+    keys, ctes, union = "series_id, seed", [q.CELLS], []
+    params = {"minmax": ("min(x)", "max(x) - min(x)"), "standard": ("avg(x)", "stddev_pop(x)"), "identity": ("0.0", "1.0"),
+              "robust": ("quantile_cont(x, 0.5)", "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)")}
+    for i, x in enumerate(levels):
+        shift, scale = params[x.scaler]
+        seen = "TRUE" if x.scope == "global" else f"t >= {x.washout} AND t < te"
+        leak, train = lattice.leak_of(x.postprocess), f"t >= {max(x.washout, x.lookback - 1)} AND t < te - {x.horizon}"
+        shape = {"none": "{d}", "zscore": f"({{d}} - avg(CASE WHEN {train} THEN {{d}} END) OVER k) / stddev_pop(CASE WHEN {train} THEN {{d}} END) OVER k"}.get(
+            x.postprocess, f"pow({1 - (leak or 0)}, t) * sum({leak} * {{d}} * pow({1 - (leak or 0)}, -t)) OVER (k ORDER BY t)")
+        if x.encoding is not None:
+            shape = f"cos({x.encoding} * pi() * {{d}})"
+        f0, f1 = shape.format(d="d0"), shape.format(d="d1") if x.lookback > 1 else "0.0"
+        ctes += [f"b{i} AS (SELECT {keys}, count(*) AS n, floor({x.split[0]}::DOUBLE * count(*)) AS te, floor({x.split[0] + x.split[1]!r}::DOUBLE * count(*)) AS ve FROM series GROUP BY ALL)",
+                 f"p{i} AS (SELECT {keys}, n, te, ve, {shift} AS a, {scale} AS s FROM series JOIN b{i} USING ({keys}) WHERE {seen} GROUP BY ALL)",
+                 f"u{i} AS (SELECT {keys}, t, n, te, ve, (x - a) / s AS d0 FROM series JOIN p{i} USING ({keys}))",
+                 f"w{i} AS (SELECT *, coalesce(lag(d0) OVER k, d0) AS d1, lead(d0, {x.horizon}) OVER k AS y FROM u{i} WINDOW k AS (PARTITION BY {keys} ORDER BY t))"]
+        union.append(f"SELECT '{x.axis}' AS axis, '{x.level}' AS level, '{x.scope}' AS scope, {keys}, {x.alpha!r}::DOUBLE AS alpha, {f0} AS f0, {f1} AS f1, y, "
+                     f"CASE WHEN {train} THEN 'train' WHEN t >= ve AND t < n - {x.horizon} THEN 'test' END AS part FROM w{i} WINDOW k AS (PARTITION BY {keys})")
+    g = [["g00", "g01", "g02"], ["g01", "g11", "g12"], ["g02", "g12", "g22"]]
+    col = lambda k: [[("b" + str(i)) if j == k else g[i][j] for j in range(3)] for i in range(3)]
+    by = f"axis, level, scope, {keys}"
+    ctes += [f"feats AS ({' UNION ALL '.join(union)})",
+             f"sums AS (SELECT {by}, sum(f0*f0) + alpha AS g00, sum(f0*f1) AS g01, sum(f0) AS g02, sum(f1*f1) + alpha AS g11, sum(f1) AS g12, count(*) + alpha AS g22, "
+             f"sum(f0*y) AS b0, sum(f1*y) AS b1, sum(y) AS b2 FROM feats WHERE part = 'train' GROUP BY {by}, alpha)",
+             f"weights AS (SELECT {by}, {_det(col(0))}/{_det(g)} AS w0, {_det(col(1))}/{_det(g)} AS w1, {_det(col(2))}/{_det(g)} AS w2 FROM sums)",
+             f"scored AS (SELECT {by}, count(*) AS n_rows, sqrt(avg((w0*f0 + w1*f1 + w2 - y)^2)) AS rmse, sqrt(avg((w0*f0 + w1*f1 + w2 - y)^2)) / stddev_pop(y) AS nrmse "
+             f"FROM feats JOIN weights USING ({by}) WHERE part = 'test' GROUP BY {by})"]
+    return ", ".join(ctes)
+
+
+# one level of each axis that a fit of two features can show
+SHOWN = lattice.axis_levels({"scaler": ("standard", "robust", "identity"), "scope": ("global",), "split": ((0.8, 0.1, 0.1),), "washout": (50,), "lookback": (1,),
+                             "horizon": (3,), "alpha": (0.01,), "postprocess": ("leaky0.3", "zscore"), "encoding": (1.5,)})
+
+
+@query("X15", q.select(level_sql(SHOWN), "SELECT series_id, seed, axis, level, n_rows, round(rmse, 6) AS rmse, round(nrmse, 6) AS nrmse FROM scored"))
+def axis_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level of every axis, scored per series and seed from sums of products."""
+    got = lattice.sweep(panel_cells(spark, sf_dir), SHOWN, CELL)
+    return got.select(*CELL, "axis", "level", "n_rows", r("rmse").alias("rmse"), r("nrmse").alias("nrmse"))
+
+
 @query("X15")
 def configuration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaler, look-back and penalty levels on the type panel, mean test score per level."""
-    grid = linear_grid(panel_by_type(spark, sf_dir), scalers=AXIS_LEVELS["scaler"], lookbacks=AXIS_LEVELS["lookback"], alphas=AXIS_LEVELS["alpha"])
-    test = grid.where("segment = 'test'")
-    each = F.explode(F.array(F.struct(F.lit("scaler").alias("axis"), F.col("scaler").alias("level")),
-                             F.struct(F.lit("lookback").alias("axis"), F.col("lookback").cast("string").alias("level")),
-                             F.struct(F.lit("alpha").alias("axis"), F.col("alpha").cast("string").alias("level"))))
-    return test.select("nrmse", each.alias("a")).groupBy("a.axis", "a.level").agg(
+    """Every preset level of all ten axes over all seeds: test score per level."""
+    panel = durable(panel_cells(spark, sf_dir))
+    moved = {axis: levels for axis, levels in AXIS_LEVELS.items() if axis != "windowing"}
+    scores = lattice.sweep(panel, lattice.axis_levels(moved), CELL).select("axis", "level", "nrmse")
+    scores = scores.unionByName(windowing_scores(panel))
+    return scores.groupBy("axis", "level").agg(
         F.avg("nrmse").alias("mean"), F.stddev_samp("nrmse").alias("std"), F.min("nrmse").alias("min"), F.max("nrmse").alias("max"))
 
 
-@query("X16")
+def windowing_scores(panel: DataFrame, taps: int = 3) -> DataFrame:
+    """axis, level, nrmse of the recurrent model fed by the series alone (its memory is its state)
+    or by shared delay vectors."""
+    labelled = label_split(panel, split_bounds(panel, CELL, washout=20), CELL)
+    scaled = scale(labelled, fit_scaler(labelled, "minmax", CELL), CELL)
+    rows = durable(delays(scaled, taps, 1, 1, CELL, column="u"))
+    out = None
+    for level, columns in (("internal", ("u",)), ("shared", tuple(f"d{j}" for j in range(taps)))):
+        got = metrics.score(reservoir_forecasts(rows, [0], keys=CELL, columns=columns), list(CELL)).select(
+            F.lit("windowing").alias("axis"), F.lit(level).alias("level"), "nrmse")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+LEAKAGE = lattice.leakage_levels(AXIS_LEVELS["scope"], AXIS_LEVELS["split"], (1e-8, 1e-6, 1e-4, 1e-2))
+
+
+@query("X16", q.select(level_sql(LEAKAGE), "SELECT series_id, seed, round(avg(CASE WHEN scope = 'train' THEN nrmse END), 6) AS train_scope, "
+       "round(avg(CASE WHEN scope = 'global' THEN nrmse END), 6) AS global_scope, round(avg(CASE WHEN scope = 'global' THEN nrmse END) / avg(CASE WHEN scope = 'train' THEN nrmse END), 6) AS global_over_train, "
+       "round(max(nrmse) / min(nrmse), 6) AS artifact_ratio FROM scored WHERE axis = 'leakage' GROUP BY 1, 2"))
 def leakage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scope x split x penalty, test rows, summarised as the leakage study does."""
-    grid = linear_grid(panel_by_type(spark, sf_dir), scopes=AXIS_LEVELS["scope"], splits=AXIS_LEVELS["split"], alphas=(1e-6, 1e-2))
-    test = grid.where("segment = 'test'")
+    """Scope x split x penalty x seed, test rows, summarised as the leakage study does."""
+    test = lattice.sweep(panel_cells(spark, sf_dir), LEAKAGE, CELL).where("axis = 'leakage'")
     mean = lambda s: F.avg(F.when(F.col("scope") == s, F.col("nrmse")))
-    return test.groupBy("series_id").agg(mean("train").alias("train_scope"), mean("global").alias("global_scope"),
-                                         (mean("global") / mean("train")).alias("global_over_train"), (F.max("nrmse") / F.min("nrmse")).alias("artifact_ratio"))
+    return test.groupBy(*CELL).agg(r(mean("train")).alias("train_scope"), r(mean("global")).alias("global_scope"),
+                                   r(mean("global") / mean("train")).alias("global_over_train"), r(F.max("nrmse") / F.min("nrmse")).alias("artifact_ratio"))
 
 
 _SEG = (f"{q.CELLS}, {q.bounds('series_id, seed', 3)}, {q.labelled('series_id, seed')}, {q.lagged(3, keys='series_id, seed')}, "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foretally.operators.blocks import attach, number_rows, running_sums
 from foretally.operators.quantiles import exact_quantiles
 from foretally.operators.recursion import holt, leaky, scan_line
-from foretally.operators.reservoir import ReservoirConfig, _drive, reservoir_map, reservoir_weights
+from foretally.operators.reservoir import ReservoirConfig, drive, reservoir_map, reservoir_weights
 from foretally.operators.spectra import wasserstein
 from foretally.operators.split import label_split, split_bounds
 from foretally.operators.windows import delays
@@ -105,19 +105,33 @@ def test_smoothing_recursion(panel):
             np.testing.assert_allclose([f[i] for f in got[name]], want)
 
 
-@pytest.mark.parametrize("warmup", [60, 2])
-def test_reservoir_blocks_match_one_run(panel, warmup):
-    """A long warm-up passes the edge check; a short one fails it and is driven in order."""
+@pytest.mark.parametrize("leak, radius", [(0.9, 0.2), (0.3, 0.9), (0.05, 0.99)])
+def test_reservoir_blocks_match_one_run(panel, leak, radius):
+    """States equal one run in order, however long the state remembers its start."""
     parts, df = panel
-    cfg = ReservoirConfig(units=8, leak_rate=0.9, spectral_radius=0.2)
+    cfg = ReservoirConfig(units=8, leak_rate=leak, spectral_radius=radius, density=0.5)
 
-    def first_state(pdf, states, _):
-        return pdf[["series_id", "t"]].assign(s=states[:, 0])
+    def two_states(pdf, states, _):
+        return pdf[["series_id", "run_seed", "t"]].assign(s=states[:, 0], z=states[:, 7])
 
-    got = by_series(reservoir_map(df, (3,), first_state, "series_id string, t long, s double", cfg, warmup=warmup), "s")
+    got = reservoir_map(df, (3, 4), two_states, "series_id string, run_seed long, t long, s double, z double", cfg).orderBy("t").collect()
     for name, x in parts.items():
-        want = _drive(x, np.zeros(8), reservoir_weights(cfg, 3), cfg.leak_rate)[:, 0]
-        np.testing.assert_allclose(got[name], want, atol=1e-9)
+        for seed in (3, 4):
+            want = drive(x[:, None], np.zeros(8), reservoir_weights(cfg, seed), cfg.leak_rate)
+            mine = np.array([(r["s"], r["z"]) for r in got if r["series_id"] == name and r["run_seed"] == seed])
+            np.testing.assert_allclose(mine, want[:, [0, 7]], atol=1e-9)
+
+
+def test_reservoir_of_several_channels(panel):
+    parts, df = panel
+    cfg = ReservoirConfig(units=6, leak_rate=0.1, density=0.5, bias_scaling=0.2)
+    rows = df.withColumn("z", F.sin("x"))
+    got = reservoir_map(rows, (1,), lambda pdf, states, _: pdf[["series_id", "t"]].assign(s=states.sum(axis=1)),
+                        "series_id string, t long, s double", cfg, columns=["x", "z"])
+    got = by_series(got, "s")
+    for name, x in parts.items():
+        want = drive(np.c_[x, np.sin(x)], np.zeros(6), reservoir_weights(cfg, 1, 2), cfg.leak_rate).sum(axis=1)
+        np.testing.assert_allclose(got[name], want, atol=1e-8)
 
 
 def test_wasserstein_over_slices(spark):
