@@ -121,8 +121,12 @@ def cogroup_blocks(rows: DataFrame, other: DataFrame, by, fn, schema: str) -> Da
     """Meet two frames group by group of ``by``; ``fn`` gets two pandas frames.
 
     The second frame's columns are renamed on the way in, as both often share a lineage.
+    The number of partitions is stated: groups are few and small in bytes, the work on them
+    is not, so they must not be put together by size.
     """
-    right = other.select(*[F.col(c).alias(f"r_{c}") for c in other.columns])
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *by)
+    right = other.select(*[F.col(c).alias(f"r_{c}") for c in other.columns]).repartition(tasks, *[f"r_{c}" for c in by])
     plain = lambda a, b: fn(a, b.rename(columns=lambda c: c.removeprefix("r_")))
     return (rows.groupBy(*by).cogroup(right.groupBy(*[f"r_{c}" for c in by]))
             .applyInPandas(lambda a, b: plain(a, b), schema))
