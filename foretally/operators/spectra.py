@@ -1,11 +1,10 @@
 """Distribution and spectrum distances."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import KEYS, sorted_blocks
+from foretally.operators.blocks import KEYS, sorted_blocks, spread_join
+from foretally.operators.fourier import power_spectrum
 from foretally.session import durable
 
 
@@ -42,61 +41,23 @@ def wasserstein(rows: DataFrame, keys, truth: str = "y_true", pred: str = "y_pre
         F.when(F.max("nb") == 0, F.lit(inf)).otherwise(F.coalesce(F.sum("w"), F.lit(0.0))).alias("wasserstein"))
 
 
-def _log_power(z: np.ndarray) -> np.ndarray:
-    return np.log10(np.abs(np.fft.rfft(z - z.mean())) ** 2 + 1e-12)
-
-
 def spectral_mse(rollouts: DataFrame, keys) -> DataFrame:
-    """Mean squared gap of the log power spectra of truth and prediction.
-
-    Meant for roll-outs, whose length is the number of steps asked for.
-    """
-    keys = list(keys)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rollouts.schema if f.name in keys)
-
-    def one(pdf):
-        pdf = pdf.sort_values("t")
-        a, b = _log_power(pdf["y_true"].to_numpy(float)), _log_power(pdf["y_pred"].to_numpy(float))
-        row = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "spectral_mse": float(np.mean((a - b) ** 2))}])
-
-    return rollouts.groupBy(*keys).applyInPandas(one, f"{key_fields}, spectral_mse double")
+    """Mean squared gap of the log power spectra of truth and prediction."""
+    log = lambda i: F.log10(F.get("power", F.lit(i)) + 1e-12)
+    bins = power_spectrum(rollouts, ["y_true", "y_pred"], keys)
+    return bins.groupBy(*keys).agg(F.avg(F.pow(log(0) - log(1), 2)).alias("spectral_mse"))
 
 
-SEGMENT = 4096
-
-
-def new_frequency_fraction(rows: DataFrame, base, targets, keys=KEYS, threshold: float = 0.01, segment: int = SEGMENT) -> DataFrame:
-    """Share of the targets' spectral power outside the base columns' support.
-
-    Power is summed over segments of ``segment`` steps (Welch's estimate without overlap;
-    the last segment is filled up with zeros) for the base and for the targets alike; a
-    series of up to one segment is transformed whole.  The answer depends on ``segment``
-    only, never on how the rows are stored or cut.
-    """
+def new_frequency_fraction(rows: DataFrame, base, targets, keys=KEYS, threshold: float = 0.01) -> DataFrame:
+    """Mean over the targets of the share of their spectral power that lies outside the base
+    columns' support: the frequencies where the base's summed power exceeds ``threshold`` of its
+    largest.  Spectra are those of the whole series."""
     keys, base, targets = list(keys), list(base), list(targets)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    span = rows.groupBy(*keys).agg(F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_n"))
-    span = span.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / segment))))
-    # every segment of every series, with the series' own start and length
-    edges = span.withColumn("_first", F.col("_t0") + F.col("_cut") * segment)
-    first = rows.groupBy(*keys).agg(F.min("t").alias("_t0"))
-    cut = rows.join(first, keys).withColumn("_cut", F.floor((F.col("t") - F.col("_t0")) / segment)).drop("_t0")
-    placed = cut.select(*keys, "t", "_cut", *dict.fromkeys(base + targets)).join(edges.select(*keys, "_cut", "_n"), [*keys, "_cut"])
-
-    def power(x, n):
-        return np.abs(np.fft.rfft(x - x.mean(axis=0), n=n, axis=0)) ** 2
-
-    def one(pdf):
-        pdf = pdf.sort_values("t")
-        n = int(min(pdf["_n"].iloc[0], segment))
-        support, p = power(pdf[base].to_numpy(float), n).sum(axis=1), power(pdf[targets].to_numpy(float), n)
-        out = pd.DataFrame({"bin": np.arange(support.size), "support": support, "power": list(p)})
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "bin", "support", "power"]]
-
-    each = placed.groupBy(*keys, "_cut").applyInPandas(one, f"{key_fields}, bin long, support double, power array<double>")
-    bins = each.groupBy(*keys, "bin").agg(F.sum("support").alias("support"), *[F.sum(F.col("power")[i]).alias(f"p{i}") for i in range(len(targets))])
-    # one row per frequency bin: at most segment / 2 + 1 for a series
-    marked = bins.withColumn("outside", F.col("support") <= threshold * F.max("support").over(Window.partitionBy(*keys)))
-    share = [F.coalesce(F.sum(F.when(F.col("outside"), F.col(f"p{i}"))) / F.nullif(F.sum(f"p{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(len(targets))]
+    power = lambda i: F.get("power", F.lit(i))
+    support = sum((power(i) for i in range(1, len(base))), power(0)).alias("support")
+    bins = durable(power_spectrum(rows, [*base, *targets], keys).select(
+        *keys, "bin", support, *[power(len(base) + i).alias(f"p{i}") for i in range(len(targets))]))
+    marked = spread_join(bins, bins.groupBy(*keys).agg(F.max("support").alias("top")), keys, "bin")
+    outside = F.col("support") <= threshold * F.col("top")
+    share = [F.coalesce(F.sum(F.when(outside, F.col(f"p{i}"))) / F.nullif(F.sum(f"p{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(len(targets))]
     return marked.groupBy(*keys).agg((sum(share[1:], share[0]) / len(share)).alias("new_frequency_fraction"))

@@ -17,6 +17,7 @@ from foretally.operators.ridge import ridge_fit, ridge_fit_many, ridge_predict,
 from foretally.operators.rollouts import roll_out
 from foretally.operators.scaling import fit_scaler, scale
 from foretally.operators.smoothing import smoothing_forecasts, theta_forecasts
+from foretally.operators.spectra import spectral_mse
 from foretally.operators.split import label_split, split_bounds
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, cell_forecasts, cell_results, labelled_types
@@ -291,7 +292,7 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
 
 
-def closed_loop(spark, sf_dir, steps: int = 100, taps: int = 3) -> DataFrame:
+def closed_loop(spark, sf_dir, steps: int = 300, taps: int = 3) -> DataFrame:
     """(series_id, model, t, y_true, y_pred): free runs of two models from the test start."""
     rows = labelled_types(spark, sf_dir)
     scaled = scale(rows, fit_scaler(rows, "minmax")).select("series_id", "block", "t", "u", "n", "washout", "train_end", "val_end")
@@ -314,7 +315,7 @@ def closed_loop_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed_loop(spark, sf_dir).select("series_id", "model", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
 
 
-def vector_closed_loop(spark, sf_dir, steps: int = 60) -> DataFrame:
+def vector_closed_loop(spark, sf_dir, steps: int = 300) -> DataFrame:
     rows = vector_rows(spark, sf_dir)
     feats = [F.col(c) for c in VECTOR_IN]
     train = win.train_and_test(rows, 2, 1, 1).where("part = 'train'")
@@ -439,15 +440,36 @@ def theta_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROLL = (f"RECURSIVE {_TWO}, anchor AS (SELECT l.series_id, l.val_end, l.d0, l.d1, w0, w1, w2 FROM lagged l JOIN weights USING (series_id) WHERE t = val_end - 1), "
          "roll AS (SELECT series_id, val_end, w0, w1, w2, 0 AS step, w0*d0 + w1*d1 + w2 AS p, d0 AS prev FROM anchor UNION ALL "
-         "SELECT series_id, val_end, w0, w1, w2, step + 1, w0*p + w1*prev + w2, p FROM roll WHERE step < 39)")
+         "SELECT series_id, val_end, w0, w1, w2, step + 1, w0*p + w1*prev + w2, p FROM roll WHERE step < 299)")
 
 
 @query("M15 M16", q.select(_ROLL, "SELECT series_id, step, round(p, 6) AS y_pred FROM roll"))
 def linear_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty steps of a two-tap linear model fed with its own forecasts."""
+    """Three hundred steps of a two-tap linear model fed with its own forecasts."""
+    got, _ = rolled(spark, sf_dir)
+    return got.select("series_id", "step", r("y_pred").alias("y_pred"))
+
+
+def rolled(spark, sf_dir, steps: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(series_id, val_end, step, y_pred) and the scaled series."""
     rows = labelled_types(spark, sf_dir)
     lagged = win.delays(scale(rows, fit_scaler(rows, "minmax")), 2, 1, 1, column="u")
     fit = ridge_fit(win.train_and_test(lagged, 2, 1, 1).where("part = 'train'"), win.taps_of(2), F.col("y"), 1e-6)
-    anchor = lagged.where(F.col("t") == F.col("val_end") - 1).select("series_id", F.array("d0", "d1").alias("window"))
-    got = roll_out(fit.join(anchor, "series_id"), 40, 2, ["series_id"])
-    return got.select("series_id", "step", r("y_pred").alias("y_pred"))
+    anchor = lagged.where(F.col("t") == F.col("val_end") - 1).select("series_id", "val_end", F.array("d0", "d1").alias("window"))
+    return roll_out(fit.join(anchor, "series_id"), steps, 2, ["series_id", "val_end"]), lagged
+
+
+# truth and forecast of the first steps side by side, then sums of cosines and sines
+_SPECTRA = (f"{_ROLL}, ran AS (SELECT r.series_id, step, s.u AS a, p AS b, count(*) OVER (PARTITION BY r.series_id) AS n FROM roll r JOIN scaled s ON s.series_id = r.series_id AND s.t = r.val_end + step), "
+            "mid AS (SELECT series_id, step, n, a - avg(a) OVER k AS a, b - avg(b) OVER k AS b FROM ran WINDOW k AS (PARTITION BY series_id)), "
+            "waves AS (SELECT series_id, a, b, k, cos(2 * pi() * ((k * step) % n) / n) AS c, sin(2 * pi() * ((k * step) % n) / n) AS s FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM mid)), "
+            "bins AS (SELECT series_id, k, log10(pow(sum(a * c), 2) + pow(sum(a * s), 2) + 1e-12) AS pa, log10(pow(sum(b * c), 2) + pow(sum(b * s), 2) + 1e-12) AS pb FROM waves GROUP BY 1, 2)")
+
+
+@query("A15", q.select(_SPECTRA, "SELECT series_id, round(avg(pow(pa - pb, 2)), 3) AS spectral_mse FROM bins GROUP BY 1"))
+def linear_spectrum_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log spectra of the free-running linear model and of what came."""
+    runs, lagged = rolled(spark, sf_dir)
+    both = runs.withColumn("t", F.col("val_end") + F.col("step")).join(lagged.select("series_id", "t", F.col("u").alias("y_true")), ["series_id", "t"])
+    got = spectral_mse(both, ["series_id"])
+    return got.select("series_id", r("spectral_mse", 3).alias("spectral_mse"))

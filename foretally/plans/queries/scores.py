@@ -14,6 +14,7 @@ from foretally.operators.split import label_split, split_bounds
 from foretally.plans.catalogue import query, r
 from foretally.plans.frames import CELL, MODELS, cell_forecasts, cell_results, labelled_types, user_results
 from foretally.plans.queries import sqltext as q
+from foretally.plans.queries.feature_steps import _scaled_sql
 from foretally.plans.queries.forecasting import VECTOR, closed_loop, scaled_windows, vector_closed_loop, vector_panel
 from foretally.session import durable
 from foretally.sources.tables import panel_by_type, panel_by_user, panel_cells, table
@@ -227,10 +228,23 @@ def residual_power_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_power(_base_and_products(spark, sf_dir), ["d0", "d1"], ["p01", "p00"], ["series_id"])
 
 
-@query("A21")
+_BINS = (f"{_scaled_sql('minmax')}, {q.lagged(2, 1, 0, 'scaled', 'u')}, "
+         "mid AS (SELECT series_id, t, count(*) OVER k AS n, d0 - avg(d0) OVER k AS a, d1 - avg(d1) OVER k AS b, d0 * d1 - avg(d0 * d1) OVER k AS c, d0 * d0 - avg(d0 * d0) OVER k AS d "
+         "FROM lagged WINDOW k AS (PARTITION BY series_id)), "
+         "waves AS (SELECT series_id, k, a, b, c, d, cos(2 * pi() * ((k * t) % n) / n) AS x, sin(2 * pi() * ((k * t) % n) / n) AS y FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM mid)), "
+         "bins AS (SELECT series_id, k, pow(sum(a * x), 2) + pow(sum(a * y), 2) + pow(sum(b * x), 2) + pow(sum(b * y), 2) AS base, "
+         "pow(sum(c * x), 2) + pow(sum(c * y), 2) AS pc, pow(sum(d * x), 2) + pow(sum(d * y), 2) AS pd FROM waves GROUP BY 1, 2), "
+         "marked AS (SELECT *, base <= 0.01 * max(base) OVER (PARTITION BY series_id) AS outside FROM bins)")
+
+
+@query("A21", q.select(_BINS, "SELECT series_id, round((sum(CASE WHEN outside THEN pc ELSE 0 END) / sum(pc) + sum(CASE WHEN outside THEN pd ELSE 0 END) / sum(pd)) / 2, 6) AS new_frequency_fraction FROM marked GROUP BY 1"))
 def new_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the product features' spectral power outside the taps' support."""
-    return new_frequency_fraction(_base_and_products(spark, sf_dir), ["d0", "d1"], ["p01", "p00"])
+    """Share of the product features' spectral power outside the taps' support, whole series."""
+    rows = labelled_types(spark, sf_dir)
+    lagged = win.delays(scale(rows, fit_scaler(rows, "minmax")), 2, column="u")
+    feats = lagged.select("series_id", "t", "d0", "d1", (F.col("d0") * F.col("d1")).alias("p01"), (F.col("d0") * F.col("d0")).alias("p00"))
+    got = new_frequency_fraction(feats, ["d0", "d1"], ["p01", "p00"])
+    return got.select("series_id", r("new_frequency_fraction").alias("new_frequency_fraction"))
 
 
 _MED = "med AS (SELECT series_id, seed, model, median(nrmse) AS m FROM results GROUP BY 1, 2, 3)"
