@@ -1,27 +1,69 @@
 """Bootstraps whose draws are a function of (seed, resample, position).
 
 The draws come from a hash, so every executor makes its own and a recomputed task makes
-the same ones.  ``draw`` may be replaced by any expression of the same three columns.
+the same ones.  ``draw`` may be replaced by any other function of the same three numbers.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretally.operators.blocks import BLOCK_ROWS, block_of, sums_over
+from foretally.operators.blocks import BLOCK_ROWS, block_of, cogroup_blocks, sorted_blocks, spread_join
+from foretally.operators.ridge import add_up
+from foretally.session import durable
+
+CELLS = 1 << 20  # numbers of a resample table held at once
+
+
+class Draw:
+    """A position below n from (b, j, seed): ``column`` as an expression, ``numbers`` for numpy arrays."""
 
+    def __init__(self, column, numbers):
+        self.column, self.numbers = column, numbers
 
-def hash_draw(b: Column, j: Column, n: Column, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), b, j), n)
+    def __call__(self, b, j, n, seed: int = 0):
+        return self.column(b, j, n, seed)
 
 
-def congruential_draw(b: Column, j: Column, n: Column, seed: int = 0) -> Column:
-    """A closed form any SQL engine can repeat: used where results are cross-checked."""
+def _congruential(b, j, n, seed: int = 0):
     x = ((b * 7919 + j * 104729 + 12345 + seed) % 1000003) * 48271 % 2147483647
     return (x * 16807 % 2147483647) % n
 
 
+# fixed values: the five primes of xxHash64
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _spun(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _xx_long(value: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """xxHash64 of one long on top of the hash so far."""
+    p1, p2, p3, p4, p5 = PRIMES
+    h = (h + p5 + np.uint64(8)) ^ (_spun(value * p2, 31) * p1)
+    h = _spun(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(b, j, n, seed: int = 0) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.asarray(42, np.uint64)
+        for v in (np.asarray(seed, np.int64), b, j):
+            h = _xx_long(np.asarray(v, np.int64).astype(np.uint64), h)
+    return h.astype(np.int64) % n
+
+
+hash_draw = Draw(lambda b, j, n, seed=0: F.pmod(F.xxhash64(F.lit(seed).cast("long"), b, j), n), _hashed)
+# a closed form any SQL engine can repeat: used where results are cross-checked
+congruential_draw = Draw(_congruential, _congruential)
+
+
 def block_starts(cells: DataFrame, keys, n_boot: int, block_length: int, draw=hash_draw, seed: int = 0) -> DataFrame:
     """Circular block starts: keys, n, b, j, start, width (the last block may be shorter)."""
     keys = list(keys)
@@ -34,40 +76,53 @@ def block_starts(cells: DataFrame, keys, n_boot: int, block_length: int, draw=ha
     return each.withColumn("start", draw(b, j, F.col("n"), seed)).withColumn("width", width)
 
 
-def block_means(wide: DataFrame, columns, keys, n_boot: int, block_length: int, draw=hash_draw, seed: int = 0,
+def block_means(wide: DataFrame, columns, keys, n_boot: int, block_length: int, draw: Draw = hash_draw, seed: int = 0,
                 time: str = "t", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Bootstrap mean of each column per (cell, b) from prefix sums.
+    """Bootstrap mean of each column per (cell, b).  ``time`` must count 0..n-1 per cell.
 
-    A circular block sum is two look-ups in the running totals (three when it wraps), so
-    the n_boot x n resampled rows are never made.  ``time`` must count 0..n-1 per cell.
+    A slice of a cell makes the circular blocks of all resamples itself and adds up what of
+    them falls inside, by two look-ups in its own running totals; one row of sums per slice
+    leaves the task, and neither blocks nor resampled rows are ever rows of a table.
     """
     keys, columns = list(keys), list(columns)
+    width = len(columns)
     cut = wide.select(*keys, F.col(time).alias("t"), *columns).withColumn("_cut", block_of(F.col("t"), block_rows))
-    prefix = sums_over(cut, keys, ["t"], {f"s_{c}": F.col(c) for c in columns}, "_cut")
-    sums = [f"s_{c}" for c in columns]
-    prefix = prefix.select(*keys, F.col("t"), *sums)
     cells = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    starts = block_starts(cells, keys, n_boot, block_length, draw, seed)
-    n = F.col("n")
-    end = F.col("start") + F.col("width") - 1
-    # +S(end mod n) - S(start - 1), plus one whole total when the block wraps
-    looks = F.array(
-        F.struct(F.pmod(end, n).alias("t"), F.lit(1.0).alias("sign")),
-        F.struct((F.col("start") - 1).alias("t"), F.lit(-1.0).alias("sign")),
-        F.struct(F.when(end >= n, n - 1).alias("t"), F.lit(1.0).alias("sign")))
-    asked = (starts.select(*keys, "n", "b", F.explode(looks).alias("k"))
-             .select(*keys, "n", "b", "k.t", "k.sign").where("t >= 0"))
-    found = asked.join(prefix, [*keys, "t"])
-    return found.groupBy(*keys, "b").agg(*[
-        (F.sum(F.col(s) * F.col("sign")) / F.max("n")).alias(c) for s, c in zip(sums, columns)])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name in keys)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        n, low = int(pdf["n"].iloc[0]), int(pdf["t"].iloc[0])
+        high = low + len(pdf)
+        upto = np.vstack([np.zeros(width), pdf[columns].to_numpy(float).cumsum(axis=0)])
+        j = np.arange(-(-n // block_length), dtype=np.int64)
+        long = np.minimum(block_length, n - j * block_length)
+        out = np.zeros((n_boot, width))
+        inside = lambda t: upto[np.clip(t, low, high) - low]
+        each = max(1, CELLS // (len(j) * width))
+        for a in range(0, n_boot, each):
+            b = np.arange(a, min(n_boot, a + each), dtype=np.int64)
+            start = draw.numbers(b[:, None], j[None, :], n, seed)
+            end = start + long
+            over = np.maximum(end - n, 0)  # what goes round to the beginning
+            part = inside(np.minimum(end, n)) - inside(start) + inside(over) - inside(np.zeros_like(over))
+            out[b] = part.sum(axis=1) / n
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), n, out.ravel())], columns=[*keys, "n", "sums"])
+
+    parts = spread_join(cut, cells, keys).groupBy(*keys, "_cut").applyInPandas(sums, f"{fields}, n long, sums array<double>")
+    total = add_up(parts, keys)
+    rows = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda i: F.slice("sums", i * width + 1, F.lit(width))))
+    return total.select(*keys, rows.alias("b", "m")).select(*keys, "b", *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def confidence_set(boot_means: DataFrame, full_means: DataFrame, models, keys) -> DataFrame:
     """Model Confidence Set by the range statistic (Hansen, Lunde and Nason, 2011).
 
-    Both inputs are small per cell (n_boot rows and one row of ``l_i`` columns).  One
-    covariance matrix of the resampled means gives every standard error that any round
-    needs; a round only looks at the rows and columns of the models still in.
+    Per cell there are n_boot rows and one row of ``l_i`` columns.  Who is eliminated next
+    depends on the losses and one covariance matrix only, so the order comes first.  Taken
+    backwards the sets grow by one model at a time, and each resample's largest statistic is a
+    running maximum: every pair of models is looked at once for all rounds, and never more than
+    n_boot x models numbers are held.
     """
     keys, models = list(keys), list(models)
     size = len(models)
@@ -85,40 +140,116 @@ def confidence_set(boot_means: DataFrame, full_means: DataFrame, models, keys) -
         moved = pdf.sort_values("b")[cols].to_numpy(float) - loss
         cov = np.cov(moved, rowvar=False).reshape(size, size)
         spread = cov.diagonal()[:, None] + cov.diagonal()[None, :] - 2 * cov
-        seen = np.abs(ratio(loss[:, None] - loss[None, :], spread))
-        drawn = np.abs(ratio(moved[:, :, None] - moved[:, None, :], spread[None]))
         inside = np.ones(size, bool)
-        order, p_values = [], []
+        order = []
         for _ in range(size - 1):
-            pair = np.ix_(inside, inside)
-            p_values.append((drawn[:, inside][:, :, inside].max(axis=(1, 2)) >= seen[pair].max()).mean())
-            block = cov[pair]
+            block = cov[np.ix_(inside, inside)]
             own = block.diagonal() - 2 * block.mean(axis=1) + block.mean()  # variance of a model's gap to the mean
-            out = np.flatnonzero(inside)[np.argmax(ratio(loss[inside] - loss[inside].mean(), own))]
+            out = int(np.flatnonzero(inside)[np.argmax(ratio(loss[inside] - loss[inside].mean(), own))])
             order.append(out)
             inside[out] = False
         order.append(int(np.flatnonzero(inside)[0]))
-        found = pd.DataFrame({"model": [models[i] for i in order], "eliminated": range(size),
-                              "mcs_pvalue": [*np.maximum.accumulate(p_values), 1.0] if p_values else [1.0]})
+        seen, drawn, p_values = 0.0, np.zeros(len(moved)), [1.0]
+        for at in range(size - 2, -1, -1):
+            i, rest = order[at], order[at + 1:]
+            seen = max(seen, np.abs(ratio(loss[i] - loss[rest], spread[i, rest])).max())
+            drawn = np.maximum(drawn, np.abs(ratio(moved[:, [i]] - moved[:, rest], spread[i, rest][None, :])).max(axis=1))
+            p_values.append((drawn >= seen).mean())
+        p_values = np.maximum.accumulate(p_values[:0:-1]).tolist() + [1.0]
+        found = pd.DataFrame({"model": [models[i] for i in order], "eliminated": range(size), "mcs_pvalue": p_values})
         return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "model", "eliminated", "mcs_pvalue"]]
 
     sets = joined.groupBy(*keys).applyInPandas(test_cell, f"{key_fields}, model string, eliminated long, mcs_pvalue double")
     return sets.withColumn("in_set_10", F.col("mcs_pvalue") >= 0.10).withColumn("in_set_25", F.col("mcs_pvalue") >= 0.25)
 
 
-def resampled(pairs: DataFrame, keys, value: str, n_boot: int, draw=hash_draw, seed: int = 0) -> DataFrame:
-    """keys, b, value: n_boot resamples with replacement of each group's values.
+def times_drawn(b: np.ndarray, members: np.ndarray, n: int, draw: Draw, seed: int) -> np.ndarray:
+    """[resample, member]: how often a closed form draws each of the positions ``members`` in n slots."""
+    order = np.argsort(members)
+    at = members[order]
+    picked = draw.numbers(b[:, None], np.arange(n, dtype=np.int64)[None, :], n, seed)
+    place = np.minimum(np.searchsorted(at, picked), len(at) - 1)
+    hit = at[place] == picked
+    flat = (np.arange(len(b))[:, None] * len(at) + place)[hit]
+    counts = np.bincount(flat, minlength=len(b) * len(at)).reshape(len(b), len(at))
+    out = np.empty_like(counts)
+    out[:, order] = counts
+    return out
+
+
+def stream_of(*parts) -> np.random.Generator:
+    """Random numbers that depend on the parts alone."""
+    return np.random.default_rng([zlib.crc32(repr(p).encode()) for p in parts])
+
 
-    ``pairs`` has a position ``j`` (0..n-1) per group; each drawn index is an equi-join,
-    so no group is gathered.
+def resample_stats(pairs: DataFrame, keys, value: str, n_boot: int, draw: Draw | None = None, seed: int = 0) -> DataFrame:
+    """keys, b, mean, median of n_boot resamples with replacement of each group's values.
+
+    No resampled row is made.  Values are cut into ordered slices.  How many draws of a
+    resample fall into each slice is settled first, by splitting n draws over the slices
+    (a binomial for each slice, given those before it); a slice then knows which ranks it
+    holds, draws how often each of its own values comes, and gives a sum and, if the middle
+    ranks are its own, their values.  With a closed-form ``draw`` (by the position ``j``, 0..n-1
+    per group) slices count what it draws instead.  What is shuffled is n_boot rows a slice.
     """
     keys = list(keys)
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    draws = (sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-             .repartition(*keys, "b")
-             .select(*keys, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot")))
-    picked = draws.withColumn("j", draw(F.col("b").cast("long"), F.col("slot"), F.col("n"), seed))
-    return picked.select(*keys, "b", "j").join(pairs.select(*keys, "j", value), [*keys, "j"]).drop("j")
+    ids = [*keys, "run"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in keys)
+    cut = sorted_blocks(pairs.select(*keys, "j", F.col(value).cast("double").alias("v")), keys, ["v", "j"])
+    sizes = cut.groupBy(*ids).agg(F.count(F.lit(1)).alias("m"))
+    totals = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    every = np.arange(n_boot, dtype=np.int64)
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, n = pdf["j"].to_numpy(np.int64), int(pdf["n"].iloc[0])
+        each = max(1, CELLS // max(n, len(members)))
+        counts = np.concatenate([times_drawn(every[a:a + each], members, n, draw, seed).sum(axis=1) for a in range(0, n_boot, each)])
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in ids), len(members), counts)], columns=[*ids, "m", "count"])
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Draws in each slice and in the slices before it; one row a slice."""
+        pdf = pdf.sort_values("run")
+        m = pdf["m"].to_numpy(np.int64)
+        if draw is not None:
+            counts = np.stack(pdf["count"].to_numpy())
+        else:
+            rng, left, counts = stream_of(seed, *(pdf[k].iloc[0] for k in keys)), np.full(n_boot, m.sum()), []
+            for size, rest in zip(m, m[::-1].cumsum()[::-1]):
+                counts.append(rng.binomial(left, size / rest))
+                left = left - counts[-1]
+            counts = np.stack(counts)
+        before = counts.cumsum(axis=0) - counts
+        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in ids}, "n": int(m.sum()), "count": list(counts), "before": list(before)})
+
+    if draw is None:
+        known = sizes.withColumn("count", F.lit(None).cast("array<long>"))
+    else:
+        known = spread_join(cut, totals, keys, "j").groupBy(*ids).applyInPandas(counted, f"{fields}, run long, m long, count array<long>")
+    heads = durable(known.groupBy(*keys).applyInPandas(placed, f"{fields}, run long, n long, count array<long>, before array<long>"))
+
+    def summed(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "b", "s", "low", "high"]
+        if not len(pdf) or not len(other):
+            return pd.DataFrame([], columns=names)
+        head, pdf = other.iloc[0], pdf.sort_values(["v", "j"])
+        v, members, n = pdf["v"].to_numpy(float), pdf["j"].to_numpy(np.int64), int(head["n"])
+        count, before = np.asarray(head["count"], np.int64), np.asarray(head["before"], np.int64)
+        rng, each, out = stream_of(seed, *(head[k] for k in ids)), max(1, CELLS // max(n if draw else 0, len(v))), []
+        for a in range(0, n_boot, each):
+            b = every[a:a + each]
+            times = times_drawn(b, members, n, draw, seed) if draw else rng.multinomial(count[b], np.full(len(v), 1 / len(v)))
+            upto = before[b][:, None] + times.cumsum(axis=1)
+            part = {"b": b, "s": times @ v}
+            for name, rank in (("low", (n - 1) // 2), ("high", n // 2)):
+                mine = (before[b] <= rank) & (rank < upto[:, -1])
+                part[name] = np.where(mine, v[np.minimum((upto <= rank).sum(axis=1), len(v) - 1)], np.nan)
+            out.append(pd.DataFrame(part))
+        return pd.concat(out).assign(**{k: head[k] for k in keys})[names]
+
+    parts = cogroup_blocks(cut, heads, ids, summed, f"{fields}, b long, s double, low double, high double")
+    real = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    got = parts.groupBy(*keys, "b").agg(F.sum("s").alias("s"), real("low").alias("low"), real("high").alias("high"))
+    return spread_join(got, totals, keys, "b").select(*keys, "b", (F.col("s") / F.col("n")).alias("mean"), ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def interval(boots: DataFrame, keys, alpha: float = 0.05) -> DataFrame:
@@ -127,11 +258,11 @@ def interval(boots: DataFrame, keys, alpha: float = 0.05) -> DataFrame:
     return boots.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"))
 
 
-def bootstrap_ci(pairs: DataFrame, keys, value: str = "d", stat: str = "median", n_boot: int = 200,
-                 alpha: float = 0.05, draw=hash_draw, seed: int = 0) -> DataFrame:
+def bootstrap_ci(pairs: DataFrame, keys, value: str = "d", stat: str = "median", n_boot: int = 10_000,
+                 alpha: float = 0.05, draw: Draw | None = None, seed: int = 0) -> DataFrame:
     """Estimate, interval and the excludes-zero flag of the median or mean of ``value``."""
     fn = {"median": F.median, "mean": F.avg}[stat]
-    boots = resampled(pairs, keys, value, n_boot, draw, seed).groupBy(*keys, "b").agg(fn(value).alias("stat"))
+    boots = resample_stats(pairs, keys, value, n_boot, draw, seed).select(*keys, "b", F.col(stat).alias("stat"))
     point = pairs.groupBy(*keys).agg(fn(value).alias("estimate"), F.count(F.lit(1)).alias("n_pairs"))
     ci = interval(boots, keys, alpha)
     zero = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)

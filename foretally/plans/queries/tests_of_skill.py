@@ -183,7 +183,7 @@ def suffix_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(gaps, list(CELL)).select(*CELL, "n_rows", F.col("n_rows").alias("common"), r("max_gap", 9).alias("max_gap"))
 
 
-N_BOOT, BLOCK = 40, 7
+N_BOOT, BLOCK, N_RESAMPLES = 1000, 7, 10_000
 _DRAW = "((((b * 7919 + j * 104729 + 12345 + {seed}) % 1000003) * 48271 % 2147483647) * 16807 % 2147483647) % n"
 _STARTS = (f"sizes AS (SELECT series_id, seed, count(*) AS n FROM forecasts WHERE model = 'persistence' GROUP BY 1, 2), boots AS (SELECT unnest(range(0, {N_BOOT})) AS b), "
            f"starts0 AS (SELECT series_id, seed, n, b, unnest(range(0, CAST(ceil(n / {BLOCK}::DOUBLE) AS BIGINT))) AS j FROM sizes CROSS JOIN boots), "
@@ -218,10 +218,10 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(full, list(CELL)).select(*CELL, "b", each.alias("e")).select(*CELL, "e.model", "b", "e.boot_over_full")
 
 
-def cell_mcs(spark, sf_dir, n_boot: int = 200, block_length: int = 10) -> DataFrame:
+def cell_mcs(spark, sf_dir, n_boot: int = 1000, block_length: int = 10, draw=boot.hash_draw) -> DataFrame:
     wide = _numbered_losses(spark, sf_dir)
     cols = [f"l_{i}" for i in range(len(MODELS))]
-    means = boot.block_means(wide, cols, CELL, n_boot, block_length)
+    means = boot.block_means(wide, cols, CELL, n_boot, block_length, draw)
     full = wide.groupBy(*CELL).agg(*[F.avg(c).alias(c) for c in cols])
     return boot.confidence_set(means, full, MODELS, CELL)
 
@@ -231,6 +231,38 @@ def model_confidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_mcs(spark, sf_dir)
 
 
+def _mcs_sql() -> str:
+    """Rounds of elimination written out; each takes statistics of the models still in."""
+    k = "series_id, seed"
+    ctes = [
+        "idx AS (SELECT series_id, seed, n, b, (start + unnest(range(0, width))) % n AS t FROM starts)",
+        "z AS (SELECT series_id, seed, model, t - min(t) OVER (PARTITION BY series_id, seed, model) AS t, l FROM losses)",
+        "fm AS (SELECT series_id, seed, model, avg(l) AS f FROM losses GROUP BY 1, 2, 3)",
+        "bm AS (SELECT series_id, seed, model, b, avg(l) AS m FROM idx JOIN z USING (series_id, seed, t) GROUP BY ALL)",
+        f"mv AS (SELECT {k}, model, b, m - f AS d, f FROM bm JOIN fm USING ({k}, model))",
+        f"pr AS (SELECT {k}, x.model AS mi, y.model AS mj, b, x.d - y.d AS g, x.f - y.f AS h FROM mv x JOIN mv y USING ({k}, b) WHERE x.model <> y.model)",
+        f"se AS (SELECT {k}, mi, mj, sqrt(var_samp(g)) AS s FROM pr GROUP BY ALL)",
+        f"st AS (SELECT {k}, mi, mj, b, abs(g) / s AS drawn, abs(h) / s AS seen FROM pr JOIN se USING ({k}, mi, mj))",
+        f"in1 AS (SELECT {k}, model FROM fm)"]
+    for i in range(1, len(MODELS)):
+        ctes += [f"g{i} AS (SELECT {k}, model, b, f - avg(f) OVER w AS h, d - avg(d) OVER w AS g FROM mv JOIN in{i} USING ({k}, model) WINDOW w AS (PARTITION BY {k}, b))",
+                 f"o{i} AS (SELECT {k}, model FROM (SELECT {k}, model, max(h) / sqrt(var_samp(g)) AS t FROM g{i} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY t DESC) = 1)",
+                 f"s{i} AS (SELECT {k}, b, max(drawn) AS drawn, max(seen) AS seen FROM st WHERE ({k}, mi) IN (FROM in{i}) AND ({k}, mj) IN (FROM in{i}) GROUP BY ALL)",
+                 f"p{i} AS (SELECT {k}, avg((drawn >= seen)::INT) AS p FROM s{i} GROUP BY ALL)",
+                 f"in{i + 1} AS (SELECT {k}, model FROM in{i} WHERE ({k}, model) NOT IN (FROM o{i}))"]
+    rounds = " UNION ALL ".join([f"SELECT {k}, model, {i - 1} AS eliminated, p FROM o{i} JOIN p{i} USING ({k})" for i in range(1, len(MODELS))]
+                                + [f"SELECT {k}, model, {len(MODELS) - 1}, 1.0 FROM in{len(MODELS)}"])
+    return q.select(f"{_L}, {_STARTS}, " + ", ".join(ctes) + f", rounds AS ({rounds})",
+                    f"SELECT {k}, model, eliminated, round(max(p) OVER (PARTITION BY {k} ORDER BY eliminated), 6) AS mcs_pvalue FROM rounds")
+
+
+@query("T13", _mcs_sql())
+def confidence_set_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of elimination and p-values, on draws that SQL can repeat."""
+    got = cell_mcs(spark, sf_dir, N_BOOT, BLOCK, boot.congruential_draw)
+    return got.select(*CELL, "model", "eliminated", r("mcs_pvalue").alias("mcs_pvalue"))
+
+
 @query("T14")
 def confidence_set_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_mcs(spark, sf_dir).groupBy("series_id", "model").agg(
@@ -249,14 +281,14 @@ def vector_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     dm = sig.with_p(sig.pairwise_dm(wide, names, ["series_id"])).where("model_i = 'ridge'").select("series_id", "dm_stat", "dm_pval")
     start = wide.groupBy("series_id").agg(F.min("t").alias("t0"))
     zero = durable(spread_join(wide, start, ["series_id"]).withColumn("t", F.col("t") - F.col("t0")).drop("t0"))
-    means = boot.block_means(zero, ["l_0", "l_1"], ["series_id"], 200, 10)
+    means = boot.block_means(zero, ["l_0", "l_1"], ["series_id"], 1000, 10)
     full = wide.groupBy("series_id").agg(F.avg("l_0").alias("l_0"), F.avg("l_1").alias("l_1"))
     mcs = boot.confidence_set(means, full, names, ["series_id"]).where("model = 'ridge'").select("series_id", "mcs_pvalue", "in_set_10")
     return dm.join(mcs, "series_id")
 
 
 _SCORE_PAIRS = (f"{_R}, sp AS (SELECT series_id, seed AS j, max(CASE WHEN model = 'moving_average' THEN nrmse END) AS a, max(CASE WHEN model = 'persistence' THEN nrmse END) AS b FROM results GROUP BY 1, 2), "
-                f"boots AS (SELECT unnest(range(0, 200)) AS b), ")
+                f"boots AS (SELECT unnest(range(0, {N_RESAMPLES})) AS b), ")
 
 
 def _resample_sql(value: str, stat: str, seed: int = 0, name: str = "") -> str:
@@ -273,7 +305,7 @@ def score_pairs(spark, sf_dir) -> DataFrame:
 
 
 def _ci_rows(pairs, value, stat):
-    got = boot.bootstrap_ci(pairs.withColumn("d", value), ["series_id"], "d", stat, 200, draw=boot.congruential_draw)
+    got = boot.bootstrap_ci(pairs.withColumn("d", value), ["series_id"], "d", stat, N_RESAMPLES, draw=boot.congruential_draw)
     return got.select("series_id", "n_pairs", r("estimate").alias("estimate"), r("ci_lo").alias("ci_lo"), r("ci_hi").alias("ci_hi"), "excludes_zero")
 
 
@@ -297,8 +329,8 @@ def paired_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpaired_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each side is resampled on its own (two different draws)."""
     pairs = score_pairs(spark, sf_dir).select("series_id", "j", F.col("a").alias("score_a"), F.col("b").alias("score_b"))
-    side = lambda c, seed: (boot.resampled(pairs, ["series_id"], f"score_{c}", 200, boot.congruential_draw, seed)
-                            .groupBy("series_id", "b").agg(F.avg(f"score_{c}").alias(f"m_{c}")))
+    side = lambda c, seed: boot.resample_stats(pairs, ["series_id"], f"score_{c}", N_RESAMPLES, boot.congruential_draw, seed).select(
+        "series_id", "b", F.col("mean").alias(f"m_{c}"))
     both = side("a", 1).join(side("b", 2), ["series_id", "b"])
     got = boot.interval(both.withColumn("stat", F.col("m_a") - F.col("m_b")), ["series_id"])
     return got.select("series_id", r("ci_lo").alias("ci_lo"), r("ci_hi").alias("ci_hi"))
