@@ -1,11 +1,15 @@
 """Table diffs, value search and incremental work."""
 
+import uuid
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from foretally.functions.text import content_checksum
+from foretally.session import durable
 
 # fixed values: columns that differ from run to run and are left out of a diff
 VOLATILE = ("data_generation_seconds", "validation_seconds", "transformation_seconds", "feature_generation_seconds",
@@ -92,8 +96,13 @@ def table_fingerprint(df: DataFrame) -> str:
 
 def exists(spark, path: str) -> bool:
     """Whether a path is there, in any store that Spark reads."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def guarded_write(df: DataFrame, path: str, allow_overwrite: bool = False) -> str:
@@ -154,14 +163,38 @@ def sweep_summary(work: DataFrame, results: DataFrame) -> DataFrame:
     return both.select("executed", (F.col("cells") - F.col("executed") - F.col("failed")).alias("skipped"), "failed")
 
 
+def digests(rows: DataFrame, key: str) -> DataFrame:
+    """key, _batch, rows, digest: an order-free sum of row hashes of each key's entry."""
+    columns = sorted(c for c in rows.columns if c not in (key, "_batch"))
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+    return rows.groupBy(key, "_batch").agg(F.count(F.lit(1)).alias("rows"), total.alias("digest"))
+
+
 def read_through(wanted: DataFrame, store: str, key: str, compute) -> DataFrame:
-    """Rows of the wanted keys: stored ones are read, the others computed and stored.
+    """Rows of the wanted keys: stored entries are read, the others computed and stored.
 
-    ``compute`` maps the missing keys' rows to feature rows that carry ``key``.
+    ``compute`` maps the missing keys' rows to feature rows that carry ``key``.  An entry
+    counts only if its digest, recorded after its rows, is that of the rows found now: what a
+    broken job left behind, and what was cut, changed or cannot be read any more, is a miss
+    and is computed again under a new batch.  The key's values may not be null.
     """
-    spark = wanted.sparkSession
-    missing = wanted
-    if exists(spark, store):
-        missing = wanted.join(spark.read.parquet(store).select(key).distinct(), key, "left_anti")
-    compute(missing).write.mode("append").partitionBy(key).parquet(store)
-    return spark.read.parquet(store).join(wanted.select(key).distinct(), key, "left_semi")
+    spark, data, book = wanted.sparkSession, f"{store}/data", f"{store}/digests"
+    shape = compute(wanted.limit(0)).schema
+    kept = StructType([*[f for f in shape if f.name != key], StructField("_batch", StringType()), shape[key]])
+
+    def stored() -> DataFrame | None:
+        if not exists(spark, book):
+            return None
+        tolerant = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        return tolerant.schema(kept).parquet(data).join(wanted.select(key).distinct(), key, "left_semi")
+
+    rows, good, missing = stored(), None, wanted
+    if rows is not None:
+        sound = digests(rows, key).join(spark.read.parquet(book), [key, "_batch", "rows", "digest"], "left_semi")
+        good = durable(sound.groupBy(key).agg(F.max("_batch").alias("_batch")))
+        missing = wanted.join(good, key, "left_anti")
+    fresh = durable(compute(missing).withColumn("_batch", F.lit(uuid.uuid4().hex)))
+    fresh.write.mode("append").partitionBy(key).parquet(data)
+    digests(fresh, key).write.mode("append").parquet(book)
+    out = fresh.select(*shape.names)
+    return out if good is None else stored().join(good, [key, "_batch"], "left_semi").select(*shape.names).unionByName(out)

@@ -161,6 +161,23 @@ def feature_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum("f") / 1000).alias("energy"))
 
 
+@query("X8", q.select(f"{q.USER}", "SELECT 'k' || right(series_id, 1) AS feature_key, count(*) AS n_rows, round(sum(x * x) / 1000, 6) AS energy, "
+                                   "CASE WHEN right(series_id, 1) IN ('3', '5') THEN 2 ELSE 1 END AS times_computed FROM series GROUP BY 1, 4"))
+def damaged_feature_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored entry loses rows and one gets wrong values; both are computed again, the others read."""
+    store = scratch(spark)
+    panel = panel_by_user(spark, sf_dir).withColumn("feature_key", F.concat(F.lit("k"), F.right("series_id", F.lit(1))))
+    features = lambda rows: rows.select("feature_key", "series_id", "t", (F.col("x") * F.col("x")).alias("f"))
+    audit.read_through(panel, store, "feature_key", features)
+    for key, damage in (("k3", lambda rows: rows.where("t > 0")), ("k5", lambda rows: rows.withColumn("f", F.col("f") + 1))):
+        entry = f"{store}/data/feature_key={key}"
+        durable(damage(spark.read.parquet(entry))).write.mode("overwrite").parquet(entry)
+    full = audit.read_through(panel, store, "feature_key", features)
+    times = spark.read.parquet(f"{store}/digests").groupBy("feature_key").agg(F.count(F.lit(1)).alias("times_computed"))
+    found = full.groupBy("feature_key").agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum("f") / 1000).alias("energy"))
+    return found.join(times, "feature_key").select("feature_key", "n_rows", "energy", "times_computed")
+
+
 def _json_sql(pairs) -> str:
     return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {e}""" for k, e in sorted(pairs)) + " || '}'"
 

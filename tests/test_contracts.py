@@ -123,14 +123,28 @@ def test_overwrite_guard(spark, tmp_path):
         audit.guarded_write(df, path)
 
 
-def test_read_through_computes_only_what_is_missing(spark, tmp_path):
+def test_read_through_computes_only_what_is_missing_or_damaged(spark, tmp_path):
+    import glob
     store, seen = str(tmp_path / "f"), []
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    rows = spark.createDataFrame([("1", 1), ("2", 2), ("2", 3), ("3", 4)], "key string, v int")
 
     def compute(missing):
-        seen.append({r["key"] for r in missing.select("key").collect()})
+        keys = {r["key"] for r in missing.select("key").collect()}
+        if keys:
+            seen.append(keys)
         return missing.select("key", (F.col("v") * 10).alias("f"))
 
-    audit.read_through(rows.where("key = 'a'"), store, "key", compute)
-    got = audit.read_through(rows, store, "key", compute)
-    assert seen == [{"a"}, {"b"}] and {(r["key"], r["f"]) for r in got.collect()} == {("a", 10), ("b", 20)}
+    want = [("1", 10), ("2", 20), ("2", 30), ("3", 40)]
+    rows_of = lambda df: sorted((r["key"], r["f"]) for r in df.collect())
+    assert rows_of(audit.read_through(rows.where("key = '1'"), store, "key", compute)) == want[:1]
+    assert rows_of(audit.read_through(rows, store, "key", compute)) == want
+    assert seen == [{"1"}, {"2", "3"}]
+    for file in glob.glob(f"{store}/data/key=2/*.parquet"):  # not to be read any more
+        with open(file, "r+b") as f:
+            f.truncate(20)
+    assert rows_of(audit.read_through(rows, store, "key", compute)) == want and seen[2:] == [{"2"}]
+    assert rows_of(audit.read_through(rows, store, "key", compute)) == want and len(seen) == 3
+    # a job that broke off before it recorded its digest
+    spark.createDataFrame([(99, "late")], "f int, _batch string").write.parquet(f"{store}/data/key=4")
+    more = rows.union(spark.createDataFrame([("4", 5)], "key string, v int"))
+    assert rows_of(audit.read_through(more, store, "key", compute)) == [*want, ("4", 50)] and seen[3:] == [{"4"}]
