@@ -85,74 +85,3 @@ def leaky(panel: DataFrame, eps: float, keys=KEYS, column: str = "x", out: str =
     rows = zero.join(starts, [*keys, "block"])
     power = F.pow(F.lit(keep), F.col("t") - F.col("_t0") + 1)
     return rows.withColumn(out, F.col(out) + power * F.col("start_s")).drop("start_s", "_t0")
-
-
-HOLT_GRID = tuple((a / 10, b / 10) for a in (1, 3, 5, 7, 9) for b in (0, 1, 3, 5))
-
-
-def holt(panel: DataFrame, grid=HOLT_GRID, keys=KEYS, horizon: int = 1) -> DataFrame:
-    """Exponential smoothing with trend for every (alpha, beta) of the grid.
-
-    ``panel`` carries x and the split bounds.  Adds ``f``: per grid entry the forecast of
-    x at t + horizon made at t.  Level and trend start at (x_0, 0) and never see later
-    rows, so parameters can be chosen on train and the recursion simply runs on.
-    """
-    keys = list(keys)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.schema)
-    alphas = np.array([g[0] for g in grid])
-    betas = np.array([g[1] for g in grid])
-
-    def run(x, level, trend):
-        out = np.empty((len(x), len(alphas)))
-        for i, v in enumerate(x):
-            new = alphas * v + (1 - alphas) * (level + trend)
-            trend = betas * (new - level) + (1 - betas) * trend
-            level = new
-            out[i] = level + horizon * trend
-        return out, level, trend
-
-    def sweep(states):
-        def one(pdf):
-            pdf = pdf.sort_values("t")
-            x = pdf["x"].to_numpy(float)
-            if "start" in pdf:
-                s = np.asarray(pdf["start"].iloc[0], float).reshape(2, -1)
-                level, trend = s[0].copy(), s[1].copy()
-            elif pdf["t"].iloc[0] == 0 and len(x):
-                level, trend = np.full(len(alphas), x[0]), np.zeros(len(alphas))
-            else:
-                level, trend = np.zeros(len(alphas)), np.zeros(len(alphas))
-            f, level, trend = run(x, level, trend)
-            if states:
-                row = {k: pdf[k].iloc[0] for k in [*keys, "block"]}
-                return pd.DataFrame([{**row, "m": len(x), "s": np.concatenate([level, trend])}])
-            return pdf.drop(columns=["start"], errors="ignore").assign(f=list(f))
-        return one
-
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.schema if f.name in keys)
-    ends = panel.groupBy(*keys, "block").applyInPandas(sweep(True), f"{key_fields}, block long, m long, s array<double>")
-    step = np.stack([np.array([[1 - a, 1 - a], [-a * b, 1 - a * b]]) for a, b in zip(alphas, betas)])
-
-    def fold(batches):
-        carry, last = None, None
-        for pdf in batches:
-            starts = []
-            key_rows = list(pdf[keys].itertuples(index=False, name=None))
-            for key, m, s in zip(key_rows, pdf["m"], pdf["s"]):
-                end = np.asarray(s, float).reshape(2, -1).T
-                if key != last:
-                    carry, last = np.zeros_like(end), key
-                starts.append(carry.T.reshape(-1))
-                power = np.stack([np.linalg.matrix_power(p, int(m)) for p in step])
-                carry = np.einsum("gij,gj->gi", power, carry) + end
-            yield pdf[[*keys, "block"]].assign(start=starts)
-
-    # the first block starts from its own first value, which its end state already holds
-    starts = (ends.repartition(*keys).sortWithinPartitions(*keys, "block")
-              .mapInPandas(fold, f"{key_fields}, block long, start array<double>"))
-    rows = panel.join(starts.where("block > 0"), [*keys, "block"], "left")
-    with_start = rows.where("block > 0").groupBy(*keys, "block").applyInPandas(
-        sweep(False), f"{fields}, f array<double>")
-    first = panel.where("block = 0").groupBy(*keys, "block").applyInPandas(
-        sweep(False), f"{fields}, f array<double>")
-    return first.unionByName(with_start)

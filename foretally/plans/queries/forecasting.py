@@ -434,7 +434,7 @@ def simple_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT series_id, t, round(y, 6) AS y_true, round(level + 0.5::DOUBLE * (n1 * stx - st * sx) / (n1 * stt - st * st) * (1 - pow(0.7::DOUBLE, n1)) / 0.3::DOUBLE, 6) AS y_pred FROM acc JOIN runs USING (series_id, t) WHERE t >= val_end AND y IS NOT NULL"))
 def theta_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Theta with one fixed smoothing parameter: level plus half the expanding slope."""
-    got = theta_forecasts(labelled_types(spark, sf_dir), grid=((0.3, 0.0),))
+    got = theta_forecasts(labelled_types(spark, sf_dir), grid=(0.3,))
     return got.select("series_id", "t", r("y_true").alias("y_true"), r("y_pred").alias("y_pred"))
 
 

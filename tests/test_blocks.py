@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally.operators.blocks import attach, number_rows, running_sums
 from foretally.operators.quantiles import exact_quantiles
-from foretally.operators.recursion import holt, leaky, scan_line
+from foretally.operators.recursion import leaky, scan_line
 from foretally.operators.reservoir import ReservoirConfig, drive, reservoir_map, reservoir_weights
 from foretally.operators.spectra import wasserstein
 from foretally.operators.split import label_split, split_bounds
@@ -90,21 +90,6 @@ def test_leaky_with_eps_one_is_the_identity():
     np.testing.assert_allclose(scan_line(1.0 * x, 0.0), x)
 
 
-def test_smoothing_recursion(panel):
-    parts, df = panel
-    grid = ((0.3, 0.1), (0.9, 0.0))
-    got = by_series(holt(df, grid, horizon=2), "f")
-    for name, x in parts.items():
-        for i, (a, b) in enumerate(grid):
-            level, trend, want = x[0], 0.0, []
-            for v in x:
-                new = a * v + (1 - a) * (level + trend)
-                trend = b * (new - level) + (1 - b) * trend
-                level = new
-                want.append(level + 2 * trend)
-            np.testing.assert_allclose([f[i] for f in got[name]], want)
-
-
 @pytest.mark.parametrize("leak, radius", [(0.9, 0.2), (0.3, 0.9), (0.05, 0.99)])
 def test_reservoir_blocks_match_one_run(panel, leak, radius):
     """States equal one run in order, however long the state remembers its start."""

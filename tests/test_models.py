@@ -152,3 +152,23 @@ def test_states_do_not_depend_on_blocks(windows):
     brief = lambda df: {r["series_id"]: r["mean_state"] for r in reservoir_summary(df, [1], cfg).collect()}
     one, two = brief(panel), brief(moved)
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_estimator_is_saved_loaded_and_copied(windows, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from foretally.operators.estimators import PanelRidge, PanelRidgeModel
+    _, rows = windows
+    panel = rows.select("series_id", "block", "t", F.col("d0").alias("x"))
+    forecasts = lambda model: {(r["series_id"], r["t"]): r["y_pred"] for r in model.transform(panel).collect()}
+    ridge = PanelRidge(taps=3, alpha=0.5, washout=5)
+    one, strict = ridge.fit(panel, [{}, {ridge.alpha: 50.0, ridge.taps: 2}])
+    assert (one.getOrDefault("alpha"), strict.getOrDefault("alpha"), strict.getOrDefault("taps"), ridge.getOrDefault("taps")) == (0.5, 50.0, 2, 3)
+    first = forecasts(one)
+    assert first != forecasts(strict)
+    one.write().overwrite().save(str(tmp_path / "model"))
+    ridge.save(str(tmp_path / "estimator"))
+    again = PanelRidgeModel.load(str(tmp_path / "model"))
+    assert again.uid == one.uid and again.getOrDefault("keys") == ["series_id"]
+    assert forecasts(again) == first == forecasts(PanelRidge.load(str(tmp_path / "estimator")).fit(panel))
+    Pipeline(stages=[ridge]).fit(panel).write().overwrite().save(str(tmp_path / "pipeline"))
+    assert forecasts(PipelineModel.load(str(tmp_path / "pipeline"))) == first
