@@ -4,7 +4,7 @@ A stable key walks through pseudo-random jumps to its shard; the key and the num
 shards alone decide, there is no ring table, and when a shard is appended a row either
 stays or moves into the new shard.  (Lamping and Veach, 2014.)
 
-Null keys count as key 0.  Repeated rows share their key's shard.  Integer keys are used
+Null keys count as key 0.  Repeated rows share their key's shard.  Texts are never looked at, however long.  Integer keys are used
 as they are, others by their 64-bit hash.  An empty table gives an empty result.
 """
 
@@ -63,9 +63,14 @@ def place_rows(df: DataFrame, key: str, shards: int, order: list[str]) -> DataFr
     inside the shard in the order of ``order``, gapless from 0.
 
     A shard is numbered by many tasks (ranges of the order), so a shard of any size works.
+    Columns of ``df`` with one of these names (in any letter case) stay, and the new one gets
+    underscores behind its name.
     """
-    placed = assign_shards(assign_shards(df, key, shards), key, shards + 1, "grown_shard")
-    return numbered_in_order(placed, ["shard"], order, "slot")
+    own = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    plain = df.select(*[column(df, c).alias(n) for c, n in own.items()])
+    placed = assign_shards(assign_shards(plain, own[key], shards), own[key], shards + 1, "grown_shard")
+    done = numbered_in_order(placed, ["shard"], [own[c] for c in order], "slot")
+    return done.select(*[F.col(n).alias(c) for c, n in own.items()], *[F.col(n).alias(unused(df, n)) for n in ("shard", "grown_shard", "slot")])
 
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str, rows_per_file: int = 1_000_000) -> None:

@@ -52,3 +52,16 @@ def test_written_shards_keep_clashing_columns(spark, tmp_path):
     sharding.write_shards(df, "doc_id", 4, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["doc_id"], r["shard"], r["slot"], r["shard_"]) for r in back.collect()) == [(i, f"s{i}", i, plain(i, 4)) for i in range(50)]
+
+
+def test_placed_rows_keep_clashing_columns(spark):
+    rows = [(i, f"s{i}", i * 10, -i, i % 3, 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, shard string, Slot int, grown_shard int, _seq int, _part int")
+    got = sharding.place_rows(df, "doc_id", 4, ["doc_id"])
+    assert got.columns == [*df.columns, "shard_", "grown_shard_", "slot_"]
+    back = got.collect()
+    assert sorted(tuple(r)[:6] for r in back) == sorted(rows)
+    assert all(r["shard_"] == plain(r["doc_id"], 4) and r["grown_shard_"] == plain(r["doc_id"], 5) for r in back)
+    for shard in range(4):
+        slots = [r["slot_"] for r in sorted(back, key=lambda r: r["doc_id"]) if r["shard_"] == shard]
+        assert slots == list(range(len(slots)))
