@@ -334,8 +334,9 @@ SHOWN = lattice.axis_levels({"scaler": ("standard", "robust", "identity"), "scop
 
 @query("X15", q.select(level_sql(SHOWN), "SELECT series_id, seed, axis, level, n_rows, round(rmse, 6) AS rmse, round(nrmse, 6) AS nrmse FROM scored"))
 def axis_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A level of every axis, scored per series and seed from sums of products."""
-    got = lattice.sweep(panel_cells(spark, sf_dir), SHOWN, CELL)
+    """A level of every axis, scored per series and seed from sums of products, where both train and
+    test rows are left."""
+    got = lattice.sweep(panel_cells(spark, sf_dir), SHOWN, CELL).where("rmse IS NOT NULL")
     return got.select(*CELL, "axis", "level", "n_rows", r("rmse").alias("rmse"), r("nrmse").alias("nrmse"))
 
 
@@ -372,7 +373,7 @@ LEAKAGE = lattice.leakage_levels(AXIS_LEVELS["scope"], AXIS_LEVELS["split"], (1e
        "round(max(nrmse) / min(nrmse), 6) AS artifact_ratio FROM scored WHERE axis = 'leakage' GROUP BY 1, 2"))
 def leakage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope x split x penalty x seed, test rows, summarised as the leakage study does."""
-    test = lattice.sweep(panel_cells(spark, sf_dir), LEAKAGE, CELL).where("axis = 'leakage'")
+    test = lattice.sweep(panel_cells(spark, sf_dir), LEAKAGE, CELL).where("axis = 'leakage' AND rmse IS NOT NULL")
     mean = lambda s: F.avg(F.when(F.col("scope") == s, F.col("nrmse")))
     return test.groupBy(*CELL).agg(r(mean("train")).alias("train_scope"), r(mean("global")).alias("global_scope"),
                                    r(mean("global") / mean("train")).alias("global_over_train"), r(F.max("nrmse") / F.min("nrmse")).alias("artifact_ratio"))

@@ -19,7 +19,7 @@ CHOSEN = (
     "ridge_forecast autoregression nearest_neighbours experiment_run all_scores vector_persistence_nrmse valid_prediction_time wasserstein_distance "
     "strict_win_tally median_and_iqr axis_rank_correlation all_pairs_dm newey_west_variance suffix_alignment bootstrap_means paired_median_interval "
     "holm_correction mann_whitney_u config_validation registry_contract reconstructed_claims_nothing captured_carries_provenance fair_comparison_gate value_search run_lineage unfinished_cells "
-    "boosted_stump elastic_net_one_tap axis_levels leakage_grid recurrent_states new_frequencies linear_spectrum_error longest_prefix_lookup leaderboard number_text csv_text_scan forecast_sink table_diff incremental_sweep feature_key").split()
+    "boosted_stump elastic_net_one_tap axis_levels recurrent_states new_frequencies linear_spectrum_error longest_prefix_lookup leaderboard number_text csv_text_scan forecast_sink table_diff incremental_sweep feature_key").split()
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in ENTRIES.items() if e.sql) if os.environ.get("FULL") else CHOSEN)
