@@ -14,25 +14,30 @@ of the weighted squared error; ties go to the first feature and the lowest bin.
 * Row weights of a forest (Poisson, mean 1) and the rows of a boosting round are drawn by a
   hash of (position, tree), so a task that runs again draws the same.
 
-Splits are the same on both ways up to the rounding of sums.  Boosting is sequential: a
-series above ``LOCAL`` takes a pass per level of every round, a smaller one a single task.
+Splits are the same on both ways up to the rounding of sums.  Boosting is sequential: series
+above ``LOCAL`` take one small job per level of every round, over rows that stay cached on the
+executors, a smaller one a single task.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretally.operators.blocks import KEYS, spread_join
 from foretally.operators.matrices import matrix_of
 from foretally.operators.ridge import add_up, behind_weights
-from foretally.session import durable
+from foretally.session import checkpoint_folder, durable
 
 BINS = 256
 LOCAL = 1 << 16
 GROUP = 10           # trees grown by one task over the same rows
+PIECES = 1 << 20     # rows of a task in boosting above LOCAL
+LINEAGE = 50         # rounds after which the rests are stored, so that a lost task repeats no more of them
+LONE = np.array([[-1.0, 0.0, -1.0, 0.0]])
 LEAST_GAIN = 1e-12   # a split takes off more than this share of the node's squared sum
 TIE = 1e-8           # gains this close are equal, however their sums were rounded
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1, 16)]))
@@ -134,15 +139,20 @@ def within(s: np.ndarray) -> np.ndarray:
     return np.arange(len(s)) - np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
 
 
-def walk(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Values of the leaves that the rows reach."""
+def landed(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Leaves that the rows reach."""
     feature, cut, left = tree[:, 0].astype(int), tree[:, 1], tree[:, 2].astype(int)
     at, todo = np.zeros(len(x), int), np.arange(len(x))
     while len(todo):
         todo = todo[feature[at[todo]] >= 0]
         here = at[todo]
         at[todo] = left[here] + (x[todo, feature[here]] > cut[here])
-    return tree[at, 3]
+    return at
+
+
+def walk(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values of the leaves that the rows reach."""
+    return tree[landed(tree, x), 3]
 
 
 def boost(x, y, t, seed: int, rounds: int, depth: int, rate: float, share: float, penalty: float) -> tuple[float, list[np.ndarray]]:
@@ -352,52 +362,118 @@ def large_forest(pieces: DataFrame, keys, width: int, trees: int, seed: int) ->
     return grown.unionByName(placed.where("part = 'leaf'").mapInPandas(known, schema))
 
 
-def large_boosting(pieces: DataFrame, keys, width: int, seed: int, rounds: int, depth: int, rate: float, share: float, penalty: float) -> DataFrame:
-    """Forecasts of series above ``LOCAL``: what is left to explain is stored after each round."""
-    keys, names = list(keys), key_fields(pieces, keys)
+def level_sums(pieces, now: dict, width: int) -> Iterator[tuple]:
+    """(series, per open node: weights and weighted rests by feature and bin, rows, squares) of a task's train pieces."""
+    held = {}
+    for key, train, x, rest, t, y, on in pieces:
+        tree, start = now.get(key, (LONE, 0))
+        if not train or start == len(tree):
+            continue
+        at = landed(tree, x) - start
+        pick = on & (at >= 0)
+        at, r, xs, m = at[pick], rest[pick], x[pick], len(tree) - start
+        slots = [at * BINS + xs[:, f] for f in range(width)]
+        hist = np.concatenate([np.stack([np.bincount(s, v, m * BINS).reshape(m, BINS) for v in (None, r) for s in slots], 1).reshape(m, -1),
+                               np.bincount(at, r * r, m)[:, None]], 1)
+        held[key] = held[key] + hist if key in held else hist
+    return iter(held.items())
+
+
+def level_splits(hist: np.ndarray, width: int, penalty: float) -> list[tuple]:
+    """Per node: its value, and (feature, bin, value on the left, on the right) or None."""
+    out = []
+    for h in hist:
+        w, s = h[:-1].reshape(2, width, BINS)
+        cw, cs = w.cumsum(axis=1), s.cumsum(axis=1)
+        tw, ts = cw[0, -1], cs[0, -1]
+        gain = gains(cw, cs, cw[:, -1:], cs[:, -1:], penalty)
+        tops = gain.max(axis=1)
+        f = int(np.argmax(tops >= tops.max() - TIE * abs(tops.max())))
+        b = int(np.argmax(gain[f] >= tops[f] - TIE * abs(tops[f])))
+        split = gain[f, b] > LEAST_GAIN * h[-1]
+        # the children's values are known from this pass, so leaves need none of their own
+        out.append((ts / (tw + penalty), (f, b, cs[f, b] / (cw[f, b] + penalty), (ts - cs[f, b]) / (tw - cw[f, b] + penalty)) if split else None))
+    return out
 
-    def total(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.part == "train":
-                    y = np.frombuffer(row.y)
-                    yield pd.DataFrame({**{k: [getattr(row, k)] for k in keys}, "s": [y.sum()], "c": [float(len(y))]})
 
-    schema = f"{names}, part string, first long, rows long, x binary, y binary, t binary, p binary"
-    base = pieces.mapInPandas(total, f"{names}, s double, c double").groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("base"))
+def tree_of_each(state, width: int, depth: int, penalty: float, tasks: int) -> dict:
+    """A tree for every series of the pieces: one job a level, of which a split per node comes back."""
+    now = {}
+    for _ in range(depth):
+        found = (state.mapPartitions(lambda pieces, now=now: level_sums(pieces, now, width)).reduceByKey(np.add, tasks)
+                 .mapValues(lambda h: level_splits(h, width, penalty)).collect())
+        for key, nodes in found:
+            tree, start = now.get(key, (LONE, 0))
+            rows, new = tree.copy(), []
+            for i, (value, split) in enumerate(nodes, start):
+                rows[i, 3] = value
+                if split:
+                    f, b, low, high = split
+                    rows[i, :3] = f, b, len(tree) + len(new)
+                    new += [[-1, 0, -1, low], [-1, 0, -1, high]]
+            now[key] = (np.r_[rows, np.array(new, float).reshape(-1, 4)], len(tree))
+        if all(start == len(tree) for tree, start in now.values()):
+            break
+    return {key: tree for key, (tree, _) in now.items()}
 
-    def shifted(pdf, by):
-        """Move a part of the forecast from what is left of a train piece, or to a test piece's sum."""
-        out = pdf.assign(p=[(np.frombuffer(p) if p is not None else 0.0) + b for p, b in zip(pdf["p"], by)])
-        out["y"] = [y if part == "test" else (np.frombuffer(y) - b).tobytes() for y, part, b in zip(pdf["y"], pdf["part"], by)]
-        out["p"] = [np.broadcast_to(p, n).astype(float).tobytes() for p, n in zip(out["p"], pdf["rows"])]
-        return out[[*keys, "part", "first", "rows", "x", "y", "t", "p"]]
 
-    begun = spread_join(pieces.withColumn("p", F.lit(None).cast("binary")), base, keys, "first")
-    state = durable(begun.mapInPandas(lambda batches: (shifted(pdf, pdf["base"].tolist()) for pdf in batches), schema))
+def large_boosting(pieces: DataFrame, keys, width: int, seed: int, rounds: int, depth: int, rate: float, share: float, penalty: float) -> DataFrame:
+    """Forecasts of series above ``LOCAL``.  What is left to explain stays cached on the executors, a level of
+    all series is one small job, and the driver sees one tree a series at a time."""
+    keys, names = list(keys), key_fields(pieces, keys)
+    spark = pieces.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_folder(spark))
+    rows = pieces.agg(F.sum("rows")).first()[0]
+    tasks = max(context.defaultParallelism, -(-rows // PIECES))
+
+    def read(row):
+        x, y, t = unpacked(row, width)
+        return tuple(row[k] for k in keys), row.part == "train", x, y, t
+
+    def total(part):
+        held = {}
+        for key, train, x, y, t in part:
+            if train:
+                s, c = held.get(key, (0.0, 0))
+                held[key] = s + y.sum(), c + len(y)
+        return iter(held.items())
+
+    def drawn(t, i):
+        return weights_of("boosting", t, i, seed, share) > 0
+
+    raw = pieces.select(*keys, "part", "x", "y", "t").repartition(tasks).rdd.map(read).persist(StorageLevel.MEMORY_AND_DISK)
+    base = {k: s / c for k, (s, c) in raw.mapPartitions(total).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()}
+
+    def begin(piece):
+        key, train, x, y, t = piece
+        return (key, True, x, y - base[key], t, None, drawn(t, 0)) if train else (key, False, x, np.full(len(t), base[key]), t, y, None)
+
+    held, state = raw, raw.map(begin).persist(StorageLevel.MEMORY_AND_DISK)
     for i in range(rounds):
-        weigh = lambda t, tree, i=i: weights_of("boosting", t, i, seed, share)
-        models = blank_models(pieces, keys, 1)
-        for d in range(depth + 1):
-            models = level(state.where("part = 'train'"), models, keys, width, weigh, penalty, 0, d == depth)
+        trees = tree_of_each(state, width, depth, penalty, tasks)
+        held.unpersist()
 
-        def step(batches):
-            for pdf in batches:
-                moved = []
-                for row in pdf.itertuples(index=False):
-                    model = model_of(row.model)
-                    moved.append(rate * model[reached(model, 0, unpacked(row, width)[0]), VALUE])
-                yield shifted(pdf, moved)
+        def step(piece, trees=trees, i=i):
+            key, train, x, rest, t, y, _ = piece
+            moved = rate * walk(trees[key], x)
+            return (key, True, x, rest - moved, t, None, drawn(t, i + 1)) if train else (key, False, x, rest + moved, t, y, None)
 
-        state = durable(met(state, models, keys).mapInPandas(step, schema))
+        held, state = state, state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
+        if i % LINEAGE == LINEAGE - 1:
+            state.checkpoint()  # stored by the next round's first job
 
     def known(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                _, y, t = unpacked(row, width)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "t": t, "y_true": y, "y_pred": np.frombuffer(row.p)})
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "t": np.frombuffer(row.t, np.int64), "y_true": np.frombuffer(row.y),
+                                    "y_pred": np.frombuffer(row.p)})
 
-    return state.where("part = 'test'").mapInPandas(known, f"{names}, t long, y_true double, y_pred double")
+    ready = state.filter(lambda piece: not piece[1]).map(lambda p: (*p[0], p[4].tobytes(), p[5].tobytes(), p[3].tobytes()))
+    out = durable(spark.createDataFrame(ready, f"{names}, t binary, y binary, p binary", verifySchema=False))
+    held.unpersist(), state.unpersist()
+    return out.mapInPandas(known, f"{names}, t long, y_true double, y_pred double")
 
 
 # ---- forecasts -------------------------------------------------------------------------

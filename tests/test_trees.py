@@ -131,3 +131,15 @@ def test_descent_on_correlated_features(lasso):
     w = elastic.descend(cov, right, lasso, 0.01)
     slack = right - cov @ w - 0.01 * w  # zero where w is not, within the penalty elsewhere
     assert np.abs(slack - lasso * np.sign(w))[w != 0].max(initial=0.0) < 1e-8 and np.abs(slack).max() <= lasso + 1e-8
+
+
+def test_boosting_above_local_stores_no_table_a_round(windows, monkeypatch):
+    from foretally.session import tables_made
+    monkeypatch.setattr(trees, "LOCAL", 120)
+    monkeypatch.setattr(trees, "LINEAGE", 2)
+    made, got = [], []
+    for rounds in (1, 5):
+        with tables_made() as paths:
+            got.append(by_key(window_forecasts(windows, "boosted_trees", ["d0", "d1", "d2"], rounds=rounds)))
+        made.append(len(paths))
+    assert made[0] == made[1] and got[0].keys() == got[1].keys()
