@@ -34,6 +34,13 @@ def r(c, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
+def r_signed(c: Column, digits: int = 6) -> Column:
+    """Round as SQL's plain round() of a double does: the product with 10^digits is rounded, and a
+    negative value that becomes zero is -0.0."""
+    rounded = F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+    return F.when(rounded == 0, c * F.lit(0.0)).otherwise(rounded)
+
+
 def load_all() -> dict[str, Entry]:
     from foretally.plans.queries import (contract_checks, feature_steps, forecasting, lookups, registry_audit,  # noqa: F401
                                          scans, scores, tests_of_skill)

@@ -14,7 +14,7 @@ from foretally.operators.recursion import leaky
 from foretally.operators.reservoir import ReservoirConfig, reservoir_map, reservoir_summary, reservoir_weights
 from foretally.operators.scaling import Chain, fit_scaler, make_scaler, scale, unscale
 from foretally.operators.split import label_split, split_bounds, thin
-from foretally.plans.catalogue import query, r
+from foretally.plans.catalogue import query, r, r_signed
 from foretally.plans.frames import labelled_types
 from foretally.plans.queries import sqltext as q
 from foretally.sources.tables import panel_by_type, panel_by_user, panel_daily, table
@@ -336,7 +336,7 @@ def column_block_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 3 of each 16-wide block of the embedding row."""
     picked = win.column_block(F.col("embedding"), 16, 3, 4)
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(picked, lambda v: F.round(v.cast("double"), 6)).alias("picked"))
+        "vec_id", F.transform(picked, lambda v: r_signed(v.cast("double"))).alias("picked"))
 
 
 @query("D2", q.select(f"{q.TYPE}, {q.lagged(2, 1, 0, 'series')}",

@@ -8,6 +8,7 @@ import glob
 import importlib
 import os
 
+import duckdb
 import pytest
 
 from compare import duck_rows, spark_rows, verdict
@@ -82,3 +83,20 @@ def test_every_inventory_row_is_covered():
 def test_faults_are_all_caught(spark, tiny):
     rows = ENTRIES["fault_injection_audit"].run(spark, tiny).collect()
     assert len(rows) == 8 and all(r["detected"] for r in rows)
+
+
+def test_column_block_rounds_as_its_sql_does(spark, tmp_path):
+    """Small negative numbers become -0.0, and halves follow the product."""
+    import struct
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.normal(0, 4e-7, (20, 64)), np.round(rng.normal(0, 1, (200, 64)), 6) + 5e-7, rng.integers(-99, 99, (20, 64)) / 128])
+    rows[0, :3] = -1e-7, -0.0, 1e-7
+    pq.write_table(pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(rows.astype(np.float32).tolist(), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    entry = load_all()["column_block_selection"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    bits = lambda found: {k: [struct.pack("d", v) for v in picked] for k, picked in found}
+    assert bits(entry.run(spark, str(tmp_path)).collect()) == bits(con.execute(entry.sql).fetchall())
