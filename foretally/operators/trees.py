@@ -5,9 +5,9 @@ train rows.  A split sends the bins up to one of them to the left and takes the
 of the weighted squared error; ties go to the first feature and the lowest bin.
 
 * Rows travel as packed pieces (bins, target, position), a few thousand rows in one record.
-* A node with at most ``LOCAL`` train rows is grown to its end inside one task, where the rows of
-  all nodes of a level are kept in bin order for every feature, so that a level costs a few
-  passes over the rows whatever the number of nodes.
+* A node with at most ``LOCAL`` train rows is grown to its end inside one task: nodes above ``NEAR`` rows
+  from their sums per bin, smaller ones with the rows of all nodes of a level in bin order for
+  every feature, so that a level costs a few passes over the rows whatever the number of nodes.
 * Larger nodes are split in Spark, one pass a level for all series and trees at once: tasks
   add up (weight, weight x target) per (tree, node, feature, bin), the sums are combined per node
   and the best split of each node goes back to the pieces of its series.
@@ -15,7 +15,7 @@ of the weighted squared error; ties go to the first feature and the lowest bin.
   hash of (position, tree), so a task that runs again draws the same.
 
 Splits are the same on both ways up to the rounding of sums.  Boosting is sequential: series
-above ``LOCAL`` take one small job per level of every round, over rows that stay cached on the
+above ``BOOSTED`` take one small job per level of every round, over rows that stay cached on the
 executors, a smaller one a single task.
 """
 
@@ -33,9 +33,11 @@ from foretally.operators.ridge import add_up, behind_weights
 from foretally.session import checkpoint_folder, durable
 
 BINS = 256
-LOCAL = 1 << 16
+LOCAL = 1 << 20      # train rows of a node that one task grows to its end
+BOOSTED = 1 << 16    # train rows of a series that one task boosts, as its rounds follow each other
+NEAR = 1 << 16       # rows whose levels are grown side by side, so that they stay in the cache
 GROUP = 10           # trees grown by one task over the same rows
-PIECES = 1 << 20     # rows of a task in boosting above LOCAL
+PIECES = 1 << 20     # rows of a task in boosting above BOOSTED
 LINEAGE = 50         # rounds after which the rests are stored, so that a lost task repeats no more of them
 LONE = np.array([[-1.0, 0.0, -1.0, 0.0]])
 LEAST_GAIN = 1e-12   # a split takes off more than this share of the node's squared sum
@@ -131,6 +133,46 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, orders: list[np.ndarray],
     return np.c_[feature, cut, left, value].astype(float)
 
 
+def grow_apart(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """``grow`` without a depth, for many rows: nodes above ``NEAR`` rows are split by sums per bin, the
+    others grown by themselves."""
+    kept = np.flatnonzero(w > 0)
+    parts, size, heads, todo = [], 1, {}, [(0, kept)]
+    width = x.shape[1]
+    while todo:
+        node, rows = todo.pop()
+        xs, ys, ws = x[rows], y[rows], w[rows]
+        split = None
+        if len(rows) > NEAR:
+            wy = ws * ys
+            hist = np.concatenate([np.bincount(xs[:, f], v, BINS) for v in (ws, wy) for f in range(width)] + [[(wy * ys).sum()]])
+            (value, split), = level_splits(hist[None], width, penalty)
+            top = np.array([[-1.0, 0.0, -1.0, value]])
+        else:
+            top = grow(xs, ys, ws, orders_of(xs), None, penalty)
+        if split:
+            top[0, :3] = split[0], split[1], size
+            right = xs[:, split[0]] > split[1]
+            todo += [(size, rows[~right]), (size + 1, rows[right])]
+            size += 2
+        else:
+            inner = top[:, 2] >= 0
+            top[inner, 2] += size - 1
+            parts.append((size, top[1:]))
+            size += len(top) - 1
+        heads[node] = top[0]
+    tree = np.empty((size, 4))
+    for first, rows in parts:
+        tree[first:first + len(rows)] = rows
+    tree[list(heads)] = list(heads.values())
+    return tree
+
+
+def slim(tree: np.ndarray) -> tuple:
+    """The columns of a tree in small types: a task holds several trees of many leaves."""
+    return tree[:, 0].astype(np.int8), tree[:, 1].astype(np.uint8), tree[:, 2].astype(np.int32), tree[:, 3].copy()
+
+
 def within(s: np.ndarray) -> np.ndarray:
     """Place of each entry inside its run of equal (sorted) values."""
     if not len(s):
@@ -139,9 +181,9 @@ def within(s: np.ndarray) -> np.ndarray:
     return np.arange(len(s)) - np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
 
 
-def landed(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+def landed(tree, x: np.ndarray) -> np.ndarray:
     """Leaves that the rows reach."""
-    feature, cut, left = tree[:, 0].astype(int), tree[:, 1], tree[:, 2].astype(int)
+    feature, cut, left = slim(tree)[:3] if isinstance(tree, np.ndarray) else tree[:3]
     at, todo = np.zeros(len(x), int), np.arange(len(x))
     while len(todo):
         todo = todo[feature[at[todo]] >= 0]
@@ -150,9 +192,9 @@ def landed(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return at
 
 
-def walk(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+def walk(tree, x: np.ndarray) -> np.ndarray:
     """Values of the leaves that the rows reach."""
-    return tree[landed(tree, x), 3]
+    return (tree[:, 3] if isinstance(tree, np.ndarray) else tree[3])[landed(tree, x)]
 
 
 def boost(x, y, t, seed: int, rounds: int, depth: int, rate: float, share: float, penalty: float) -> tuple[float, list[np.ndarray]]:
@@ -347,8 +389,7 @@ def large_forest(pieces: DataFrame, keys, width: int, trees: int, seed: int) ->
         routed, f"{names}, node long, tree int, part string, first long, value double, x binary, y binary, t binary"))
 
     def finished(key, x, y, t):
-        w = weigh(t, key[-1])
-        tree = grow(x, y, w, orders_of(x), None, 0.0)
+        tree = slim(grow_apart(x, y, weigh(t, key[-1]), 0.0))
         return lambda test: walk(tree, test)
 
     def known(batches):
@@ -418,7 +459,7 @@ def tree_of_each(state, width: int, depth: int, penalty: float, tasks: int) -> d
 
 
 def large_boosting(pieces: DataFrame, keys, width: int, seed: int, rounds: int, depth: int, rate: float, share: float, penalty: float) -> DataFrame:
-    """Forecasts of series above ``LOCAL``.  What is left to explain stays cached on the executors, a level of
+    """Forecasts of series above ``BOOSTED``.  What is left to explain stays cached on the executors, a level of
     all series is one small job, and the driver sees one tree a series at a time."""
     keys, names = list(keys), key_fields(pieces, keys)
     spark = pieces.sparkSession
@@ -478,11 +519,11 @@ def large_boosting(pieces: DataFrame, keys, width: int, seed: int, rounds: int,
 
 # ---- forecasts -------------------------------------------------------------------------
 
-def by_size(rows: DataFrame, features, keys) -> tuple[DataFrame, DataFrame, bool]:
-    """Packed pieces of the series with at most ``LOCAL`` train rows, of the others, and whether there are others."""
+def by_size(rows: DataFrame, features, keys, most: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Packed pieces of the series with at most ``most`` train rows, of the others, and whether there are others."""
     pieces = durable(packed(rows, features, keys))
     sizes = pieces.where("part = 'train'").groupBy(*keys).agg(F.sum("rows").alias("size"))
-    large = sizes.where(F.col("size") > LOCAL).drop("size")
+    large = sizes.where(F.col("size") > most).drop("size")
     any_large = bool(large.limit(1).count())
     return pieces.join(large, list(keys), "left_anti"), pieces.join(large, list(keys), "left_semi"), any_large
 
@@ -491,12 +532,11 @@ def forest_forecasts(rows: DataFrame, features, keys=KEYS, trees: int = 200, see
     """keys, t, y_true, y_pred: the mean of ``trees`` trees of unlimited depth, each on a Poisson
     draw of the series' train rows."""
     keys, width, names = list(keys), len(list(features)), key_fields(rows, keys)
-    small, large, any_large = by_size(rows, features, keys)
+    small, large, any_large = by_size(rows, features, keys, LOCAL)
 
     def fit(key, x, y, t):
-        orders, grown = orders_of(x), []
-        for tree in range(key[-1] * GROUP, min(trees, (key[-1] + 1) * GROUP)):
-            grown.append(grow(x, y, weights_of("forest", t, tree, seed, 1.0), orders, None, 0.0))
+        grown = [slim(grow_apart(x, y, weights_of("forest", t, tree, seed, 1.0), 0.0))
+                 for tree in range(key[-1] * GROUP, min(trees, (key[-1] + 1) * GROUP))]
         return lambda test: sum(walk(tree, test) for tree in grown)
 
     groups = small.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // GROUP))))
@@ -510,7 +550,7 @@ def boosted_forecasts(rows: DataFrame, features, keys=KEYS, rounds: int = 300, d
                       penalty: float = 1.0, seed: int = 0) -> DataFrame:
     """keys, t, y_true, y_pred: ``rounds`` trees of ``depth`` levels, each on a ``share`` of the rows."""
     keys, width, names = list(keys), len(list(features)), key_fields(rows, keys)
-    small, large, any_large = by_size(rows, features, keys)
+    small, large, any_large = by_size(rows, features, keys, min(LOCAL, BOOSTED))
 
     def fit(key, x, y, t):
         base, trees = boost(x, y, t, seed, rounds, depth, rate, share, penalty)

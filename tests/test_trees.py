@@ -143,3 +143,15 @@ def test_boosting_above_local_stores_no_table_a_round(windows, monkeypatch):
             got.append(by_key(window_forecasts(windows, "boosted_trees", ["d0", "d1", "d2"], rounds=rounds)))
         made.append(len(paths))
     assert made[0] == made[1] and got[0].keys() == got[1].keys()
+
+
+@pytest.mark.parametrize("near", [1, 20, 1000])
+def test_nodes_split_by_bins_and_grown_apart_equal_a_plain_tree(monkeypatch, near):
+    """A task may grow far more rows than it holds side by side."""
+    monkeypatch.setattr(trees, "NEAR", near)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (150, 3)).astype(np.uint8)
+    y, w = rng.normal(size=150) + x[:, 1], rng.integers(0, 3, 150).astype(float)
+    tree, plain = trees.slim(trees.grow_apart(x, y, w, 0.0)), plain_tree(x, y, w, None, 0.0)
+    np.testing.assert_allclose(trees.walk(tree, x), [plain_walk(plain, r) for r in x], rtol=1e-9)
+    assert trees.LOCAL >= 8 * trees.BOOSTED  # series of a million rows need no routing of rows to nodes
