@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foretally.session import durable
 
 # rows per block; a smaller value suits small executors (and the tests, which cut finely)
-BLOCK_ROWS = int(os.environ.get("FORETALLY_BLOCK_ROWS", 1 << 20))
+BLOCK_ROWS = int(os.environ.get("FORETALLY_BLOCK_ROWS", 1 << 17))
 
 KEYS = ("series_id",)
 

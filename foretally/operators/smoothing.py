@@ -24,19 +24,45 @@ from foretally.session import durable
 GRID = 33
 ROUNDS, AROUND, SHRINK = 6, 9, 4.0
 THETA_GRID = tuple(a / 100 for a in range(1, 100))
-CHUNK = 4096
+CELLS = 1 << 19  # states held at once inside a task
+RUN = 64         # values of a run; the runs of a chunk go side by side
 
 
-def smooth(x: np.ndarray, level: np.ndarray, trend: np.ndarray, alphas: np.ndarray, betas: np.ndarray):
-    """(level, trend) after each value, one column per candidate."""
-    levels, trends = np.empty((len(x), len(alphas))), np.empty((len(x), len(alphas)))
+def powers_of(alphas: np.ndarray, betas: np.ndarray) -> np.ndarray:
+    """The first ``RUN`` powers of the step from (level, trend) to the next, per candidate."""
+    out, power = np.empty((RUN, 2, 2, len(alphas))), np.eye(2)[:, :, None] * np.ones(len(alphas))
+    for i in range(RUN):
+        up = (1 - alphas) * (power[0] + power[1])
+        out[i] = power = np.stack([up, betas * (up - power[0]) + (1 - betas) * power[1]])
+    return out
+
+
+def chunk_of(candidates: int) -> int:
+    """Values smoothed at once: their states of all candidates stay in the cache."""
+    return max(CELLS // candidates // RUN, 1) * RUN
+
+
+def smooth(x: np.ndarray, level: np.ndarray, trend: np.ndarray, alphas: np.ndarray, betas: np.ndarray, powers: np.ndarray | None = None):
+    """(level, trend) after each value, one column per candidate.  The state after k values is what they lead to from
+    zero plus the k-th power of the step times the state before, so runs of ``RUN`` values go side by side."""
+    size, each = len(alphas), -(-len(x) // RUN)
+    powers = powers_of(alphas, betas) if powers is None else powers
     keep_a, keep_b = 1 - alphas, 1 - betas
-    for i, v in enumerate(x):
-        new = alphas * v + keep_a * (level + trend)
-        trend = betas * (new - level) + keep_b * trend
-        level = new
-        levels[i], trends[i] = level, trend
-    return levels, trends
+    padded = np.zeros(each * RUN)
+    padded[:len(x)] = x
+    padded = padded.reshape(each, RUN)
+    levels, trends = np.empty((each, RUN, size)), np.empty((each, RUN, size))
+    l, t = np.zeros((each, size)), np.zeros((each, size))
+    for i in range(RUN):
+        new = alphas * padded[:, i, None] + keep_a * (l + t)
+        t = betas * (new - l) + keep_b * t
+        l = new
+        levels[:, i], trends[:, i] = l, t
+    for j in range(each):
+        levels[j] += powers[:, 0, 0] * level + powers[:, 0, 1] * trend
+        trends[j] += powers[:, 1, 0] * level + powers[:, 1, 1] * trend
+        level, trend = levels[j, -1], trends[j, -1]
+    return levels.reshape(-1, size)[:len(x)], trends.reshape(-1, size)[:len(x)]
 
 
 def _fields(df: DataFrame, keys) -> str:
@@ -63,8 +89,9 @@ def block_heads(rows: DataFrame, params: DataFrame, keys) -> DataFrame:
         pdf, head = pdf.sort_values("t"), other.iloc[0]
         alphas, betas, x = np.asarray(head["alphas"], float), np.asarray(head["betas"], float), pdf["x"].to_numpy(float)
         level, trend = _first(x, int(pdf["t"].iloc[0]), len(alphas))
-        for a in range(0, len(x), CHUNK):
-            levels, trends = smooth(x[a:a + CHUNK], level, trend, alphas, betas)
+        chunk, powers = chunk_of(len(alphas)), powers_of(alphas, betas)
+        for a in range(0, len(x), chunk):
+            levels, trends = smooth(x[a:a + chunk], level, trend, alphas, betas, powers)
             level, trend = levels[-1], trends[-1]
         return pd.DataFrame([(*(head[k] for k in keys), head["block"], np.r_[level, trend])], columns=names)
 
@@ -91,7 +118,7 @@ def block_heads(rows: DataFrame, params: DataFrame, keys) -> DataFrame:
 
 
 def block_runs(rows: DataFrame, heads: DataFrame, keys, fn, schema: str) -> DataFrame:
-    """``fn(rows of a run, levels, trends, head)`` over runs of ``CHUNK`` rows of each block."""
+    """``fn(rows of a run, levels, trends, head)`` over runs of bounded size of each block."""
     def run(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(pdf) and len(other):
@@ -99,9 +126,10 @@ def block_runs(rows: DataFrame, heads: DataFrame, keys, fn, schema: str) -> Data
             alphas, betas, x = np.asarray(head["alphas"], float), np.asarray(head["betas"], float), pdf["x"].to_numpy(float)
             start = np.asarray(head["start"], float).reshape(2, -1)
             level, trend = _first(x, int(pdf["t"].iloc[0]), len(alphas)) if head["block"] == 0 else (start[0], start[1])
-            for a in range(0, len(x), CHUNK):
-                levels, trends = smooth(x[a:a + CHUNK], level, trend, alphas, betas)
-                parts.append(fn(pdf.iloc[a:a + CHUNK], levels, trends, head, level))
+            chunk, powers = chunk_of(len(alphas)), powers_of(alphas, betas)
+            for a in range(0, len(x), chunk):
+                levels, trends = smooth(x[a:a + chunk], level, trend, alphas, betas, powers)
+                parts.append(fn(pdf.iloc[a:a + chunk], levels, trends, head, level))
                 level, trend = levels[-1], trends[-1]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -207,9 +235,10 @@ def theta_forecasts(labelled: DataFrame, keys=KEYS, horizon: int = 1, grid=THETA
             a, x = np.asarray(head["alphas"], float), pdf["x"].to_numpy(float)
             total = np.asarray(head["errors"], float)
             level, trend = _first(x, int(pdf["t"].iloc[0]), len(a)) if head["block"] == 0 else tuple(np.asarray(head["start"], float).reshape(2, -1))
-            for at in range(0, len(x), CHUNK):
-                body = pdf.iloc[at:at + CHUNK]
-                levels, trends = smooth(x[at:at + CHUNK], level, trend, a, np.zeros(len(a)))
+            chunk, powers = chunk_of(len(a)), powers_of(a, np.zeros(len(a)))
+            for at in range(0, len(x), chunk):
+                body = pdf.iloc[at:at + chunk]
+                levels, trends = smooth(x[at:at + chunk], level, trend, a, np.zeros(len(a)), powers)
                 errors = total + gaps(body, levels, level).cumsum(axis=0)
                 best = errors.argmin(axis=1)
                 parts.append(body[[*keys, "t", "x", "y", "val_end"]].assign(level=levels[np.arange(len(best)), best], alpha=a[best]))

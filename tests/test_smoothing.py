@@ -62,3 +62,18 @@ def test_theta_refits_at_every_step(labelled):
             slope = np.polyfit(np.arange(t + 1), x[:t + 1], 1)[0]
             want = levels[best, -1] + 0.5 * slope * (1 - (1 - grid[best]) ** (t + 1)) / grid[best]
             assert r["y_pred"] == pytest.approx(want, rel=1e-8)
+
+
+def test_runs_side_by_side_equal_one_value_after_another():
+    """The state also holds no more than CELLS numbers, however many candidates there are."""
+    from foretally.operators import smoothing
+    rng = np.random.default_rng(0)
+    x, a, b = rng.random(333), rng.random(7), rng.random(7)
+    levels, trends = smoothing.smooth(x, np.full(7, 0.3), np.full(7, 0.1), a, b)
+    level, trend = np.full(7, 0.3), np.full(7, 0.1)
+    for i, v in enumerate(x):
+        new = a * v + (1 - a) * (level + trend)
+        trend = b * (new - level) + (1 - b) * trend
+        level = new
+        np.testing.assert_allclose([levels[i], trends[i]], [level, trend], rtol=1e-9, atol=1e-12)
+    assert smoothing.chunk_of(1089) * 1089 <= smoothing.CELLS < 4096 * 1089
