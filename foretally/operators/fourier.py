@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from foretally.operators.blocks import KEYS, spread_join
 from foretally.session import durable
 
-CELLS = 1 << 20
-LONGEST = 1 << 20
+CELLS = 1 << 18
+LONGEST = 1 << 17
 SHAPE = "r long, c long, chirp boolean"
 
 

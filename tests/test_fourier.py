@@ -51,3 +51,9 @@ def test_fraction_and_log_spectrum_on_whole_series(spark, monkeypatch):
         assert got[name] == pytest.approx(want, rel=1e-9)
         log = lambda x: np.log10(power(x) + 1e-12)
         assert gaps[name] == pytest.approx(np.mean((log(a) - log(b)) ** 2), rel=1e-6)
+
+
+def test_no_task_holds_a_row_of_half_a_million_entries():
+    half = 600_011  # a prime
+    assert all(half % d for d in range(2, 775))
+    assert max(fourier.shape_of(2 * half)[:2]) <= 1 << 17 and fourier.CELLS <= 1 << 18
