@@ -30,15 +30,12 @@ def solver(width: int, alpha: float, targets: int = 1):
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def solve(g: pd.Series, b: pd.Series) -> pd.Series:
-        at = np.triu_indices(width)
-        full = np.zeros((len(g), width, width))
-        flat = np.stack([np.asarray(v, float) for v in g]) if len(g) else np.zeros((0, len(at[0])))
-        full[:, at[0], at[1]] = flat
-        full[:, at[1], at[0]] = flat
-        full += alpha * np.eye(width)
-        right = np.stack([np.asarray(v, float) for v in b]) if len(b) else np.zeros((0, width * targets))
-        out = []
-        for m, r in zip(full, right.reshape(-1, targets, width)):
+        at, out = np.triu_indices(width), []
+        for flat, right in zip(g, b):  # one full matrix at a time: a batch may hold thousands
+            m, r = np.zeros((width, width)), np.asarray(right, float).reshape(targets, width)
+            m[at] = flat
+            m.T[at] = flat
+            m += alpha * np.eye(width)
             try:
                 w = np.linalg.solve(m, r.T).T
             except np.linalg.LinAlgError:

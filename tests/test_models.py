@@ -172,3 +172,19 @@ def test_estimator_is_saved_loaded_and_copied(windows, tmp_path):
     assert forecasts(again) == first == forecasts(PanelRidge.load(str(tmp_path / "estimator")).fit(panel))
     Pipeline(stages=[ridge]).fit(panel).write().overwrite().save(str(tmp_path / "pipeline"))
     assert forecasts(PipelineModel.load(str(tmp_path / "pipeline"))) == first
+
+
+def test_solver_holds_one_matrix_at_a_time():
+    import tracemalloc
+    import numpy as np
+    import pandas as pd
+    from foretally.operators.ridge import solver
+    width, rows = 57, 1000
+    g = pd.Series([np.eye(width)[np.triu_indices(width)]] * rows)
+    b = pd.Series([np.arange(width, dtype=float)] * rows)
+    tracemalloc.start()
+    got = solver(width, 1.0).func(g, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(np.stack(got), np.stack(b) / 2)
+    assert peak < 10e6
