@@ -11,12 +11,14 @@ item is searched by its windows of ten consecutive words (a shorter item is one
 4. Each window meets its rarest terms' postings, shifted by their places in the window; a
    place survives where both shifted lists agree.  Words come from the rarest lists first,
    so frequent words never start a search.
-5. The remaining terms are intersected the same way, on the postings of the surviving
-   documents only: a phrase stands where all its shifted lists agree.
+5. The remaining terms are looked up at their places in the surviving documents: a phrase
+   stands where all its terms agree.
 
-Postings are joined by hashed keys, never gathered per term, so a term, passage or text
-held by any share of the documents is spread by its rows; windows and terms are benchmark
-sized and Spark broadcasts them only below its own threshold.
+The index is dealt out by document, once, so that the shifted lists, which are several times
+its size, are intersected where they arise.  A cleaned text moves once, to its surviving
+places.  Nothing is gathered per term, so a term, passage or text held by any share of the
+documents is spread by its rows; windows and terms are benchmark sized and Spark broadcasts
+them only below its own threshold.
 
 Null and empty texts have no words and no hits; repeated rows are separate rows with equal
 results; a null item id counts as an item but is not listed.  Empty tables give no rows,
@@ -26,7 +28,7 @@ and with no items every document is clean.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretally.llm.common import LOWER, UPPER, column
+from foretally.llm.common import LOWER, UPPER, column, partitions
 from foretally.session import durable
 
 WINDOW = 10
@@ -75,11 +77,13 @@ def term_counts(stored: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(win, n, term, at, turn): the two rarest terms of each window that can occur at all."""
-    parts = windows.select("win", "n").distinct().select("win", "n", F.posexplode(F.split("win", " ")).alias("at", "term"))
+    """(win, key, n, term, at, turn): the two rarest terms of each window that can occur at all;
+    ``key`` is a number of the window."""
+    different = durable(windows.select("win", "n").distinct()).withColumn("key", F.monotonically_increasing_id())
+    parts = different.select("win", "key", "n", F.posexplode(F.split("win", " ")).alias("at", "term"))
     known = parts.join(counts, "term")
     by_win = Window.partitionBy("win")
-    ranked = known.select("win", "n", "term", "at", F.count("*").over(by_win).alias("known"),
+    ranked = known.select("win", "key", "n", "term", "at", F.count("*").over(by_win).alias("known"),
                           F.row_number().over(by_win.orderBy("n_corpus", "term", "at")).alias("turn"))
     return durable(ranked.filter((F.col("known") == F.col("n")) & (F.col("turn") <= 2)).drop("known"))
 
@@ -89,25 +93,29 @@ def positional_index(stored: DataFrame, terms: DataFrame) -> DataFrame:
     return durable(exploded(stored).join(terms.select("term").distinct(), "term").select("rid", "pos", "term"))
 
 
-def shifted(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """Places where a window would begin if the posting is its term: (rid, win, start)."""
-    met = postings.join(parts, "term").select("rid", "win", "n", (F.col("pos") - F.col("at")).alias("start"))
-    return met.filter(F.col("start") >= 0)
+def agreeing(index: DataFrame, rarest: DataFrame) -> DataFrame:
+    """Places where a window would begin by both its rarest terms: (rid, key, n, start).
+
+    The postings of a document meet in one task, whose number is stated: they are small, the
+    shifted lists are not."""
+    dealt = index.repartition(4 * partitions(index.sparkSession), "rid")
+    met = dealt.join(rarest, "term").select("rid", "key", "n", (F.col("pos") - F.col("at")).alias("start")).filter("start >= 0")
+    # a term's place in the window gives one posting a place, so each list counts once
+    both = met.groupBy("rid", "key", "n", "start").agg(F.count("*").alias("lists"))
+    return both.filter(F.col("lists") == F.least(F.col("n"), F.lit(2))).drop("lists")
 
 
 def phrase_matches(stored: DataFrame, windows: DataFrame) -> DataFrame:
     """Stored exact occurrences of the windows: (rid, win, n, start)."""
     rarest = rarest_terms(windows, term_counts(stored, windows))
-    index = positional_index(stored, rarest)
-    first = shifted(index, rarest.filter("turn = 1"))
-    second = shifted(index, rarest.filter("turn = 2")).select("rid", "win", "start")
-    candidates = durable(first.filter("n = 1").unionByName(first.filter("n > 1").join(second, ["rid", "win", "start"]).select(first.columns)))
-    # the other terms, on the surviving documents only
-    met = exploded(stored.join(candidates.select("rid").distinct(), "rid", "left_semi"))
-    wanted = candidates.select("rid", "win", "n", "start", F.posexplode(F.split("win", " ")).alias("at", "term"))
-    wanted = wanted.withColumn("pos", F.col("start") + F.col("at"))
-    agreed = wanted.join(met, ["rid", "pos", "term"]).groupBy("rid", "win", "n", "start").agg(F.count("*").alias("agree"))
-    return durable(agreed.filter(F.col("agree") == F.col("n")).drop("agree"))
+    candidates = durable(agreeing(positional_index(stored, rarest), rarest))
+    # the other terms, in the surviving documents only; by the same way whatever the size
+    named = candidates.join(rarest.filter("turn = 1").select("key", "win"), "key")
+    places = named.groupBy("rid").agg(F.collect_list(F.struct("win", "n", "start")).alias("places"))
+    texts = stored.select("rid", "clean").join(places.hint("merge"), "rid").select("rid", F.split("clean", " ").alias("words"), "places")
+    met = texts.select("rid", "words", F.explode("places").alias("p")).select("rid", "words", "p.*")
+    there = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
+    return durable(met.filter(there == F.col("win")).select("rid", "win", "n", "start"))
 
 
 def near_matches(stored: DataFrame, windows: DataFrame, within: int = 20) -> DataFrame:

@@ -69,3 +69,16 @@ def test_proximity(spark):
     windows = dec.item_windows(spark.createDataFrame([(1, "rare1 the rare2")], ITEMS))
     assert [r["start"] for r in dec.near_matches(stored, windows, within=20).collect()] == [9]
     assert dec.near_matches(stored, windows, within=5).count() == 0
+
+
+def test_shifted_lists_are_intersected_where_they_arise(spark, monkeypatch):
+    """No exchange by places: only the index and each text, once, are dealt out by document."""
+    plans, store = [], dec.durable
+    monkeypatch.setattr(dec, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    text = "the cat sat on the mat and the dog sat on the cat"
+    stored = dec.store_words(spark.createDataFrame([(i, text, "en", i) for i in range(50)], DOCS), ["doc_id"])
+    windows = dec.item_windows(spark.createDataFrame([(1, "the cat sat"), (2, "dog the dog"), (3, "mat")], ITEMS))
+    matches = dec.phrase_matches(stored, windows)
+    assert sorted(matches.groupBy("win", "start").count().collect()) == [("mat", 5, 50), ("the cat sat", 0, 50)]
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", "\n".join(plans))
+    assert any(k.startswith("rid#") for k in keys) and not any("start#" in k or "pos#" in k for k in keys)
