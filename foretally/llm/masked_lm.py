@@ -54,6 +54,7 @@ RARE = 3  # words seen fewer times are spelt
 HEAD = 1 << 16  # so many of the most frequent words are looked up inside the tasks
 COUNTED = 1 << 18  # different words a counting task holds before it passes them on
 SMOOTH = 0.1
+STEEP = 60.0  # exponentials of numbers within this bound neither overflow nor vanish
 
 EDGE = TOKENS  # stands for a word beyond the text's ends
 TABLE = TOKENS + 1
@@ -64,6 +65,12 @@ FIRST = np.cumsum([0, N_PLACE, HALF, HALF, HALF, 1, HALF // WIDTH, HALF * HALF /
 ROWS = int(FIRST[-1])
 
 
+def split(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower half of each token."""
+    upper = token // HALF
+    return upper, token - upper * HALF
+
+
 class Network:
     def __init__(self, weights: np.ndarray):
         self.rows = weights
@@ -76,25 +83,27 @@ class Network:
         for k in range(1, len(PLACES)):
             before += self.places.take(context[:, k], axis=0)
         before += self.bias
-        two = np.tanh(before + self.given.take(upper, axis=0))
-        return np.tanh(before, out=before), two
+        two = self.given.take(upper, axis=0)
+        two += before
+        return np.tanh(before, out=before), np.tanh(two, out=two)
 
     def logits(self, one: np.ndarray, two: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormalised log probabilities of both halves, shifted so that none is above 0."""
+        """Unnormalised log probabilities of both halves; steep ones are shifted so that none is above 0."""
         a, b = one @ self.upper.T, two @ self.lower.T
         a += self.upper_bias
         b += self.lower_bias.take(upper, axis=0)
         for z in (a, b):
-            z -= z.max(axis=1, keepdims=True)
+            if not (z.max(initial=0) < STEEP and z.min(initial=0) > -STEEP):
+                z -= z.max(axis=1, keepdims=True)
         return a, b
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        halves = np.divmod(token, HALF)
-        at = np.arange(token.size)
+        halves = split(token)
+        at = np.arange(token.size) * HALF
         total = np.zeros(token.size)
         for z, half in zip(self.logits(*self.hidden(context, halves[0]), halves[0]), halves):
-            total += z[at, half]
-            total -= np.log(np.exp(z, out=z).sum(axis=1))
+            total += z.ravel().take(at + half)
+            total -= np.log(np.exp(z, out=z) @ np.ones(HALF, z.dtype))
         return total
 
 
@@ -106,7 +115,7 @@ def initial_weights() -> np.ndarray:
 
 def summed(rows: np.ndarray, values: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, summed values, times); a row of ``values`` serves ``each`` rows in turn."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if ROWS <= 1 << 16 else rows, kind="stable")  # short numbers sort by digits
     rows = rows[order]
     first = np.r_[True, rows[1:] != rows[:-1]]
     heads = np.flatnonzero(first)
@@ -130,24 +139,27 @@ class Trainer:
         self.used = np.zeros(ROWS, np.float32)
 
     def move(self, rows: np.ndarray, gradient: np.ndarray, times) -> None:
-        self.squares[rows] += np.einsum("ij,ij->i", gradient, gradient) / WIDTH
-        self.net.rows[rows] -= gradient * (RATE / np.sqrt(self.squares[rows]))[:, None]
+        squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
+        self.squares[rows] = squares
+        self.net.rows[rows] -= gradient * (RATE / np.sqrt(squares))[:, None]
         self.used[rows] += times
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
-        net, n, at = self.net, token.size, np.arange(token.size)
-        upper, lower = np.divmod(token, HALF)
+        net, n, at = self.net, token.size, np.arange(token.size) * HALF
+        upper, lower = split(token)
         one, two = net.hidden(context, upper)
         ga, gb = net.logits(one, two, upper)
         for g, half in ((ga, upper), (gb, lower)):  # gradient: probabilities less the seen token
             np.exp(g, out=g)
-            g /= g.sum(axis=1, keepdims=True) * n
-            g[at, half] -= 1 / n
-        back_one, back_two = (ga @ net.upper) * (1 - one * one), (gb @ net.lower) * (1 - two * two)
-        back = back_one + back_two
+            g *= 1 / (g @ np.full((HALF, 1), n, g.dtype))
+            g.ravel()[at + half] -= 1 / n
+        back, back_two = ga @ net.upper, gb @ net.lower
+        back *= 1 - one * one
+        back_two *= 1 - two * two
+        back += back_two
         rows, values, times = summed(context.ravel(), back, len(PLACES))
         chosen = np.zeros((n, HALF), np.float32)  # adds rows up by upper half as one product
-        chosen[at, upper] = 1
+        chosen.ravel()[at + upper] = 1
         given_times = chosen.sum(axis=0)
         given = np.flatnonzero(given_times)
         given_times = given_times[given]

@@ -34,6 +34,22 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * eps) - moves[row][k]) < 1e-6
 
 
+def test_only_steep_logits_are_shifted():
+    """Tame rows need no pass for their maximum; steep ones neither overflow nor vanish."""
+    context, token, _ = lm.examples(["one two three four five six seven", "eight nine"])
+    upper = lm.split(token)[0]
+    for scale in (1.0, 3000.0):
+        net = lm.Network((lm.initial_weights() * np.float32(scale)))
+        one, two = net.hidden(context, upper)
+        plain = [one.astype(float) @ net.upper.T + net.upper_bias, two.astype(float) @ net.lower.T + net.lower_bias[upper]]
+        steep = max(np.abs(z).max() for z in plain) > lm.STEEP
+        assert steep == (scale > 1)
+        for got, z in zip(net.logits(one, two, upper), plain):
+            np.testing.assert_allclose(got, z - z.max(axis=1, keepdims=True) if steep else z, rtol=1e-4, atol=1e-3 if steep else 1e-6)
+        want = sum(z[range(token.size), half] - np.logaddexp.reduce(z, axis=1) for z, half in zip(plain, np.divmod(token, lm.HALF)))
+        np.testing.assert_allclose(net.log_probability(context, token), want, rtol=1e-5, atol=1e-4)
+
+
 def sentence(rng, n):
     """Each word decides the next one nine times out of ten."""
     words = ["w0"]
