@@ -156,3 +156,17 @@ def test_lanes_of_a_block_equal_one_run(stretch):
         with pytest.raises(ArithmeticError):
             list(res.driven_side_by_side(u, first, made, cfg))
     np.testing.assert_allclose(res.drive_on(u, first, None, made, cfg)[0], want[-1], atol=1e-12)
+
+
+def test_state_blocks_hold_only_what_is_driven(spark, tiny, monkeypatch):
+    """A block is whole in its task, so the recurrent queries send no column there that they do not use."""
+    from foretally.operators import reservoir
+    from foretally.plans.catalogue import load_all
+    from foretally.plans.queries import feature_steps
+    seen = []
+    watched = lambda rows, *a, **k: seen.append(rows.columns) or reservoir_map(rows, *a, **k)
+    for module in (reservoir, feature_steps):
+        monkeypatch.setattr(module, "reservoir_map", watched)
+    for name in ("recurrent_states", "recurrent_features"):
+        load_all()[name].run(spark, tiny)
+    assert [sorted(c) for c in seen] == [["block", "d0", "series_id", "t"], ["block", "series_id", "t", "u"]]
