@@ -34,11 +34,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretally.llm.common import chunks, map_groups, short_batches
-from foretally.llm.shingles import FOLDED, IN_WORD, word_hashes
+from foretally.llm.shingles import hashes_of, word_bytes, word_hashes
 from foretally.session import durable
 
 HALF = 64  # values of each half of a token
@@ -47,6 +48,7 @@ PLACES = (-2, -1, 1, 2)
 WIDTH = 32
 ROUNDS = 4
 BATCH = 1024
+GROUP = 64  # batches laid out at once
 RATE = 0.15
 FAN = 64  # task results added up at once
 CHUNK = 512  # weight rows in a piece
@@ -54,7 +56,9 @@ RARE = 3  # words seen fewer times are spelt
 HEAD = 1 << 16  # so many of the most frequent words are looked up inside the tasks
 COUNTED = 1 << 18  # different words a counting task holds before it passes them on
 SMOOTH = 0.1
+BLOCK = 2048  # words scored at once
 STEEP = 60.0  # exponentials of numbers within this bound neither overflow nor vanish
+TAME = 20.0  # nor do those of two such numbers' doubled sum
 
 EDGE = TOKENS  # stands for a word beyond the text's ends
 TABLE = TOKENS + 1
@@ -71,6 +75,10 @@ def split(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return upper, token - upper * HALF
 
 
+def within(values: np.ndarray, bound: float) -> bool:
+    return bool(values.max(initial=0) < bound and values.min(initial=0) > -bound)
+
+
 class Network:
     def __init__(self, weights: np.ndarray):
         self.rows = weights
@@ -83,17 +91,27 @@ class Network:
         for k in range(1, len(PLACES)):
             before += self.places.take(context[:, k], axis=0)
         before += self.bias
-        two = self.given.take(upper, axis=0)
-        two += before
-        return np.tanh(before, out=before), np.tanh(two, out=two)
+        if not (within(before, TAME) and within(self.given, TAME)):
+            two = self.given.take(upper, axis=0)
+            two += before
+            return np.tanh(before, out=before), np.tanh(two, out=two)
+        one = np.exp(np.add(before, before, out=before), out=before)  # tanh x = 1 - 2 / (1 + exp 2x), one exponential for both
+        two = np.exp(2 * self.given).take(upper, axis=0)
+        two *= one
+        for e in (one, two):
+            e += 1
+            np.divide(-2, e, out=e)
+            e += 1
+        return one, two
 
     def logits(self, one: np.ndarray, two: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unnormalised log probabilities of both halves; steep ones are shifted so that none is above 0."""
         a, b = one @ self.upper.T, two @ self.lower.T
         a += self.upper_bias
         b += self.lower_bias.take(upper, axis=0)
-        for z in (a, b):
-            if not (z.max(initial=0) < STEEP and z.min(initial=0) > -STEEP):
+        for z, layer, bias in ((a, self.upper, self.upper_bias), (b, self.lower, self.lower_bias)):
+            longest = np.einsum("ij,ij->i", layer, layer).max()  # hidden units lie between -1 and 1
+            if not (np.sqrt(WIDTH * longest) + max(bias.max(), -bias.min()) < STEEP or within(z, STEEP)):
                 z -= z.max(axis=1, keepdims=True)
         return a, b
 
@@ -113,20 +131,68 @@ def initial_weights() -> np.ndarray:
     return weights
 
 
-def summed(rows: np.ndarray, values: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, summed values, times); a row of ``values`` serves ``each`` rows in turn."""
-    order = np.argsort(rows.astype(np.uint16) if ROWS <= 1 << 16 else rows, kind="stable")  # short numbers sort by digits
-    rows = rows[order]
-    first = np.r_[True, rows[1:] != rows[:-1]]
+def runs(values: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of each run of equal values; none reaches over a multiple of ``most``."""
+    first = np.ones(values.size, bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    if most:
+        first[::most] = True
     heads = np.flatnonzero(first)
-    times = np.diff(np.r_[heads, rows.size])
-    sums = values.take(order[heads] // each, axis=0)
-    again = np.flatnonzero(times > 1)  # most rows occur once in a batch
-    if again.size:
-        members = np.repeat(times > 1, times)
-        starts = np.cumsum(times[again]) - times[again]
-        sums[again] = np.add.reduceat(values.take(order[members] // each, axis=0), starts, axis=0)
-    return rows[heads], sums, times
+    times = np.full(heads.size, values.size)
+    times[:-1] = heads[1:]
+    times -= heads
+    return heads, times
+
+
+class Plan(NamedTuple):
+    """A batch of words, those of one upper half side by side, and where their gradients go."""
+
+    context: np.ndarray
+    upper: np.ndarray
+    lower: np.ndarray
+    heads: np.ndarray  # first word of each upper half that occurs
+    halves: np.ndarray  # how many words it has
+    rows: np.ndarray  # distinct rows of the place tables
+    times: np.ndarray  # how often each occurs
+    first: np.ndarray  # a word that each occurs at
+    again: list[tuple[np.ndarray, np.ndarray]]  # rows that occur up to 2, 4, 8 ... times, their words filled up with ``BATCH``
+
+
+def plans(context: np.ndarray, token: np.ndarray, order: np.ndarray) -> Iterator[Plan]:
+    """Batches of words in the given order, laid out ``GROUP`` at a time."""
+    for at in range(0, order.size, GROUP * BATCH):
+        some = order[at:at + GROUP * BATCH]
+        cuts = np.arange(0, some.size + BATCH, BATCH).clip(max=some.size)
+        batch = np.arange(some.size) // BATCH
+        # short numbers sort by digits
+        some = some.take(np.argsort((batch * HALF + token.take(some) // HALF).astype(np.uint16), kind="stable"))
+        near, (upper, lower) = context.take(some, axis=0), split(token.take(some))
+        heads, halves = runs(batch * HALF + upper)
+        of_half = np.searchsorted(heads, cuts)
+        k = len(PLACES)
+        rows = np.full((cuts.size - 1, BATCH * k), np.iinfo(np.uint16).max, np.uint16)  # more than ROWS: what the last batch lacks comes last
+        rows.ravel()[:near.size] = near.ravel()
+        by = np.argsort(rows, axis=1, kind="stable")
+        word = (by // k).ravel()[:near.size]
+        by += np.arange(0, rows.size, BATCH * k)[:, None]
+        rows = rows.ravel().take(by.ravel()[:near.size])
+        starts, times = runs(rows, BATCH * k)
+        of_row = np.searchsorted(starts, cuts * k)
+        filled, groups, size = np.append(word, BATCH), [], 2
+        more = np.flatnonzero(times > 1)
+        begin, length = starts.take(more), times.take(more)
+        while size < 2 * length.max(initial=0):
+            chosen, place = np.flatnonzero((length > size // 2) & (length <= size)), np.arange(size)[:, None]
+            words = filled.take(np.where(place < length.take(chosen), begin.take(chosen) + place, word.size))
+            often = more.take(chosen)
+            groups.append((often, words, np.searchsorted(often, of_row)))
+            size *= 2
+        rows, first = rows.take(starts).astype(np.int64), word.take(starts)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                h, r = slice(*of_half[i:i + 2]), slice(*of_row[i:i + 2])
+                again = [(often[c:d] - r.start, words[:, c:d]) for often, words, cut in groups for c, d in [cut[i:i + 2]] if c < d]
+                yield Plan(near[a:b], upper[a:b], lower[a:b], heads[h] - a, halves[h], rows[r], times[r], first[r], again)
 
 
 class Trainer:
@@ -139,37 +205,45 @@ class Trainer:
         self.used = np.zeros(ROWS, np.float32)
 
     def move(self, rows: np.ndarray, gradient: np.ndarray, times) -> None:
-        squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
+        squares = np.einsum("ij,ij->i", gradient, gradient)
+        squares /= WIDTH
+        squares += self.squares.take(rows)
         self.squares[rows] = squares
-        self.net.rows[rows] -= gradient * (RATE / np.sqrt(squares))[:, None]
+        gradient *= (RATE / np.sqrt(squares))[:, None]
+        np.subtract(self.net.rows.take(rows, axis=0), gradient, out=gradient)
+        whole = f"V{gradient.itemsize * WIDTH}"  # a weight row as one item
+        np.put(self.net.rows.view(whole), rows, gradient.view(whole))
         self.used[rows] += times
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
-        net, n, at = self.net, token.size, np.arange(token.size) * HALF
-        upper, lower = split(token)
-        one, two = net.hidden(context, upper)
+        for plan in plans(context, token, np.arange(token.size)):
+            self.follow(plan)
+
+    def follow(self, plan: Plan) -> None:
+        net, upper, n = self.net, plan.upper, plan.upper.size
+        at = np.arange(n) * HALF
+        one, two = net.hidden(plan.context, upper)
         ga, gb = net.logits(one, two, upper)
-        for g, half in ((ga, upper), (gb, lower)):  # gradient: probabilities less the seen token
+        for g, half in ((ga, upper), (gb, plan.lower)):  # gradient: probabilities less the seen token
             np.exp(g, out=g)
-            g *= 1 / (g @ np.full((HALF, 1), n, g.dtype))
+            g *= (1 / (g @ np.full(HALF, n, g.dtype)))[:, None]
             g.ravel()[at + half] -= 1 / n
-        back, back_two = ga @ net.upper, gb @ net.lower
-        back *= 1 - one * one
-        back_two *= 1 - two * two
+        padded = np.zeros((BATCH + 1, WIDTH), ga.dtype)
+        back, back_two = np.matmul(ga, net.upper, out=padded[:n]), gb @ net.lower
+        for b, h in ((back, one), (back_two, two)):
+            slope = h * h
+            b *= np.subtract(1, slope, out=slope)
         back += back_two
-        rows, values, times = summed(context.ravel(), back, len(PLACES))
-        chosen = np.zeros((n, HALF), np.float32)  # adds rows up by upper half as one product
-        chosen.ravel()[at + upper] = 1
-        given_times = chosen.sum(axis=0)
-        given = np.flatnonzero(given_times)
-        given_times = given_times[given]
-        given_values = (chosen.T @ np.concatenate([back_two, gb], axis=1))[given]
-        dense = np.concatenate([ga.T @ one, gb.T @ two, back.sum(axis=0)[None], ga.sum(axis=0).reshape(-1, WIDTH)])
-        self.move(rows, values, times)
-        self.move(FIRST[1] + given, given_values[:, :WIDTH], given_times)
-        self.move(np.arange(FIRST[2], FIRST[6]), dense, n)
-        biases = (FIRST[6] + given[:, None] * (HALF // WIDTH) + np.arange(HALF // WIDTH)).ravel()
-        self.move(biases, given_values[:, WIDTH:].reshape(-1, WIDTH), np.repeat(given_times, HALF // WIDTH))
+        values = padded.take(plan.first, axis=0)
+        for rows, words in plan.again:
+            values[rows] = padded.take(words, axis=0).sum(axis=0)
+        given, each = upper.take(plan.heads), np.ones(n, ga.dtype)
+        biases = FIRST[6] + given[:, None] * (HALF // WIDTH) + np.arange(HALF // WIDTH)
+        self.move(plan.rows, values, plan.times)
+        self.move(np.concatenate([FIRST[1] + given, np.arange(FIRST[2], FIRST[6]), biases.ravel()]),
+                  np.concatenate([np.add.reduceat(back_two, plan.heads, axis=0), (one.T @ ga).T, (two.T @ gb).T, (each @ back)[None],
+                                  (each @ ga).reshape(-1, WIDTH), np.add.reduceat(gb, plan.heads, axis=0).reshape(-1, WIDTH)]),
+                  np.concatenate([plan.halves, np.full(FIRST[6] - FIRST[2], n), np.repeat(plan.halves, HALF // WIDTH)]))
 
 
 def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,9 +273,8 @@ def train_round(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
                 context, token, _ = examples(texts)
                 order = np.random.default_rng(seen).permutation(token.size)  # words of a batch come from many texts
                 seen += token.size
-                for at in range(0, token.size, BATCH):
-                    some = order[at:at + BATCH]
-                    trainer.step(context[some], token[some])
+                for plan in plans(context, token, order):
+                    trainer.follow(plan)
         if seen:
             change = (trainer.net.rows - weights) * trainer.used[:, None]
             spans = range(0, ROWS, CHUNK)
@@ -252,16 +325,6 @@ class Head(NamedTuple):
     spelling: np.ndarray  # log probability of a byte after a byte, 0 at both ends
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all words, first and last place of each word), words as in ``word_hashes``."""
-    data = np.frombuffer(b"".join(t.encode("utf-8", "surrogatepass") + b" " for t in texts), np.uint8)
-    inside = np.flatnonzero(IN_WORD[data])
-    if not inside.size:
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, np.diff(inside) > 1])
-    return (FOLDED[data[inside]] - np.uint64(1)).astype(np.uint8), first, np.r_[first[1:], inside.size] - 1
-
-
 def pairs(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte pair (before x 256 + byte) at every byte, and the pair that ends each word."""
     before = np.r_[np.zeros(min(data.size, 1), np.int64), data[:-1].astype(np.int64)]
@@ -269,45 +332,50 @@ def pairs(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return before * 256 + data, data[last].astype(np.int64) * 256
 
 
-def spelt(texts: list[str], spelling: np.ndarray) -> np.ndarray:
-    """Log probability of every word's spelling."""
-    data, first, last = letters(texts)
-    if not first.size:
+def spelt(data: np.ndarray, first: np.ndarray, some: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+    """Log probability of the spelling of ``some`` of the words of ``word_bytes``."""
+    if not some.size:
         return np.zeros(0)
-    within, end = pairs(data, first, last)
-    return np.add.reduceat(spelling[within], first) + spelling[end]
+    sizes = np.append(first[1:], data.size).take(some) - first.take(some)
+    ends = np.cumsum(sizes)
+    heads = ends - sizes
+    within, end = pairs(data.take(np.arange(ends[-1]) + np.repeat(first.take(some) - heads, sizes)), heads, ends - 1)
+    return np.add.reduceat(spelling.take(within), heads) + spelling.take(end)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(hash, word, c): how often each word occurs in all documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        names: dict[int, bytes] = {}
-
-        def emit():
-            out = pa.RecordBatch.from_pydict({"hash": pa.array(list(held), pa.int64()), "word": pa.array([names[h] for h in held], pa.binary()),
-                                              "c": pa.array(list(held.values()), pa.int64())})
-            held.clear()
-            names.clear()
-            return out
+    def counted(texts: list[str]) -> pa.Table:
+        data, first, _ = word_bytes(texts)
+        coded = pa.array(hashes_of(data, first).view(np.int64)).dictionary_encode()
+        number, different = coded.indices.to_numpy(), len(coded.dictionary)
+        at = np.empty(different, np.int64)
+        at[number[::-1]] = np.arange(number.size)[::-1]  # where each word is first met
+        places = pa.py_buffer(np.append(first, data.size).astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), first.size, [None, places, pa.py_buffer(data)])
+        return pa.table({"hash": coded.dictionary, "word": words.take(pa.array(at)), "c": np.bincount(number, minlength=different)})
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for texts in chunks(batch.column("text").to_pylist()):
-                hashes, at, times = np.unique(word_hashes(texts)[0].view(np.int64), return_index=True, return_counts=True)
-                data, first, last = letters(texts)
-                raw = data.tobytes()
-                for h, a, b, c in zip(hashes.tolist(), first[at].tolist(), last[at].tolist(), times.tolist()):
-                    if h in held:
-                        held[h] += c
-                    else:
-                        held[h], names[h] = c, raw[a:b + 1]
-                if len(held) > COUNTED:
-                    yield emit()
+                held.append(counted(texts))
+                rows += len(held[-1])
+                if rows > 2 * COUNTED:
+                    held = [merged(held)]
+                    rows = len(held[0])
+                    if rows > COUNTED:
+                        yield from held.pop().to_batches()
+                        rows = 0
         if held:
-            yield emit()
+            yield from merged(held).to_batches()
 
-    counted = docs.select("text").mapInArrow(count, "hash long, word binary, c long")
-    return counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
+    def merged(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by("hash", use_threads=False).aggregate([("word", "first"), ("c", "sum")])
+        return pa.table({"hash": sums["hash"], "word": sums["word_first"], "c": sums["c_sum"]})
+
+    counts = docs.select("text").mapInArrow(count, "hash long, word binary, c long")
+    return counts.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
 
 
 def spelling_of(known: DataFrame) -> np.ndarray:
@@ -353,47 +421,50 @@ def vocabulary(docs: DataFrame) -> tuple[Head, DataFrame]:
     return head, tail.select("hash", F.log("c").alias("log_c"))
 
 
-def in_class(texts: list[str], hashes: np.ndarray, token: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def in_class(texts: list[str], hashes: np.ndarray, token: np.ndarray, head: Head, letters: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(in the head or not, log probability within the class as a head or rare word, what
-    a word outside the head that the join finds has to add to its log count)."""
-    of_class = -head.total[token]
-    value = of_class + head.rare[token] + spelt(texts, head.spelling)
-    inside = np.zeros(hashes.size, bool)
-    if head.hashes.size:
-        at = np.minimum(np.searchsorted(head.hashes, hashes), head.hashes.size - 1)
-        inside = head.hashes[at] == hashes
-        value[inside] = head.logs[at[inside]] + of_class[inside]
+    a word outside the head that the join finds has to add to its log count).  ``letters``
+    are the texts' ``word_bytes``, if they are known."""
+    data, first, _ = letters or word_bytes(texts)
+    of_class = -head.total.take(token)
+    at = pc.index_in(pa.array(hashes), value_set=pa.array(head.hashes)).fill_null(-1).to_numpy()
+    inside = at >= 0
+    value = of_class.copy()
+    value[inside] += head.logs.take(at[inside])
+    outside = np.flatnonzero(~inside)
+    value[outside] += head.rare.take(token.take(outside)) + spelt(data, first, outside, head.spelling)
     return inside, value, of_class
 
 
 def text_score(text: Column, weights: np.ndarray, head: Head | None = None) -> Column:
     """Number of tokens and summed log probability of each text: of the words with ``head``,
     of their classes without.  Words outside the head come as arrays and are not yet in the sum."""
-
-    @F.pandas_udf("n_tokens long, score double, hash array<bigint>, spelt array<double>, share array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("n_tokens", pa.int64()), ("score", pa.float64()), ("hash", pa.list_(pa.int64())),
+                      ("spelt", pa.list_(pa.float64())), ("share", pa.list_(pa.float64()))])
+
+    def scored(net: Network, texts: list[str]) -> pa.Array:
+        letters = word_bytes(texts)
+        hashes = hashes_of(*letters[:2])
+        context, token, owner = placed(hashes, letters[2])
+        each = np.zeros(token.size)
+        for at in range(0, token.size, BLOCK):
+            each[at:at + BLOCK] = net.log_probability(context[at:at + BLOCK], token[at:at + BLOCK])
+        outside, late = np.zeros(0, np.int64), (hashes.view(np.int64), each, each)
+        if head is not None:
+            inside, value, of_class = in_class(texts, late[0], token, head, letters)
+            outside = np.flatnonzero(~inside)
+            each[inside] += value[inside]
+            late = late[0], value, of_class
+        cuts = pa.array(np.searchsorted(owner.take(outside), np.arange(len(texts) + 1)), pa.int32())
+        columns = [np.bincount(owner, minlength=len(texts)), np.bincount(owner, weights=each, minlength=len(texts)).astype(float)]
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(values.take(outside))) for values in late]
+        return pa.StructArray.from_arrays([*map(pa.array, columns), *lists], fields=list(kind))
+
+    @F.arrow_udf("n_tokens long, score double, hash array<bigint>, spelt array<double>, share array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = Network(weights)
         for batch in batches:
-            counts, sums, late = [np.zeros(0, np.int64)], [np.zeros(0)], ([], [], [])
-            for texts in chunks(batch):
-                hashes, owner = word_hashes(texts)
-                context, token, owner = placed(hashes, owner)
-                each = np.zeros(token.size)
-                for at in range(0, token.size, 4096):
-                    each[at:at + 4096] = net.log_probability(context[at:at + 4096], token[at:at + 4096])
-                outside = np.zeros(0, np.int64)
-                if head is not None:
-                    hashes = hashes.view(np.int64)
-                    inside, value, of_class = in_class(texts, hashes, token, head)
-                    each[inside] += value[inside]
-                    outside = np.flatnonzero(~inside)
-                cuts = np.searchsorted(owner[outside], np.arange(1, len(texts)))
-                for out, values in zip(late, (hashes, value, of_class) if head is not None else (hashes.view(np.int64), each, each)):
-                    out += np.split(values[outside], cuts)
-                counts.append(np.bincount(owner, minlength=len(texts)))
-                sums.append(np.bincount(owner, weights=each, minlength=len(texts)))
-            yield pd.DataFrame({"n_tokens": np.concatenate(counts).astype(np.int64), "score": np.concatenate(sums),
-                                "hash": late[0], "spelt": late[1], "share": late[2]})
+            yield pa.concat_arrays([scored(net, texts) for texts in chunks(batch.to_pylist())] or [pa.array([], kind)])
 
     return score(text)
 

@@ -12,7 +12,7 @@ SHINGLE = 5
 
 _codes = np.arange(256)
 IN_WORD = (_codes >= 128) | np.isin(_codes, [ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
-FOLDED = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint64) + np.uint64(1)
+FOLDED = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -29,19 +29,34 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of its text)."""
+def word_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes of all words in a row, first place of each word in it, number of its text)."""
     raw = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    inside = np.flatnonzero(IN_WORD[data])
+    inside = np.flatnonzero(IN_WORD.take(data))
     if not inside.size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    heads = np.flatnonzero(np.r_[True, np.diff(inside) > 1])  # among the word bytes
-    sizes = np.diff(np.r_[heads, inside.size])
-    place = np.arange(inside.size) - np.repeat(heads, sizes)
-    sums = np.add.reduceat(FOLDED[data[inside]] * powers(BASE, int(sizes.max()))[place], heads)
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(inside[1:] - inside[:-1] > 1) + 1])
     ends = np.cumsum([len(r) for r in raw])
-    return mix(sums + sizes.astype(np.uint64)), np.searchsorted(ends, inside[heads], side="right")
+    return FOLDED.take(data.take(inside)), first, np.searchsorted(ends, inside.take(first), side="right")
+
+
+def hashes_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of every word of ``word_bytes``."""
+    if not first.size:
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(first, append=data.size)
+    place = np.arange(data.size) - np.repeat(first, sizes)
+    codes = data.astype(np.uint64)
+    codes += np.uint64(1)
+    codes *= powers(BASE, int(sizes.max())).take(place)
+    return mix(np.add.reduceat(codes, first) + sizes.astype(np.uint64))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of its text)."""
+    data, first, owner = word_bytes(texts)
+    return hashes_of(data, first), owner
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

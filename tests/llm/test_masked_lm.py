@@ -125,3 +125,30 @@ def test_vocabulary_counts_all_words_and_classes_add_up(spark, monkeypatch):
         assert w not in often or abs(p - want[w] / np.exp(head.total[token[0]])) < 1e-9
         sums[token[0]] += p
     assert sums.max() <= 1 + 1e-9
+
+
+def test_laid_out_batches_add_up_the_rows_of_their_words(monkeypatch):
+    """Every word is in one batch, and the sums of a batch are those of plain additions."""
+    monkeypatch.setattr(lm, "BATCH", 64)
+    monkeypatch.setattr(lm, "GROUP", 3)
+    rng = np.random.default_rng(5)
+    for texts in (["same " * 150, "other words here"], [sentence(random.Random(2), 700), "one two"], ["alone"], [""]):
+        context, token, _ = lm.examples(texts)
+        order, seen = rng.permutation(token.size), []
+        for i, plan in enumerate(lm.plans(context, token, order)):
+            some = order[i * 64:i * 64 + 64]
+            words = lambda c, t: sorted(zip(t.tolist(), c.tolist()))
+            assert words(plan.context, plan.upper * lm.HALF + plan.lower) == words(context[some], token[some])
+            values = np.zeros((lm.BATCH + 1, 3))
+            values[:some.size] = rng.normal(size=(some.size, 3))
+            want, times = np.zeros((lm.ROWS, 3)), np.bincount(plan.context.ravel(), minlength=lm.ROWS)
+            np.add.at(want, plan.context.ravel(), np.repeat(values[:some.size], len(lm.PLACES), axis=0))
+            got = values[plan.first]
+            for rows, places in plan.again:
+                got[rows] = values[places].sum(axis=0)
+            assert plan.rows.tolist() == np.flatnonzero(times).tolist() and plan.times.tolist() == times[plan.rows].tolist()
+            np.testing.assert_allclose(got, want[plan.rows], atol=1e-12)
+            halves = np.bincount(plan.upper, minlength=lm.HALF)
+            assert plan.upper[plan.heads].tolist() == np.flatnonzero(halves).tolist() and plan.halves.tolist() == halves[halves > 0].tolist()
+            seen += some.tolist()
+        assert sorted(seen) == list(range(token.size))
