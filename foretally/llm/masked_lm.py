@@ -34,7 +34,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -427,8 +426,13 @@ def in_class(texts: list[str], hashes: np.ndarray, token: np.ndarray, head: Head
     are the texts' ``word_bytes``, if they are known."""
     data, first, _ = letters or word_bytes(texts)
     of_class = -head.total.take(token)
-    at = pc.index_in(pa.array(hashes), value_set=pa.array(head.hashes)).fill_null(-1).to_numpy()
-    inside = at >= 0
+    coded = pa.array(hashes).dictionary_encode()  # different words are looked up once
+    different, at = coded.dictionary.to_numpy(), np.zeros(hashes.size, np.int64)
+    inside = np.zeros(hashes.size, bool)
+    if head.hashes.size and hashes.size:
+        found = np.minimum(np.searchsorted(head.hashes, different), head.hashes.size - 1)
+        number = coded.indices.to_numpy()
+        at, inside = found.take(number), (head.hashes.take(found) == different).take(number)
     value = of_class.copy()
     value[inside] += head.logs.take(at[inside])
     outside = np.flatnonzero(~inside)
