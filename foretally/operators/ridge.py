@@ -164,11 +164,13 @@ def behind_weights(rows: DataFrame, weights: DataFrame, keys, fn, schema: str) -
     """Apply ``fn(rows of a block, weights of its series)`` in a stream.
 
     A block's weights travel as one row in front of the block's rows, so they are neither
-    broadcast nor copied onto every row.  ``fn`` may see a block in several pieces.
+    broadcast nor copied onto every row.  ``fn`` may see a block in several pieces.  The other rows
+    carry an empty list: a null one takes far longer to send to Python (27 microseconds a row).
     """
     keys = list(keys)
     heads = per_block(weights).select(*keys, "block", "w", F.lit(0).alias("place"))
-    both = rows.withColumn("place", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    none = F.array().cast(weights.schema["w"].dataType)
+    both = rows.withColumn("w", none).withColumn("place", F.lit(1)).unionByName(heads, allowMissingColumns=True)
     placed = both.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

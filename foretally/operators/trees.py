@@ -8,6 +8,8 @@ of the weighted squared error; ties go to the first feature and the lowest bin.
 * A node with at most ``LOCAL`` train rows is grown to its end inside one task: nodes above ``NEAR`` rows
   from their sums per bin, smaller ones with the rows of all nodes of a level in bin order for
   every feature, so that a level costs a few passes over the rows whatever the number of nodes.
+  A forest's rows of equal bins, which no split parts, are one row with the sums of theirs, and
+  its test rows pass down with the train rows, so that a task never holds a whole tree.
 * Larger nodes are split in Spark, one pass a level for all series and trees at once: tasks
   add up (weight, weight x target) per (tree, node, feature, bin), the sums are combined per node
   and the best split of each node goes back to the pieces of its series.
@@ -33,10 +35,11 @@ from foretally.operators.ridge import add_up, behind_weights
 from foretally.session import checkpoint_folder, durable
 
 BINS = 256
-LOCAL = 1 << 20      # train rows of a node that one task grows to its end
+LOCAL = 6 << 20      # train rows of a node that one task grows to its end
 BOOSTED = 1 << 16    # train rows of a series that one task boosts, as its rounds follow each other
-NEAR = 1 << 16       # rows whose levels are grown side by side, so that they stay in the cache
-GROUP = 10           # trees grown by one task over the same rows
+NEAR = 1 << 17       # rows whose levels are grown side by side, so that they stay in the cache
+GROUP = 20           # trees grown by one task over the same rows
+SPREAD = 6           # partitions for each group of trees of a series: few groups with much work should not meet
 PIECES = 1 << 20     # rows of a task in boosting above BOOSTED
 LINEAGE = 50         # rounds after which the rests are stored, so that a lost task repeats no more of them
 LONE = np.array([[-1.0, 0.0, -1.0, 0.0]])
@@ -133,41 +136,138 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, orders: list[np.ndarray],
     return np.c_[feature, cut, left, value].astype(float)
 
 
-def grow_apart(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
-    """``grow`` without a depth, for many rows: nodes above ``NEAR`` rows are split by sums per bin, the
-    others grown by themselves."""
+def alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns of the distinct rows of bins, number of each row's): rows of equal bins are never parted."""
+    code = np.zeros(len(x), np.uint64)
+    for f in range(x.shape[1]):
+        if f >= 8 and f % 4 == 0:  # eight columns fill a code; its rank leaves room for four more
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+        code = code * np.uint64(256) + x[:, f]
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    return np.ascontiguousarray(x[first].T), number
+
+
+def grow_near(x: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, penalty: float) -> tuple:
+    """A tree without a depth (feature, bin, left child, value) from columns of bins and the sums of weights,
+    weighted targets and their squares of each row.  Targets are taken off their node's mean."""
+    (width, n), flat, single = x.shape, x.ravel(), wy / (w + penalty)
+    feature, cut, left, value = np.full(2 * n + 1, -1, np.int8), np.zeros(2 * n + 1, np.uint8), np.full(2 * n + 1, -1, np.int32), np.zeros(2 * n + 1)
+    orders = [np.argsort(c, kind="stable") for c in x]
+    nodes, sizes, count = np.zeros(1, int)[:n], np.array([n])[:n], 1
+    pairs, goes = np.empty(n, complex), np.empty(n, np.int8)  # (weight, weighted target) are added up side by side
+    while len(nodes):
+        o, m = orders[0], len(nodes)
+        ends = np.cumsum(sizes)
+        starts, seg = ends - sizes, np.repeat(np.arange(m), sizes)
+        here, there = w[o], wy[o]
+        tw, ts = np.add.reduceat(here, starts), np.add.reduceat(there, starts)
+        mean, before = ts / tw, np.cumsum(tw) - tw
+        value[nodes] = ts / (tw + penalty)
+        pair = np.empty(len(o), complex)
+        pair.real, pair.imag = here, there - here * mean[seg]
+        pairs[o] = pair
+        best, of, at = LEAST_GAIN * np.add.reduceat(wyy[o], starts), np.full(m, -1), np.zeros(m, np.uint8)
+        for f, o in enumerate(orders):
+            b = x[f][o]
+            ahead = np.empty(len(o), bool)
+            np.not_equal(b[1:], b[:-1], out=ahead[:-1])
+            ahead[ends - 1] = False
+            cand = np.flatnonzero(ahead)  # where a split may come after a row
+            if not len(cand):
+                continue
+            run = pairs[o]
+            np.cumsum(run, out=run)
+            s, off, run = seg[cand], np.r_[0.0, run.imag[ends[:-1] - 1]], run[cand]
+            cw, cs = run.real - before[s], run.imag - off[s]
+            gain = gains(cw, cs + mean[s] * cw, tw[s], ts[s], penalty) if penalty else cs * cs / (cw * (tw[s] - cw))
+            counts = np.bincount(s, minlength=m)
+            there = np.flatnonzero(counts)
+            top = np.full(m, -np.inf)
+            top[there] = np.maximum.reduceat(gain, (np.cumsum(counts) - counts)[there])
+            drop = top if penalty else top * tw
+            better = drop > best * (1 + TIE)
+            hit = np.flatnonzero(gain >= np.where(better, top - TIE * np.abs(top), np.inf)[s])
+            node = s[hit]
+            first = np.r_[True, node[1:] != node[:-1]][:len(node)]
+            best, of[better], at[node[first]] = np.where(better, drop, best), f, b[cand[hit[first]]]
+        split = of >= 0
+        if not split.any():
+            break
+        kids = count + 2 * np.arange(int(split.sum()))
+        feature[nodes[split]], cut[nodes[split]], left[nodes[split]] = of[split], at[split], kids
+        # rows keep their bin order inside each child; left children come first, and rows by themselves are done
+        o = orders[0]
+        right = flat[(of * n)[seg] + o] > at[seg]
+        n_right = np.add.reduceat(right, starts, dtype=int)
+        n_left = sizes - n_right
+        side = right.astype(np.int8)
+        side[~split[seg]] = 2
+        lone = np.flatnonzero((np.where(right, n_right[seg], n_left[seg]) == 1) & (side < 2))
+        value[(count + 2 * (np.cumsum(split) - 1))[seg[lone]] + side[lone]] = single[o[lone]]
+        side[lone] = 2
+        goes[o] = side
+        moved = []
+        for o in orders:
+            side = goes[o]
+            moved.append(np.concatenate([np.compress(side == 0, o), np.compress(side == 1, o)]))
+        n_left, n_right = n_left[split], n_right[split]
+        orders, count = moved, count + 2 * len(kids)
+        nodes, sizes = np.r_[kids[n_left > 1], kids[n_right > 1] + 1], np.r_[n_left[n_left > 1], n_right[n_right > 1]]
+    return feature[:count], cut[:count], left[:count], value[:count]
+
+
+def subtrees(x: np.ndarray, w: np.ndarray, wy: np.ndarray, wyy: np.ndarray, test: np.ndarray, penalty: float) -> Iterator[tuple]:
+    """A tree without a depth, for many rows, as (node, next free number, its top or whole subtree, test rows in it):
+    nodes above ``NEAR`` rows are split by sums per bin, the others grown by themselves."""
     kept = np.flatnonzero(w > 0)
-    parts, size, heads, todo = [], 1, {}, [(0, kept)]
-    width = x.shape[1]
+    size, todo = 1, [(0, x[:, kept], w[kept], wy[kept], wyy[kept], np.arange(test.shape[1]))]
     while todo:
-        node, rows = todo.pop()
-        xs, ys, ws = x[rows], y[rows], w[rows]
-        split = None
-        if len(rows) > NEAR:
-            wy = ws * ys
-            hist = np.concatenate([np.bincount(xs[:, f], v, BINS) for v in (ws, wy) for f in range(width)] + [[(wy * ys).sum()]])
-            (value, split), = level_splits(hist[None], width, penalty)
-            top = np.array([[-1.0, 0.0, -1.0, value]])
-        else:
-            top = grow(xs, ys, ws, orders_of(xs), None, penalty)
+        node, x, w, wy, wyy, rows = todo.pop()
+        width, n = x.shape
+        if n <= NEAR:
+            tree = grow_near(x, w, wy, wyy, penalty)
+            yield node, size, tree, rows
+            size += len(tree[0]) - 1
+            continue
+        (value, split), = level_splits(np.concatenate([np.bincount(c, v, BINS) for v in (w, wy) for c in x] + [[wyy.sum()]])[None], width, penalty)
+        f, b = split[:2] if split else (-1, 0)
+        yield node, size, tuple(np.array([v]) for v in (f, b, 1 if split else -1, value)), rows
         if split:
-            top[0, :3] = split[0], split[1], size
-            right = xs[:, split[0]] > split[1]
-            todo += [(size, rows[~right]), (size + 1, rows[right])]
+            for kid, side in ((size, np.flatnonzero(x[f] <= b)), (size + 1, np.flatnonzero(x[f] > b))):
+                there = (test[f][rows] > b) == (kid > size)
+                todo.append((kid, x[:, side], w[side], wy[side], wyy[side], rows[there]))
             size += 2
-        else:
-            inner = top[:, 2] >= 0
-            top[inner, 2] += size - 1
-            parts.append((size, top[1:]))
-            size += len(top) - 1
-        heads[node] = top[0]
+
+
+def grow_apart(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """``grow`` without a depth, for many rows."""
+    parts, size = [], 1
+    for node, free, (feature, cut, left, value), _ in subtrees(np.ascontiguousarray(x.T), w, w * y, w * y * y, np.zeros((x.shape[1], 0), np.uint8), penalty):
+        rows = np.c_[feature, cut, np.where(left < 0, -1, left + free - 1), value].astype(float)
+        parts.append((node, free, rows))
+        size = max(size, free + max(len(rows) - 1, 2 * int(left[0] > 0)))
     tree = np.empty((size, 4))
-    for first, rows in parts:
-        tree[first:first + len(rows)] = rows
-    tree[list(heads)] = list(heads.values())
+    for node, free, rows in parts:
+        tree[free:free + len(rows) - 1] = rows[1:]
+    for node, free, rows in parts:
+        tree[node] = rows[0]
     return tree
 
 
+def forest_sums(x: np.ndarray, y: np.ndarray, t: np.ndarray, numbers, seed: int, test: np.ndarray) -> np.ndarray:
+    """Sums of the values that the trees of ``numbers`` give to the test rows.  These pass down with the train
+    rows, so no tree is held; rows of equal bins are one row with the sums of theirs."""
+    (x, of), (seen, back) = alike(x), alike(test)
+    total = np.zeros(seen.shape[1])
+    for number in numbers:
+        w = weights_of("forest", t, number, seed, 1.0)
+        sums = [np.bincount(of, v, x.shape[1]) for v in (w, w * y, w * y * y)]
+        for _, _, tree, rows in subtrees(x, *sums, seen, 0.0):
+            if len(rows) and (len(tree[0]) > 1 or tree[0][0] < 0):
+                total[rows] += walk(tree, seen[:, rows].T)
+    return total[back]
+
+
 def slim(tree: np.ndarray) -> tuple:
     """The columns of a tree in small types: a task holds several trees of many leaves."""
     return tree[:, 0].astype(np.int8), tree[:, 1].astype(np.uint8), tree[:, 2].astype(np.int32), tree[:, 3].copy()
@@ -244,29 +344,42 @@ def unpacked(row, width: int):
     return np.frombuffer(row.x, np.uint8).reshape(-1, width), np.frombuffer(row.y), np.frombuffer(row.t, np.int64)
 
 
-def forecasts_from(pieces: DataFrame, by, keys, width: int, fit, schema: str) -> DataFrame:
+def forecasts_from(pieces: DataFrame, by, keys, width: int, fit, schema: str, least: int = 1) -> DataFrame:
     """In each group of ``by`` (train pieces first, at most ``LOCAL`` rows) a model is fitted by
-    ``fit(key, x, y, t)`` and then applied to the test pieces as they stream past."""
+    ``fit(key, x, y, t)`` and then applied to the test rows, up to ``LOCAL`` at once."""
     by = list(by)
     # a stated number of partitions: the pieces are small but the work on them is not
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
     dealt = pieces.repartition(tasks, *by).sortWithinPartitions(*by, F.desc("part"), "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, train, model = None, [], None
+        key, train, test, held, model = None, [], [], 0, None
+
+        def forecast():
+            nonlocal train, test, held, model
+            if model is None and train and test:
+                model, train = fit(key, *(np.concatenate(c) for c in zip(*train))), []
+            if model is not None and test:
+                found, at = model(np.concatenate([x for x, _, _ in test])), 0
+                for _, y, t in test:
+                    at += len(t)
+                    yield pd.DataFrame({**{k: v for k, v in zip(by, key) if k in keys}, "t": t, "y_true": y, "y_pred": found[at - len(t):at]})
+            test, held = [], 0
+
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 now = tuple(getattr(row, k) for k in by)
+                if now != key or held >= LOCAL:
+                    yield from forecast()
                 if now != key:
                     key, train, model = now, [], None
+                piece = unpacked(row, width)
                 if row.part == "train":
-                    train.append(unpacked(row, width))
-                    continue
-                if model is None and train:
-                    model, train = fit(key, *(np.concatenate(c) for c in zip(*train))), []
-                if model is not None:
-                    x, y, t = unpacked(row, width)
-                    yield pd.DataFrame({**{k: v for k, v in zip(by, now) if k in keys}, "t": t, "y_true": y, "y_pred": model(x)})
+                    train.append(piece)
+                else:
+                    test.append(piece)
+                    held += len(piece[1])
+        yield from forecast()
 
     return dealt.mapInPandas(run, schema)
 
@@ -389,8 +502,7 @@ def large_forest(pieces: DataFrame, keys, width: int, trees: int, seed: int) ->
         routed, f"{names}, node long, tree int, part string, first long, value double, x binary, y binary, t binary"))
 
     def finished(key, x, y, t):
-        tree = slim(grow_apart(x, y, weigh(t, key[-1]), 0.0))
-        return lambda test: walk(tree, test)
+        return lambda test: forest_sums(x, y, t, [key[-1]], seed, test)
 
     def known(batches):
         for pdf in batches:
@@ -535,12 +647,12 @@ def forest_forecasts(rows: DataFrame, features, keys=KEYS, trees: int = 200, see
     small, large, any_large = by_size(rows, features, keys, LOCAL)
 
     def fit(key, x, y, t):
-        grown = [slim(grow_apart(x, y, weights_of("forest", t, tree, seed, 1.0), 0.0))
-                 for tree in range(key[-1] * GROUP, min(trees, (key[-1] + 1) * GROUP))]
-        return lambda test: sum(walk(tree, test) for tree in grown)
+        numbers = range(key[-1] * GROUP, min(trees, (key[-1] + 1) * GROUP))
+        return lambda test: forest_sums(x, y, t, numbers, seed, test)
 
-    groups = small.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // GROUP))))
-    sums = forecasts_from(groups, [*keys, "group"], keys, width, fit, f"{names}, t long, y_true double, y_pred double")
+    count = -(-trees // GROUP)
+    groups = small.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    sums = forecasts_from(groups, [*keys, "group"], keys, width, fit, f"{names}, t long, y_true double, y_pred double", SPREAD * count)
     if any_large:
         sums = sums.unionByName(large_forest(large, keys, width, trees, seed))
     return sums.groupBy(*keys, "t").agg(F.first("y_true").alias("y_true"), (F.sum("y_pred") / trees).alias("y_pred"))
